@@ -16,14 +16,12 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import catalog as CAT
 from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, rollup
 from ..session import stage
 from ..sources import delimited, discovery, hidden, lines as L, settings as S, tables
-from ..sources.classify import is_structured
 
 MAX_ITEMS = 500_000
 NOT_READ = ("xlsx", "xls", "ods", "pdf", "evtx")
@@ -144,37 +142,48 @@ def _within(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None else rows.filter(F.col("item_idx") <= limit)
 
 
-def _text_part(spark, inputs, named, options):
-    try:
-        lines = L.read_lines(spark, inputs, named)
-    except AnalysisException:  # only hidden files were named
-        return []
-    blocks = stage(L.block_table(lines))
-    signals = L.number(detect.signals(lines, year=options.stamp_year, rules=options.rules), blocks)
-    counts = blocks.groupBy("file").agg(F.sum("n_lines").alias("items"))
-    return [(_within(signals, options.item_limit), counts)]
+def _text_part(spark, files, options):
+    parts = []
+    for ftype in L.LINE_TYPES:
+        uris = discovery.names(files, ftype)
+        if uris:
+            lines = L.read_lines(spark, uris, ftype)
+            blocks = stage(L.block_table(lines))
+            found = detect.signals(
+                lines, year=options.stamp_year, families=families_of(ftype), rules=options.rules
+            )
+            counts = blocks.groupBy("path").agg(F.sum("n_lines").alias("items")).select(
+                L.plain_path(F.col("path")).alias("file"), "items"
+            )
+            parts.append((_within(L.number(found, blocks), options.item_limit), counts))
+    return parts
 
 
-def _hidden_part(spark, inputs, named, options):
-    items = hidden.read_hidden_lines(hidden.list_hidden(spark, inputs, named))
-    signals = detect.signals(items, year=options.stamp_year, rules=options.rules)
-    return [(_within(signals, options.item_limit), items.groupBy("file").agg(F.count(F.lit(1)).alias("items")))]
+def families_of(ftype: str) -> tuple[str, ...]:
+    """Rule families that can fire on files of this type."""
+    extra = {"text": ("config", "log"), "config": ("config",), "log": ("log",), "evtx": ("log",), "pdf": ("log",)}
+    return ("content", "contact", *extra.get(ftype, ()))
 
 
-def _cell_part(items: DataFrame, place, options):
-    """Signals of cells, which count as items only when they hold something."""
-    signals = place(detect.signals(items, year=options.stamp_year, families=("content", "contact")))
-    counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
-    return [(signals, counts)]
+def _hidden_part(files, options):
+    items = hidden.read_hidden_lines(files.filter("hidden").select("uri", "file", F.col("type").alias("ftype")))
+    signals = detect.signals(items, year=options.stamp_year, rules=options.rules)
+    return [(_within(signals, options.item_limit), items.groupBy("file").agg(F.count(F.lit(1)).alias("items")))]
 
 
-def _csv_part(spark, inputs, named, options):
+def _csv_part(spark, files, options):
     parts = []
-    for source in delimited.read_csv_items(spark, inputs, named):
+    for source in delimited.read_csv_items(spark, files.filter((F.col("type") == "csv") & ~F.col("hidden"))):
         items = source.items
         if options.item_limit is not None:
             items = limit_cells(items, ["record"] if source.blocks is None else ["block", "row"], options.item_limit)
-        parts += _cell_part(items, lambda found, s=source: delimited.place_cells(found, s), options)
+        found = delimited.place_cells(
+            detect.signals(items, year=options.stamp_year, families=families_of("csv")), source
+        )
+        counts = items.groupBy("path").agg(F.count(F.lit(1)).alias("items")).select(
+            L.plain_path(F.col("path")).alias("file"), "items"
+        )
+        parts.append((found, counts))
     return parts
 
 
@@ -187,28 +196,28 @@ def limit_cells(items: DataFrame, place: Sequence[str], limit: int) -> DataFrame
     """
     from pyspark.sql import Window
 
-    per_row = items.groupBy("file", *place).agg(F.count(F.lit(1)).alias("_n"))
+    per_row = items.groupBy("path", *place).agg(F.count(F.lit(1)).alias("_n"))
     run = [F.col(c) for c in place[:-1]] + [F.floor(F.col(place[-1]) / tables.ROW_RUN).alias("_run")]
     names = [*place[:-1], "_run"]
-    ahead = Window.partitionBy("file").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("path").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     runs = (
-        per_row.groupBy("file", *run)
+        per_row.groupBy("path", *run)
         .agg(F.sum("_n").alias("_m"))
         .withColumn("_before", F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
         .filter((F.col("_before") <= limit) & (F.col("_before") + F.col("_m") > limit))
-        .select("file", *names, "_before")
+        .select("path", *names, "_before")
     )
-    inside = Window.partitionBy("file", *names).orderBy(place[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("path", *names).orderBy(place[-1]).rowsBetween(Window.unboundedPreceding, -1)
     edge = (
         per_row.withColumn("_run", F.floor(F.col(place[-1]) / tables.ROW_RUN))
-        .join(runs, ["file", *names])
+        .join(runs, ["path", *names])
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .filter((F.col("_start") <= limit) & (F.col("_start") + F.col("_n") > limit))
-        .select("file", F.struct(*place).alias("_edge"), (F.lit(limit) - F.col("_start")).alias("_left"))
+        .select("path", F.struct(*place).alias("_edge"), (F.lit(limit) - F.col("_start")).alias("_left"))
     )
     here = F.struct(*place)
     return (
-        items.join(edge, "file", "left")
+        items.join(edge, "path", "left")
         .filter(
             F.col("_edge").isNull() | (here < F.col("_edge"))
             | ((here == F.col("_edge")) & (F.col("nth") <= F.col("_left")))
@@ -218,35 +227,34 @@ def limit_cells(items: DataFrame, place: Sequence[str], limit: int) -> DataFrame
 
 
 def _parquet_part(spark, files, options):
-    # File names pass through the driver, as they do when Spark lists files.
-    paths = [r.file for r in files.filter(F.col("type") == "parquet").select("file").toLocalIterator()]
-    if not paths:
+    uris = discovery.names(files, "parquet")
+    if not uris:
         return []
-    items = tables.read_parquet_items(spark, paths)
+    items = tables.read_parquet_items(spark, [L.escape_globs(u) for u in uris])
+    counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
     if options.item_limit is not None:
         items = _within(tables.renumber(items), options.item_limit)
-    return _cell_part(items, lambda found: found, options)
+    found = detect.signals(items, year=options.stamp_year, families=families_of("parquet"))
+    return [(found, counts)]
 
 
-def documents(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
+def documents(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Settings files small enough to be parsed: (file, format, text)."""
-    file = L.plain_path(F.col("path"))
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(inputs))
-        visible = raw.filter(is_structured(file, F.col("length")) & L.wanted(file, named)).select(
-            file.alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
-        )
-    except AnalysisException:
-        visible = None
-    listed = hidden.list_hidden(spark, inputs, named).filter(is_structured(F.col("file"), F.col("length")))
+    chosen = files.filter("structured")
+    unseen = hidden.read_hidden_lines(chosen.filter("hidden").select("uri", "file", F.col("type").alias("ftype")))
     # One group is one file of limited size.
-    unseen = hidden.read_hidden_lines(listed).groupBy("file").agg(
+    texts = unseen.groupBy("file").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("item_idx", "text"))), lambda x: x["text"]), "\n"
         ).alias("text")
     )
-    both = unseen if visible is None else visible.unionByName(unseen)
-    return both.select("file", S.settings_format(F.col("file")).alias("format"), "text")
+    uris = [row.uri for row in chosen.filter(~F.col("hidden")).select("uri").toLocalIterator()]
+    if uris:
+        visible = spark.read.format("binaryFile").load([L.escape_globs(u) for u in uris]).select(
+            L.plain_path(F.col("path")).alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+        )
+        texts = visible.unionByName(texts)
+    return texts.select("file", S.settings_format(F.col("file")).alias("format"), "text")
 
 
 def parse_settings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -273,31 +281,31 @@ def drop_parsed_lines(signals: DataFrame, parsed: DataFrame) -> DataFrame:
     """Leave out line findings of settings files that were parsed; what else their lines hold stays."""
     first = detect.DET["config"]
     by_line = (F.col("ftype") == "config") & F.col("det").between(first, first + 19)
-    marked = signals.join(parsed.distinct().withColumn("_parsed", F.lit(True)), "file", "left")
+    marked = signals.join(parsed.withColumn("_parsed", F.lit(True)), "file", "left")
     return marked.filter(~(by_line & F.col("_parsed").isNotNull())).drop("_parsed")
 
 
 def scan(spark: SparkSession, inputs: Sequence[str], options: Options = Options()) -> ScanResult:
     """Scan files and directories."""
-    selected = options.selected  # unknown names fail before any work
     catalog = CAT.tables(spark, options.crosswalk)
     inputs, named = discovery.usable_inputs(spark, inputs)
     if not inputs:
         raise ValueError("no readable input files found")
     files = stage(discovery.list_files(spark, inputs, named))
-    parts = _text_part(spark, inputs, named, options) + _hidden_part(spark, inputs, named, options)
-    kinds = {r.type for r in files.select("type").distinct().toLocalIterator()}
-    if "csv" in kinds:
-        parts += _csv_part(spark, inputs, named, options)
-    if "parquet" in kinds:
-        parts += _parquet_part(spark, files, options)
-    settings, parsed = parse_settings(documents(spark, inputs, named))
+    parts = _text_part(spark, files, options)
+    if not files.filter("hidden").isEmpty():
+        parts += _hidden_part(files, options)
+    parts += _csv_part(spark, files, options) + _parquet_part(spark, files, options)
+    if not parts:
+        raise ValueError("no readable input files found")
+    settings, parsed = parse_settings(stage(documents(spark, files)))
+    parsed = stage(parsed.distinct())
     signals = reduce(DataFrame.unionByName, [p.select(*SIGNAL_COLUMNS) for p, _ in parts])
     signals = stage(drop_parsed_lines(signals, parsed))
     counts = reduce(DataFrame.unionByName, [c for _, c in parts]).groupBy("file").agg(F.sum("items").alias("items"))
     table = (
         files.join(counts, "file", "left")
-        .join(parsed.distinct().withColumn("_parsed", F.lit(True)), "file", "left")
+        .join(parsed.withColumn("_parsed", F.lit(True)), "file", "left")
         .select(
             "file", "type", F.coalesce("items", F.lit(0)).alias("items"),
             F.when(F.col("type") == "config", F.when(F.col("_parsed"), "structured").otherwise("line_fallback")).alias(
@@ -309,5 +317,4 @@ def scan(spark: SparkSession, inputs: Sequence[str], options: Options = Options(
     if root is None:
         root = enrich.common_root(files).first().root
     found = collect_findings(raw_findings(signals, settings), options, catalog)
-    assert selected == options.selected
     return finish(found, stage(file_status(table, options.item_limit)), options, catalog, root)

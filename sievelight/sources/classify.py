@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..functions.text import let
+
 # --- Fixed values: extensions and well-known names ------------------------------
 CONFIG_EXTS = (
     ".conf", ".cfg", ".ini", ".yaml", ".yml", ".json", ".xml", ".env", ".properties", ".toml", ".config", ".plist",
@@ -42,27 +44,36 @@ def _inner(path: Column) -> Column:
     return F.regexp_replace(F.lower(file_name(path)), r"\.gz$", "")
 
 
+def _named(path: Column, body) -> Column:
+    """`body(name, extension)` with both worked out once."""
+    return let(_inner(path), lambda name: let(F.when(name == ".env", ".env").otherwise(extension(name)), lambda ext: body(name, ext)))
+
+
 def classify(path: Column) -> Column:
     """xlsx, xls, ods, pdf, parquet, evtx, csv, config, log or text.
 
     A trailing `.gz` is looked through; any other name that contains "log" is a log.
     """
-    name = _inner(path)
-    ext = F.when(name == ".env", ".env").otherwise(extension(name))
-    kind = F.when(F.lit(False), F.lit(None).cast("string"))
-    for label, extensions in BY_EXTENSION:
-        hit = ext.isin(*extensions)
-        kind = kind.when(hit | name.isin(*CONFIG_NAMES) if label == "config" else hit, label)
-    return kind.when(ext.isin(*LOG_EXTS) | name.contains("log"), "log").otherwise("text")
+
+    def kind(name: Column, ext: Column) -> Column:
+        label = F.when(F.lit(False), F.lit(None).cast("string"))
+        for value, extensions in BY_EXTENSION:
+            hit = ext.isin(*extensions)
+            label = label.when(hit | name.isin(*CONFIG_NAMES) if value == "config" else hit, value)
+        return label.when(ext.isin(*LOG_EXTS) | name.contains("log"), "log").otherwise("text")
+
+    return _named(path, kind)
 
 
 def is_supported(path: Column) -> Column:
     """Files of a directory that take part in a scan."""
-    return extension(_inner(path)).isin(*SUPPORTED_EXTS) | classify(path).isin("log", "config")
+    return _named(path, lambda name, ext: ext.isin(*SUPPORTED_EXTS)) | classify(path).isin("log", "config")
 
 
 def is_structured(path: Column, length: Column) -> Column:
     """Settings files small enough to be parsed as a tree."""
     name = F.lower(file_name(path))
-    ext = F.when(name == ".env", ".env").otherwise(extension(name))
-    return ext.isin(*STRUCTURED_EXTS) & (length <= STRUCTURED_MAX_BYTES)
+    return let(
+        name,
+        lambda n: F.when(n == ".env", ".env").otherwise(extension(n)).isin(*STRUCTURED_EXTS)
+    ) & (length <= STRUCTURED_MAX_BYTES)

@@ -15,8 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .classify import classify
-from .lines import block_table, plain_path, wanted
+from ..session import stage
+from .lines import block_table, escape_globs, number, plain_path
 
 # --- Fixed values -----------------------------------------------------------------
 DELIMITERS = ",;\t|"
@@ -55,16 +55,10 @@ def _sniff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["uri", "file", "delimiter", "quote", "skip_space"])
 
 
-def sniff(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
-    """Dialect of every CSV file below `inputs`; each task reads the head of its files only."""
-    path = plain_path(F.col("path"))
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(inputs))
-        .select("path")
-        .filter((classify(path) == "csv") & wanted(path, named))
-        .select(F.regexp_replace(F.col("path"), "^file:/+", "file:///").alias("uri"), path.alias("file"))
-    )
-    return files.mapInPandas(
+def sniff(files: DataFrame) -> DataFrame:
+    """Dialect of CSV files (uri, file); each task reads the head of its files only."""
+    heads = files.select(F.regexp_replace("uri", "^file:/+", "file:///").alias("uri"), "file")
+    return heads.mapInPandas(
         _sniff_batches, "uri string, file string, delimiter string, quote string, skip_space boolean"
     )
 
@@ -72,9 +66,9 @@ def sniff(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ())
 def _csv_lines(spark: SparkSession, uris: Sequence[str], quote: str) -> DataFrame:
     value = F.make_valid_utf8("value")
     return (
-        spark.read.text(list(uris))
+        spark.read.text([escape_globs(u) for u in uris])
         .select(
-            plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"), value.alias("text"),
         )
         .withColumn("_quotes", F.char_length("text") - F.char_length(F.translate("text", quote, "")))
@@ -82,36 +76,36 @@ def _csv_lines(spark: SparkSession, uris: Sequence[str], quote: str) -> DataFram
 
 
 def join_records(lines: DataFrame) -> DataFrame:
-    """Records of files whose quoted cells may hold line breaks: (file, record, text).
+    """Records of files whose quoted cells may hold line breaks: (path, record, text).
 
-    `lines` has file, block, row, text and the number of quotes.  A line starts a
+    `lines` has path, block, row, text and the number of quotes.  A line starts a
     record when the quotes before it are even in number.  Parities and record
     counts are summed per block, then over the blocks of a file, so the work on
     lines stays within one block.
     """
-    in_block = Window.partitionBy("file", "block").orderBy("row")
+    in_block = Window.partitionBy("path", "block").orderBy("row")
     before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     seen = lines.withColumn("_odd", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
     blocks = (
-        lines.groupBy("file", "block")
+        lines.groupBy("path", "block")
         .agg(F.sum("_quotes").alias("_q"))
-        .select("file", "block", (F.coalesce(F.sum("_q").over(ahead), F.lit(0)) % 2).alias("_carry"))
+        .select("path", "block", (F.coalesce(F.sum("_q").over(ahead), F.lit(0)) % 2).alias("_carry"))
     )
-    starts = seen.join(blocks, ["file", "block"]).withColumn(
+    starts = seen.join(blocks, ["path", "block"]).withColumn(
         "_start", ((F.col("_odd") + F.col("_carry")) % 2 == 0).cast("int")
     )
     counts = (
-        starts.groupBy("file", "block")
+        starts.groupBy("path", "block")
         .agg(F.sum("_start").alias("_s"))
-        .select("file", "block", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_records_before"))
+        .select("path", "block", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_records_before"))
     )
-    numbered = starts.join(counts, ["file", "block"]).withColumn(
+    numbered = starts.join(counts, ["path", "block"]).withColumn(
         "record", F.col("_records_before") + F.sum("_start").over(in_block)
     )
     # One group is one record.
     part = F.struct("block", "row", "text")
-    return numbered.groupBy("file", "record").agg(
+    return numbered.groupBy("path", "record").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n").alias("text")
     )
 
@@ -141,56 +135,61 @@ def _escape(char: str) -> str:
 class CsvItems:
     """Cells of one dialect and what is needed to place what was found in them.
 
-    `items` has file, ftype, text, `cell` (position among all cells of the
+    `items` has path, ftype, text, `cell` (position among all cells of the
     record), `nth` (position among its non-empty cells), and either `record`, or
     `block` and `row`.
     """
 
     items: DataFrame
-    headers: DataFrame  # file, cell, name
+    headers: DataFrame  # path, cell, name
     blocks: DataFrame | None
     width: int
 
 
-def read_csv_items(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> list[CsvItems]:
-    """Cells of all CSV files below `inputs`, one entry per dialect and kind of record.
+def read_csv_items(spark: SparkSession, files: DataFrame) -> list[CsvItems]:
+    """Cells of CSV files (uri, file), one entry per dialect and kind of record.
 
     File names by dialect pass through the driver, as they do when Spark lists
     files; no content does.
     """
     groups: dict[Dialect, list[str]] = {}
-    for uri, _, *rest in sniff(spark, inputs, named).toLocalIterator():
+    for uri, _, *rest in sniff(files).toLocalIterator():
         groups.setdefault(Dialect(*rest), []).append(uri)
     found = []
     for dialect, uris in groups.items():
         lines = _csv_lines(spark, uris, dialect.quote)
-        odd = lines.groupBy("file").agg(F.count_if(F.col("_quotes") % 2 == 1).alias("odd")).filter("odd > 0")
+        odd = (
+            lines.groupBy("path").agg(F.count_if(F.col("_quotes") % 2 == 1).alias("odd")).filter("odd > 0")
+            .select(plain_path(F.col("path")).alias("file"))
+        )
         broken = {row.file for row in odd.toLocalIterator()}
         for joined in (False, True):
             chosen = [u for u in uris if (_plain(u) in broken) == joined]
-            if not chosen:
-                continue
-            part = _csv_lines(spark, chosen, dialect.quote)
-            if joined:
-                records, blocks, place = join_records(part), None, ["record"]
-                head = records.filter(F.col("record") == 1)
-            else:
-                records, blocks, place = part.drop("_quotes"), block_table(part), ["block", "row"]
-                first = blocks.filter(F.col("block") == 0).select("file", "block", F.col("first_row").alias("row"))
-                head = records.join(first, ["file", "block", "row"], "left_semi")
-            split = cells(F.col("text"), dialect)
-            width = records.agg(F.max(F.size(split)).alias("w")).first().w or 1
-            headers = head.select("file", F.posexplode(split).alias("cell", "name"))
-            filled = F.filter(
-                F.transform(split, lambda v, i: F.struct(i.alias("cell"), v.alias("text"))), lambda c: c["text"] != ""
-            )
-            items = records.select("file", *place, F.posexplode(filled).alias("_nth", "_c")).select(
-                "file", F.lit("csv").alias("ftype"), *place, (F.col("_nth") + 1).alias("nth"), "_c.cell", "_c.text"
-            )
-            found.append(CsvItems(items, headers, blocks, width))
+            if chosen:
+                found.append(_csv_items(_csv_lines(spark, chosen, dialect.quote), dialect, joined))
     return found
 
 
+def _csv_items(lines: DataFrame, dialect: Dialect, joined: bool) -> CsvItems:
+    if joined:
+        records, blocks, place = join_records(lines), None, ["record"]
+        head = records.filter(F.col("record") == 1)
+    else:
+        records, blocks, place = lines.drop("_quotes"), stage(block_table(lines)), ["block", "row"]
+        first = blocks.filter(F.col("block") == 0).select("path", "block", F.col("first_row").alias("row"))
+        head = records.join(first, ["path", "block", "row"], "left_semi")
+    split = cells(F.col("text"), dialect)
+    width = records.agg(F.max(F.size(split)).alias("w")).first().w or 1
+    headers = head.select("path", F.posexplode(split).alias("cell", "name"))
+    filled = F.filter(
+        F.transform(split, lambda v, i: F.struct(i.alias("cell"), v.alias("text"))), lambda c: c["text"] != ""
+    )
+    items = records.select("path", *place, F.posexplode(filled).alias("_nth", "_c")).select(
+        "path", F.lit("csv").alias("ftype"), *place, (F.col("_nth") + 1).alias("nth"), "_c.cell", "_c.text"
+    )
+    return CsvItems(items, headers, blocks, width)
+
+
 def _plain(uri: str) -> str:
     from urllib.parse import unquote
 
@@ -203,18 +202,16 @@ def place_cells(found: DataFrame, source: CsvItems) -> DataFrame:
     The header of a column is its cell in the first record; without one, and in
     that record itself, `col N` is used.
     """
+    named = found.join(source.headers, ["path", "cell"], "left")
     if source.blocks is not None:
-        from .lines import number
-
-        rows = number(found, source.blocks).withColumnRenamed("item_idx", "record").drop("location")
+        rows = number(named, source.blocks).withColumnRenamed("item_idx", "record")
     else:
-        rows = found
+        rows = named.withColumn("file", plain_path(F.col("path"))).drop("path")
     name = F.when(
         (F.col("record") > 1) & (F.coalesce("name", F.lit("")) != ""), F.col("name")
     ).otherwise(F.concat(F.lit("col "), (F.col("cell") + 1).cast("string")))
     return (
-        rows.join(source.headers, ["file", "cell"], "left")
-        .withColumn("location", F.concat(F.lit("row "), F.col("record").cast("string"), F.lit(", "), name))
+        rows.withColumn("location", F.concat(F.lit("row "), F.col("record").cast("string"), F.lit(", "), name))
         .withColumn("item_idx", ((F.col("record") - 1) * source.width + F.col("cell") + 1).cast("bigint"))
         .drop("record", "cell", "nth", "name")
     )

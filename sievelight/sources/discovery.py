@@ -31,18 +31,26 @@ def usable_inputs(spark: SparkSession, inputs: Sequence[str]) -> tuple[list[str]
 
 
 def list_files(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
-    """(file, type, length, structured): every file that takes part, once."""
-    listed = None
+    """(file, uri, type, length, hidden, structured): every file that takes part, once."""
+    hidden = list_hidden(spark, inputs, named).select(
+        "file", "uri", F.col("ftype").alias("type"), "length", F.lit(True).alias("hidden")
+    )
     try:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(inputs))
-        file = plain_path(F.col("path"))
-        listed = found.select("path", "length").filter(wanted(file, named)).select(
-            file.alias("file"), classify(file).alias("type"), "length"
+        listed = (
+            found.select(F.col("path").alias("uri"), plain_path(F.col("path")).alias("file"), "length")
+            .filter(wanted(F.col("file"), named))
+            .select("file", "uri", classify(F.col("file")).alias("type"), "length", F.lit(False).alias("hidden"))
         )
+        both = listed.unionByName(hidden)
     except AnalysisException:  # only hidden files were named
-        pass
-    hidden = list_hidden(spark, inputs, named).select("file", F.col("ftype").alias("type"), "length")
-    both = hidden if listed is None else listed.unionByName(hidden)
+        both = hidden
     return both.dropDuplicates(["file"]).withColumn(
         "structured", (F.col("type") == "config") & is_structured(F.col("file"), F.col("length"))
     )
+
+
+def names(files: DataFrame, kind: str) -> list[str]:
+    """URIs of the visible files of one type."""
+    rows = files.filter((F.col("type") == kind) & ~F.col("hidden")).select("uri")
+    return [row.uri for row in rows.toLocalIterator()]

@@ -23,42 +23,41 @@ def wanted(path: Column, named: Sequence[str]) -> Column:
     return (path.isin(*named) | listed) if named else listed
 
 
-def read_lines(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
-    """Lines of all text-like files below `inputs`: (file, ftype, block, row, text).
+def escape_globs(uri: str) -> str:
+    """A file name for a Spark reader, which would take these characters for a pattern."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in uri)
 
-    Files are split into blocks and read in parallel, compressed ones too (as one
-    block).  The file type depends on the name alone, so Spark drops other files
-    while it plans the scan.  `block` and `row` order the lines of a file; see
-    `number` for line numbers.
+
+def read_lines(spark: SparkSession, uris: Sequence[str], ftype: str) -> DataFrame:
+    """Lines of text files of one type: (path, ftype, block, row, text).
+
+    Files are split into blocks and read in parallel, compressed ones as one
+    block.  `block` and `row` order the lines of a file; see `number` for line
+    numbers.  Only file names, which Spark's file index holds anyway, come from
+    the driver.
     """
-    path = plain_path(F.col("_metadata.file_path"))
-    kept = classify(path).isin(*LINE_TYPES) & wanted(path, named)
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .text(list(inputs))
-        .filter(kept)
-        .select(
-            path.alias("file"), classify(path).alias("ftype"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("text"),
-        )
+    return spark.read.text([escape_globs(u) for u in uris]).select(
+        F.col("_metadata.file_path").alias("path"), F.lit(ftype).alias("ftype"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
+        F.make_valid_utf8("value").alias("text"),
     )
 
 
 def block_table(lines: DataFrame) -> DataFrame:
-    """(file, block, first_row, n_lines, lines_before): one row per block of a file.
+    """(path, block, first_row, n_lines, lines_before): one row per block of a file.
 
     A pass over the lines that only counts; each task sends one row per block.
     """
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        lines.groupBy("file", "block")
+        lines.groupBy("path", "block")
         .agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_lines"))
         .withColumn("lines_before", F.coalesce(F.sum("n_lines").over(ahead), F.lit(0)))
     )
 
 
 def number(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Add `item_idx` (1-based line number) and `location` to anything that kept `file`, `block`, `row`.
+    """Add `file`, `item_idx` (1-based line number) and `location` to anything that kept `path`, `block`, `row`.
 
     Called on what was found, not on all lines, so the text itself is never
     shuffled.  Both reads must have been cut into the same blocks; a row that
@@ -70,10 +69,11 @@ def number(rows: DataFrame, blocks: DataFrame) -> DataFrame:
         F.raise_error(F.lit("files changed, or were split differently, between two reads")).cast("bigint")
     )
     return (
-        rows.join(blocks, ["file", "block"], "left")
+        rows.join(blocks, ["path", "block"], "left")
+        .withColumn("file", plain_path(F.col("path")))
         .withColumn("item_idx", checked)
         .withColumn("location", F.concat(F.lit("line "), F.col("item_idx").cast("string")))
-        .drop("block", "row", "first_row", "n_lines", "lines_before")
+        .drop("path", "block", "row", "first_row", "n_lines", "lines_before")
     )
 
 

@@ -169,8 +169,14 @@ AUTH_LINE = (
 )
 
 
-def auth_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def auth_items(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id", f"{AUTH_FILE} AS file", "'log' AS ftype", "event_id + 1 AS item_idx",
         "concat('line ', event_id + 1) AS location", f"{AUTH_LINE} AS text",
     )
@@ -185,8 +191,8 @@ LOG_LINES = (
 LOG_LINE = case(f"event_id % {len(LOG_LINES)}", [text(v) for v in LOG_LINES]) + " || ' [' || event_type || ']'"
 
 
-def log_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def log_items(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id", "'ops/app.log' AS file", "'log' AS ftype", "event_id + 1 AS item_idx",
         "concat('line ', event_id + 1) AS location", f"{LOG_LINE} AS text",
     )

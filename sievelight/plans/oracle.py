@@ -570,3 +570,18 @@ _CELLS = (
 SQL["table_scan"] = f"""
 SELECT file, check_id, CAST(sum(n) AS BIGINT) AS occurrences
 FROM (SELECT file, 'DATA-PAN' AS check_id, 1 AS n FROM {cards(_CELLS)} UNION ALL {bulk(_CELLS)}) GROUP BY 1, 2"""
+
+# --- streams ------------------------------------------------------------------------------------------------------
+SQL["stream_line_rules"] = SQL["log_line_rules"]
+SQL["stream_login_correlation"] = " UNION ALL ".join(
+    f"SELECT file, '{check}' AS check_id, location, detail, count, confidence_score FROM ({SQL[name]})"
+    for check, name in (
+        ("LOG-BRUTEFORCE", "brute_force"), ("LOG-FAIL-SUCCESS", "success_after_failures"),
+        ("LOG-SPRAY", "password_spraying"), ("LOG-DISTRIBUTED", "distributed_attack"),
+    )
+)
+SQL["stream_login_windows"] = f"""
+WITH {KEYED.split("stepped AS")[0].rstrip().rstrip(",")},
+w AS (SELECT file, kt AS key_type, key, CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 - unnest(range(0, 6)) * 10 AS s FROM keyed WHERE fail)
+SELECT file, key_type, key, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS failures
+FROM w GROUP BY file, key_type, key, s HAVING count(*) >= 5"""

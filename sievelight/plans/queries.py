@@ -11,6 +11,7 @@ from .. import catalog as CAT
 from ..functions import patterns as P, stamps, text as X
 from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, report, rollup, sarif
 from ..sources import classify as C, settings as S, tables as T
+from ..streaming import auth as stream_auth, lines as stream_lines
 from . import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,14 +172,16 @@ def custom_rules(spark, sf_dir):
 
 @query
 def log_line_rules(spark, sf_dir):
-    found = detect.signals(feeds.log_items(spark, sf_dir), year=YEAR, families=("log",))
+    lines = feeds.log_items(feeds.table(spark, sf_dir, "events"))
+    found = detect.signals(lines, year=YEAR, families=("log",))
     return found.filter(F.col("kind") == "finding").select(
         long("event_id").alias("event_id"), "check_id", "confidence_score"
     )
 
 
 def _logins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.signals(feeds.auth_items(spark, sf_dir), year=YEAR, families=("log",)).filter(F.col("kind") == "auth")
+    lines = feeds.auth_items(feeds.table(spark, sf_dir, "events"))
+    return detect.signals(lines, year=YEAR, families=("log",)).filter(F.col("kind") == "auth")
 
 
 @query
@@ -606,3 +609,34 @@ def upload_scan(spark, sf_dir):
     )
     result = scan_uploads(uploads, Options(now=NOW, year=YEAR))
     return result.findings.select("file", "check_id", "location", "evidence", long("count").alias("count"))
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+@query
+def stream_line_rules(spark, sf_dir):
+    """Log line rules on the event table as a stream."""
+    lines = feeds.log_items(feeds.event_stream(spark, sf_dir))
+    found = stream_lines.line_signals(lines, year=YEAR, families=("log",)).filter(F.col("kind") == "finding")
+    return stream_lines.run_available(found.select(long("event_id").alias("event_id"), "check_id", "confidence_score"))
+
+
+def _login_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = feeds.auth_items(feeds.event_stream(spark, sf_dir))
+    return stream_lines.line_signals(lines, year=YEAR, families=("log",)).filter(F.col("kind") == "auth")
+
+
+@query
+def stream_login_correlation(spark, sf_dir):
+    found = stream_lines.run_available(stream_auth.correlate(_login_stream(spark, sf_dir)))
+    return found.select("file", "check_id", "location", "detail", "count", "confidence_score")
+
+
+@query
+def stream_login_windows(spark, sf_dir):
+    """Sliding failure counts; of the updates of a window the last is taken."""
+    counted = stream_auth.sliding_failures(_login_stream(spark, sf_dir))
+    updates = stream_lines.run_available(counted, mode="update")
+    latest = updates.groupBy("file", "key_type", "key", "window_start").agg(F.max("failures").alias("failures"))
+    return latest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

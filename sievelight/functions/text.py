@@ -145,7 +145,8 @@ def sanitize(text: Column) -> Column:
     """
 
     def card(part: Column) -> Column:
-        return F.when(luhn_ok(digits_only(part)), mask_middle(part, 2)).otherwise(part)
+        # Card numbers are told by ASCII digits only.
+        return F.when(part.rlike("^[0-9 -]+$") & luhn_ok(digits_only(part)), mask_middle(part, 2)).otherwise(part)
 
     steps = [
         lambda v: _redact(v, P.CLOUD_KEY, lambda part: mask_middle(part, 2)),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import patterns as P, stamps, text as X
@@ -43,7 +44,8 @@ COMMENT_MARKS = ("#", ";", "//", "!")
 LOG_TYPES = ("log", "text", "evtx", "pdf")
 
 DET = {"pan": 1, "ssn": 2, "mrn": 3, "private_key": 4, "cloud_key": 5, "password": 6, "entropy": 7,
-       "config": 10, "log": 30, "auth": 40, "email": 50, "phone": 51}
+       "config": 10, "log": 30, "auth": 40, "rule": 45, "email": 50, "phone": 51}
+CONFIG_DETS = (DET["config"], DET["config"] + len(CONFIG_LINE_RULES) + 1)
 
 
 def _hit(
@@ -203,7 +205,7 @@ def log_line_hits(line: P.Line) -> Column:
 def rule_hits(line: P.Line, rules: Iterable[tuple[str, str, str]]) -> Column:
     """Rules given by the caller: (check id, regular expression, detail), case ignored."""
     found = [
-        F.when(P.rlike(line.text, P.Pattern(regex, True)), _hit("finding", 20, check_id, "config", k=i, detail=detail))
+        F.when(P.rlike(line.text, P.Pattern(regex, True)), _hit("finding", DET["rule"], check_id, "config", k=i, detail=detail))
         for i, (check_id, regex, detail) in enumerate(rules)
     ]
     return F.array_compact(F.array(*found)) if found else _none()
@@ -221,38 +223,53 @@ def signals(
 ) -> DataFrame:
     """One row per thing found in `items`; all columns of an item but its text are kept.
 
-    `items` needs `ftype` and `text`.  A boolean `structured` column, when
-    present, marks config files whose settings were parsed, so that their lines
-    are not matched a second time.  `kind` tells the four row types apart:
+    `items` needs `ftype` and `text`.  `kind` tells the four row types apart:
     finding, email, phone, auth.
     """
-    families = tuple(families)
     carried = [c for c in items.columns if c != "text"]
-    structured = F.col("structured") if "structured" in items.columns else F.lit(False)
+    hits, found_columns = _expressions(tuple(families), tuple(rules), year)
     lines = (
         items.withColumn("text", F.left("text", F.lit(X.MAX_TEXT)))
         .withColumn("_ascii", P.is_ascii(F.col("text")))
         .withColumn("_fold", P.fold(F.col("text")))
         .withColumn("_strip", X.strip(F.col("text")))
     )
+    # The array goes straight into `inline`: as a named column it would be worked
+    # out once more for the "is it empty" filter that Catalyst adds below it.
+    found = lines.select(*carried, "text", F.inline(hits))
+    return found.select(*carried, *found_columns)
+
+
+_BUILT: dict[tuple, tuple[Column, list[Column]]] = {}
+
+
+def _expressions(families: tuple[str, ...], rules: tuple, year: int) -> tuple[Column, list[Column]]:
+    """What `signals` evaluates; it depends on column names only, so it is built once per set of rules."""
+    key = (id(SparkContext._gateway), families, rules, year)
+    if key not in _BUILT:
+        _BUILT[key] = _hits(families, rules), _found_columns(year)
+    return _BUILT[key]
+
+
+def _hits(families: tuple[str, ...], rules: tuple) -> Column:
+    ftype = F.col("ftype")
     line = P.Line(F.col("text"), F.col("_fold"), F.col("_ascii"))
     stripped = P.Line(F.col("_strip"), F.col("_fold"), F.col("_ascii"))
     parts = []
     if "content" in families:
         parts.append(content_hits(line))
     if "config" in families:
-        wanted = (F.col("ftype") == "text") | ((F.col("ftype") == "config") & ~structured)
-        parts.append(_if(wanted, config_line_hits(stripped)))
-    rules = list(rules)
+        parts.append(_if(ftype.isin("text", "config"), config_line_hits(stripped)))
     if rules:
         parts.append(rule_hits(stripped, rules))
     if "log" in families:
-        parts.append(_if(F.col("ftype").isin(*LOG_TYPES), log_line_hits(line)))
+        parts.append(_if(ftype.isin(*LOG_TYPES), log_line_hits(line)))
     if "contact" in families:
         parts.append(contact_hits(line))
-    # The array goes straight into `inline`: as a named column it would be worked
-    # out once more for the "is it empty" filter that Catalyst adds below it.
-    found = lines.select(*carried, "text", F.inline(F.concat(*parts)))
+    return F.concat(*parts)
+
+
+def _found_columns(year: int) -> list[Column]:
     text, value, style = F.col("text"), F.col("value"), F.col("style")
     head = X.line_evidence(text)
     shown = F.when(style == "snippet", X.snippet(text, F.col("start"), value)).when(style.isin("config", "log"), head)
@@ -263,13 +280,13 @@ def signals(
         .when(style != "none", X.sanitize(shown))
     )
     login = F.col("kind") == "auth"
-    return found.select(
-        *carried, "kind", "det", "k", "check_id", evidence.alias("evidence"), "detail",
-        F.lit(1).cast("bigint").alias("count"), "confidence_score",
+    return [
+        F.col("kind"), F.col("det"), F.col("k"), F.col("check_id"), evidence.alias("evidence"), F.col("detail"),
+        F.lit(1).cast("bigint").alias("count"), F.col("confidence_score"),
         F.when(F.col("kind").isin("email", "phone"), value).alias("value"),
         F.when(login, stamps.actor(text)).alias("user"),
         F.when(login, stamps.source_ip(text)).alias("ip"),
         F.when(login, stamps.timestamp(text, year)).alias("ts"),
         F.when(login, P.rlike(text, P.AUTH_FAIL)).alias("fail"),
         F.when(login, P.rlike(text, P.AUTH_SUCCESS)).alias("success"),
-    )
+    ]

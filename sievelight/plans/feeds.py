@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
 from ..sources.lines import split_lines
 
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are costly to work on."""
+    return spread(table(spark, sf_dir, name))
+
+
 def case(selector: str, values: list[str]) -> str:
     """SQL that picks one of `values` (SQL expressions) by a number from 0 on."""
     arms = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
@@ -59,7 +65,7 @@ SECRET_LINE = case(
 
 
 def secret_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(
+    return spread_table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey", "'evidence/orders.txt' AS file", "'text' AS ftype", "o_orderkey + 1 AS item_idx",
         "concat('line ', o_orderkey + 1) AS location", f"{SECRET_LINE} AS text",
     )
@@ -86,7 +92,7 @@ CONFIG_LINE = (
 
 
 def config_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread_table(spark, sf_dir, "part").selectExpr(
         "p_partkey", "'evidence/part.conf' AS file", "'config' AS ftype", "p_partkey + 1 AS item_idx",
         "concat('line ', p_partkey + 1) AS location", f"{CONFIG_LINE} AS text",
     )
@@ -111,7 +117,7 @@ SETTING_DOCUMENT = (
 
 
 def setting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread_table(spark, sf_dir, "part").selectExpr(
         "p_partkey", "concat('part/', p_partkey, '.json') AS file", f"{SETTING_DOCUMENT} AS text"
     )
 
@@ -129,7 +135,7 @@ ENV_LINE = case(
 
 
 def env_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread_table(spark, sf_dir, "part").selectExpr(
         "concat('site', p_partkey % 7, '/.env') AS file", "p_partkey + 1 AS item_idx", f"{ENV_LINE} AS text"
     )
 
@@ -225,14 +231,14 @@ def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents; each document is a text file below its source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     path = F.concat(F.lit("documents/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return split_lines(docs, path, F.col("text"))
 
 
 def language_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents as four files, one per language; lines numbered by document and place."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     return docs.select(
         F.concat(F.lit("documents/"), "lang", F.lit(".txt")).alias("file"), F.lit("text").alias("ftype"), "doc_id",
         F.posexplode(F.split("text", "\n")).alias("_i", "text"),
@@ -244,5 +250,5 @@ def language_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
+    pages = spread_table(spark, sf_dir, "pages")
     return split_lines(pages, F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"))

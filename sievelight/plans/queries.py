@@ -172,7 +172,7 @@ def custom_rules(spark, sf_dir):
 
 @query
 def log_line_rules(spark, sf_dir):
-    lines = feeds.log_items(feeds.table(spark, sf_dir, "events"))
+    lines = feeds.log_items(feeds.spread_table(spark, sf_dir, "events"))
     found = detect.signals(lines, year=YEAR, families=("log",))
     return found.filter(F.col("kind") == "finding").select(
         long("event_id").alias("event_id"), "check_id", "confidence_score"
@@ -180,7 +180,7 @@ def log_line_rules(spark, sf_dir):
 
 
 def _logins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = feeds.auth_items(feeds.table(spark, sf_dir, "events"))
+    lines = feeds.auth_items(feeds.spread_table(spark, sf_dir, "events"))
     return detect.signals(lines, year=YEAR, families=("log",)).filter(F.col("kind") == "auth")
 
 
@@ -603,7 +603,7 @@ def upload_scan(spark, sf_dir):
     from .payload import scan_uploads
     from .scan import Options
 
-    uploads = feeds.table(spark, sf_dir, "documents").select(
+    uploads = feeds.spread_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("../up/note?"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt")).alias("name"),
         F.base64(F.encode("text", "UTF-8")).alias("data"), F.col("doc_id").alias("ord"),
     )

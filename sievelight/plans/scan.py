@@ -166,7 +166,7 @@ def families_of(ftype: str) -> tuple[str, ...]:
 
 
 def _hidden_part(files, options):
-    items = hidden.read_hidden_lines(files.filter("hidden").select("uri", "file", F.col("type").alias("ftype")))
+    items = hidden.read_hidden_lines(files.filter("hidden AND length > 0").select("uri", "file", F.col("type").alias("ftype")))
     signals = detect.signals(items, year=options.stamp_year, rules=options.rules)
     return [(_within(signals, options.item_limit), items.groupBy("file").agg(F.count(F.lit(1)).alias("items")))]
 
@@ -279,8 +279,7 @@ def parse_settings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def drop_parsed_lines(signals: DataFrame, parsed: DataFrame) -> DataFrame:
     """Leave out line findings of settings files that were parsed; what else their lines hold stays."""
-    first = detect.DET["config"]
-    by_line = (F.col("ftype") == "config") & F.col("det").between(first, first + 19)
+    by_line = (F.col("ftype") == "config") & F.col("det").between(*detect.CONFIG_DETS)
     marked = signals.join(parsed.withColumn("_parsed", F.lit(True)), "file", "left")
     return marked.filter(~(by_line & F.col("_parsed").isNotNull())).drop("_parsed")
 
@@ -293,7 +292,7 @@ def scan(spark: SparkSession, inputs: Sequence[str], options: Options = Options(
         raise ValueError("no readable input files found")
     files = stage(discovery.list_files(spark, inputs, named))
     parts = _text_part(spark, files, options)
-    if not files.filter("hidden").isEmpty():
+    if not files.filter("hidden AND length > 0").isEmpty():
         parts += _hidden_part(files, options)
     parts += _csv_part(spark, files, options) + _parquet_part(spark, files, options)
     if not parts:

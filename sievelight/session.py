@@ -38,3 +38,15 @@ def stage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievelight-"))
     return df.checkpoint(eager=True)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Give a table that was read in fewer parts than there are cores to all of them.
+
+    A large table comes in many more parts and is left as it is, so this never
+    shuffles one; it is for small files whose rows are costly to work on.
+    """
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

@@ -1,4 +1,4 @@
-"""Files whose names Spark leaves out of every listing: those that start with a dot or an underscore.
+"""Files that Spark leaves out of every listing: names that start with a dot or an underscore, and empty files.
 
 `.env` is the one that matters most.  Both the listing and the reading happen in
 tasks, file by file; only these files take this way.
@@ -34,13 +34,13 @@ def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for entry in entries:
                 parts = entry.path[len(root) :].strip("/").split("/")
                 hidden = any(p.startswith((".", "_")) and "=" not in p for p in parts)
-                if entry.type == fs.FileType.File and hidden:
+                if entry.type == fs.FileType.File and (hidden or entry.size == 0):
                     rows.append((uri, entry.path, entry.size))
             yield pd.DataFrame(rows, columns=["input", "place", "length"])
 
 
 def list_hidden(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
-    """(uri, file, ftype, length) of hidden files that take part in a scan."""
+    """(uri, file, ftype, length) of hidden and of empty files that take part in a scan."""
     uris = [(i if "://" in i else "file://" + i,) for i in inputs]
     listed = (
         spark.createDataFrame(uris, "input string")
@@ -52,7 +52,7 @@ def list_hidden(spark: SparkSession, inputs: Sequence[str], named: Sequence[str]
     file = plain_path(uri)
     return (
         listed.select(uri.alias("uri"), file.alias("file"), classify(file).alias("ftype"), "length")
-        .filter(F.col("ftype").isin(*LINE_TYPES) & wanted(F.col("file"), named))
+        .filter((F.col("ftype").isin(*LINE_TYPES) | (F.col("length") == 0)) & wanted(F.col("file"), named))
         .dropDuplicates(["file"])
     )
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..session import spread
+
 ROW_RUN = 1 << 16
 
 
@@ -58,7 +60,7 @@ def read_parquet_items(spark: SparkSession, paths: Sequence[str], columns: Seque
         *[F.col(f"`{c}`") for c in names], plain_path(F.col("_metadata.file_path")).alias("__file"),
         (F.col("_metadata.row_index") + 1).alias("__row"),
     )
-    return table_items(with_meta, F.col("__file"), F.col("__row"), names)
+    return table_items(spread(with_meta), F.col("__file"), F.col("__row"), names)
 
 
 def renumber(items: DataFrame) -> DataFrame:

@@ -93,54 +93,62 @@ def correlate(logins: DataFrame, line_run: int = LINE_RUN, block: int = BLOCK) -
         raise ValueError(f"block must exceed {HISTORY_EVENTS}")
     key = ["file", "key_type", "key"]
     placed = place_events(keyed_events(logins), line_run, block)
+
+    def ago(seconds: int) -> Column:
+        return F.col("ts") - F.expr(f"INTERVAL '{seconds}' SECOND")
+
     by_block = Window.partitionBy(*key, "block").orderBy("p")
     step_back = F.coalesce(F.col("ts") < F.lag("ts").over(by_block), F.lit(False))
-    events = placed.withColumn("run", F.sum(step_back.cast("int")).over(by_block))
+    events = placed.withColumn("run", F.sum(step_back.cast("int")).over(by_block)).withColumns(
+        {"_peer_from": ago(PEER_WINDOW), "_history_from": ago(HISTORY_SECONDS)}
+    )
 
     # The n-th failure back lies in the window exactly when n failures do: times
     # never fall within a run.
     fails = Window.partitionBy(*key, "block", "run", "fail").orderBy("p")
     brute = F.lit(None).cast("struct<n:int,seconds:int>")
     for n, seconds in reversed(WINDOWS):
-        back_ts, back_p = F.lag("ts", n - 1).over(fails), F.lag("p", n - 1).over(fails)
         reached = (
             F.col("fail")
-            & (F.col("ts") <= back_ts + F.expr(f"INTERVAL '{seconds}' SECOND"))
-            & (F.col("p") - back_p < HISTORY_EVENTS)
+            & (F.lag("ts", n - 1).over(fails) >= ago(seconds))
+            & (F.col("p") - F.lag("p", n - 1).over(fails) < HISTORY_EVENTS)
         )
-        brute = F.when(
-            reached, F.struct(F.lit(n).alias("n"), F.lit(seconds).alias("seconds"))
-        ).otherwise(brute)
+        brute = F.when(reached, F.struct(F.lit(n).alias("n"), F.lit(seconds).alias("seconds"))).otherwise(brute)
 
-    def since(moment: Column, seconds: int) -> Column:
-        return moment >= F.col("ts") - F.expr(f"INTERVAL '{seconds}' SECOND")
-
-    past = F.struct("ts", "fail", "peer")
-    history = Window.partitionBy(*key, "block", "run").orderBy("p")
-    earlier = F.collect_list(past).over(history.rowsBetween(-HISTORY_EVENTS, -1))
-    latest = F.collect_list(past).over(history.rowsBetween(-(HISTORY_EVENTS - 1), 0))
-    seen = events.withColumn("_brute", brute).withColumn("_earlier", earlier).withColumn("_latest", latest)
+    # Failures among the 200 events before this one and the event itself.
+    history = Window.partitionBy(*key, "block", "run").orderBy("p").rowsBetween(-HISTORY_EVENTS, 0)
+    failures = F.collect_list(F.when(F.col("fail"), F.struct("p", "ts", "peer"))).over(history)
+    seen = events.withColumn("_brute", brute).withColumn("_failures", failures).filter("own")
 
     before_success = F.when(
         F.col("success") & (F.col("key_type") == "user"),
         F.size(
             F.filter(
-                "_earlier",
-                lambda e: e["fail"]
-                & since(e["ts"], HISTORY_SECONDS)
+                "_failures",
+                lambda e: (e["p"] < F.col("p"))
+                & (e["ts"] >= F.col("_history_from"))
                 & (F.col("ip").isNull() | F.coalesce(e["peer"] == F.col("ip"), F.lit(False))),
             )
         ),
     ).otherwise(0)
-    recent = F.filter("_latest", lambda e: e["fail"] & since(e["ts"], PEER_WINDOW))
-    peers = F.size(F.array_distinct(F.filter(F.transform(recent, lambda e: e["peer"]), lambda p: p.isNotNull())))
-    scored = (
-        seen.filter("own")
-        .select(
-            *key, "slot", "item_idx", "location", "evidence", "fail", "_brute", before_success.alias("_before"),
-            F.when(F.col("fail"), F.size(recent)).otherwise(0).alias("_recent"),
-            F.when(F.col("fail"), peers).otherwise(0).alias("_peers"),
-        )
+    # Five failures in the window come before five peers.
+    recent = F.when(
+        F.col("fail") & (F.size("_failures") >= PEER_THRESHOLD),
+        F.filter(
+            "_failures", lambda e: (e["p"] > F.col("p") - HISTORY_EVENTS) & (e["ts"] >= F.col("_peer_from"))
+        ),
+    ).otherwise(F.array().cast("array<struct<p:bigint,ts:timestamp_ntz,peer:string>>"))
+    scored = seen.select(
+        *key, "slot", "item_idx", "location", "evidence", "_brute", before_success.alias("_before"),
+        recent.alias("_recent_failures"),
+    ).select(
+        *key, "slot", "item_idx", "location", "evidence", "_brute", "_before",
+        F.size("_recent_failures").alias("_recent"),
+        F.size(
+            F.array_distinct(
+                F.filter(F.transform("_recent_failures", lambda e: e["peer"]), lambda p: p.isNotNull())
+            )
+        ).alias("_peers"),
     )
     text = lambda c: c.cast("string")
     user_key = F.col("key_type") == "user"

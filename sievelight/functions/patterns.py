@@ -34,11 +34,17 @@ def _i(regex: str) -> Pattern:
 
 @dataclass(frozen=True)
 class Line:
-    """A text column with two columns worked out from it once per row."""
+    """A text column with columns worked out from it once per row."""
 
     text: Column
     folded: Column
     ascii: Column
+    digits: Column | None = None  # false where there is no digit
+
+
+def has_digits(text: Column, ascii_only: Column) -> Column:
+    """May be true without one where the text is not all ASCII."""
+    return F.when(ascii_only, text.rlike("[0-9]")).otherwise(True)
 
 
 def fold(text: Column) -> Column:
@@ -191,7 +197,9 @@ NEEDS: dict[Pattern, tuple[str, ...]] = {
     EMAIL: ("@",),
     MRN: ("mrn", "medical", "patient", "diagnosis", "icd"),
     PRIVATE_KEY: ("private key-----",),
-    CLOUD_KEY: ("akia", "asia", "agpa", "aida", "aiza", "gh", "xox", "sk-", "eyj", "secret"),
+    CLOUD_KEY: (
+        "akia", "asia", "agpa", "aida", "aiza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "eyj", "secret",
+    ),
     PASSWORD: ("pass", "pwd"),
     SECRET_KEY_VALUE: ("key", "token", "secret", "credential", "bearer"),
     WEAK_TLS: ("sslv", "tlsv1"),
@@ -220,8 +228,13 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
+OF_DIGITS = (PAN, SSN, PHONE)
+
+
 def guarded(line: Line, pattern: Pattern, present: Column, absent: Column) -> Column:
-    """`present` where `pattern` may match, `absent` where a needed word is missing."""
+    """`present` where `pattern` may match, `absent` where a needed word or any digit is missing."""
+    if pattern in OF_DIGITS and line.digits is not None:
+        return F.when(line.digits, present).otherwise(absent)
     words = NEEDS.get(pattern)
     if not words:
         return present

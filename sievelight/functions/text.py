@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 from . import patterns as P
+from .built import once
 
 # Characters removed at the ends of a line: Unicode white space and the four
 # separators U+001C..U+001F.
@@ -162,6 +163,11 @@ def sanitize(text: Column) -> Column:
     return let(value, lambda v: P.replace(v, P.BASIC_AUTH, "$1[REDACTED]"))
 
 
+def sanitized(column: str) -> Column:
+    """`sanitize` of a named column, under the same name."""
+    return once(("sanitized", column), lambda: sanitize(F.col(column))).alias(column)
+
+
 def snippet(line: Column, start: Column, value: Column) -> Column:
     """The match with 30 characters on each side, every copy of the value masked; to be sanitized."""
     stop = start + F.char_length(value)

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import patterns as P, stamps, text as X
+from ..functions.built import once
 
 HIT = (
     "struct<kind:string,det:int,k:int,check_id:string,style:string,start:int,value:string,"
@@ -227,10 +227,13 @@ def signals(
     finding, email, phone, auth.
     """
     carried = [c for c in items.columns if c != "text"]
-    hits, found_columns = _expressions(tuple(families), tuple(rules), year)
+    families, rules = tuple(families), tuple(rules)
+    hits = once(("hits", families, rules), lambda: _hits(families, rules))
+    found_columns = once(("found", year), lambda: _found_columns(year))
     lines = (
         items.withColumn("text", F.left("text", F.lit(X.MAX_TEXT)))
         .withColumn("_ascii", P.is_ascii(F.col("text")))
+        .withColumn("_digits", P.has_digits(F.col("text"), F.col("_ascii")))
         .withColumn("_fold", P.fold(F.col("text")))
         .withColumn("_strip", X.strip(F.col("text")))
     )
@@ -240,20 +243,9 @@ def signals(
     return found.select(*carried, *found_columns)
 
 
-_BUILT: dict[tuple, tuple[Column, list[Column]]] = {}
-
-
-def _expressions(families: tuple[str, ...], rules: tuple, year: int) -> tuple[Column, list[Column]]:
-    """What `signals` evaluates; it depends on column names only, so it is built once per set of rules."""
-    key = (id(SparkContext._gateway), families, rules, year)
-    if key not in _BUILT:
-        _BUILT[key] = _hits(families, rules), _found_columns(year)
-    return _BUILT[key]
-
-
 def _hits(families: tuple[str, ...], rules: tuple) -> Column:
     ftype = F.col("ftype")
-    line = P.Line(F.col("text"), F.col("_fold"), F.col("_ascii"))
+    line = P.Line(F.col("text"), F.col("_fold"), F.col("_ascii"), F.col("_digits"))
     stripped = P.Line(F.col("_strip"), F.col("_fold"), F.col("_ascii"))
     parts = []
     if "content" in families:

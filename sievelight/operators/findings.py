@@ -32,6 +32,9 @@ SCAN_WIDE = "(scan-wide)"
 # into groups of this many items, so none grows with the file.
 CHUNK = 1 << 10
 
+# Broadcast the table of early files up to this limit; beyond it Spark decides.
+MAX_BROADCAST_ROWS = 100_000
+
 RAW_COLUMNS = ("check_id", "file", "location", "evidence", "detail", "count", "confidence_score", "ord")
 COLUMNS = ("check_id", "file", "location", "evidence", "detail", "count", "confidence_score", "sample_locations", "pos")
 
@@ -46,8 +49,7 @@ def order_key(phase: int, item_idx: Column, det: Column, k: Column) -> Column:
 def insert(raw: DataFrame) -> DataFrame:
     """The masking pass every finding gets when it is stored."""
     return raw.select(
-        "check_id", "file", X.sanitize(F.col("location")).alias("location"),
-        X.sanitize(F.col("evidence")).alias("evidence"), X.sanitize(F.col("detail")).alias("detail"),
+        "check_id", "file", X.sanitized("location"), X.sanitized("evidence"), X.sanitized("detail"),
         F.col("count").cast("bigint").alias("count"), "confidence_score", "ord",
     )
 
@@ -153,7 +155,7 @@ def limit_per_scan(findings: DataFrame, limit: int = MAX_FINDINGS_PER_SCAN) -> D
     can matter: their counts make a table of bounded size that is summed up in
     order and broadcast.  The findings themselves are never sorted as a whole.
     """
-    counts = findings.groupBy("file").agg(F.count(F.lit(1)).alias("_n"), F.max("pos").alias("_last"))
+    counts = findings.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.orderBy("file")
@@ -163,7 +165,7 @@ def limit_per_scan(findings: DataFrame, limit: int = MAX_FINDINGS_PER_SCAN) -> D
     )
     # `pos` has gaps only after a file's limit; close them so that ranks are dense.
     dense = Window.partitionBy("file").orderBy("pos")
-    early = findings.join(F.broadcast(offsets), "file", "left")
+    early = findings.join(F.broadcast(offsets) if limit <= MAX_BROADCAST_ROWS else offsets, "file", "left")
     ranked = early.withColumn(
         "_rank",
         F.when(F.col("_before").isNotNull(), F.col("_before") + F.row_number().over(dense)).otherwise(F.lit(limit + 1)),

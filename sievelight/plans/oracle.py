@@ -571,6 +571,19 @@ SQL["table_scan"] = f"""
 SELECT file, check_id, CAST(sum(n) AS BIGINT) AS occurrences
 FROM (SELECT file, 'DATA-PAN' AS check_id, 1 AS n FROM {cards(_CELLS)} UNION ALL {bulk(_CELLS)}) GROUP BY 1, 2"""
 
+SQL["numbered_lines"] = "SELECT count(*) AS lines, CAST(0 AS BIGINT) AS wrong FROM orders"
+_NOTE = """CASE WHEN o_orderkey % 7 = 0 THEN 'say "x", y' WHEN o_orderkey % 5 = 0 THEN 'two' || chr(10) || 'lines'
+ WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END"""
+SQL["csv_cells"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"column\", count(v) AS cells, count(DISTINCT v) AS texts, max(v) AS last FROM (SELECT CAST({v} AS VARCHAR) AS v FROM orders)"
+    for name, v in (("o_orderkey", "o_orderkey"), ("o_orderstatus", "o_orderstatus"), ("note", _NOTE))
+)
+_EVENT_LINES = f"(SELECT event_id, {feeds.LOG_LINE} AS text FROM events)"
+SQL["folder_scan"] = f"""
+WITH {CHECKS}, hits AS (SELECT check_id FROM {log_hits(_EVENT_LINES, 'event_id')}
+                        UNION ALL SELECT check_id FROM {config_hits(_EVENT_LINES, 'event_id')})
+SELECT check_id, severity, count(*) AS occurrences FROM hits JOIN checks USING (check_id) GROUP BY 1, 2"""
+
 # --- streams ------------------------------------------------------------------------------------------------------
 SQL["stream_line_rules"] = SQL["log_line_rules"]
 SQL["stream_login_correlation"] = " UNION ALL ".join(

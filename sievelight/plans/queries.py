@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import catalog as CAT
 from ..functions import patterns as P, stamps, text as X
 from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, report, rollup, sarif
-from ..sources import classify as C, settings as S, tables as T
+from ..session import stage
+from ..sources import classify as C, delimited, discovery, lines as L, settings as S, tables as T
 from ..streaming import auth as stream_auth, lines as stream_lines
 from . import feeds
 
@@ -199,7 +200,7 @@ def untimed_login_failures(spark, sf_dir):
 
 def _correlated(check_id: str) -> Query:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = auth.correlate(_logins(spark, sf_dir), block=BLOCK)
+        found = auth.correlate(stage(_logins(spark, sf_dir)), block=BLOCK)
         return found.filter(F.col("check_id") == check_id).select(
             "file", "location", "detail", long("count").alias("count"), "confidence_score"
         )
@@ -217,7 +218,7 @@ for _name, _check in (
 @query
 def log_aggregates(spark, sf_dir):
     """Everything a log gives away beyond single lines."""
-    logins = _logins(spark, sf_dir)
+    logins = stage(_logins(spark, sf_dir))
     both = auth.correlate(logins, block=BLOCK).unionByName(rollup.untimed_failures(logins))
     return both.groupBy("check_id").agg(long(F.count(F.lit(1))).alias("findings"), long(F.sum("count")).alias("events"))
 
@@ -573,6 +574,66 @@ def file_types(spark, sf_dir):
     return pages.select(path.alias("path"), C.classify(path).alias("type"), C.is_supported(path).alias("supported"))
 
 
+def _written(rows: DataFrame, kind: str, **options: str) -> str:
+    """Write derived data as files, in order of its first column, and give the folder."""
+    folder = f"{stream_lines.work_folder(rows.sparkSession)}/data"
+    key = rows.columns[0]
+    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
+    writer = (ordered.drop(key) if kind == "text" else ordered).write
+    for name, value in options.items():
+        writer = writer.option(name, value)
+    writer.format(kind).save(folder)
+    return folder
+
+
+@query
+def numbered_lines(spark, sf_dir):
+    """Line numbers of text files made of the orders, checked against the order they were written in."""
+    orders = feeds.table(spark, sf_dir, "orders")
+    folder = _written(orders.select("o_orderkey", F.concat(F.lit("order "), "o_orderkey").alias("value")), "text")
+    files = discovery.list_files(spark, [folder])
+    lines = L.read_lines(spark, discovery.names(files, "text"), "text")
+    numbered = L.number(lines, L.block_table(lines)).withColumn("k", F.split("text", " ")[1].cast("bigint"))
+    first = numbered.groupBy("file").agg(F.min("k").alias("k0"), F.max("item_idx").alias("n"))
+    # Keys are dense, so a line's key tells its place in the file.
+    return numbered.join(first, "file").agg(
+        long(F.count(F.lit(1))).alias("lines"), long(F.count_if(F.col("item_idx") != F.col("k") - F.col("k0") + 1)).alias("wrong")
+    )
+
+
+@query
+def csv_cells(spark, sf_dir):
+    """Cells of CSV files made of the orders, by column name."""
+    orders = feeds.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus",
+        F.when(F.col("o_orderkey") % 7 == 0, 'say "x", y').when(F.col("o_orderkey") % 5 == 0, "two\nlines").when(
+            F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")
+        ).alias("note"),
+    )
+    folder = _written(orders, "csv", header="true", escape='"', emptyValue="")
+    files = discovery.list_files(spark, [folder])
+    found = None
+    for source in delimited.read_csv_items(spark, files.filter("type = 'csv'")):
+        cells = delimited.place_cells(source.items, source)
+        name = F.regexp_extract("location", r"^row \d+, (.*)$", 1)
+        part = cells.select(name.alias("column"), "text")
+        found = part if found is None else found.unionByName(part)
+    return found.filter(~F.col("column").startswith("col ")).groupBy("column").agg(
+        long(F.count(F.lit(1))).alias("cells"), long(F.countDistinct("text")).alias("texts"), F.max("text").alias("last")
+    )
+
+
+@query
+def folder_scan(spark, sf_dir):
+    """Full scan of text files made of the events."""
+    from .scan import Options, scan
+
+    lines = feeds.log_items(feeds.table(spark, sf_dir, "events"))
+    folder = _written(lines.select("event_id", F.col("text").alias("value")), "text")
+    result = scan(spark, [folder], Options(now=NOW, year=YEAR))
+    return result.findings.groupBy("check_id", "severity").agg(long(F.sum("count")).alias("occurrences"))
+
+
 # --- whole scans ---------------------------------------------------------------------------------
 
 

@@ -31,6 +31,8 @@ SCAN_WIDE = "(scan-wide)"
 # Items per merge group.  A group of one file and one piece of evidence is cut
 # into groups of this many items, so none grows with the file.
 CHUNK = 1 << 10
+# Items per run when findings are ranked within a file.
+RANK_RUN = 1 << 16
 
 # Broadcast the table of early files up to this limit; beyond it Spark decides.
 MAX_BROADCAST_ROWS = 100_000
@@ -106,7 +108,7 @@ def rank_in_file(merged: DataFrame) -> DataFrame:
     twice: stage it first when it is costly.
     """
     chunked = merged.withColumn("_phase", F.col("ord.phase")).withColumn(
-        "_chunk", F.floor(F.col("ord.item_idx") / CHUNK)
+        "_chunk", F.floor(F.col("ord.item_idx") / RANK_RUN)
     )
     before = Window.partitionBy("file").orderBy("_phase", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

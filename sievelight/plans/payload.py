@@ -18,27 +18,37 @@ from .scan import (
 )
 
 
+RUN = 1 << 16
+
+
 def name_uploads(uploads: DataFrame) -> DataFrame:
     """(file, bytes): safe base names; a name that repeats gets `_1`, `_2`, … before its extension.
 
-    `uploads` has name, data and, for the order of equal names, ord.  The rank of
-    a name is only needed within equal names.
+    `uploads` has name, data and `ord`, the order of the uploads.  A name may be
+    that of most uploads, so equal names are counted per run of `ord` first and
+    ranked within a run.
     """
     base = F.regexp_replace("name", r"^.*/", "")
     safe = F.regexp_replace(base, r"(?U)[^\w.\- ()\[\]]", "_")
-    order = F.col("ord") if "ord" in uploads.columns else F.md5("data")
     named = uploads.select(
-        F.when(F.coalesce(safe, F.lit("")) == "", "upload").otherwise(safe).alias("name"),
-        F.unbase64(F.coalesce("data", F.lit(""))).alias("bytes"), order.alias("_o"),
+        F.when(F.coalesce(safe, F.lit("")) == "", "upload").otherwise(safe).alias("name"), "data", "ord",
+        F.floor(F.col("ord") / RUN).alias("_run"),
+    )
+    ahead = Window.partitionBy("name").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        named.groupBy("name", "_run")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .select("name", "_run", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
     )
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("_o")) - 1
+    inside = Window.partitionBy("name", "_run").orderBy("ord")
     ext = extension(F.col("name"))
     stem = F.left("name", F.char_length("name") - F.char_length(ext))
-    return named.withColumn("_n", nth).select(
-        F.when(F.col("_n") == 0, F.col("name")).otherwise(
-            F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext)
-        ).alias("file"),
-        "bytes",
+    numbered = named.join(offsets, ["name", "_run"]).withColumn("_n", F.col("_before") + F.row_number().over(inside) - 1)
+    return numbered.select(
+        F.when(F.col("_n") == 0, F.col("name"))
+        .otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))
+        .alias("file"),
+        F.unbase64(F.coalesce("data", F.lit(""))).alias("bytes"),
     )
 
 

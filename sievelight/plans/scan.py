@@ -112,15 +112,23 @@ def finish(found: DataFrame, files: DataFrame, options: Options, catalog: CAT.Ca
 
 
 def file_status(files: DataFrame, item_limit: int | None) -> DataFrame:
-    """Adds truncated, status and error from `items`, the number of items a file holds."""
+    """Adds truncated, status and error from `items`, the number of items a file holds.
+
+    `error`, when present, tells files that could not be read to the end.
+    """
     cut = F.lit(False) if item_limit is None else F.col("items") > item_limit
     shown = F.col("items") if item_limit is None else F.least("items", F.lit(item_limit))
     unread = F.col("type").isin(*NOT_READ)
+    broken = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    status = (
+        F.when(unread | (broken.isNotNull() & (F.col("items") == 0)), "unable_to_evaluate")
+        .when(broken.isNotNull() | cut, "partially_scanned")
+        .otherwise("fully_scanned")
+    )
     return files.select(
         "file", "type", F.when(unread, F.lit(0)).otherwise(shown).cast("bigint").alias("lines"),
-        F.when(unread, MISSING_READER).alias("error"), (cut & ~unread).alias("truncated"),
-        F.when(unread, "unable_to_evaluate").when(cut, "partially_scanned").otherwise("fully_scanned").alias("status"),
-        "config_parser",
+        F.when(unread, MISSING_READER).otherwise(broken).alias("error"), (cut & ~unread).alias("truncated"),
+        status.alias("status"), "config_parser",
     )
 
 
@@ -153,7 +161,7 @@ def _text_part(spark, files, options):
                 lines, year=options.stamp_year, families=families_of(ftype), rules=options.rules
             )
             counts = blocks.groupBy("path").agg(F.sum("n_lines").alias("items")).select(
-                L.plain_path(F.col("path")).alias("file"), "items"
+                L.plain_path(F.col("path")).alias("file"), "items", F.lit(None).cast("string").alias("error")
             )
             parts.append((_within(L.number(found, blocks), options.item_limit), counts))
     return parts
@@ -168,74 +176,45 @@ def families_of(ftype: str) -> tuple[str, ...]:
 def _hidden_part(files, options):
     items = hidden.read_hidden_lines(files.filter("hidden AND length > 0").select("uri", "file", F.col("type").alias("ftype")))
     signals = detect.signals(items, year=options.stamp_year, rules=options.rules)
-    return [(_within(signals, options.item_limit), items.groupBy("file").agg(F.count(F.lit(1)).alias("items")))]
+    counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
+    return [(_within(signals, options.item_limit), counts.withColumn("error", F.lit(None).cast("string")))]
 
 
 def _csv_part(spark, files, options):
     parts = []
+    limit = options.item_limit
     for source in delimited.read_csv_items(spark, files.filter((F.col("type") == "csv") & ~F.col("hidden"))):
-        items = source.items
-        if options.item_limit is not None:
-            items = limit_cells(items, ["record"] if source.blocks is None else ["block", "row"], options.item_limit)
-        found = delimited.place_cells(
-            detect.signals(items, year=options.stamp_year, families=families_of("csv")), source
-        )
-        counts = items.groupBy("path").agg(F.count(F.lit(1)).alias("items")).select(
-            L.plain_path(F.col("path")).alias("file"), "items"
+        found = detect.signals(source.items, year=options.stamp_year, families=families_of("csv"))
+        if limit is not None and source.most_cells > limit:
+            edges = tables.cell_edges(source.rows, "path", source.place, limit)
+            found = tables.within_edges(found, edges, "path", source.place)
+        counts = source.rows.groupBy("path").agg(F.sum("n").alias("items"))
+        if source.cut is not None:
+            counts = counts.join(source.cut, "path", "full_outer")
+        else:
+            counts = counts.withColumn("first_long", F.lit(None).cast("bigint"))
+        counts = counts.select(
+            L.plain_path(F.col("path")).alias("file"), F.coalesce("items", F.lit(0)).alias("items"),
+            F.when(F.col("first_long").isNotNull(), "Error").alias("error"),
         )
-        parts.append((found, counts))
+        parts.append((delimited.place_cells(found, source), counts))
     return parts
 
 
-def limit_cells(items: DataFrame, place: Sequence[str], limit: int) -> DataFrame:
-    """First `limit` cells of each file.
-
-    Cells per row are summed up by runs of rows, which finds the row where a
-    file reaches the limit without sorting its cells.  Files below the limit
-    need no more than that count.
-    """
-    from pyspark.sql import Window
-
-    per_row = items.groupBy("path", *place).agg(F.count(F.lit(1)).alias("_n"))
-    run = [F.col(c) for c in place[:-1]] + [F.floor(F.col(place[-1]) / tables.ROW_RUN).alias("_run")]
-    names = [*place[:-1], "_run"]
-    ahead = Window.partitionBy("path").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    runs = (
-        per_row.groupBy("path", *run)
-        .agg(F.sum("_n").alias("_m"))
-        .withColumn("_before", F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
-        .filter((F.col("_before") <= limit) & (F.col("_before") + F.col("_m") > limit))
-        .select("path", *names, "_before")
-    )
-    inside = Window.partitionBy("path", *names).orderBy(place[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        per_row.withColumn("_run", F.floor(F.col(place[-1]) / tables.ROW_RUN))
-        .join(runs, ["path", *names])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .filter((F.col("_start") <= limit) & (F.col("_start") + F.col("_n") > limit))
-        .select("path", F.struct(*place).alias("_edge"), (F.lit(limit) - F.col("_start")).alias("_left"))
-    )
-    here = F.struct(*place)
-    return (
-        items.join(edge, "path", "left")
-        .filter(
-            F.col("_edge").isNull() | (here < F.col("_edge"))
-            | ((here == F.col("_edge")) & (F.col("nth") <= F.col("_left")))
-        )
-        .drop("_edge", "_left")
-    )
-
-
 def _parquet_part(spark, files, options):
     uris = discovery.names(files, "parquet")
     if not uris:
         return []
-    items = tables.read_parquet_items(spark, [L.escape_globs(u) for u in uris])
-    counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
-    if options.item_limit is not None:
-        items = _within(tables.renumber(items), options.item_limit)
+    table, names = tables.read_parquet(spark, [L.escape_globs(u) for u in uris])
+    items = tables.table_items(table, F.col("__file"), F.col("__row"), names, place=True)
     found = detect.signals(items, year=options.stamp_year, families=families_of("parquet"))
-    return [(found, counts)]
+    rows = table.select(
+        F.col("__file").alias("file"), F.col("__row").alias("row"), F.size(tables.filled_cells(table, names)).alias("n")
+    )
+    counts = stage(rows.groupBy("file").agg(F.sum("n").alias("items")))
+    if options.item_limit is not None and not counts.filter(F.col("items") > options.item_limit).isEmpty():
+        found = tables.within_edges(found, tables.cell_edges(rows, "file", ["row"], options.item_limit), "file", ["row"])
+    return [(found, counts.withColumn("error", F.lit(None).cast("string")))]
 
 
 def documents(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -301,12 +280,14 @@ def scan(spark: SparkSession, inputs: Sequence[str], options: Options = Options(
     parsed = stage(parsed.distinct())
     signals = reduce(DataFrame.unionByName, [p.select(*SIGNAL_COLUMNS) for p, _ in parts])
     signals = stage(drop_parsed_lines(signals, parsed))
-    counts = reduce(DataFrame.unionByName, [c for _, c in parts]).groupBy("file").agg(F.sum("items").alias("items"))
+    counts = reduce(DataFrame.unionByName, [c for _, c in parts]).groupBy("file").agg(
+        F.sum("items").alias("items"), F.max("error").alias("error")
+    )
     table = (
         files.join(counts, "file", "left")
         .join(parsed.withColumn("_parsed", F.lit(True)), "file", "left")
         .select(
-            "file", "type", F.coalesce("items", F.lit(0)).alias("items"),
+            "file", "type", F.coalesce("items", F.lit(0)).alias("items"), "error",
             F.when(F.col("type") == "config", F.when(F.col("_parsed"), "structured").otherwise("line_fallback")).alias(
                 "config_parser"
             ),

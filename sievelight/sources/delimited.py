@@ -21,6 +21,9 @@ from .lines import block_table, escape_globs, number, plain_path
 # --- Fixed values -----------------------------------------------------------------
 DELIMITERS = ",;\t|"
 SAMPLE_CHARS = 4096
+# A record longer than this comes from a quote that is never closed; reading of
+# the file ends before it.
+MAX_RECORD = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -63,20 +66,23 @@ def sniff(files: DataFrame) -> DataFrame:
     )
 
 
-def _csv_lines(spark: SparkSession, uris: Sequence[str], quote: str) -> DataFrame:
-    value = F.make_valid_utf8("value")
+def _csv_lines(spark: SparkSession, uris: Sequence[str], dialect: Dialect) -> DataFrame:
+    def count(char: str) -> Column:
+        return F.char_length("text") - F.char_length(F.translate("text", char, ""))
+
     return (
         spark.read.text([escape_globs(u) for u in uris])
         .select(
             F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"), value.alias("text"),
+            F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("text"),
         )
-        .withColumn("_quotes", F.char_length("text") - F.char_length(F.translate("text", quote, "")))
+        .withColumn("_quotes", count(dialect.quote))
+        .withColumn("_width", count(dialect.delimiter) + 1)
     )
 
 
 def join_records(lines: DataFrame) -> DataFrame:
-    """Records of files whose quoted cells may hold line breaks: (path, record, text).
+    """Lines of files whose quoted cells may hold line breaks, with the number of their `record`.
 
     `lines` has path, block, row, text and the number of quotes.  A line starts a
     record when the quotes before it are even in number.  Parities and record
@@ -103,9 +109,23 @@ def join_records(lines: DataFrame) -> DataFrame:
     numbered = starts.join(counts, ["path", "block"]).withColumn(
         "record", F.col("_records_before") + F.sum("_start").over(in_block)
     )
-    # One group is one record.
+    return numbered.select("path", "record", "block", "row", "text")
+
+
+def long_records(numbered: DataFrame) -> DataFrame:
+    """(path, first_long): the first record of a file that is too long to be one."""
+    sizes = numbered.groupBy("path", "record").agg(F.sum(F.char_length("text") + 1).alias("_size"))
+    return sizes.filter(F.col("_size") > MAX_RECORD).groupBy("path").agg(F.min("record").alias("first_long"))
+
+
+def record_texts(numbered: DataFrame, too_long: DataFrame) -> DataFrame:
+    """(path, record, text): lines put together, up to the first record that is too long."""
+    kept = numbered.join(too_long, "path", "left").filter(
+        F.col("first_long").isNull() | (F.col("record") < F.col("first_long"))
+    )
+    # One group is one record of limited length.
     part = F.struct("block", "row", "text")
-    return numbered.groupBy("path", "record").agg(
+    return kept.groupBy("path", "record").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n").alias("text")
     )
 
@@ -136,58 +156,93 @@ class CsvItems:
     """Cells of one dialect and what is needed to place what was found in them.
 
     `items` has path, ftype, text, `cell` (position among all cells of the
-    record), `nth` (position among its non-empty cells), and either `record`, or
-    `block` and `row`.
+    record), `nth` (position among its non-empty cells), and `place`: either
+    `record`, or `block` and `row`.
     """
 
     items: DataFrame
+    rows: DataFrame  # path, place, n: filled cells per record
     headers: DataFrame  # path, cell, name
+    place: tuple[str, ...]
     blocks: DataFrame | None
     width: int
+    cut: DataFrame | None  # path, first_long: files not read to the end
+    most_cells: int  # no file has more
 
 
 def read_csv_items(spark: SparkSession, files: DataFrame) -> list[CsvItems]:
     """Cells of CSV files (uri, file), one entry per dialect and kind of record.
 
-    File names by dialect pass through the driver, as they do when Spark lists
-    files; no content does.
+    One counting pass tells lines per block, quotes and delimiters.  File names
+    by dialect pass through the driver, as they do when Spark lists files; no
+    content does.
     """
     groups: dict[Dialect, list[str]] = {}
     for uri, _, *rest in sniff(files).toLocalIterator():
         groups.setdefault(Dialect(*rest), []).append(uri)
     found = []
     for dialect, uris in groups.items():
-        lines = _csv_lines(spark, uris, dialect.quote)
-        odd = (
-            lines.groupBy("path").agg(F.count_if(F.col("_quotes") % 2 == 1).alias("odd")).filter("odd > 0")
-            .select(plain_path(F.col("path")).alias("file"))
-        )
-        broken = {row.file for row in odd.toLocalIterator()}
-        for joined in (False, True):
-            chosen = [u for u in uris if (_plain(u) in broken) == joined]
-            if chosen:
-                found.append(_csv_items(_csv_lines(spark, chosen, dialect.quote), dialect, joined))
+        lines = _csv_lines(spark, uris, dialect)
+        blocks, counts = _profile(lines)
+        broken = {path for path, (odd, _, _) in counts.items() if odd}
+        plain = [u for u in uris if _plain(u) not in broken]
+        if plain:
+            if broken:  # other files, other blocks
+                lines = _csv_lines(spark, plain, dialect)
+                blocks, counts = _profile(lines)
+            found.append(_line_records(lines, blocks, counts, dialect))
+        if broken:
+            rest = [u for u in uris if _plain(u) in broken]
+            found.append(_joined_records(_csv_lines(spark, rest, dialect), dialect))
     return found
 
 
-def _csv_items(lines: DataFrame, dialect: Dialect, joined: bool) -> CsvItems:
-    if joined:
-        records, blocks, place = join_records(lines), None, ["record"]
-        head = records.filter(F.col("record") == 1)
-    else:
-        records, blocks, place = lines.drop("_quotes"), stage(block_table(lines)), ["block", "row"]
-        first = blocks.filter(F.col("block") == 0).select("path", "block", F.col("first_row").alias("row"))
-        head = records.join(first, ["path", "block", "row"], "left_semi")
+def _profile(lines: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int, int]]]:
+    """Block table, and per file: lines with an odd number of quotes, widest line, cells at most."""
+    blocks = stage(
+        block_table(
+            lines, F.count_if(F.col("_quotes") % 2 == 1).alias("odd"), F.max("_width").alias("width"),
+            F.sum("_width").alias("cells"),
+        )
+    )
+    per_file = blocks.groupBy(plain_path(F.col("path")).alias("file")).agg(
+        F.sum("odd").alias("odd"), F.max("width").alias("width"), F.sum("cells").alias("cells")
+    )
+    return blocks, {r.file: (r.odd, r.width, r.cells) for r in per_file.toLocalIterator()}
+
+
+def _line_records(lines, blocks, counts, dialect: Dialect) -> CsvItems:
+    first = blocks.filter(F.col("block") == 0).select("path", "block", F.col("first_row").alias("row"))
+    records = lines.drop("_quotes", "_width")
+    head = records.join(first, ["path", "block", "row"], "left_semi")
+    widest = max((w for _, w, _ in counts.values()), default=1)
+    most = max((c for *_, c in counts.values()), default=0)
+    return _csv_items(records, head, dialect, ("block", "row"), blocks, widest, None, most)
+
+
+def _joined_records(lines, dialect: Dialect) -> CsvItems:
+    numbered = join_records(lines)
+    too_long = stage(long_records(numbered))
+    records = record_texts(numbered, too_long)
+    sizes = records.groupBy("path").agg(
+        F.max(F.size(cells(F.col("text"), dialect))).alias("w"), F.sum(F.size(cells(F.col("text"), dialect))).alias("c")
+    ).agg(F.max("w").alias("w"), F.max("c").alias("c")).first()
+    head = records.filter(F.col("record") == 1)
+    return _csv_items(records, head, dialect, ("record",), None, sizes.w or 1, too_long, sizes.c or 0)
+
+
+def _csv_items(records, head, dialect: Dialect, place, blocks, width: int, cut, most: int) -> CsvItems:
     split = cells(F.col("text"), dialect)
-    width = records.agg(F.max(F.size(split)).alias("w")).first().w or 1
-    headers = head.select("path", F.posexplode(split).alias("cell", "name"))
     filled = F.filter(
         F.transform(split, lambda v, i: F.struct(i.alias("cell"), v.alias("text"))), lambda c: c["text"] != ""
     )
     items = records.select("path", *place, F.posexplode(filled).alias("_nth", "_c")).select(
         "path", F.lit("csv").alias("ftype"), *place, (F.col("_nth") + 1).alias("nth"), "_c.cell", "_c.text"
     )
-    return CsvItems(items, headers, blocks, width)
+    return CsvItems(
+        items, records.select("path", *place, F.size(filled).alias("n")),
+        head.select("path", F.posexplode(split).alias("cell", "name")), tuple(place), blocks, width, cut, most,
+    )
 
 
 def _plain(uri: str) -> str:

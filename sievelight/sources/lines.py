@@ -43,15 +43,16 @@ def read_lines(spark: SparkSession, uris: Sequence[str], ftype: str) -> DataFram
     )
 
 
-def block_table(lines: DataFrame) -> DataFrame:
+def block_table(lines: DataFrame, *more: Column) -> DataFrame:
     """(path, block, first_row, n_lines, lines_before): one row per block of a file.
 
     A pass over the lines that only counts; each task sends one row per block.
+    `more` are further aggregates to take along.
     """
     ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return (
         lines.groupBy("path", "block")
-        .agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_lines"))
+        .agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_lines"), *more)
         .withColumn("lines_before", F.coalesce(F.sum("n_lines").over(ahead), F.lit(0)))
     )
 
@@ -68,8 +69,9 @@ def number(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     checked = F.when(fits, F.col("lines_before") + inside + 1).otherwise(
         F.raise_error(F.lit("files changed, or were split differently, between two reads")).cast("bigint")
     )
+    slim = blocks.select("path", "block", "first_row", "n_lines", "lines_before")
     return (
-        rows.join(blocks, ["path", "block"], "left")
+        rows.join(slim, ["path", "block"], "left")
         .withColumn("file", plain_path(F.col("path")))
         .withColumn("item_idx", checked)
         .withColumn("location", F.concat(F.lit("line "), F.col("item_idx").cast("string")))

@@ -23,44 +23,100 @@ def cell_text(field: T.StructField) -> Column:
     return column.cast("string")
 
 
+def filled_cells(table: DataFrame, columns: Sequence[str]) -> Column:
+    """The cells of a row that hold something: array of (pos, name, text)."""
+    fields = [table.schema[c] for c in columns]
+    cells = F.array(
+        *[
+            F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("name"), cell_text(f).alias("text"))
+            for i, f in enumerate(fields)
+        ]
+    )
+    return F.filter(cells, lambda c: c["text"] != "")
+
+
 def table_items(
-    table: DataFrame, file: Column | str, row: Column, columns: Sequence[str] | None = None, ftype: str = "parquet"
+    table: DataFrame, file: Column | str, row: Column, columns: Sequence[str] | None = None, ftype: str = "parquet",
+    place: bool = False,
 ) -> DataFrame:
     """Cells of `table` as items: (file, ftype, item_idx, location, text).
 
     `row` is the 1-based row number.  Name the columns to scan to read only
-    those.  One pass without a shuffle.
+    those.  One pass without a shuffle.  With `place`, `row` and `nth` (position
+    among the filled cells of the row) are kept.
     """
-    fields = [f for f in table.schema.fields if columns is None or f.name in columns]
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("_pos"), F.lit(f.name).alias("_name"), cell_text(f).alias("text"))
-            for i, f in enumerate(fields)
-        ]
-    )
+    names = list(columns or table.columns)
     path = file if isinstance(file, Column) else F.lit(file)
-    return (
-        table.select(path.alias("file"), row.cast("bigint").alias("_row"), F.inline(cells))
-        .filter(F.col("text") != "")
-        .select(
-            "file", F.lit(ftype).alias("ftype"),
-            ((F.col("_row") - 1) * len(fields) + F.col("_pos") + 1).alias("item_idx"),
-            F.concat(F.lit("row "), F.col("_row").cast("string"), F.lit(", "), "_name").alias("location"), "text",
-        )
+    extra = ["row", (F.col("_nth") + 1).alias("nth")] if place else []
+    return table.select(
+        path.alias("file"), row.cast("bigint").alias("row"), F.posexplode(filled_cells(table, names)).alias("_nth", "_c")
+    ).select(
+        "file", F.lit(ftype).alias("ftype"),
+        ((F.col("row") - 1) * len(names) + F.col("_c.pos") + 1).alias("item_idx"),
+        F.concat(F.lit("row "), F.col("row").cast("string"), F.lit(", "), "_c.name").alias("location"),
+        F.col("_c.text").alias("text"), *extra,
     )
 
 
-def read_parquet_items(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Cells of Parquet files; the row number is the one in the file."""
+def read_parquet(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Parquet files with `__file` and `__row`, the row number in the file, and the names of their columns."""
     from .lines import plain_path
 
     table = spark.read.option("mergeSchema", True).parquet(*paths)
-    names = columns or table.columns
-    with_meta = table.select(
+    names = list(columns or table.columns)
+    numbered = table.select(
         *[F.col(f"`{c}`") for c in names], plain_path(F.col("_metadata.file_path")).alias("__file"),
         (F.col("_metadata.row_index") + 1).alias("__row"),
     )
-    return table_items(spread(with_meta), F.col("__file"), F.col("__row"), names)
+    return spread(numbered), names
+
+
+def read_parquet_items(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Cells of Parquet files; the row number is the one in the file."""
+    table, names = read_parquet(spark, paths, columns)
+    return table_items(table, F.col("__file"), F.col("__row"), names)
+
+
+def cell_edges(rows: DataFrame, key: str, place: Sequence[str], limit: int) -> DataFrame:
+    """Where each file reaches `limit` cells: (key, edge, left).
+
+    `rows` has key, place and `n`, the filled cells of each row.  Cells are summed
+    up by runs of rows, which leads to the one run, and in it to the row, where
+    the limit falls; files below the limit have no edge.
+    """
+    run = [F.col(c) for c in place[:-1]] + [F.floor(F.col(place[-1]) / ROW_RUN).alias("_run")]
+    names = [*place[:-1], "_run"]
+    ahead = Window.partitionBy(key).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        rows.groupBy(key, *run)
+        .agg(F.sum("n").alias("_m"))
+        .withColumn("_before", F.coalesce(F.sum("_m").over(ahead), F.lit(0)))
+        .filter((F.col("_before") <= limit) & (F.col("_before") + F.col("_m") > limit))
+        .select(key, *names, "_before")
+    )
+    inside = Window.partitionBy(key, *names).orderBy(place[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.withColumn("_run", F.floor(F.col(place[-1]) / ROW_RUN))
+        .join(runs, [key, *names])
+        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .filter((F.col("_start") <= limit) & (F.col("_start") + F.col("n") > limit))
+        .select(key, F.struct(*place).alias("edge"), (F.lit(limit) - F.col("_start")).alias("left"))
+    )
+
+
+def within_edges(found: DataFrame, edges: DataFrame, key: str, place: Sequence[str]) -> DataFrame:
+    """What was found in cells before the edge of their file.
+
+    Applied to what was found, so the cells themselves are never shuffled.
+    """
+    here = F.struct(*place)
+    return (
+        found.join(edges, key, "left")
+        .filter(
+            F.col("edge").isNull() | (here < F.col("edge")) | ((here == F.col("edge")) & (F.col("nth") <= F.col("left")))
+        )
+        .drop("edge", "left")
+    )
 
 
 def renumber(items: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import model
 from sievelight import catalog as CAT
 from sievelight.operators import enrich, findings as FN, rollup
-from sievelight.plans.scan import limit_cells
+from sievelight.sources import tables
 
 RAW = "check_id string, file string, location string, evidence string, detail string, count bigint, confidence_score double, item_idx bigint, k int"
 
@@ -39,6 +39,7 @@ def random_rows(seed, n, files=3):
 @pytest.fixture
 def small_chunks(monkeypatch):
     monkeypatch.setattr(FN, "CHUNK", 16)
+    monkeypatch.setattr(FN, "RANK_RUN", 64)
 
 
 @pytest.mark.parametrize("item_limit", [500_000, None, 100])
@@ -160,7 +161,11 @@ def test_cell_limit(spark):
     rows += [("small", 0, 0, 1, "s")]
     want["small"] = {"s"}
     df = spark.createDataFrame(rows, "path string, block bigint, row bigint, nth int, text string").repartition(4)
+    place = ["block", "row"]
+    counts = df.groupBy("path", *place).agg(F.count(F.lit(1)).alias("n"))
+    edges = tables.cell_edges(counts, "path", place, 137)
+    assert {r.path for r in edges.collect()} == {"a", "b"}
     got: dict[str, set] = {}
-    for r in limit_cells(df, ["block", "row"], 137).collect():
+    for r in tables.within_edges(df, edges, "path", place).collect():
         got.setdefault(r.path, set()).add(r.text)
     assert got == want

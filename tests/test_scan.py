@@ -222,14 +222,39 @@ def test_records_over_many_blocks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
     try:
-        records = delimited.join_records(delimited._csv_lines(spark, ["file://" + path], '"'))
-        rows = records.orderBy("record").collect()
+        numbered = delimited.join_records(delimited._csv_lines(spark, ["file://" + path], delimited.Dialect(",", '"', False)))
+        rows = delimited.record_texts(numbered, delimited.long_records(numbered)).orderBy("record").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [r.record for r in rows] == list(range(1, 3002))
     assert all(r.text == f'{i},"first {i}\nsecond, {i}"' for i, r in enumerate(rows[1:]))
 
 
+def test_an_open_quote_ends_the_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "MAX_RECORD", 2000)
+    put(tmp_path, "q.csv", 'k,v\n1,4111 1111 1111 1111\n2,"open\n' + "filler, line\n" * 500 + "9,378282246310005\n")
+    result = SC.scan(spark, [str(tmp_path)], SC.Options(now=NOW))
+    meta = result.files.first()
+    assert (meta.status, meta.error, meta.lines) == ("partially_scanned", "Error", 4)
+    assert [r.location for r in result.findings.collect()] == ["row 2, v"]
+
+
+def test_cell_limit_in_a_scan(spark, tmp_path):
+    body = "".join(f"{i},4111 1111 1111 1111 x{i}\n" for i in range(1, 50))
+    put(tmp_path, "c.csv", "k,v\n" + body)
+    table = spark.createDataFrame([(i, None if i % 2 else f"4111 1111 1111 1111 x{i}") for i in range(1, 51)], "k int, v string")
+    table.orderBy("k").coalesce(1).write.parquet(str(tmp_path / "t"))
+    result = SC.scan(spark, [str(tmp_path)], SC.Options(now=NOW, item_limit=13))
+    found: dict[str, list] = {}
+    for r in result.findings.collect():
+        found.setdefault(r.file.rsplit(".", 1)[1], []).append(int(r.location.split()[1].strip(",")))
+    # CSV: 13 cells are the header, rows 2 to 6 and the first cell of row 7.
+    assert sorted(found["csv"]) == [2, 3, 4, 5, 6]
+    # Parquet: rows hold 1, 2, 1, 2, ... cells; the 13th is the only one of row 9.
+    assert sorted(found["parquet"]) == [2, 4, 6, 8]
+    assert {(r.lines, r.truncated, r.status) for r in result.files.collect()} == {(13, True, "partially_scanned")}
+
+
 NAMES = {
     "a/x.LOG": "log", "x.conf": "config", "b.json.gz": "config", "c.csv.gz": "csv", ".env": "config", "Dockerfile": "config",
     "sshd_config": "config", "blog.txt": "log", "changelog.md": "log", "notes.md": "text", "q.xlsm": "xlsx", "q.xls": "xls",
@@ -289,7 +314,8 @@ def test_cells_of_a_table(spark):
 def test_uploaded_documents_like_the_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     uploads = docs.select(
-        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.base64(F.encode("text", "UTF-8")).alias("data")
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
+        F.base64(F.encode("text", "UTF-8")).alias("data"), F.col("doc_id").alias("ord"),
     )
     got = sorted(
         (r.file, r.check_id, r.evidence) for r in scan_uploads(uploads, SC.Options(now=NOW)).findings.collect()

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .enrich import relative_path
+from .findings import position
 
 ENTRY = (
     "fingerprint string, `check` string, file string, evidence string, reason string, approved_by string, "
@@ -88,7 +89,7 @@ def baseline_entries(findings: DataFrame, now: datetime, root: str | None = None
     stamp = now.astimezone(timezone.utc).isoformat()
     return (
         findings.groupBy("fingerprint")
-        .agg(F.min(F.struct("file", "pos", "check_id", "evidence")).alias("f"))
+        .agg(F.min(F.struct(position().alias("at"), "check_id", "file", "evidence")).alias("f"))
         .select(
             "fingerprint", F.col("f.check_id").alias("check"), relative_path(F.col("f.file"), root).alias("file"),
             F.col("f.evidence").alias("evidence"), F.lit("").alias("reason"), F.lit("").alias("approved_by"),

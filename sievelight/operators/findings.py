@@ -37,8 +37,6 @@ RANK_RUN = 1 << 16
 # Broadcast the table of early files up to this limit; beyond it Spark decides.
 MAX_BROADCAST_ROWS = 100_000
 
-RAW_COLUMNS = ("check_id", "file", "location", "evidence", "detail", "count", "confidence_score", "ord")
-COLUMNS = ("check_id", "file", "location", "evidence", "detail", "count", "confidence_score", "sample_locations", "pos")
 
 
 def order_key(phase: int, item_idx: Column, det: Column, k: Column) -> Column:
@@ -48,6 +46,11 @@ def order_key(phase: int, item_idx: Column, det: Column, k: Column) -> Column:
     )
 
 
+def position() -> Column:
+    """Order of findings in a result: by file and place; scan-wide rows come last."""
+    return F.struct((F.col("file") == SCAN_WIDE).alias("late"), F.col("file"), F.col("pos"))
+
+
 def insert(raw: DataFrame) -> DataFrame:
     """The masking pass every finding gets when it is stored."""
     return raw.select(
@@ -153,39 +156,51 @@ def limit_per_file(merged: DataFrame, limit: int = MAX_FINDINGS_PER_FILE) -> Dat
 def limit_per_scan(findings: DataFrame, limit: int = MAX_FINDINGS_PER_SCAN) -> DataFrame:
     """First `limit` findings in file order; the rest counted per check in a scan-wide row.
 
-    Each file with findings has at least one, so only the first `limit` files
-    can matter: their counts make a table of bounded size that is summed up in
-    order and broadcast.  The findings themselves are never sorted as a whole.
+    `findings` come from `limit_per_file`.  Each file with findings has at least
+    one, so only the first `limit` files can matter: their counts make a table of
+    bounded size that is summed up in order.  The findings themselves are neither
+    sorted nor ranked: `pos` is their rank in the file, but for the few rows of a
+    file that stand for what its own limit left out, whose places are listed.
     """
-    counts = findings.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+    is_rest = F.col("location") == FILE_LIMIT_TEXT[0]
+    counts = findings.groupBy("file").agg(
+        F.count(F.lit(1)).alias("_n"),
+        # At most one such row per check.
+        F.array_sort(F.collect_list(F.when(is_rest, F.col("pos")))).alias("_late"),
+    )
     running = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.orderBy("file")
         .limit(limit)
-        .select("file", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
         .filter(F.col("_before") < limit)
     )
-    # `pos` has gaps only after a file's limit; close them so that ranks are dense.
-    dense = Window.partitionBy("file").orderBy("pos")
     early = findings.join(F.broadcast(offsets) if limit <= MAX_BROADCAST_ROWS else offsets, "file", "left")
-    ranked = early.withColumn(
-        "_rank",
-        F.when(F.col("_before").isNotNull(), F.col("_before") + F.row_number().over(dense)).otherwise(F.lit(limit + 1)),
+    place = F.when(
+        is_rest, F.col("_n") - F.size("_late") + F.array_position("_late", F.col("pos"))
+    ).otherwise(F.col("pos"))
+    over = F.coalesce(F.col("_before") + place > limit, F.lit(True))
+    where, what, why = (F.lit(t) for t in SCAN_LIMIT_TEXT)
+    row = F.struct(
+        F.when(over, where).otherwise(F.col("location")).alias("location"),
+        F.when(over, what).otherwise(F.col("evidence")).alias("evidence"),
+        F.when(over, why).otherwise(F.col("detail")).alias("detail"),
+        F.when(over, F.lit(LIMIT_CONFIDENCE)).otherwise(F.col("confidence_score")).alias("confidence_score"),
+        F.when(over, F.array().cast("array<string>")).otherwise(F.col("sample_locations")).alias("sample_locations"),
     )
-    over = F.col("_rank") > limit
-    kept = ranked.filter(~over).select(*COLUMNS)
-    place, what, why = SCAN_LIMIT_TEXT
-    rest = (
-        ranked.filter(over)
-        .groupBy("check_id")
-        .agg(F.sum("count").alias("count"))
+    return (
+        early.select(
+            "check_id", F.when(over, F.lit(SCAN_WIDE)).otherwise(F.col("file")).alias("file"),
+            F.when(over, F.lit(limit + 1)).otherwise(F.col("pos")).cast("bigint").alias("pos"), "count",
+            row.alias("_row"),
+        )
+        .groupBy("check_id", "file", "pos")
+        .agg(F.sum("count").alias("count"), F.min("_row").alias("_row"))
         .select(
-            "check_id", F.lit(SCAN_WIDE).alias("file"), F.lit(place).alias("location"), F.lit(what).alias("evidence"),
-            F.lit(why).alias("detail"), "count", F.lit(LIMIT_CONFIDENCE).alias("confidence_score"),
-            F.array().cast("array<string>").alias("sample_locations"), F.lit(limit + 1).cast("bigint").alias("pos"),
+            "check_id", "file", "_row.location", "_row.evidence", "_row.detail", "count", "_row.confidence_score",
+            "_row.sample_locations", "pos",
         )
     )
-    return kept.unionByName(rest)
 
 
 def merge_reported(findings: DataFrame) -> DataFrame:

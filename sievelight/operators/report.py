@@ -73,7 +73,7 @@ def framework_impact(findings: DataFrame, catalog: Catalog, selected: Sequence[s
 def control_counts(findings: DataFrame, catalog: Catalog, selected: Sequence[str]) -> DataFrame:
     """Findings per framework and control, with where the control first came up."""
     per_check = findings.groupBy("check_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos")).alias("_at")
+        F.count(F.lit(1)).alias("n"), F.min(FN.position()).alias("_at")
     )
     return (
         explode_controls(per_check, catalog, selected)
@@ -140,7 +140,7 @@ def evidence_bands(findings: DataFrame, shown: int = SHOWN, listed: int = LISTED
 def suppressed_list(suppressed: DataFrame, n: int = SUPPRESSED_SHOWN) -> DataFrame:
     """The first `n` suppressed findings."""
     return (
-        suppressed.orderBy("file", "pos")
+        suppressed.orderBy(FN.position())
         .limit(n)
         .select("check_id", "file", "fingerprint", F.left("evidence", F.lit(SUPPRESSED_EVIDENCE)).alias("evidence"))
     )

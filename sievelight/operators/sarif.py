@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import Catalog
 from .enrich import check_profiles, relative_path, with_check
+from .findings import position
 
+# Fixed values of the format
 SCHEMA_URL = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 FINGERPRINT_KEY = "complianceScanFingerprint/v2"
 
 
 def rules(findings: DataFrame, catalog: Catalog, selected: Sequence[str]) -> DataFrame:
     """One row per check that occurs, in order of first appearance."""
-    seen = findings.groupBy("check_id").agg(F.min(F.struct("file", "pos")).alias("first_seen"))
+    seen = findings.groupBy("check_id").agg(F.min(position()).alias("first_seen"))
     names = F.create_map(*[F.lit(v) for row in _names(catalog) for v in row])
     mapped = F.array_join(
         F.transform(
@@ -117,11 +119,11 @@ def document(
     )
     # Rules and results come together as rows of one table, then as one row.
     parts = rules(findings, catalog, selected).select(
-        F.struct(F.col("first_seen.file").alias("file"), F.col("first_seen.pos").alias("pos")).alias("o"),
+        F.col("first_seen").alias("o"),
         F.to_json(rule).alias("rule"), F.lit(None).cast("string").alias("result"),
     ).unionByName(
         rows.select(
-            F.struct("file", "pos").alias("o"), F.lit(None).cast("string").alias("rule"), F.to_json(result).alias("result")
+            position().alias("o"), F.lit(None).cast("string").alias("rule"), F.to_json(result).alias("result")
         )
     )
 
@@ -131,7 +133,7 @@ def document(
 
     head = (
         f'{{"$schema":"{SCHEMA_URL}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}",'
-        f'"informationUri":"https://spark.apache.org/","version":"{version}","rules":['
+        f'"version":"{version}","rules":['
     )
     return parts.agg(
         F.concat(F.lit(head), in_order("rule"), F.lit(']}},"results":['), in_order("result"), F.lit("]}]}")).alias("value")

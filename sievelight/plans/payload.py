@@ -77,8 +77,9 @@ def _csv_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["file", "ftype", "item_idx", "location", "text"])
 
 
-def scan_uploads(uploads: DataFrame, options: Options = Options()) -> ScanResult:
+def scan_uploads(uploads: DataFrame, options: Options | None = None) -> ScanResult:
     """Scan uploads; findings carry the bare file name and fingerprints use no root."""
+    options = options or Options()
     spark = uploads.sparkSession
     catalog = CAT.tables(spark, options.crosswalk)
     texts = stage(

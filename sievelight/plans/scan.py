@@ -132,8 +132,9 @@ def file_status(files: DataFrame, item_limit: int | None) -> DataFrame:
     )
 
 
-def scan_items(items: DataFrame, options: Options = Options()) -> ScanResult:
+def scan_items(items: DataFrame, options: Options | None = None) -> ScanResult:
     """Scan any numbered items (file, ftype, item_idx, location, text), such as those of a table."""
+    options = options or Options()
     catalog = CAT.tables(items.sparkSession, options.crosswalk)
     if options.item_limit is not None:
         items = items.filter(F.col("item_idx") <= options.item_limit)
@@ -263,8 +264,9 @@ def drop_parsed_lines(signals: DataFrame, parsed: DataFrame) -> DataFrame:
     return marked.filter(~(by_line & F.col("_parsed").isNotNull())).drop("_parsed")
 
 
-def scan(spark: SparkSession, inputs: Sequence[str], options: Options = Options()) -> ScanResult:
+def scan(spark: SparkSession, inputs: Sequence[str], options: Options | None = None) -> ScanResult:
     """Scan files and directories."""
+    options = options or Options()
     catalog = CAT.tables(spark, options.crosswalk)
     inputs, named = discovery.usable_inputs(spark, inputs)
     if not inputs:

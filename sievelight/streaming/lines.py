@@ -18,7 +18,7 @@ def line_signals(items: DataFrame, *, year: int, families: Iterable[str] = detec
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder; a local one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sievelight-stream-")
 
 

@@ -584,6 +584,25 @@ WITH {CHECKS}, hits AS (SELECT check_id FROM {log_hits(_EVENT_LINES, 'event_id')
                         UNION ALL SELECT check_id FROM {config_hits(_EVENT_LINES, 'event_id')})
 SELECT check_id, severity, count(*) AS occurrences FROM hits JOIN checks USING (check_id) GROUP BY 1, 2"""
 
+_UPLOADED = """(SELECT 'note_' || m || CASE n WHEN 0 THEN '' ELSE '_' || n END || '.txt' AS file, text
+ FROM (SELECT doc_id % 50 AS m, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) - 1 AS n, text FROM documents))"""
+UPLOAD_LINES = lines(_UPLOADED, "file", "text").replace("SELECT *, string_split", "SELECT text, file, string_split")
+_UPLOAD_LOCATED = f"(SELECT *, '' AS location FROM {UPLOAD_LINES})"
+SQL["upload_scan"] = f"""
+WITH hits AS (
+  SELECT file, 'DATA-PAN' AS check_id, 1 AS n FROM {cards(UPLOAD_LINES)}
+  UNION ALL SELECT file, check_id, 1 FROM {config_hits(UPLOAD_LINES, 'file')}
+  UNION ALL SELECT file, check_id, 1 FROM {log_hits(UPLOAD_LINES, 'file')}
+  UNION ALL {bulk(_UPLOAD_LOCATED)})
+SELECT file, check_id, CAST(sum(n) AS BIGINT) AS occurrences FROM hits GROUP BY 1, 2"""
+SQL["sarif_document"] = f"""
+WITH s AS (SELECT check_id, file, pos, rn > {SCAN_LIMIT} AS late, count FROM {SCAN_RANKED}),
+r AS (SELECT check_id, late, count(*) AS results, sum(count) AS n, min({{'l': late, 'f': file, 'p': pos}}) AS seen FROM s GROUP BY 1, 2),
+t AS (SELECT check_id, min(CASE WHEN late THEN {{'l': true, 'f': '', 'p': 0}} ELSE seen END) AS seen,
+      sum(CASE WHEN late THEN 1 ELSE results END) AS results, sum(n) AS n FROM r GROUP BY 1)
+SELECT '2.1.0' AS version, check_id AS "ruleId", row_number() OVER (ORDER BY seen, check_id) AS place,
+ CAST(results AS BIGINT) AS results, CAST(n AS BIGINT) AS occurrences FROM t"""
+
 # --- streams ------------------------------------------------------------------------------------------------------
 SQL["stream_line_rules"] = SQL["log_line_rules"]
 SQL["stream_login_correlation"] = " UNION ALL ".join(

@@ -433,11 +433,25 @@ def sarif_results(spark, sf_dir):
     )
 
 
+SARIF_SHAPE = (
+    "version string, runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,"
+    "results:array<struct<ruleId:string,properties:struct<occurrenceCount:bigint>>>>>"
+)
+
+
 @query
 def sarif_document(spark, sf_dir):
+    """The SARIF document, read back: results and occurrences per rule, and the place of each rule."""
     found = FN.limit_per_scan(FN.limit_per_file(_merged(spark, sf_dir), FILE_LIMIT), SCAN_LIMIT)
     full = enrich.with_confidence(enrich.with_fingerprints(found, ROOT))
-    return sarif.document(full, CAT.tables(spark), SELECTED, ROOT)
+    text = sarif.document(full, CAT.tables(spark), SELECTED, ROOT)
+    run = text.select(F.from_json("value", SARIF_SHAPE).alias("d")).select("d.version", F.col("d.runs")[0].alias("run"))
+    rules = F.transform("run.tool.driver.rules", lambda r: r["id"])
+    results = run.select("version", rules.alias("rules"), F.inline("run.results"))
+    return results.groupBy("version", "ruleId").agg(
+        long(F.max(F.array_position("rules", F.col("ruleId")))).alias("place"), long(F.count(F.lit(1))).alias("results"),
+        long(F.sum("properties.occurrenceCount")).alias("occurrences"),
+    )
 
 
 @query
@@ -669,7 +683,7 @@ def upload_scan(spark, sf_dir):
         F.base64(F.encode("text", "UTF-8")).alias("data"), F.col("doc_id").alias("ord"),
     )
     result = scan_uploads(uploads, Options(now=NOW, year=YEAR))
-    return result.findings.select("file", "check_id", "location", "evidence", long("count").alias("count"))
+    return result.findings.groupBy("file", "check_id").agg(long(F.sum("count")).alias("occurrences"))
 
 
 # --- streams ----------------------------------------------------------------------------------------

@@ -17,7 +17,8 @@ from .lines import LINE_TYPES, plain_path, wanted
 BATCH = 2_000
 
 
-def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries right below each input, so that its folders can be walked in different tasks."""
     from pyarrow import fs
 
     for batch in batches:
@@ -25,18 +26,33 @@ def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             system, place = fs.FileSystem.from_uri(uri)
             info = system.get_file_info(place)
             if info.type == fs.FileType.File:
-                entries = [info]
-                root = place.rsplit("/", 1)[0]
+                rows = [(uri, place.rsplit("/", 1)[0], info.path)]
             else:
-                entries = system.get_file_info(fs.FileSelector(place, recursive=True, allow_not_found=True))
-                root = place.rstrip("/")
-            rows = []
-            for entry in entries:
-                parts = entry.path[len(root) :].strip("/").split("/")
-                hidden = any(p.startswith((".", "_")) and "=" not in p for p in parts)
-                if entry.type == fs.FileType.File and (hidden or entry.size == 0):
-                    rows.append((uri, entry.path, entry.size))
-            yield pd.DataFrame(rows, columns=["input", "place", "length"])
+                below = system.get_file_info(fs.FileSelector(place, allow_not_found=True))
+                rows = [(uri, place.rstrip("/"), e.path) for e in below]
+            yield pd.DataFrame(rows, columns=["input", "root", "place"])
+
+
+def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hidden and empty files at or below each entry, folder by folder."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri, root, start in zip(batch["input"], batch["root"], batch["place"]):
+            system, _ = fs.FileSystem.from_uri(uri)
+            ahead = [system.get_file_info([start])]
+            while ahead:
+                entries = ahead.pop()
+                rows = []
+                for entry in entries:
+                    if entry.type == fs.FileType.Directory:
+                        ahead.append(system.get_file_info(fs.FileSelector(entry.path)))
+                        continue
+                    parts = entry.path[len(root) :].strip("/").split("/")
+                    hidden = any(p.startswith((".", "_")) and "=" not in p for p in parts)
+                    if entry.type == fs.FileType.File and (hidden or entry.size == 0):
+                        rows.append((uri, entry.path, entry.size))
+                yield pd.DataFrame(rows, columns=["input", "place", "length"])
 
 
 def list_hidden(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
@@ -45,10 +61,12 @@ def list_hidden(spark: SparkSession, inputs: Sequence[str], named: Sequence[str]
     listed = (
         spark.createDataFrame(uris, "input string")
         .repartition(len(uris))
+        .mapInPandas(_first_level, "input string, root string, place string")
+        .repartition("place")
         .mapInPandas(_walk_batches, "input string, place string, length bigint")
     )
     scheme = F.regexp_extract("input", r"^([a-z0-9+.-]+://)", 1)
-    uri = F.concat(scheme, F.when(F.col("place").startswith("/"), F.lit("")).otherwise(""), F.col("place"))
+    uri = F.concat(scheme, F.col("place"))
     file = plain_path(uri)
     return (
         listed.select(uri.alias("uri"), file.alias("file"), classify(file).alias("ftype"), "length")

@@ -617,3 +617,22 @@ WITH {KEYED.split("stepped AS")[0].rstrip().rstrip(",")},
 w AS (SELECT file, kt AS key_type, key, CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 - unnest(range(0, 6)) * 10 AS s FROM keyed WHERE fail)
 SELECT file, key_type, key, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS failures
 FROM w GROUP BY file, key_type, key, s HAVING count(*) >= 5"""
+
+# Literals come as decimals or short integers there; give the columns the types Spark gives them.
+_TYPES = {
+    "confidence_score": (
+        "DOUBLE",
+        (
+            "social_security_numbers", "medical_record_numbers", "private_keys", "cloud_keys", "passwords",
+            "high_entropy_secrets", "bulk_contacts", "config_line_rules", "log_line_rules", "brute_force",
+            "success_after_failures", "password_spraying", "distributed_attack", "stream_line_rules",
+            "stream_login_correlation",
+        ),
+    ),
+    "rank": ("BIGINT", ("finding_attributes", "severity_counts", "finding_groups")),
+    "pos": ("BIGINT", ("mapping_provenance",)),
+    "item_idx": ("BIGINT", ("table_cells",)),
+}
+for _column, (_type, _names) in _TYPES.items():
+    for _name in _names:
+        SQL[_name] = f"SELECT * REPLACE (CAST({_column} AS {_type}) AS {_column}) FROM ({SQL[_name]})"

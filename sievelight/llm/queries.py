@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, lines, mixing
+from . import contamination, languages, lines, mixing, neighbours, quality, warc
+from .common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 3) == 1).alias("held_out"))
+    names, table = languages.learn(documents.filter(~F.col("held_out")))
+    return languages.identify(documents.drop("lang"), names, table).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out"))
+    learned = quality.sampled(documents.filter(~F.col("held_out")), _table(spark, sf_dir, "labels"))
+    scored = quality.score(documents, quality.train(learned))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(_table(spark, sf_dir, "documents"))
 
@@ -25,14 +43,26 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_language_id,
+        op3_warc,
         op5_benchmark_decontamination,
+        op7_quality_classifier,
         op8_line_dedup,
         op9_mixing,
+        op10_nearest_neighbours,
     )
 }
 
 #: SQL for those that a second engine can work out.
-SQL: dict[str, str] = {"op8_line_dedup": lines.REPORT_SQL}
+SQL: dict[str, str] = {
+    "op3_warc": warc.ROUND_TRIP_SQL,
+    "op8_line_dedup": lines.REPORT_SQL,
+    "op10_nearest_neighbours": neighbours.op_sql(),
+}

@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import partitions, small_batches, text_of, written
-from .textbytes import CHUNK, LOWER, WORDS, chunks, hashes, runs
+from .textbytes import CHUNK, LOWER, WORDS, chunks, hashes, mix, runs
 
-DEPTH = 5
+DEPTH = 6
 #: Least share of all symbols that a symbol after a context has, to be kept.
-LEAST_SHARE = 1 / (1 << 19)
+LEAST_SHARE = 1 / (1 << 22)
 #: A state's divergence in nats a symbol, at least; in all it must also pay half a logarithm for each next symbol.
 LEAST_DIVERGENCE = 0.001
 #: Words of at least this share of all tokens are sent to every task (16 bytes each).
@@ -38,7 +38,7 @@ FREQUENT_SHARE = 1 / (1 << 21)
 #: Requests a task packs before it hands them on.
 REQUESTS = 1_000_000
 #: Counts a task combines before it hands them on.
-COUNTS = 1_500_000
+COUNTS = 1_000_000
 
 _END, _BLANK = 10, 32  # neither the line feed nor another blank can be part of a word
 _END_TOKEN = np.uint64(0x656E64)
@@ -67,6 +67,10 @@ def symbols(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[real], owner, hashes(low, start, end), text
 
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys) % np.uint64(buckets)).astype(np.int32)
+
+
 class _Tally:
     """Counts of 64-bit keys, combined now and then."""
 
@@ -92,6 +96,8 @@ class _Tally:
 def gather(documents: DataFrame, text: str = "text") -> DataFrame:
     """All counts of the training texts, written: (kind, key, n), kind 0 for words, 1 for symbols behind contexts."""
     small_batches(documents.sparkSession)
+    buckets = partitions(documents.sparkSession)
+    names = ["kind", "bucket", "keys", "counts"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = (_Tally(), _Tally())
@@ -100,15 +106,15 @@ def gather(documents: DataFrame, text: str = "text") -> DataFrame:
             for kind, tally in enumerate(tallies):
                 keys, counts = tally.combine()
                 tally.parts, tally.size = [], 0
-                for at in range(0, len(keys), 100_000):
-                    k, c = keys[at : at + 100_000], counts[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))],
-                        names=["kind", "key", "n"],
-                    )
+                bucket = _bucket(keys, buckets)
+                order = np.argsort(bucket, kind="stable")  # keys stay sorted within a bucket
+                which, first = np.unique(bucket[order], return_index=True)
+                parts = [pa.array([p.tobytes() for p in np.split(x[order], first[1:])], pa.binary()) for x in (keys, counts.astype(np.uint32))]
+                if len(which):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), kind, np.int32)), pa.array(which), *parts], names=names)
 
         for batch in batches:
-            for first, last, data, begins in chunks(batch.column(0), 2 * CHUNK):
+            for first, last, data, begins in chunks(batch.column(0)):
                 key, _, word, _ = symbols(data, begins)
                 tallies[0].add(np.concatenate([word, np.full(last - first, _END_TOKEN)]))
                 tallies[1].add(key)
@@ -116,15 +122,23 @@ def gather(documents: DataFrame, text: str = "text") -> DataFrame:
                 yield from rows()
         yield from rows()
 
-    counts = documents.select(text_of(text)).mapInArrow(count, "kind int, key bigint, n bigint")
-    return written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    def add(table: pa.Table) -> pa.Table:
+        tally = _Tally()
+        for i in range(table.num_rows):
+            keys, counts = np.frombuffer(table["keys"][i].as_buffer(), np.uint64), np.frombuffer(table["counts"][i].as_buffer(), np.uint32)
+            tally.parts.append((keys, counts.astype(np.int64)))
+        keys, counts = tally.combine()
+        return pa.table({"kind": np.full(len(keys), table["kind"][0].as_py(), np.int32), "key": keys.view(np.int64), "n": counts})
+
+    packed = documents.select(text_of(text)).mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
+    return written(packed.groupBy("kind", "bucket").applyInArrow(add, "kind int, key bigint, n bigint"), "counts")
 
 
 def states(grams: DataFrame) -> DataFrame:
     """The tree from (key, n): a row for each kept symbol of each state (d, context, symbol, n, total, kinds)."""
     total = grams.agg(F.sum("n")).first()[0] or 0
     least = max(1, int(total * LEAST_SHARE))
-    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(int(_MASK[d + 1])).alias("gram")) for d in range(DEPTH + 1)]))
+    depths = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(int(_MASK[d + 1].view(np.int64))).alias("gram")) for d in range(DEPTH + 1)]))
     each = grams.select(depths.alias("g"), "n").groupBy("g.d", "g.gram").agg(F.sum("n").alias("n"))
     each = written(each.withColumn("context", F.shiftrightunsigned("gram", 8)), "contexts")
     totals = each.groupBy("d", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= least)
@@ -132,8 +146,8 @@ def states(grams: DataFrame) -> DataFrame:
     shorter = kept.select(
         (F.col("d") + 1).alias("d"), F.col("gram").alias("short_gram"), F.col("n").alias("short_n"), F.col("total").alias("short_total")
     )
-    masks = F.element_at(F.array(*[F.lit(int(_MASK[d])) for d in range(DEPTH + 1)]), F.col("d") + 1)
-    cut = kept.filter("d > 0").withColumn("short_gram", F.col("gram").bitwiseAND(F.element_at(F.array(*[F.lit(int(_MASK[d])) for d in range(1, DEPTH + 2)]), F.col("d"))))
+    masks = F.element_at(F.array(*[F.lit(int(_MASK[d].view(np.int64))) for d in range(DEPTH + 1)]), F.col("d") + 1)
+    cut = kept.filter("d > 0").withColumn("short_gram", F.col("gram").bitwiseAND(F.element_at(F.array(*[F.lit(int(_MASK[d].view(np.int64))) for d in range(1, DEPTH + 2)]), F.col("d"))))
     pairs = cut.join(shorter, ["d", "short_gram"])
     n, t, m, u = (F.col(c).cast("double") for c in ("n", "total", "short_n", "short_total"))
     tests = pairs.groupBy("d", "context").agg(

@@ -8,14 +8,12 @@ distance exceeds `factor` times the distance of the query's k-th best so far:
 1 gives exact results, less is faster and may miss some.
 
 Vectors are dealt by a hash of their id to shards of bounded size, whose trees are
-written as a table; queries are packed in blocks, and each block meets each shard
-in a task of its own.
+written as a table; queries are packed in blocks, and a task takes one block through
+a few shards.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -25,6 +23,8 @@ from .common import small_batches, written
 SHARD_ROWS = 2048
 QUERY_ROWS = 1024
 LEAF_ROWS = 64
+#: Trees that one task searches in turn, so that each block of queries brings home one list from so many.
+SHARDS_TOGETHER = 8
 #: Distances are compared with so much to spare, relative to the largest norm.
 SLACK = 1e-7
 
@@ -83,15 +83,18 @@ def _build(x: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 class _Search:
-    """Searches of a block of queries in one tree."""
+    """Searches of a block of queries, in one tree after the other; what one found narrows the next."""
 
-    def __init__(self, ids, x, inner, outer, query_ids, queries, most, k, factor) -> None:
-        self.ids, self.x, self.inner, self.outer = ids, x, inner, outer
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, most: float, k: int, factor: float) -> None:
         self.query_ids, self.queries, self.most, self.k, self.factor = query_ids, queries, most, k, factor
         self.norm = np.sqrt((queries**2).sum(axis=1))
         self.score = np.full((len(queries), k), -np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
 
+    def through(self, ids: np.ndarray, x: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> None:
+        self.ids, self.x, self.inner, self.outer = ids, x, inner, outer
+        self.visit(0, len(ids), np.arange(len(self.queries)))
+
     def distance(self, score: np.ndarray, q: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 * self.most**2 - 2 * self.most * score / self.norm[q], 0))
 
@@ -163,26 +166,28 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
 
     packed = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     packed = written(packed.groupBy("block").applyInArrow(pack, "block int, qids binary, q binary"), "queries")
-    pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
-        packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["shard", "block"]
-    ).select("ids", "x", "inner", "outer", "qids", "q")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = [np.frombuffer(batch.column(c)[i].as_buffer(), dtype=t) for c, t in enumerate(("i8", "f8", "f8", "f8", "i8", "f8"))]
-                ids, x, inner, outer, qids, q = raw
-                one = _Search(ids, x.reshape(len(ids), -1), inner, outer, qids, q.reshape(len(qids), -1), most, k, factor)
-                one.visit(0, len(ids), np.arange(len(qids)))
-                real = ~np.isneginf(one.score)
-                at = np.repeat(np.arange(len(qids)), real.sum(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[at]), pa.array(one.found[real]), pa.array(one.score[real])], names=["query_id", "vec_id", "score"]
-                )
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are trees here
-    found = written(pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score double"), "found")
-    small_batches(spark)
+    groups = -(-shards // SHARDS_TOGETHER)
+    left = trees.withColumn("part", F.floor(F.col("shard") / SHARDS_TOGETHER).cast("int"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def search(own: pa.Table, asked: pa.Table) -> pa.Table:
+        query_ids, found, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for j in range(asked.num_rows):
+            ids, q = np.frombuffer(asked["qids"][j].as_buffer(), np.int64), np.frombuffer(asked["q"][j].as_buffer())
+            one = _Search(ids, q.reshape(len(ids), -1), most, k, factor)
+            for i in range(own.num_rows):
+                ids = np.frombuffer(own["ids"][i].as_buffer(), np.int64)
+                x, inner, outer = (np.frombuffer(own[c][i].as_buffer()) for c in ("x", "inner", "outer"))
+                one.through(ids, x.reshape(len(ids), -1), inner, outer)
+            real = ~np.isneginf(one.score)
+            query_ids.append(np.repeat(one.query_ids, real.sum(axis=1)))
+            found.append(one.found[real])
+            score.append(one.score[real])
+        return pa.table({n: np.concatenate(v) for n, v in (("query_id", query_ids), ("vec_id", found), ("score", score))})
+
+    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+    found = written(met.applyInArrow(search, "query_id bigint, vec_id bigint, score double"), "found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

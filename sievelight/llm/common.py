@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Rows handed to a Python task at a time; keeps long texts from filling its memory.
 BATCH_ROWS = 256
@@ -59,3 +59,8 @@ def text_of(column: str = "text") -> Column:
 def document_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that further columns of any name are no matter."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def nullable(fields: list[T.StructField]) -> list[T.StructField]:
+    """The fields, each allowed to be null, for tables whose rows are of several kinds."""
+    return [T.StructField(f.name, f.dataType) for f in fields]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, languages, lines, mixing, neighbours, quality, suffixtree, warc
+from . import contamination, languages, lines, mixing, neighbours, quality, shinglejoin, suffixtree, warc
 from .common import remainder
 
 
@@ -33,6 +33,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shinglejoin.classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out"))
     learned = quality.sampled(documents.filter(~F.col("held_out")), _table(spark, sf_dir, "labels"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_warc,
         op5_benchmark_decontamination,
+        op6_shingle_join,
         op7_quality_classifier,
         op8_line_dedup,
         op9_mixing,

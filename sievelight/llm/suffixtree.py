@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import partitions, small_batches, text_of, written
+from .common import nullable, partitions, small_batches, text_of, written
 from .textbytes import CHUNK, LOWER, WORDS, chunks, hashes, mix, runs
 
 DEPTH = 6
@@ -248,7 +248,7 @@ def _first_pass(documents: DataFrame, model: Model, buckets: int) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast((model.tree, *model.frequent))
     width = len(documents.columns) - 1
     names = documents.columns[:width]
-    schema = T.StructType([*documents.schema.fields[:width], *T.StructType.fromDDL(_DOC).fields, *T.StructType.fromDDL(_REQUEST).fields])
+    schema = T.StructType([*nullable(documents.schema.fields[:width]), *T.StructType.fromDDL(_DOC).fields, *T.StructType.fromDDL(_REQUEST).fields])
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

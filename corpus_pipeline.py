@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sievelight.llm import contamination
-from sievelight.llm.common import written
+from sievelight.llm import contamination, languages, lines, mixing, shinglejoin
+from sievelight.llm.common import remainder, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language cannot be told; the models learn from two thirds of the labelled ones."""
+    return languages.identified(docs, docs.filter(remainder("doc_id", 3) != 1))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose lines that stand on more than a tenth of their source's documents; n_chars follows."""
+    clean = lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return clean.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return shinglejoin.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that a test item makes up a twentieth of."""
     return contamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How much of each document the mix takes."""
+    return mixing.mix(docs)
+
+
 STAGES = [
-    ("decontamination", drop_contaminated),
+    ("language id", identify_language),
+    ("line dedup", drop_boilerplate),
+    ("n-gram jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources to target weights", mix_sources),
 ]
 
 #: The stages hold trained and iterative steps that SQL cannot express.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, languages, lines, mixing, neighbours, quality, shinglejoin, suffixtree, warc
+from . import contamination, languages, lines, mixing, neighbours, quality, shinglejoin, substrings, suffixtree, warc
 from .common import remainder
 
 
@@ -29,6 +29,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_suffix_tree_scores,
         op2_language_id,
         op3_warc,
+        op4_substring_dedup,
         op5_benchmark_decontamination,
         op6_shingle_join,
         op7_quality_classifier,

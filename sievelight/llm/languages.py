@@ -86,7 +86,7 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     table = counts.toArrow()
     number = {name: i for i, name in enumerate(names)}
     n = np.zeros((BUCKETS, len(names)))
-    n[np.asarray(table["bucket"]), [number[x] for x in table["lang"].to_pylist()]] = np.asarray(table["n"])
+    n[np.asarray(table["bucket"]), np.array([number[x] for x in table["lang"].to_pylist()], dtype=int)] = np.asarray(table["n"])
     return names, np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * BUCKETS)).astype(np.float32)
 
 

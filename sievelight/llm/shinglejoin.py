@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import nullable, partitions, small_batches, text_of, written
 from .components import components
-from .textbytes import chunks, mix, shingles, words
+from .textbytes import chunks, mix, packed, shingles, words
 
 WIDTH = 5
 #: Bands end at powers of this; up to the first number of features, partitions are single features.
 BAND = 4
 SINGLE = 64
 #: One document in so many tells which features are common; common is what so many of those hold; of those at most so many are sent to tasks.
-SAMPLE, COMMON, MOST_COMMON = 32, 16, 1 << 18
+SAMPLE, COMMON, MOST_COMMON = 16, 4, 1 << 18
 SKETCH_BITS = 2048
 #: Signatures a task packs before it hands them on.
 PACKED = 1_000_000
@@ -122,12 +122,12 @@ def _common(documents: DataFrame, width: int) -> np.ndarray:
 
 
 def _signed(documents: DataFrame, width: int) -> DataFrame:
-    """Rows for documents (id, row, n_shingles, set) and rows of packed signatures by bucket; written."""
+    """Rows for documents (id, row, n_shingles, set, sketch) and rows of packed signatures by bucket; written."""
     spark = documents.sparkSession
     common = spark.sparkContext.broadcast(_common(documents, width))
     buckets = partitions(spark)
-    packed = T.StructType.fromDDL("n_shingles bigint, set bigint, bucket int, low binary, high binary, sets binary")
-    schema = T.StructType([*nullable([documents.schema["id"], documents.schema["row"]]), *packed.fields])
+    more = T.StructType.fromDDL("n_shingles bigint, set bigint, sketch binary, bucket int, low binary, high binary, sets binary")
+    schema = T.StructType([*nullable([documents.schema["id"], documents.schema["row"]]), *more.fields])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -137,15 +137,12 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
             if not waiting:
                 return
             name, own = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            bucket = (name % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            which, first = np.unique(bucket[order], return_index=True)
             # Forty bits tell signatures of a bucket apart; what falls together by chance is compared in vain.
-            bits = (name >> np.uint64(20)).astype(np.uint32), (name >> np.uint64(52)).astype(np.uint8), own
-            parts = [pa.array([p.tobytes() for p in np.split(x[order], first[1:])], pa.binary()) for x in bits]
+            bits = (name >> np.uint64(20)).astype(np.uint32), (name >> np.uint64(52)).astype(np.uint8)
+            which, parts = packed((name % np.uint64(buckets)).astype(np.int32), *bits, own)
             n = len(which)
-            blank = [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array(which), *parts], names=schema.names)
+            blank = [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*blank, which, *parts], names=schema.names)
 
         for batch in batches:
             kind = batch.column(0).type
@@ -156,7 +153,10 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
                 at, name = signatures(feature, text, count, common.value)
                 waiting.append((name, own[at]))
                 size += len(name)
-                told = [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(count), pa.array(own.view(np.int64))]
+                told = [
+                    batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(count), pa.array(own.view(np.int64)),
+                    pa.array([x.tobytes() for x in _sketches(feature, text, n)], pa.binary()),
+                ]
                 blank = [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3]
                 yield pa.RecordBatch.from_arrays([*told, *blank], names=schema.names)
                 if size >= PACKED:
@@ -168,7 +168,7 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
     return written(documents.select("id", "row", "text").mapInArrow(sign, schema), "signatures")
 
 
-def _runs(packed: DataFrame) -> DataFrame:
+def _runs(signed: DataFrame) -> DataFrame:
     """Sets that share a signature: (run, a, b), a the first of the run, b each other one; written."""
 
     def meet(table: pa.Table) -> pa.Table:
@@ -192,15 +192,39 @@ def _runs(packed: DataFrame) -> DataFrame:
         rest = ~head
         return pa.table({"run": run[rest].view(np.int64), "a": first[rest].view(np.int64), "b": own[rest].view(np.int64)})
 
-    return written(packed.groupBy("bucket").applyInArrow(meet, "run bigint, a bigint, b bigint"), "runs")
+    return written(signed.groupBy("bucket").applyInArrow(meet, "run bigint, a bigint, b bigint"), "runs")
 
 
-def _sketch(features: np.ndarray) -> np.ndarray:
-    return (np.bincount((mix(features) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)
+def _sketches(feature: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """For each text the parity of its features in each of some cells, as packed bits."""
+    cell = text * SKETCH_BITS + (mix(feature) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=n * SKETCH_BITS) & 1).astype(bool).reshape(n, SKETCH_BITS), axis=1)
 
 
-def _fetch(documents: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(set, features, sketch) of the documents whose row keys are given; written."""
+def _bits(sketches: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint64).reshape(len(sketches), -1)
+
+
+def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out; written.  Sketches are small, so this comes before sets are moved."""
+    of = lambda side: facts.select(F.col("set").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    told = pairs.join(of("a"), "a").join(of("b"), "b")
+    told = told.filter(4 * F.least("size_a", "size_b") >= 3 * F.greatest("size_a", "size_b"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.bitwise_count(_bits(batch.column(3)) ^ _bits(batch.column(4))).sum(axis=1, dtype=np.int64)
+            close = 7 * apart <= np.asarray(batch.column(2))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(close)) for c in batch.columns[:2]], names=["a", "b"])
+
+    told = told.select("a", "b", F.col("size_a") + F.col("size_b"), "sketch_a", "sketch_b")
+    return written(told.mapInArrow(keep, "a bigint, b bigint"), "plausible")
+
+
+def _fetch(documents: DataFrame, pairs: DataFrame, facts: DataFrame, width: int) -> DataFrame:
+    """(set, features) of the sets in pairs, from one document each; written."""
+    found = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    rows = written(facts.join(found, "set", "left_semi").select("row"), "rows")
     few = rows.count() <= SENT_IDS
     chosen = documents.select("row", "text").join(F.broadcast(rows) if few else rows, "row").select("text")
 
@@ -211,13 +235,11 @@ def _fetch(documents: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 own = set_hash(feature, text, last - first)
                 each = np.split(feature, np.cumsum(count)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.view(np.int64)), pa.array([e.tobytes() for e in each], pa.binary()),
-                     pa.array([np.packbits(_sketch(e)).tobytes() for e in each], pa.binary()), pa.array(count)],
-                    names=["set", "features", "sketch", "size"],
+                    [pa.array(own.view(np.int64)), pa.array([e.tobytes() for e in each], pa.binary())], names=["set", "features"]
                 )
 
-    made = chosen.mapInArrow(make, "set bigint, features binary, sketch binary, size bigint")
-    return written(made.dropDuplicates(["set"]), "sets")
+    # A row that is repeated as a whole gives its set more than once.
+    return written(chosen.mapInArrow(make, "set bigint, features binary").dropDuplicates(["set"]), "sets")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,7 +265,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(firsts.groupBy("first", "piece").cogroup(others.groupBy("a", "part")).applyInArrow(compare, "a bigint, b bigint"), "similar")
 
 
-def _further(runs: DataFrame, labels: DataFrame, sets: DataFrame, best: int | None) -> DataFrame:
+def _further(runs: DataFrame, labels: DataFrame, facts: DataFrame, best: int | None) -> DataFrame:
     """Pairs of one run, of different components, that their sketches do not rule out: each set's `best`, or all."""
     label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
     told = runs.join(label("a"), "a", "left").join(label("b"), "b", "left")
@@ -252,11 +274,11 @@ def _further(runs: DataFrame, labels: DataFrame, sets: DataFrame, best: int | No
     members = told.join(open_, "run", "left_semi").select(
         "run", F.explode(F.array(*[F.struct(F.col(s).alias("set"), mine[s].alias("label")) for s in ("a", "b")])).alias("m")
     ).select("run", "m.set", "m.label").distinct()
-    members = members.join(sets.select("set", "sketch", "size"), "set")
+    members = members.join(facts.select("set", "sketch", "size"), "set")
 
     def pair(table: pa.Table) -> pa.Table:
         own, label, size = (np.asarray(table[c]) for c in ("set", "label", "size"))
-        sketch = np.frombuffer(b"".join(x.as_py() for x in table["sketch"]), dtype=np.uint64).reshape(len(own), -1)
+        sketch = _bits(table["sketch"])
         order = np.argsort(size, kind="stable")
         own, label, size, sketch = own[order], label[order], size[order], sketch[order]
         upto = np.searchsorted(size, 4 * size // 3, "right")
@@ -290,19 +312,20 @@ def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     runs = _runs(signed.filter(F.col("bucket").isNotNull()).select("bucket", "low", "high", "sets"))
     pairs = written(runs.select("a", "b").distinct(), "pairs")
     found = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    rows = written(docs.join(found, "set", "left_semi").groupBy("set").agg(F.min("row").alias("row")).select("row"), "rows")
-    sets = _fetch(source, rows, width)
-    links, tested = _compare(pairs, sets), pairs
+    facts = signed.filter(F.col("bucket").isNull()).join(found, "set", "left_semi").groupBy("set")
+    facts = written(facts.agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "facts")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        close = _plausible(pairs, facts)
+        return _compare(close, _fetch(source, close, facts, width))
+
+    links, tested = compared(pairs), pairs
     labels = components(links)
     for best in (3, None):
-        more = written(_further(runs, labels, sets, best).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if best is None:
-                break
-            continue
-        new = _compare(more, sets)
-        links, tested = links.union(new), tested.union(more)
-        labels = components(links)
+        more = written(_further(runs, labels, facts, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            links, tested = links.union(compared(more)), tested.union(more)
+            labels = components(links)
     return docs, labels
 
 

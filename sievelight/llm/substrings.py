@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import partitions, small_batches, text_of, written
-from .textbytes import _ODD, _VALUES, chunks, mix
+from .textbytes import _ODD, _VALUES, chunks, mix, packed
 
 LENGTH = 400
 PIECE = 64
@@ -175,11 +175,8 @@ def _repeated_anchors(docs: DataFrame, large: int) -> DataFrame:
         def hand_on() -> Iterator[pa.RecordBatch]:
             if waiting:
                 name, row = (np.concatenate(x) for x in zip(*waiting, strict=True))
-                bucket = (name % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                which, first = np.unique(bucket[order], return_index=True)
-                parts = [pa.array([p.tobytes() for p in np.split(x[order], first[1:])], pa.binary()) for x in (name, row)]
-                yield pa.RecordBatch.from_arrays([pa.array(which), *parts], names=["bucket", "names", "rows"])
+                which, parts = packed((name % np.uint64(buckets)).astype(np.int32), name, row)
+                yield pa.RecordBatch.from_arrays([which, *parts], names=["bucket", "names", "rows"])
                 waiting.clear()
 
         for batch in batches:
@@ -198,8 +195,8 @@ def _repeated_anchors(docs: DataFrame, large: int) -> DataFrame:
         pair = np.unique(np.stack([row[many], name[inverse[many]], n[inverse[many]].astype(np.uint64)]), axis=1)
         return pa.table({"row": pair[0].view(np.int64), "anchor": pair[1].view(np.int64), "large": pair[2] > large})
 
-    packed = docs.mapInArrow(find, "bucket int, names binary, rows binary")
-    met = packed.groupBy("bucket").applyInArrow(meet, "row bigint, anchor bigint, large boolean")
+    found = docs.mapInArrow(find, "bucket int, names binary, rows binary")
+    met = found.groupBy("bucket").applyInArrow(meet, "row bigint, anchor bigint, large boolean")
     pick = lambda many: F.collect_list(F.when(F.col("large") == many, F.col("anchor")))
     return written(met.groupBy("row").agg(pick(False).alias("anchors"), pick(True).alias("large")), "anchors")
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import nullable, partitions, small_batches, text_of, written
-from .textbytes import CHUNK, LOWER, WORDS, chunks, hashes, mix, runs
+from .textbytes import CHUNK, LOWER, WORDS, chunks, hashes, mix, packed, runs
 
 DEPTH = 6
 #: Least share of all symbols that a symbol after a context has, to be kept.
@@ -106,12 +106,8 @@ def gather(documents: DataFrame, text: str = "text") -> DataFrame:
             for kind, tally in enumerate(tallies):
                 keys, counts = tally.combine()
                 tally.parts, tally.size = [], 0
-                bucket = _bucket(keys, buckets)
-                order = np.argsort(bucket, kind="stable")  # keys stay sorted within a bucket
-                which, first = np.unique(bucket[order], return_index=True)
-                parts = [pa.array([p.tobytes() for p in np.split(x[order], first[1:])], pa.binary()) for x in (keys, counts.astype(np.uint32))]
-                if len(which):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), kind, np.int32)), pa.array(which), *parts], names=names)
+                which, parts = packed(_bucket(keys, buckets), keys, counts.astype(np.uint32))  # keys stay sorted within a bucket
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), kind, np.int32)), which, *parts], names=names)
 
         for batch in batches:
             for first, last, data, begins in chunks(batch.column(0)):
@@ -130,8 +126,8 @@ def gather(documents: DataFrame, text: str = "text") -> DataFrame:
         keys, counts = tally.combine()
         return pa.table({"kind": np.full(len(keys), table["kind"][0].as_py(), np.int32), "key": keys.view(np.int64), "n": counts})
 
-    packed = documents.select(text_of(text)).mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
-    return written(packed.groupBy("kind", "bucket").applyInArrow(add, "kind int, key bigint, n bigint"), "counts")
+    made = documents.select(text_of(text)).mapInArrow(count, "kind int, bucket int, keys binary, counts binary")
+    return written(made.groupBy("kind", "bucket").applyInArrow(add, "kind int, key bigint, n bigint"), "counts")
 
 
 def states(grams: DataFrame) -> DataFrame:
@@ -261,14 +257,11 @@ def _first_pass(documents: DataFrame, model: Model, buckets: int) -> DataFrame:
             if not waiting:
                 return
             word, doc, times = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            bucket = (word % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            which, first = np.unique(bucket[order], return_index=True)
-            parts = [pa.array([p.tobytes() for p in np.split(x[order], first[1:])], pa.binary()) for x in (word, doc, times)]
+            which, parts = packed((word % np.uint64(buckets)).astype(np.int32), word, doc, times)
             n = len(which)
             blank = [pa.nulls(n, t) for t in [*types, *kinds[1:6]]]
             yield pa.RecordBatch.from_arrays(
-                [*blank[: len(types)], pa.array([unit] * n, pa.int64()), *blank[len(types) :], pa.array(which), *parts], names=schema.names
+                [*blank[: len(types)], pa.array([unit] * n, pa.int64()), *blank[len(types) :], which, *parts], names=schema.names
             )
 
         for batch in batches:
@@ -277,7 +270,7 @@ def _first_pass(documents: DataFrame, model: Model, buckets: int) -> DataFrame:
                 n = last - first
                 key, owner, word, text = symbols(data, begins)
                 grams, inverse = np.unique(key, return_inverse=True)
-                value = np.bincount(owner, weights=np.log10(tree.chance(grams))[inverse], minlength=n)
+                value = np.bincount(owner, weights=np.log10(tree.chance(grams))[inverse], minlength=n).astype(np.float64)
                 word, text = np.concatenate([word, np.full(n, _END_TOKEN)]), np.concatenate([text, np.arange(n)])
                 order = np.lexsort((text, word))
                 word, text = word[order], text[order]
@@ -286,7 +279,7 @@ def _first_pass(documents: DataFrame, model: Model, buckets: int) -> DataFrame:
                 word, text = word[new], text[new]
                 at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
                 known = words[at] == word if len(words) else np.zeros(len(word), bool)
-                logs = np.bincount(text[known], weights=times[known] * np.log10(counts[at[known]] + 1.0), minlength=n)
+                logs = np.bincount(text[known], weights=times[known] * np.log10(counts[at[known]] + 1.0), minlength=n).astype(np.float64)
                 tokens = np.bincount(text, weights=times, minlength=n)
                 seen = np.bincount(text[known], weights=times[known], minlength=n)
                 if not known.all():
@@ -339,8 +332,8 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
             which, inverse = np.unique(doc[there], return_inverse=True)
             out["unit"].append(requests["unit"][i].as_py())
             out["docs"].append(which.tobytes())
-            out["logs"].append(np.bincount(inverse, weights=times[there] * np.log10(n[at[there]] + 1.0)).tobytes())
-            out["known"].append(np.bincount(inverse, weights=times[there]).tobytes())
+            out["logs"].append(np.bincount(inverse, weights=times[there] * np.log10(n[at[there]] + 1.0)).astype(np.float64).tobytes())
+            out["known"].append(np.bincount(inverse, weights=times[there]).astype(np.float64).tobytes())
         return pa.table(out, schema=pa.schema([("unit", pa.int64()), ("docs", pa.binary()), ("logs", pa.binary()), ("known", pa.binary())]))
 
     answers = rare.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, "unit bigint, docs binary, logs binary, known binary")

@@ -136,3 +136,11 @@ def shingles(word: np.ndarray, text: np.ndarray, width: int) -> tuple[np.ndarray
     h, t = np.concatenate(out), np.concatenate(owner)
     order = np.argsort(t, kind="stable")
     return h[order], t[order]
+
+
+def packed(bucket: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """The buckets that occur, and each column's bytes by bucket, in the order given within one."""
+    order = np.argsort(bucket, kind="stable")
+    which, first = np.unique(bucket[order], return_index=True)
+    parts = [[p.tobytes() for p in np.split(c[order], first[1:])] if len(which) else [] for c in columns]
+    return pa.array(which, pa.int32()), [pa.array(p, pa.binary()) for p in parts]

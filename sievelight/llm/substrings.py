@@ -201,43 +201,88 @@ def _repeated_anchors(docs: DataFrame, large: int) -> DataFrame:
     return written(met.groupBy("row").agg(pick(False).alias("anchors"), pick(True).alias("large")), "anchors")
 
 
-_STRETCH = "bucket int, anchor bigint, row bigint, first bigint, place int, n int, bytes binary, one bigint, two bigint"
+_KINDS = "bucket int, anchor bigint, row bigint, first bigint, last bigint, place int, n int, bytes binary, one bigint, two bigint"
+
+
+def _batch(**columns: np.ndarray | list) -> pa.RecordBatch:
+    """Rows of `_KINDS` with the given columns, the others null."""
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    size = len(next(iter(columns.values())))
+    names = [c.split() for c in _KINDS.split(", ")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[n], types[t]) if n in columns else pa.nulls(size, types[t]) for n, t in names], names=[n for n, _ in names]
+    )
+
+
+def _runs(row: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last of the runs of consecutive positions."""
+    order = np.lexsort((position, row))
+    row, position = row[order], position[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (position[1:] != position[:-1] + 1)] if len(row) else np.zeros(0, bool)
+    return row[new], position[new], position[np.r_[new[1:], True]] if len(row) else position
+
+
+class _Strings:
+    """Hashes of strings from large buckets; what a task can tell by itself is not handed on one by one."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+
+    def hand_on(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        one, two, row, first = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((two, one))
+        one, two, row, first = one[order], two[order], row[order], first[order]
+        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+        start = np.flatnonzero(new)
+        times = np.diff(np.r_[start, len(one)])
+        alone = np.repeat(times == 1, times)
+        r, f, e = _runs(row[~alone], first[~alone])
+        yield _batch(row=r, first=f, last=e)
+        yield _batch(row=row[alone], first=first[alone], one=one[alone].view(np.int64), two=two[alone].view(np.int64), n=np.ones(alone.sum(), int))
+        more = start[times > 1]  # repeated here: others need to know of it, but no place
+        yield _batch(one=one[more].view(np.int64), two=two[more].view(np.int64), n=np.full(len(more), 2))
 
 
 def _suffixes(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """What the buckets are built from: stretches for those that are sorted, hashes of single strings for the large ones; written."""
+    """What the buckets are built from; written.
+
+    Rows with a bucket are stretches that are sorted; those with `one` and `two` the
+    hashes of single strings of large buckets, with how often a task has found them;
+    the others runs that a task has found to be repeated.
+    """
     small = anchors.agg(F.coalesce(F.sum(F.size("anchors") + F.size("large") + 1), F.lit(0))).first()[0] <= SENT_ROWS
     chosen = docs.join(F.broadcast(anchors) if small else anchors, "row").select("row", "text", "anchors", "large")
     buckets = partitions(docs.sparkSession)
-    names = [c.split()[0] for c in _STRETCH.split(", ")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings = _Strings()
         for batch in batches:
             for i in range(batch.num_rows):
                 row, (_, _, data, begins) = batch.column(0)[i].as_py(), next(chunks(batch.column(1).slice(i, 1)))
                 first, last, place, name = _anchors(data, begins)
                 sort, count = (np.isin(name, np.asarray(batch.column(c)[i].values).view(np.uint64)) for c in (2, 3))
-                n = int(sort.sum())
-                if n:
+                if sort.any():
                     f, e, p, h = first[sort], last[sort], place[sort], name[sort]
-                    columns = [
-                        pa.array((h % np.uint64(buckets)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array([row] * n, pa.int64()),
-                        pa.array(f), pa.array((p - f).astype(np.int32)), pa.array((e - f + 1).astype(np.int32)),
-                        pa.array([data[a : b + LENGTH].tobytes() for a, b in zip(f, e, strict=True)], pa.binary()),
-                        pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    yield _batch(
+                        bucket=(h % np.uint64(buckets)).astype(np.int32), anchor=h.view(np.int64), row=np.full(len(f), row), first=f,
+                        place=p - f, n=e - f + 1, bytes=[data[a : b + LENGTH].tobytes() for a, b in zip(f, e, strict=True)],
+                    )
                 if count.any():
-                    one, two = _window_hashes(data, LENGTH), _window_hashes(data, LENGTH, 1)
                     at = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[count], last[count], strict=True)])
-                    m = len(at)
-                    columns = [
-                        pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(np.full(m, row)), pa.array(at), pa.nulls(m, pa.int32()),
-                        pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    strings.add(_window_hashes(data, LENGTH)[at], _window_hashes(data, LENGTH, 1)[at], np.full(len(at), row), at)
+            if strings.size >= PACKED:
+                yield from strings.hand_on()
+        yield from strings.hand_on()
 
-    return written(chosen.mapInArrow(make, _STRETCH), "suffixes")
+    return written(chosen.mapInArrow(make, _KINDS), "suffixes")
 
 
 def _sorted_repeats(stretches: DataFrame) -> DataFrame:
@@ -301,9 +346,12 @@ def repeated_spans(documents: DataFrame, id_column: str = "doc_id", text_column:
     anchors = _repeated_anchors(single, large)
     suffixes = _suffixes(single, anchors)
     runs = _sorted_repeats(suffixes.filter(F.col("bucket").isNotNull()))
-    strings = suffixes.filter(F.col("bucket").isNull()).select("row", "first", "one", "two")
-    twice = written(strings.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two"), "strings")
-    spans = _spans(runs.union(strings.join(twice, ["one", "two"]).select("row", "first", F.col("first").alias("last"))))
+    strings = suffixes.filter(F.col("one").isNotNull())
+    twice = strings.groupBy("one", "two").agg(F.sum("n").alias("times")).filter("times > 1").select("one", "two")
+    twice = written(twice, "strings")
+    alone = strings.filter(F.col("row").isNotNull()).join(twice, ["one", "two"], "left_semi")
+    sure = suffixes.filter(F.col("last").isNotNull()).select("row", "first", "last")
+    spans = _spans(runs.union(sure).union(alone.select("row", "first", F.col("first").alias("last"))))
     few = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0] <= SENT_ROWS
     copy = copies.select("copy", F.lit(True).alias("whole"))
     told = docs.join(F.broadcast(copy) if copies.count() <= SENT_ROWS else copy, "copy", "left")

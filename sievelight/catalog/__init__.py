@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
-from dataclasses import dataclass
-from fnmatch import fnmatchcase
+from dataclasses import dataclass, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .checks import CHECKS, DERIVED
-from .frameworks import (
-    ALIASES, CONTROL_RULES, COVERED_ONLY, FRAMEWORKS, LAST_CONTROL_FOR, LEADING_CONTROL_OF, NOT_COVERED, NOTES,
-    REVIEW_SOURCE, REVIEWED, SEVERITIES,
-)
+from .frameworks import ALIASES, FRAMEWORKS, NOTES, REVIEW_SOURCE, REVIEWED, SEVERITIES
 
 FRAMEWORK_IDS = tuple(f[0] for f in FRAMEWORKS)
 TEMPLATE = {check_id: template for check_id, template, *_ in DERIVED}
@@ -20,6 +18,16 @@ CHECK_IDS = tuple(c[0] for c in CHECKS) + tuple(TEMPLATE)
 SEVERITY_RANK = {name: rank for name, rank, *_ in SEVERITIES}
 
 
+def _crosswalk() -> dict[tuple[str, str], list[str]]:
+    """References by check and framework, from the table beside this file."""
+    with (Path(__file__).parent / "crosswalk.csv").open(encoding="utf-8", newline="") as file:
+        rows = csv.DictReader(line for line in file if not line.startswith("#"))
+        return {(r["check_id"], r["framework"]): r["controls"].split("; ") for r in rows}
+
+
+CROSSWALK = _crosswalk()
+
+
 class UnknownFramework(ValueError):
     """A framework name that is neither an id nor an alias."""
 
@@ -44,26 +52,9 @@ def resolve_frameworks(names: Iterable[str]) -> list[str]:
     return list(chosen)
 
 
-def covers(framework: str, check_id: str) -> bool:
-    """`framework` has at least one control for `check_id`."""
-    base = TEMPLATE.get(check_id, check_id)
-    if framework in COVERED_ONLY:
-        return base in COVERED_ONLY[framework]
-    return framework in NOT_COVERED and base not in NOT_COVERED[framework]
-
-
 def controls(framework: str, check_id: str) -> list[str]:
-    """Built-in control references; empty where they come from the cross-walk table only."""
-    if not covers(framework, check_id):
-        return []
-    base = TEMPLATE.get(check_id, check_id)
-    if framework in LEADING_CONTROL_OF:
-        found = controls(LEADING_CONTROL_OF[framework], base)
-        return found[-1:] if base in LAST_CONTROL_FOR.get(framework, ()) else found[:1]
-    for checks, references in CONTROL_RULES.get(framework, ()):
-        if any(fnmatchcase(base, pattern) for pattern in checks.split()):
-            return references.split("; ")
-    return []
+    """Built-in control references; a derived check has those of its template."""
+    return CROSSWALK.get((TEMPLATE.get(check_id, check_id), framework), [])
 
 
 @dataclass(frozen=True)
@@ -91,7 +82,7 @@ def check_rows() -> list[tuple]:
 
 
 def coverage_rows() -> list[tuple[str, str]]:
-    return [(c, f) for c in CHECK_IDS for f in FRAMEWORK_IDS if covers(f, c)]
+    return [(c, f) for c in CHECK_IDS for f in FRAMEWORK_IDS if controls(f, c)]
 
 
 def control_rows() -> list[tuple[str, str, str, int]]:
@@ -142,6 +133,20 @@ def tables(spark: SparkSession, crosswalk: DataFrame | str | None = None) -> Cat
     )
 
 
+def with_rules(catalog: Catalog, rules: Iterable[tuple[str, str, str]], severity: str = "medium") -> Catalog:
+    """The catalog with a check for each custom rule (id, pattern, detail) it lacks; every framework covers those, none by a control."""
+    spark = catalog.checks.sparkSession
+    known = set(CHECK_IDS)
+    own = {r[0]: r[2] for r in rules if r[0] not in known}
+    if not own:
+        return catalog
+    rows = [(i, severity, "Custom rule", detail or i, "Found by a rule of the scan's own.", "Review by the rule's purpose.", len(CHECK_IDS) + k)
+            for k, (i, detail) in enumerate(own.items())]
+    checks = catalog.checks.unionByName(spark.createDataFrame(rows, catalog.checks.schema))
+    covered = spark.createDataFrame([(i, f) for i in own for f in FRAMEWORK_IDS], catalog.coverage.schema)
+    return replace(catalog, checks=checks, coverage=catalog.coverage.unionByName(covered))
+
+
 def read_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     """Cross-walk table from Parquet, CSV (with header) or JSON lines, by file extension."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()

@@ -17,7 +17,6 @@ WHITESPACE = (
 )
 
 # --- Fixed values: limits and thresholds -----------------------------------
-MAX_TEXT = 20_000
 EVIDENCE_CUT = 160
 SANITIZE_CUT = 500
 SNIPPET_SIDE = 30

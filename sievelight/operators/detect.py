@@ -220,18 +220,19 @@ def signals(
     year: int,
     families: Iterable[str] = FAMILIES,
     rules: Iterable[tuple[str, str, str]] = (),
+    max_text: int | None = None,
 ) -> DataFrame:
     """One row per thing found in `items`; all columns of an item but its text are kept.
 
     `items` needs `ftype` and `text`.  `kind` tells the four row types apart:
-    finding, email, phone, auth.
+    finding, email, phone, auth.  Items are searched whole unless `max_text` is given.
     """
     carried = [c for c in items.columns if c != "text"]
     families, rules = tuple(families), tuple(rules)
     hits = once(("hits", families, rules), lambda: _hits(families, rules))
     found_columns = once(("found", year), lambda: _found_columns(year))
     lines = (
-        items.withColumn("text", F.left("text", F.lit(X.MAX_TEXT)))
+        items.withColumn("text", F.col("text") if max_text is None else F.left("text", F.lit(max_text)))
         .withColumn("_ascii", P.is_ascii(F.col("text")))
         .withColumn("_digits", P.has_digits(F.col("text"), F.col("_ascii")))
         .withColumn("_fold", P.fold(F.col("text")))

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as X
 
 # --- Fixed values: limits and wording ---------------------------------------
-MAX_FINDINGS_PER_FILE = 2_500
-MAX_FINDINGS_PER_SCAN = 50_000
 SAMPLES = 5
 LIMIT_CONFIDENCE = 0.4
 FILE_LIMIT_TEXT = (
@@ -31,6 +29,8 @@ SCAN_WIDE = "(scan-wide)"
 # Items per merge group.  A group of one file and one piece of evidence is cut
 # into groups of this many items, so none grows with the file.
 CHUNK = 1 << 10
+# Steps of merging, each over CHUNK runs of the one before: enough for CHUNK ** (MERGE_STEPS + 1) items a file and task.
+MERGE_STEPS = 2
 # Items per run when findings are ranked within a file.
 RANK_RUN = 1 << 16
 
@@ -59,7 +59,7 @@ def insert(raw: DataFrame) -> DataFrame:
     )
 
 
-def merge(raw: DataFrame, *, item_limit: int | None = 500_000) -> DataFrame:
+def merge(raw: DataFrame) -> DataFrame:
     """One row per file, check and evidence; counts add up, the first occurrence gives the rest.
 
     Rows that already count several events stay apart when their detail differs.
@@ -83,10 +83,9 @@ def merge(raw: DataFrame, *, item_limit: int | None = 500_000) -> DataFrame:
         F.sum("count").alias("count"), F.min("_first").alias("_first"),
         first_five(F.collect_list("_sample")).alias("_samples"),
     )
-    # Without an item limit a file has any number of chunks: merge them in runs first.
-    widths = [] if item_limit is not None and item_limit <= CHUNK * CHUNK else [CHUNK, CHUNK * CHUNK]
-    for width in widths:
-        step = step.groupBy(*key, F.floor(F.col("_chunk") / width).alias("_chunk")).agg(
+    # A file has any number of chunks: each step joins so many of the one before.
+    for _ in range(MERGE_STEPS):
+        step = step.groupBy(*key, F.floor(F.col("_chunk") / CHUNK).alias("_chunk")).agg(
             F.sum("count").alias("count"), F.min("_first").alias("_first"),
             first_five(F.flatten(F.collect_list("_samples"))).alias("_samples"),
         )
@@ -127,9 +126,29 @@ def rank_in_file(merged: DataFrame) -> DataFrame:
     )
 
 
-def limit_per_file(merged: DataFrame, limit: int = MAX_FINDINGS_PER_FILE) -> DataFrame:
-    """First `limit` distinct findings of each file; the rest counted per check in one row each."""
+def first_items(items: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` items that each file holds, whatever gaps their numbers have.
+
+    As in `rank_in_file`, counts per run of numbers are summed up and rows are ranked
+    inside a run only.
+    """
+    run = items.withColumn("_run", F.floor(F.col("item_idx") / RANK_RUN))
+    before = Window.partitionBy("file").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = run.groupBy("file", "_run").agg(F.count("*").alias("_n"))
+    offsets = offsets.select("file", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("file", "_run").orderBy("item_idx")
+    ranked = run.join(offsets.filter(F.col("_before") < limit), ["file", "_run"])
+    ranked = ranked.withColumn("_place", F.col("_before") + F.row_number().over(inside))
+    return ranked.filter(F.col("_place") <= limit).select(*items.columns)
+
+
+def limit_per_file(merged: DataFrame, limit: int | None = None) -> DataFrame:
+    """First `limit` distinct findings of each file; the rest counted per check in one row each.  None: all, with their ranks."""
     ranked = rank_in_file(merged)
+    if limit is None:
+        return ranked.select(
+            "check_id", "file", "location", "evidence", "detail", "count", "confidence_score", "sample_locations", "pos"
+        )
     over = F.col("pos") > limit
     place, what, why = (F.lit(t) for t in FILE_LIMIT_TEXT)
     row = F.struct(
@@ -153,8 +172,8 @@ def limit_per_file(merged: DataFrame, limit: int = MAX_FINDINGS_PER_FILE) -> Dat
     )
 
 
-def limit_per_scan(findings: DataFrame, limit: int = MAX_FINDINGS_PER_SCAN) -> DataFrame:
-    """First `limit` findings in file order; the rest counted per check in a scan-wide row.
+def limit_per_scan(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """First `limit` findings in file order; the rest counted per check in a scan-wide row.  None: all of them.
 
     `findings` come from `limit_per_file`.  Each file with findings has at least
     one, so only the first `limit` files can matter: their counts make a table of
@@ -162,6 +181,8 @@ def limit_per_scan(findings: DataFrame, limit: int = MAX_FINDINGS_PER_SCAN) -> D
     sorted nor ranked: `pos` is their rank in the file, but for the few rows of a
     file that stand for what its own limit left out, whose places are listed.
     """
+    if limit is None:
+        return findings
     is_rest = F.col("location") == FILE_LIMIT_TEXT[0]
     counts = findings.groupBy("file").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -208,4 +229,4 @@ def merge_reported(findings: DataFrame) -> DataFrame:
 
     Needs the raw columns; same keys as `merge`, no masking pass.
     """
-    return merge(findings, item_limit=None)
+    return merge(findings)

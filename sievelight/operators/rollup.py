@@ -9,31 +9,31 @@ from .detect import DEFAULT_CONFIDENCE
 
 # --- Fixed values: thresholds and wording -----------------------------------
 BULK_THRESHOLD = 3
-MAX_UNIQUE = 10_000
 UNTIMED_THRESHOLD = 5
 UNTIMED_CONFIDENCE = 0.4
 UNATTRIBUTED = "(unattributed)"
 CONTACTS = (("email", "DATA-PII-EMAIL", "email addresses"), ("phone", "DATA-PHONE", "phone numbers"))
 
 
-def contact_counts(signals: DataFrame, cap: int = MAX_UNIQUE) -> DataFrame:
+def contact_counts(signals: DataFrame, cap: int | None = None) -> DataFrame:
     """Distinct values per file and kind, with the first one seen: (file, kind, n, location, masked).
 
     Distinct values are combined first by (file, kind, value), so a file that
-    holds most of them is spread over all tasks.
+    holds most of them is spread over all tasks.  `cap` bounds n; None does not.
     """
+    distinct = F.count(F.lit(1))
     place = F.struct("item_idx", "k", "location", F.col("detail").alias("masked"))
     return (
         signals.filter(F.col("kind").isin("email", "phone"))
         .groupBy("file", "kind", "value")
         .agg(F.min(place).alias("_place"))
         .groupBy("file", "kind")
-        .agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("n"), F.min("_place").alias("_place"))
+        .agg((distinct if cap is None else F.least(distinct, F.lit(cap))).alias("n"), F.min("_place").alias("_place"))
         .select("file", "kind", "n", "_place.location", "_place.masked")
     )
 
 
-def bulk_contacts(signals: DataFrame, threshold: int = BULK_THRESHOLD, cap: int = MAX_UNIQUE) -> DataFrame:
+def bulk_contacts(signals: DataFrame, threshold: int = BULK_THRESHOLD, cap: int | None = None) -> DataFrame:
     """One raw finding per file and kind that reaches `threshold` distinct values."""
     counts = contact_counts(signals, cap).filter(F.col("n") >= threshold)
     kind = F.col("kind")
@@ -45,7 +45,7 @@ def bulk_contacts(signals: DataFrame, threshold: int = BULK_THRESHOLD, cap: int
     return counts.select(
         check.alias("check_id"), "file", "location", F.concat(F.lit("e.g. "), "masked").alias("evidence"),
         F.concat(
-            F.when(F.col("n") >= cap, "at least ").otherwise(""), F.col("n").cast("string"), F.lit(" unique "), noun,
+            F.lit("") if cap is None else F.when(F.col("n") >= cap, "at least ").otherwise(""), F.col("n").cast("string"), F.lit(" unique "), noun,
             F.lit(" in file"),
         ).alias("detail"),
         F.col("n").cast("bigint").alias("count"), F.lit(DEFAULT_CONFIDENCE).alias("confidence_score"),

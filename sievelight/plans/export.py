@@ -6,7 +6,6 @@ from datetime import timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import MAX_TEXT
 from ..operators import report, sarif
 from .scan import ScanResult
 
@@ -33,7 +32,7 @@ def header(result: ScanResult) -> DataFrame:
         F.lit(options.now.astimezone(timezone.utc).isoformat()).alias("generated"),
         F.lit(VERSION).alias("scanner_version"),
         F.struct(
-            F.lit(options.item_limit).alias("max_items_per_file"), F.lit(MAX_TEXT).alias("max_line_length")
+            F.lit(options.item_limit).cast("int").alias("max_items_per_file"), F.lit(options.max_text).cast("int").alias("max_line_length")
         ).alias("scan_limits"),
         F.array(*[F.lit(f) for f in options.selected]).alias("frameworks"),
     )

@@ -267,6 +267,10 @@ SELECT 'talk/' || conv_id AS file, turn, 'USER-QUESTION' AS check_id, 'asks' AS
 UNION ALL
 SELECT 'talk/' || conv_id, turn, 'USER-THE', 'says the' FROM conversations WHERE regexp_matches(text, '(?i)\bthe\b')"""
 
+SQL["rule_scan"] = f"""
+SELECT file, check_id, 'medium' AS severity, detail AS title, 'Custom rule' AS category, count(*) AS occurrences
+FROM ({SQL["custom_rules"]}) GROUP BY file, check_id, detail"""
+
 # --- logs ----------------------------------------------------------------------------------
 
 
@@ -444,7 +448,7 @@ SELECT id, id IN (SELECT framework FROM coverage) AS has_checks FROM frames
 WHERE id NOT IN (SELECT framework FROM coverage WHERE check_id IN (SELECT check_id FROM {RAW}))"""
 
 # --- baseline ---------------------------------------------------------------------------------------
-HASHED = f"(SELECT *, {hashed(REL)} AS fp, {hashed(NAME)} AS old_fp FROM {LIMITED})"
+HASHED = f"(SELECT *, {hashed(REL)} AS fp, {hashed(NAME)} AS old_fp FROM {RANKED})"
 SQL["baseline_split"] = f"""
 WITH found AS (SELECT * FROM {HASHED}),
 entries AS (SELECT DISTINCT fp AS id, {EXPIRES} AS expires FROM found WHERE {ACCEPTED}
@@ -470,7 +474,7 @@ m AS (SELECT check_id, string_agg(name || ': ' || cs, '; ' ORDER BY framework) A
 SELECT check_id AS id, replace(check_id, '-', '') AS name, title AS short_description, description AS full_description,
  remediation || chr(10) || chr(10) || 'Candidate assessment mappings — ' || coalesce(mapped, '') || '. These do not establish compliance.' AS help,
  sarif_level AS level, sarif_score AS security_severity, category
-FROM checks JOIN sevs USING (severity) LEFT JOIN m USING (check_id) WHERE check_id IN (SELECT check_id FROM {LIMITED})"""
+FROM checks JOIN sevs USING (severity) LEFT JOIN m USING (check_id) WHERE check_id IN (SELECT check_id FROM {RANKED})"""
 BAND = "CASE WHEN confidence_score >= 0.85 THEN 'high' WHEN confidence_score >= 0.6 THEN 'medium' ELSE 'low' END"
 SQL["sarif_results"] = f"""
 WITH {CHECKS}, {SEVS}
@@ -497,26 +501,26 @@ SQL["finding_groups"] = f"""
 WITH {CHECKS}, {SEVS}
 SELECT rank, check_id, file, count(*) AS findings, CAST(sum(count) AS BIGINT) AS occurrences,
  array_to_string(list_sort(list_distinct(list({BAND}))), ', ') AS confidence, bool_or(count > 5) AS expired_suppression
-FROM {LIMITED} JOIN checks USING (check_id) JOIN sevs USING (severity) GROUP BY 1, 2, 3"""
+FROM {RANKED} JOIN checks USING (check_id) JOIN sevs USING (severity) GROUP BY 1, 2, 3"""
 SQL["evidence_bands"] = f"""
-WITH o AS (SELECT *, row_number() OVER (PARTITION BY check_id, file ORDER BY pos) AS p FROM {LIMITED})
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY check_id, file ORDER BY pos) AS p FROM {RANKED})
 SELECT check_id, file, CASE WHEN p <= 1 THEN 'shown' WHEN p <= 3 THEN 'listed' ELSE 'counted' END AS band, least(p, 4) AS place,
  count(*) AS n, min(CASE WHEN p <= 3 THEN location END) AS location, min(CASE WHEN p <= 3 THEN evidence END) AS evidence
 FROM o GROUP BY 1, 2, 3, 4"""
-SQL["suppressed_list"] = f"""
-SELECT check_id, file, fp AS fingerprint, left(evidence, 80) AS evidence FROM {HASHED} ORDER BY file, pos LIMIT 200"""
+SQL["suppressed_list"] = SQL["baseline_split"].replace(
+    "SELECT check_id, file, evidence, detail, pos, e IS NOT NULL AND NOT e AS suppressed, coalesce(e, false) AS expired_suppression",
+    "SELECT check_id, file, fp AS fingerprint, left(evidence, 80) AS evidence",
+) + " WHERE NOT e ORDER BY file, pos LIMIT 200"
 SQL["severity_gate"] = f"""
-WITH {CHECKS}, {SEVS}, low AS (SELECT min(rank) AS r FROM {RAW} JOIN checks USING (check_id) JOIN sevs USING (severity)
-                               WHERE check_id IN ('CFG-DEBUG', 'DATA-PHONE', 'CFG-RETENTION'))
+WITH {CHECKS}, {SEVS}, low AS (SELECT min(rank) AS r FROM {RAW} JOIN checks USING (check_id) JOIN sevs USING (severity))
 SELECT severity AS fail_on, coalesce(r <= rank, false) AS failed FROM sevs, low"""
 DOC_FILES = f"(SELECT file, count(*) AS items FROM {DOC_LINES} GROUP BY 1)"
 SQL["file_coverage"] = f"""
 SELECT CASE WHEN items > {ITEM_LIMIT} THEN 'partially_scanned' ELSE 'fully_scanned' END AS status, count(*) AS files FROM {DOC_FILES} GROUP BY 1"""
-_SHORT_LINES = f"(SELECT *, '' AS location FROM {DOC_LINES} WHERE item_idx <= {ITEM_LIMIT})"
+_LINES = f"(SELECT *, '' AS location FROM {DOC_LINES})"
 SQL["file_table"] = f"""
-WITH n AS (SELECT file, count(*) AS n FROM {contacts(_SHORT_LINES)} GROUP BY 1)
-SELECT file, 'text' AS type, least(items, {ITEM_LIMIT}) AS lines, items > {ITEM_LIMIT} AS truncated,
- CASE WHEN items > {ITEM_LIMIT} THEN 'partially_scanned' ELSE 'fully_scanned' END AS status, coalesce(n, 0) AS findings
+WITH n AS (SELECT file, count(*) AS n FROM {contacts(_LINES)} GROUP BY 1)
+SELECT file, 'text' AS type, items AS lines, false AS truncated, 'fully_scanned' AS status, coalesce(n, 0) AS findings
 FROM {DOC_FILES} LEFT JOIN n USING (file)"""
 SQL["omission_totals"] = f"""
 WITH s AS (SELECT * FROM {SCAN_LIMITED})
@@ -565,7 +569,7 @@ SELECT check_id, severity, count(DISTINCT file) AS files, CAST(sum(n) AS BIGINT)
 FROM hits JOIN checks USING (check_id) GROUP BY 1, 2"""
 _CELLS = (
     "(SELECT 'pages.parquet' AS file, page_id * 3 + 2 AS item_idx, '' AS location, url AS text FROM pages UNION ALL "
-    f"SELECT 'pages.parquet', page_id * 3 + 3, '', left(html, {X.MAX_TEXT}) FROM pages)"
+    f"SELECT 'pages.parquet', page_id * 3 + 3, '', html FROM pages)"
 )
 SQL["table_scan"] = f"""
 SELECT file, check_id, CAST(sum(n) AS BIGINT) AS occurrences

@@ -81,7 +81,7 @@ def scan_uploads(uploads: DataFrame, options: Options | None = None) -> ScanResu
     """Scan uploads; findings carry the bare file name and fingerprints use no root."""
     options = options or Options()
     spark = uploads.sparkSession
-    catalog = CAT.tables(spark, options.crosswalk)
+    catalog = CAT.with_rules(CAT.tables(spark, options.crosswalk), options.rules)
     texts = stage(
         name_uploads(uploads).select(
             "file", classify(F.col("file")).alias("type"), F.octet_length("bytes").alias("length"),
@@ -100,7 +100,7 @@ def scan_uploads(uploads: DataFrame, options: Options | None = None) -> ScanResu
     ).select("file", S.settings_format(F.col("file")).alias("format"), "text")
     settings, parsed = parse_settings(docs)
     parsed = stage(parsed)
-    signals = detect.signals(_within(items, options.item_limit), year=options.stamp_year, rules=options.rules)
+    signals = detect.signals(_within(items, options.item_limit), year=options.stamp_year, rules=options.rules, max_text=options.max_text)
     signals = stage(drop_parsed_lines(signals.select(*SIGNAL_COLUMNS), parsed))
     counts = items.groupBy("file").agg(F.max("item_idx").alias("items"))
     table = (

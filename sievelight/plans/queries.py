@@ -244,9 +244,9 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FN.merge(feeds.raw_findings(spark, sf_dir))
 
 
-def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings within the per-file limit, with fingerprints and confidence."""
-    found = FN.limit_per_file(_merged(spark, sf_dir), FILE_LIMIT)
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings with ranks, fingerprints and confidence."""
+    found = FN.limit_per_file(_merged(spark, sf_dir))
     return enrich.with_confidence(enrich.with_fingerprints(found, ROOT))
 
 
@@ -395,14 +395,14 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
 
 @query
 def baseline_split(spark, sf_dir):
-    found = _limited(spark, sf_dir)
+    found = _reported(spark, sf_dir)
     marked = BL.apply_baseline(found, baseline_rows(found), NOW)
     return marked.select("check_id", "file", "evidence", "detail", "pos", "suppressed", "expired_suppression")
 
 
 @query
 def baseline_entries(spark, sf_dir):
-    return BL.baseline_entries(_limited(spark, sf_dir), NOW, ROOT)
+    return BL.baseline_entries(_reported(spark, sf_dir), NOW, ROOT)
 
 
 @query
@@ -420,13 +420,13 @@ def baseline_latest(spark, sf_dir):
 
 @query
 def sarif_rules(spark, sf_dir):
-    rules = sarif.rules(_limited(spark, sf_dir), CAT.tables(spark), ["gdpr", "soc2"])
+    rules = sarif.rules(_reported(spark, sf_dir), CAT.tables(spark), ["gdpr", "soc2"])
     return rules.drop("first_seen")
 
 
 @query
 def sarif_results(spark, sf_dir):
-    rows = sarif.results(_limited(spark, sf_dir), CAT.tables(spark), ROOT)
+    rows = sarif.results(_reported(spark, sf_dir), CAT.tables(spark), ROOT)
     return rows.select(
         "rule_id", "level", "message", "uri", "start_line", "fingerprint", "confidence", "confidence_score",
         long("occurrence_count").alias("occurrence_count"),
@@ -473,7 +473,7 @@ def top_controls(spark, sf_dir):
 
 @query
 def finding_groups(spark, sf_dir):
-    found = _limited(spark, sf_dir).withColumn("expired_suppression", F.col("count") > 5)
+    found = _reported(spark, sf_dir).withColumn("expired_suppression", F.col("count") > 5)
     return report.finding_groups(found, CAT.tables(spark)).select(
         long("rank").alias("rank"), "check_id", "file", long("findings").alias("findings"),
         long("occurrences").alias("occurrences"), "confidence", "expired_suppression",
@@ -482,21 +482,24 @@ def finding_groups(spark, sf_dir):
 
 @query
 def evidence_bands(spark, sf_dir):
-    return report.evidence_bands(_limited(spark, sf_dir), shown=1, listed=3).select(
+    return report.evidence_bands(_reported(spark, sf_dir), shown=1, listed=3).select(
         "check_id", "file", "band", long("place").alias("place"), long("n").alias("n"), "location", "evidence"
     )
 
 
 @query
 def suppressed_list(spark, sf_dir):
-    return report.suppressed_list(_limited(spark, sf_dir))
+    """The report's list of what a baseline suppressed."""
+    found = _reported(spark, sf_dir)
+    marked = BL.apply_baseline(found, baseline_rows(found), NOW)
+    return report.suppressed_list(marked.filter("suppressed"))
 
 
 @query
 def severity_gate(spark, sf_dir):
-    """The gate at each severity, over findings of low rank only."""
+    """The gate at each severity, over all findings."""
     catalog = CAT.tables(spark)
-    found = feeds.raw_findings(spark, sf_dir).filter(F.col("check_id").isin("CFG-DEBUG", "DATA-PHONE", "CFG-RETENTION"))
+    found = feeds.raw_findings(spark, sf_dir)
     gates = None
     for severity in CAT.SEVERITY_RANK:
         row = report.gate(found, catalog, severity).withColumn("fail_on", F.lit(severity))
@@ -507,26 +510,24 @@ def severity_gate(spark, sf_dir):
 ITEM_LIMIT = 12
 
 
-def _document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _document_files(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     from .scan import file_status
 
     items = feeds.document_items(spark, sf_dir)
     counts = items.groupBy("file", F.col("ftype").alias("type")).agg(F.max("item_idx").alias("items"))
-    return file_status(counts.withColumn("config_parser", F.lit(None).cast("string")), ITEM_LIMIT)
+    return file_status(counts.withColumn("config_parser", F.lit(None).cast("string")), limit)
 
 
 @query
 def file_coverage(spark, sf_dir):
-    files = _document_files(spark, sf_dir)
+    files = _document_files(spark, sf_dir, ITEM_LIMIT)
     return report.coverage_counts(files).select("status", long("files").alias("files"))
 
 
 @query
 def file_table(spark, sf_dir):
-    files = _document_files(spark, sf_dir)
-    found = detect.signals(
-        feeds.document_items(spark, sf_dir).filter(F.col("item_idx") <= ITEM_LIMIT), year=YEAR, families=("contact",)
-    )
+    files = _document_files(spark, sf_dir, None)
+    found = detect.signals(feeds.document_items(spark, sf_dir), year=YEAR, families=("contact",))
     return report.file_table(files, found).select(
         "file", "type", "lines", "truncated", "status", long("findings").alias("findings")
     )
@@ -672,6 +673,21 @@ def table_scan(spark, sf_dir):
     return result.findings.groupBy("file", "check_id").agg(long(F.sum("count")).alias("occurrences"))
 
 
+@query
+def rule_scan(spark, sf_dir):
+    """Custom rules through a whole scan: relevance, merge, catalog and mappings."""
+    from .scan import Options, scan_items
+
+    talk = feeds.table(spark, sf_dir, "conversations").select(
+        F.concat(F.lit("talk/"), F.col("conv_id").cast("string")).alias("file"), F.lit("note").alias("ftype"),
+        F.col("turn").cast("bigint").alias("item_idx"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("location"), "text",
+    )
+    rules = [("USER-QUESTION", r"\?", "asks"), ("USER-THE", r"\bthe\b", "says the")]
+    found = scan_items(talk, Options(frameworks=["gdpr"], now=NOW, year=YEAR, rules=rules)).findings
+    own = found.filter(F.col("check_id").startswith("USER-"))
+    return own.groupBy("file", "check_id", "severity", "title", "category").agg(long(F.sum("count")).alias("occurrences"))
+
+
 @query
 def upload_scan(spark, sf_dir):
     """Scan of uploads: documents as base64 texts whose names repeat."""

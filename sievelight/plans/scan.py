@@ -23,7 +23,6 @@ from ..operators import auth, baseline as BL, config_tree, detect, enrich, findi
 from ..session import stage
 from ..sources import delimited, discovery, hidden, lines as L, settings as S, tables
 
-MAX_ITEMS = 500_000
 NOT_READ = ("xlsx", "xls", "ods", "pdf", "evtx")
 MISSING_READER = "optional dependency unavailable"
 
@@ -38,9 +37,10 @@ class Options:
     frameworks: Sequence[str] = ("all",)
     now: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
     year: int | None = None  # of syslog times, which have none
-    item_limit: int | None = MAX_ITEMS
-    file_limit: int = FN.MAX_FINDINGS_PER_FILE
-    scan_limit: int = FN.MAX_FINDINGS_PER_SCAN
+    item_limit: int | None = None  # items searched in a file
+    file_limit: int | None = None  # findings kept of a file
+    scan_limit: int | None = None  # findings kept of a scan
+    max_text: int | None = None  # characters searched in an item
     rules: Sequence[tuple[str, str, str]] = ()
     baseline: DataFrame | None = None
     crosswalk: DataFrame | str | None = None
@@ -81,7 +81,7 @@ def raw_findings(signals: DataFrame, settings: DataFrame | None = None) -> DataF
 def collect_findings(raw: DataFrame, options: Options, catalog: CAT.Catalog) -> DataFrame:
     """Relevance, masking pass, merge and both limits."""
     relevant = enrich.keep_relevant(raw, catalog, options.selected)
-    merged = stage(FN.merge(FN.insert(relevant), item_limit=options.item_limit))
+    merged = stage(FN.merge(FN.insert(relevant)))
     limited = FN.limit_per_file(merged, options.file_limit)
     return FN.limit_per_scan(limited, options.scan_limit)
 
@@ -135,13 +135,13 @@ def file_status(files: DataFrame, item_limit: int | None) -> DataFrame:
 def scan_items(items: DataFrame, options: Options | None = None) -> ScanResult:
     """Scan any numbered items (file, ftype, item_idx, location, text), such as those of a table."""
     options = options or Options()
-    catalog = CAT.tables(items.sparkSession, options.crosswalk)
+    catalog = CAT.with_rules(CAT.tables(items.sparkSession, options.crosswalk), options.rules)
+    counts = items.groupBy("file", F.col("ftype").alias("type")).agg(F.count("*").alias("items"))
     if options.item_limit is not None:
-        items = items.filter(F.col("item_idx") <= options.item_limit)
+        items = FN.first_items(items, options.item_limit)
     signals = stage(
-        detect.signals(items, year=options.stamp_year, rules=options.rules).select(*SIGNAL_COLUMNS)
+        detect.signals(items, year=options.stamp_year, rules=options.rules, max_text=options.max_text).select(*SIGNAL_COLUMNS)
     )
-    counts = items.groupBy("file", F.col("ftype").alias("type")).agg(F.max("item_idx").alias("items"))
     files = file_status(counts.withColumn("config_parser", F.lit(None).cast("string")), options.item_limit)
     found = collect_findings(raw_findings(signals), options, catalog)
     return finish(found, files, options, catalog, options.root)
@@ -159,7 +159,7 @@ def _text_part(spark, files, options):
             lines = L.read_lines(spark, uris, ftype)
             blocks = stage(L.block_table(lines))
             found = detect.signals(
-                lines, year=options.stamp_year, families=families_of(ftype), rules=options.rules
+                lines, year=options.stamp_year, families=families_of(ftype), rules=options.rules, max_text=options.max_text
             )
             counts = blocks.groupBy("path").agg(F.sum("n_lines").alias("items")).select(
                 L.plain_path(F.col("path")).alias("file"), "items", F.lit(None).cast("string").alias("error")
@@ -176,7 +176,7 @@ def families_of(ftype: str) -> tuple[str, ...]:
 
 def _hidden_part(files, options):
     items = hidden.read_hidden_lines(files.filter("hidden AND length > 0").select("uri", "file", F.col("type").alias("ftype")))
-    signals = detect.signals(items, year=options.stamp_year, rules=options.rules)
+    signals = detect.signals(items, year=options.stamp_year, rules=options.rules, max_text=options.max_text)
     counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
     return [(_within(signals, options.item_limit), counts.withColumn("error", F.lit(None).cast("string")))]
 
@@ -185,7 +185,7 @@ def _csv_part(spark, files, options):
     parts = []
     limit = options.item_limit
     for source in delimited.read_csv_items(spark, files.filter((F.col("type") == "csv") & ~F.col("hidden"))):
-        found = detect.signals(source.items, year=options.stamp_year, families=families_of("csv"))
+        found = detect.signals(source.items, year=options.stamp_year, families=families_of("csv"), rules=options.rules, max_text=options.max_text)
         if limit is not None and source.most_cells > limit:
             edges = tables.cell_edges(source.rows, "path", source.place, limit)
             found = tables.within_edges(found, edges, "path", source.place)
@@ -208,7 +208,7 @@ def _parquet_part(spark, files, options):
         return []
     table, names = tables.read_parquet(spark, [L.escape_globs(u) for u in uris])
     items = tables.table_items(table, F.col("__file"), F.col("__row"), names, place=True)
-    found = detect.signals(items, year=options.stamp_year, families=families_of("parquet"))
+    found = detect.signals(items, year=options.stamp_year, families=families_of("parquet"), rules=options.rules, max_text=options.max_text)
     rows = table.select(
         F.col("__file").alias("file"), F.col("__row").alias("row"), F.size(tables.filled_cells(table, names)).alias("n")
     )
@@ -267,7 +267,7 @@ def drop_parsed_lines(signals: DataFrame, parsed: DataFrame) -> DataFrame:
 def scan(spark: SparkSession, inputs: Sequence[str], options: Options | None = None) -> ScanResult:
     """Scan files and directories."""
     options = options or Options()
-    catalog = CAT.tables(spark, options.crosswalk)
+    catalog = CAT.with_rules(CAT.tables(spark, options.crosswalk), options.rules)
     inputs, named = discovery.usable_inputs(spark, inputs)
     if not inputs:
         raise ValueError("no readable input files found")

@@ -27,18 +27,25 @@ def build_session(app: str = "sievelight", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, for staged tables."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievelight-"))
+    return context.getCheckpointDir()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared checkpoint folder and read it back.
 
     Used where a result is needed more than once and is far smaller than its
     input.  The folder is the one the cluster names in `spark.checkpoint.dir`;
-    a local folder is chosen only when no folder is named, as in tests.
+    only a session whose master is local may go without, and gets a local folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievelight-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import detect
+from ..session import shared_folder
 
 
 def line_signals(items: DataFrame, *, year: int, families: Iterable[str] = detect.FAMILIES) -> DataFrame:
@@ -17,9 +17,8 @@ def line_signals(items: DataFrame, *, year: int, families: Iterable[str] = detec
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a local one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="sievelight-stream-")
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -44,6 +44,13 @@ def test_coverage_of_checks(catalog):
     assert {r.id for r in CAT.uncovered_frameworks(catalog).collect()} == {"iso50001", "osha", "tcfd"}
 
 
+def test_references_are_complete(catalog):
+    assert sum(len(v) for v in CAT.CROSSWALK.values()) == 612
+    assert catalog.check_controls.count() == 773
+    rows = {(r.framework, r.pos): r.control for r in catalog.check_controls.filter("check_id = 'LOG-SPRAY'").collect()}
+    assert rows["iso27017", 2] == "CLD.12.4.5" and rows["iso27001", 0] == "A.8.15" and rows["cis", 1] == "6.2"
+
+
 def test_framework_names():
     assert CAT.resolve_frameworks(["PCI_DSS", "cpra", "ISO", "gdpr", "GDPR"]) == ["pci-dss", "ccpa", "iso27001", "gdpr"]
     assert len(CAT.resolve_frameworks(["gdpr", "all"])) == 23

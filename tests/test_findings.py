@@ -42,14 +42,15 @@ def small_chunks(monkeypatch):
     monkeypatch.setattr(FN, "RANK_RUN", 64)
 
 
-@pytest.mark.parametrize("item_limit", [500_000, None, 100])
-def test_merge_like_the_model(spark, small_chunks, item_limit):
+@pytest.mark.parametrize("steps", [2, 0])
+def test_merge_like_the_model(spark, small_chunks, monkeypatch, steps):
+    monkeypatch.setattr(FN, "MERGE_STEPS", steps)
     rows = random_rows(1, 1500)
     got = {
         (r.file, r.check_id, r.evidence, r.detail if r["count"] > 1 and r.evidence is None else r.location): (
             r["count"], r.confidence_score, r.detail, tuple(r.sample_locations),
         )
-        for r in FN.merge(frame(spark, rows), item_limit=item_limit).collect()
+        for r in FN.merge(frame(spark, rows)).collect()
     }
     want = {
         (v["file"], v["check_id"], v["evidence"], v["location"]): (

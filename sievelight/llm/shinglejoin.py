@@ -221,48 +221,59 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return written(told.mapInArrow(keep, "a bigint, b bigint"), "plausible")
 
 
-def _fetch(documents: DataFrame, pairs: DataFrame, facts: DataFrame, width: int) -> DataFrame:
-    """(set, features) of the sets in pairs, from one document each; written."""
-    found = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    rows = written(facts.join(found, "set", "left_semi").select("row"), "rows")
-    few = rows.count() <= SENT_IDS
-    chosen = documents.select("row", "text").join(F.broadcast(rows) if few else rows, "row").select("text")
+def _compare(documents: DataFrame, pairs: DataFrame, facts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; written.
+
+    A pair's sets are made from the texts of one document each and sent to where
+    they meet: a first set goes there once for up to `COMPARED` others.
+    """
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("parts"))
+    dealt = written(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "dealt")
+    sends = dealt.select(F.col("b").alias("set"), "a", "part", F.lit(1).alias("role")).union(
+        dealt.select(F.col("a").alias("set"), "a", "part", F.lit(0).alias("role")).distinct()
+    )
+    sends = written(sends.join(facts.select("set", "row"), "set").select("row", "set", "a", "part", "role"), "sends")
+    few = sends.count() <= SENT_IDS
+    chosen = documents.select("row", "text").join(F.broadcast(sends) if few else sends, "row")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, begins in chunks(batch.column(0)):
-                feature, text, count = _sets(data, begins, width)
-                own = set_hash(feature, text, last - first)
+            for first, last, data, begins in chunks(batch.column(4)):
+                feature, _, count = _sets(data, begins, width)
                 each = np.split(feature, np.cumsum(count)[:-1])
+                told = [batch.column(i).slice(first, last - first) for i in range(4)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.view(np.int64)), pa.array([e.tobytes() for e in each], pa.binary())], names=["set", "features"]
+                    [*told, pa.array([e.tobytes() for e in each], pa.binary())], names=["a", "part", "role", "set", "features"]
                 )
 
-    # A row that is repeated as a whole gives its set more than once.
-    return written(chosen.mapInArrow(make, "set bigint, features binary").dropDuplicates(["set"]), "sets")
-
-
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; written.  A first set meets so many others in a task, no more."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("parts"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    others = dealt.join(sets.select(F.col("set").alias("b"), F.col("features").alias("other")), "b")
-    firsts = dealt.select(F.col("a").alias("first"), F.col("part").alias("piece")).distinct()
-    firsts = firsts.join(sets.select(F.col("set").alias("first"), "features"), "first")
-
-    def compare(one: pa.Table, rest: pa.Table) -> pa.Table:
-        a, b = [], []
-        if one.num_rows:
-            own = np.frombuffer(one["features"][0].as_buffer(), dtype=np.uint64)
-            for i in range(rest.num_rows):
-                other = np.frombuffer(rest["other"][i].as_buffer(), dtype=np.uint64)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= 75 * (len(own) + len(other) - both):
-                    a.append(one["first"][0].as_py())
-                    b.append(rest["b"][i].as_py())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return written(firsts.groupBy("first", "piece").cogroup(others.groupBy("a", "part")).applyInArrow(compare, "a bigint, b bigint"), "similar")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, key = np.zeros(0, np.uint64), None
+        for batch in batches:
+            a, b = [], []
+            columns = [c.to_pylist() for c in batch.columns[:4]]
+            for i, (first, part, role, other) in enumerate(zip(*columns, strict=True)):
+                features = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.uint64)
+                if role == 0:
+                    own, key = features.copy(), (first, part)
+                elif key == (first, part):
+                    both = len(np.intersect1d(own, features, assume_unique=True))
+                    if 100 * both >= 75 * (len(own) + len(features) - both):
+                        a.append(first)
+                        b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    made = chosen.select("a", "part", "role", "set", "text").mapInArrow(make, "a bigint, part bigint, role int, set bigint, features binary")
+    met = made.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    return written(met.mapInArrow(compare, "a bigint, b bigint"), "similar")
+
+
+def _wide(runs: DataFrame) -> DataFrame:
+    """The runs of three sets or more, one of those with the same sets; written.  Smaller ones are done with their first pair."""
+    told = runs.groupBy("run").agg(
+        F.first("a").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("b")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "b")).alias("y")
+    )
+    one = told.filter("n > 1").groupBy("a", "n", "x", "y").agg(F.min("run").alias("run")).select("run")
+    return written(runs.join(one, "run", "left_semi"), "wide-runs")
 
 
 def _further(runs: DataFrame, labels: DataFrame, facts: DataFrame, best: int | None) -> DataFrame:
@@ -276,26 +287,33 @@ def _further(runs: DataFrame, labels: DataFrame, facts: DataFrame, best: int | N
     ).select("run", "m.set", "m.label").distinct()
     members = members.join(facts.select("set", "sketch", "size"), "set")
 
+    buckets = partitions(runs.sparkSession)
+    members = members.withColumn("bucket", F.pmod(F.xxhash64("run"), F.lit(buckets)).cast("int"))
+
     def pair(table: pa.Table) -> pa.Table:
-        own, label, size = (np.asarray(table[c]) for c in ("set", "label", "size"))
+        run, own, label, size = (np.asarray(table[c]) for c in ("run", "set", "label", "size"))
         sketch = _bits(table["sketch"])
-        order = np.argsort(size, kind="stable")
-        own, label, size, sketch = own[order], label[order], size[order], sketch[order]
-        upto = np.searchsorted(size, 4 * size // 3, "right")
-        a, b = [], []
-        for i in range(len(own) - 1):
-            rest = np.arange(i + 1, upto[i])
-            rest = rest[label[rest] != label[i]]
-            apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-            close = 7 * apart <= size[rest] + size[i]
-            rest = rest[close]
-            if best is not None:
-                rest = rest[np.argsort(apart[close], kind="stable")[:best]]
-            a.append(np.minimum(own[i], own[rest]))
-            b.append(np.maximum(own[i], own[rest]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)} if a else {"a": own[:0], "b": own[:0]})
-
-    return members.groupBy("run").applyInArrow(pair, "a bigint, b bigint").distinct()
+        order = np.lexsort((size, run))
+        run, own, label, size, sketch = run[order], own[order], label[order], size[order], sketch[order]
+        edge = np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)]
+        a, b = [own[:0]], [own[:0]]
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            upto = lo + np.searchsorted(size[lo:hi], 4 * size[lo:hi] // 3, "right")
+            for i in range(lo, hi - 1):
+                rest = np.arange(i + 1, upto[i - lo])
+                rest = rest[label[rest] != label[i]]
+                if not len(rest):
+                    continue
+                apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                close = 7 * apart <= size[rest] + size[i]
+                rest = rest[close]
+                if best is not None:
+                    rest = rest[np.argsort(apart[close], kind="stable")[:best]]
+                a.append(np.minimum(own[i], own[rest]))
+                b.append(np.maximum(own[i], own[rest]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return members.groupBy("bucket").applyInArrow(pair, "a bigint, b bigint").distinct()
 
 
 def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -316,13 +334,13 @@ def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     facts = written(facts.agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "facts")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        close = _plausible(pairs, facts)
-        return _compare(close, _fetch(source, close, facts, width))
+        return _compare(source, _plausible(pairs, facts), facts, width)
 
     links, tested = compared(pairs), pairs
     labels = components(links)
+    wide = _wide(runs)
     for best in (3, None):
-        more = written(_further(runs, labels, facts, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = written(_further(wide, labels, facts, best).join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links, tested = links.union(compared(more)), tested.union(more)
             labels = components(links)

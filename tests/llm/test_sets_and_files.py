@@ -53,7 +53,7 @@ def cut(texts):
             if starts[t[p : p + 400]] > 1:
                 on[p : p + 400] = b"\1" * 400
         kept = bytes(b for b, x in zip(t, on, strict=True) if not x)
-        out.append((len(t), sum(on), len(re.findall(rb"\1+", bytes(on))), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), sum(on), len(re.findall(rb"\x01+", bytes(on))), hashlib.sha256(kept).hexdigest()))
     return out
 
 

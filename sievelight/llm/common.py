@@ -56,11 +56,6 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def document_columns(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only, so that further columns of any name are no matter."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def nullable(fields: list[T.StructField]) -> list[T.StructField]:
     """The fields, each allowed to be null, for tables whose rows are of several kinds."""
     return [T.StructField(f.name, f.dataType) for f in fields]

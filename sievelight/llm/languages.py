@@ -30,7 +30,7 @@ STEPS = 12
 #: What a text is called that is null or has no letter.
 UNKNOWN = "und"
 #: A mixture's leading language must hold this share for the text to be kept by `identified`.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 _LETTER = np.array([97 <= b <= 122 or 65 <= b <= 90 or b >= 128 for b in range(256)])
 _LETTERS_AT_ONCE = 1 << 21

@@ -39,7 +39,7 @@ BAND = 4
 SINGLE = 64
 #: One document in so many tells which features are common; common is what so many of those hold; of those at most so many are sent to tasks.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 1 << 18
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
 #: Signatures a task packs before it hands them on.
 PACKED = 1_000_000
 #: Ids up to this many are sent to all tasks to pick documents; more are joined.
@@ -277,7 +277,10 @@ def _wide(runs: DataFrame) -> DataFrame:
 
 
 def _further(runs: DataFrame, labels: DataFrame, facts: DataFrame, best: int | None) -> DataFrame:
-    """Pairs of one run, of different components, that their sketches do not rule out: each set's `best`, or all."""
+    """Pairs of one run, of different components, that their sketches do not rule out: each set's `best`, or all; written.
+
+    (a, b, run), run being given where a set had more than `best`: other runs need no further look.
+    """
     label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
     told = runs.join(label("a"), "a", "left").join(label("b"), "b", "left")
     mine = {s: F.coalesce(f"label_{s}", s) for s in ("a", "b")}
@@ -296,7 +299,7 @@ def _further(runs: DataFrame, labels: DataFrame, facts: DataFrame, best: int | N
         order = np.lexsort((size, run))
         run, own, label, size, sketch = run[order], own[order], label[order], size[order], sketch[order]
         edge = np.r_[np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), len(run)]
-        a, b = [own[:0]], [own[:0]]
+        a, b, open_run = [own[:0]], [own[:0]], [own[:0]]
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             upto = lo + np.searchsorted(size[lo:hi], 4 * size[lo:hi] // 3, "right")
             for i in range(lo, hi - 1):
@@ -307,13 +310,16 @@ def _further(runs: DataFrame, labels: DataFrame, facts: DataFrame, best: int | N
                 apart = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1, dtype=np.int64)
                 close = 7 * apart <= size[rest] + size[i]
                 rest = rest[close]
-                if best is not None:
+                more = best is not None and len(rest) > best
+                if more:
                     rest = rest[np.argsort(apart[close], kind="stable")[:best]]
+                open_run.append(np.full(len(rest), run[lo] if more else 0))
                 a.append(np.minimum(own[i], own[rest]))
                 b.append(np.maximum(own[i], own[rest]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "run": np.concatenate(open_run)})
 
-    return members.groupBy("bucket").applyInArrow(pair, "a bigint, b bigint").distinct()
+    found = members.groupBy("bucket").applyInArrow(pair, "a bigint, b bigint, run bigint")
+    return written(found.withColumn("run", F.when(F.col("run") != 0, F.col("run"))), "further")
 
 
 def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -340,10 +346,14 @@ def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     labels = components(links)
     wide = _wide(runs)
     for best in (3, None):
-        more = written(_further(wide, labels, facts, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _further(wide, labels, facts, best)
+        more = written(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             links, tested = links.union(compared(more)), tested.union(more)
             labels = components(links)
+        wide = wide.join(found.filter(F.col("run").isNotNull()).select("run").distinct(), "run", "left_semi")
+        if wide.isEmpty():
+            break
     return docs, labels
 
 

@@ -77,10 +77,13 @@ def test_a_failure_hides_a_change(make_items):
     assert checks(make_items(lines, ftype="log"), "log") == {(1, "LOG-PRIV-FAIL")}
 
 
-def test_whole_texts_up_to_the_line_limit(make_items):
+def test_whole_texts_and_a_limit_on_request(make_items):
     tail = "x" * 19_950 + " 4111 1111 1111 1111"
     beyond = "x" * 20_000 + " 4111 1111 1111 1111"
-    assert checks(make_items([tail, beyond]), "content") == {(1, "DATA-PAN")}
+    items = make_items([tail, beyond])
+    assert checks(items, "content") == {(1, "DATA-PAN"), (2, "DATA-PAN")}
+    limited = detect.signals(items, year=2026, families=("content",), max_text=20_000).filter(F.col("kind") == "finding")
+    assert {(r.item_idx, r.check_id) for r in limited.collect()} == {(1, "DATA-PAN")}
 
 
 def test_parsed_settings(spark):

@@ -14,9 +14,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose lines that stand on more than a tenth of their source's documents; n_chars follows."""
-    clean = lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return clean.select(*docs.columns)
+    """Texts lose lines that stand on more than `lines.RATIO` of their source's documents; n_chars follows.
+
+    A text of which nothing would be left stays whole: it stands there in copies, which the next stage settles.
+    """
+    clean = lines.drop_boilerplate(docs.withColumn("_whole", F.col("text")))
+    empty = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
+    clean = clean.withColumn("text", F.when(empty, F.col("_whole")).otherwise(F.col("text")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,3 +260,12 @@ def test_pipeline(spark, small):
     shares = brute_targets({s: sum(r.size for r in mixed if r.source == s) for s in {r.source for r in mixed}})
     for s, t in shares.items():
         assert abs(sum(r.taken for r in mixed if r.source == s) - t) <= max(1, 0.01 * t)
+
+
+def test_pipeline_keeps_texts_that_stand_in_copies(spark, documents):
+    """A text of which every line stands on many pages is not emptied before copies are settled."""
+    docs = documents(["a whole\n text"] * 6 + [f"own {i}\nfooter" for i in range(20)] + ["", "\n"]).withColumn("n_chars", F.lit(0).cast("long"))
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert {got[i] for i in range(6)} == {("a whole\n text", 13)}
+    assert [got[6 + i] for i in range(20)] == [(f"own {i}", len(f"own {i}")) for i in range(20)]
+    assert got[26] == ("", 0) and got[27] == ("\n", 1)

@@ -165,3 +165,11 @@ def test_lines(odd, nothing, sent):
     assert sorted(str((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in got.collect()) == sorted(want)
     assert drop and got.columns == [*odd.columns, "n_lines", "n_dropped"]
     assert lines.drop_boilerplate(nothing, sent=sent).isEmpty()
+
+
+def test_lines_on_a_few_per_cent_of_pages(documents):
+    """A line on 3 % of a host's pages goes, one on 4 pages and those of one page stay."""
+    pages = [[f"own {i}", *["planted"] * (i % 33 == 0), *["by chance"] * (i < 4)] for i in range(500)]
+    got = {r.doc_id: r for r in lines.report(documents(["\n".join(p) for p in pages])).collect()}
+    for i, page in enumerate(pages):
+        assert got[i].text == "\n".join(x for x in page if x != "planted") and got[i].n_dropped == page.count("planted")

@@ -151,7 +151,9 @@ def repeated(stretches: list[np.ndarray], anchors: np.ndarray, counts: np.ndarra
     ahead = np.array([min((c - r) % PERIOD for c in COVER) for r in residue])
     cover = suffix + ahead[suffix % PERIOD]
     both = _period_rank(text, np.concatenate([suffix, suffix + LENGTH - PERIOD]))
-    order = _rank(both[: len(suffix)], ranks[12][number[cover]], both[len(suffix) :])
+    # Equal strings lie alike from their anchors, so at one residue; without it, two that share a cover position would pass for equal.
+    start = (suffix % PERIOD).astype(np.uint64) << np.uint64(32) | both[: len(suffix)]
+    order = _rank(start, ranks[12][number[cover]], both[len(suffix) :])
     many = np.bincount(order)[order] > 1
     return np.split(many, np.cumsum(counts)[:-1])
 

@@ -69,6 +69,20 @@ def test_substrings(documents, large):
     assert [tuple(r)[1:] for r in got] == cut([(t or "").encode() for t in texts])
 
 
+@pytest.mark.parametrize("large", [substrings.LARGE, 2])
+def test_substrings_between_rules(documents, large):
+    """Rules around text whose inner piece stands elsewhere: the 400-byte strings are alike at both ends only."""
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for i, (line, inner) in enumerate([("-", 320), ("=", 200), (" ", 64), ("-=", 320), ("=--", 320), (" .  ", 310), ("-+", 100)] * 3):
+        rule, shared = (line * 50)[: 45 + i], make(inner)
+        fill = make(320 - inner)
+        texts += [rule + fill + shared + rule, (line * 50)[1 : 46 + i] + shared + make(320 - inner) + rule, make(60) + shared + make(60)]
+    got = substrings.report(documents(texts), large).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == cut([t.encode() for t in texts])
+
+
 def test_substrings_odd(odd, nothing):
     got = substrings.report(odd)
     assert got.count() == odd.count()

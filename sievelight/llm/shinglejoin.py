@@ -379,15 +379,22 @@ def classes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 def one_of_each(documents: DataFrame) -> DataFrame:
     """`documents` with one row of each class: that of least id, then least digest of its text; rows without words all stay.
 
-    Repeated rows of one id and text are one document here and give one row.
+    Repeated rows of one id and text (or of no id) are one document here and give one row, that with the least other columns.
     """
     docs, labels = similar_sets(documents)
     known = docs.filter(F.col("n_shingles") > 0).join(labels.withColumnRenamed("node", "set"), "set", "left")
     known = known.groupBy(F.coalesce("label", "set")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("kept"))
-    # The survivors are a large share of all rows, what goes is not: the join takes out what goes.
-    kept = written(known.select(F.col("kept.row").alias("_row")), "kept")
-    gone = docs.filter(F.col("n_shingles") > 0).select(F.col("row").alias("_row")).distinct().join(kept, "_row", "left_anti")
-    gone = written(gone, "gone")
-    rest = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
-    rest = rest.join(F.broadcast(gone) if gone.count() <= SENT_IDS else gone, "_row", "left_anti")
-    return rest.drop("_row")
+    # The survivors are a large share of all rows, what goes is not: the join takes out what goes, and what is there repeatedly.
+    kept = written(known.select(F.col("kept.row").alias("_row"), F.lit(True).alias("twice")), "kept")
+    rows = docs.filter(F.col("n_shingles") > 0).groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("n"))
+    gone = rows.join(kept, "_row", "left").filter(F.col("twice").isNull() | (F.col("n") > 1))
+    gone = written(gone.select("_row", F.coalesce("twice", F.lit(False)).alias("twice")), "gone")
+    sent = F.broadcast if gone.count() <= SENT_IDS else lambda table: table
+    given = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
+    rest = given.join(sent(gone.select("_row")), "_row", "left_anti").drop("_row")
+    twice = gone.filter("twice").select("_row")
+    if twice.isEmpty():
+        return rest
+    # Combined before it is shuffled, so one row may be there any number of times.
+    once = given.join(sent(twice), "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).alias("one"))
+    return rest.unionByName(once.select("one.*"))

@@ -154,6 +154,22 @@ def test_similar_sets_odd(odd, nothing):
     assert shinglejoin.classes(nothing).isEmpty() and shinglejoin.one_of_each(nothing).isEmpty()
 
 
+@pytest.mark.parametrize("sent", [shinglejoin.SENT_IDS, 0])
+def test_one_of_each_leaves_one_row(documents, monkeypatch, sent):
+    """Repeated rows and copies without an id give one row too; rows without words all stay."""
+    monkeypatch.setattr(shinglejoin, "SENT_IDS", sent)
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    near = text("b") + " more"
+    given = [(0, text("a"))] * 3 + [(1, text("a")), (None, text("a"))] + [(None, text("b"))] * 4 + [(None, near)] * 2
+    given += [(5, text("c")), (5, text("c") + " more")] * 2 + [(7, text("d"))] + [(8, "")] * 2 + [(None, None)] * 2
+    docs = documents([(i, t, None, f"s{n}", "x", "x", "x", "x") for n, (i, t) in enumerate(given)])
+    kept = shinglejoin.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, (r.text or "")[:2]) for r in kept.collect())
+    assert got == {(0, "a0"): 1, (None, "b0"): 1, (5, "c0"): 1, (7, "d0"): 1, (8, ""): 2, (None, ""): 2}
+    assert [r.source for r in kept.filter("doc_id = 0").collect()] == ["s0"]
+
+
 def test_signatures_meet():
     """Any set and one as unlike as may be share a signature."""
     rng = np.random.default_rng(4)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .classify import classify, is_structured
 from .hidden import list_hidden
-from .lines import plain_path, wanted
+from .lines import as_uri, plain_path, wanted
 
 
 def usable_inputs(spark: SparkSession, inputs: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -19,14 +19,15 @@ def usable_inputs(spark: SparkSession, inputs: Sequence[str]) -> tuple[list[str]
 
     kept, named = [], []
     for item in dict.fromkeys(inputs):
-        system, place = fs.FileSystem.from_uri(item if "://" in item else "file://" + item)
+        uri = as_uri(item)
+        system, place = fs.FileSystem.from_uri(uri)
         kind = system.get_file_info(place).type
         if kind == fs.FileType.NotFound:
             warnings.warn(f"path not found, skipped: {item}", stacklevel=2)
             continue
         kept.append(item)
         if kind == fs.FileType.File:
-            named.append(item.removeprefix("file://"))
+            named.append(uri.removeprefix("file://"))
     return kept, named
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .classify import classify
-from .lines import LINE_TYPES, plain_path, wanted
+from .lines import LINE_TYPES, as_uri, plain_path, wanted
 
 BATCH = 2_000
 
@@ -57,7 +57,7 @@ def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def list_hidden(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
     """(uri, file, ftype, length) of hidden and of empty files that take part in a scan."""
-    uris = [(i if "://" in i else "file://" + i,) for i in inputs]
+    uris = [(as_uri(i),) for i in inputs]
     listed = (
         spark.createDataFrame(uris, "input string")
         .repartition(len(uris))

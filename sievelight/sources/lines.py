@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -17,6 +18,13 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
+def as_uri(path: str) -> str:
+    """`/a`, `file:/a`, `file://a` and `file:///a` spelt `file:///a`, relative paths made absolute; other schemes untouched."""
+    if path.startswith("file:"):
+        return "file:///" + path.removeprefix("file:").lstrip("/")
+    return path if "://" in path else "file://" + os.path.abspath(path)
+
+
 def wanted(path: Column, named: Sequence[str]) -> Column:
     """Files named by the caller, and the supported files of directories."""
     listed = is_supported(path)

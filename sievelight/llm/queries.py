@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, languages, lines, mixing, neighbours, quality, shinglejoin, substrings, suffixtree, warc
+from . import contamination, divergence, languages, lines, mixing, neighbours, quality, shinglejoin, substrings, suffixtree, warc
 from .common import remainder
 
 
@@ -60,6 +60,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and each source's most telling terms."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_mixing,
         op10_nearest_neighbours,
+        op13_source_divergence,
     )
 }
 
@@ -81,4 +87,5 @@ SQL: dict[str, str] = {
     "op3_warc": warc.ROUND_TRIP_SQL,
     "op8_line_dedup": lines.REPORT_SQL,
     "op10_nearest_neighbours": neighbours.op_sql(),
+    "op13_source_divergence": divergence.AUDIT_SQL,
 }

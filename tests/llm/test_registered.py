@@ -17,7 +17,7 @@ from sievelight.llm import queries  # noqa: E402
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 

@@ -157,13 +157,12 @@ def test_no_input(spark, tmp_path):
         SC.scan(spark, [str(tmp_path / "none")])
 
 
-@pytest.mark.parametrize("lead", ["", "file:", "file://"])
-def test_spellings_of_a_folder(spark, tmp_path, lead):
+def test_spellings_of_a_folder(spark, tmp_path):
     put(tmp_path, "a.txt", "4111 1111 1111 1111\n")
     put(tmp_path, ".env", "DEBUG=true\n")
     put(tmp_path, "c.csv", "k,v\n1,4111 1111 1111 1111\n")
-    assert L.as_uri(lead + str(tmp_path)) == "file://" + str(tmp_path)
-    found = SC.scan(spark, [lead + str(tmp_path)], SC.Options(now=NOW)).findings.collect()
+    assert {L.as_uri(lead + str(tmp_path)) for lead in ("", "file:", "file://")} == {"file://" + str(tmp_path)}
+    found = SC.scan(spark, ["file:" + str(tmp_path)], SC.Options(now=NOW)).findings.collect()
     assert sorted((r.file.rsplit("/", 1)[1], r.check_id) for r in found) == [
         (".env", "CFG-DEBUG"), ("a.txt", "DATA-PAN"), ("c.csv", "DATA-PAN"),
     ]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, divergence, languages, lines, mixing, neighbours, quality, shinglejoin, substrings, suffixtree, warc
+from . import contamination, divergence, hardnegatives, languages, lines, mixing, neighbours, quality, shinglejoin, substrings, suffixtree, warc
 from .common import remainder
 
 
@@ -60,6 +60,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives that score nearly as high as each anchor's positives; every seventh row carries a wrong label."""
+    return hardnegatives.mine(_table(spark, sf_dir, "embeddings"), hardnegatives.moved_labels())
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are apart, and each source's most telling terms."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_mixing,
         op10_nearest_neighbours,
+        op11_hard_negatives,
         op13_source_divergence,
     )
 }
@@ -87,5 +93,6 @@ SQL: dict[str, str] = {
     "op3_warc": warc.ROUND_TRIP_SQL,
     "op8_line_dedup": lines.REPORT_SQL,
     "op10_nearest_neighbours": neighbours.op_sql(),
+    "op11_hard_negatives": hardnegatives.MINE_SQL,
     "op13_source_divergence": divergence.AUDIT_SQL,
 }

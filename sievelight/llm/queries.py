@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, divergence, hardnegatives, languages, lines, mixing, neighbours, quality, shinglejoin, substrings, suffixtree, warc
+from . import contamination, divergence, hardnegatives, languages, lines, mixing, neighbours, outliers, quality, shinglejoin, substrings, suffixtree, warc
 from .common import remainder
 
 
@@ -65,6 +65,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(_table(spark, sf_dir, "embeddings"), hardnegatives.moved_labels())
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard rules, and outliers among the statistics of each language and source."""
+    return outliers.judge(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language are apart, and each source's most telling terms."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mixing,
         op10_nearest_neighbours,
         op11_hard_negatives,
+        op12_quality_rules,
         op13_source_divergence,
     )
 }

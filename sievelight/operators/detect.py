@@ -221,11 +221,14 @@ def signals(
     families: Iterable[str] = FAMILIES,
     rules: Iterable[tuple[str, str, str]] = (),
     max_text: int | None = None,
+    inside: Iterable[str] | None = None,
 ) -> DataFrame:
     """One row per thing found in `items`; all columns of an item but its text are kept.
 
     `items` needs `ftype` and `text`.  `kind` tells the four row types apart:
     finding, email, phone, auth.  Items are searched whole unless `max_text` is given.
+    With `inside`, items without a hit are kept too, and a hit is one column `found`, a
+    struct that also holds the columns named.
     """
     carried = [c for c in items.columns if c != "text"]
     families, rules = tuple(families), tuple(rules)
@@ -240,6 +243,9 @@ def signals(
     )
     # The array goes straight into `inline`: as a named column it would be worked
     # out once more for the "is it empty" filter that Catalyst adds below it.
+    if inside is not None:
+        every = lines.select(*carried, "text", F.inline_outer(hits))
+        return every.select(*carried, F.when(F.col("kind").isNotNull(), F.struct(*inside, *found_columns)).alias("found"))
     found = lines.select(*carried, "text", F.inline(hits))
     return found.select(*carried, *found_columns)
 

@@ -140,6 +140,43 @@ def env_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- CSV records, one per order; as text, for no writer writes them so ----------------
+CSV_HEADER = "'key,note,status'"
+CSV_RECORD = "CAST(o_orderkey AS STRING) || " + case(
+    "o_orderkey % 9",
+    [
+        """',5" pipe,' || o_orderstatus""", """',"say ""x"", y",' || o_orderstatus""", """',"two' || chr(10) || 'lines",' || o_orderstatus""",
+        "',' || o_orderpriority", "',a,b,extra ' || o_orderstatus", """',"q" tail,' || o_orderstatus""", "',,' || o_orderstatus",
+        """',"open, ' || chr(10) || chr(10) || 'a ""b""' || chr(10) || ',c",' || o_orderstatus""", "',' || o_orderpriority || ',' || o_orderstatus",
+    ],
+)
+#: Cells two, three and four of each record.
+CSV_CELLS = tuple(
+    case("o_orderkey % 9", values)
+    for values in (
+        ["'5\" pipe'", "'say \"x\", y'", "'two' || chr(10) || 'lines'", "o_orderpriority", "'a'", "'q tail'", "''",
+         "'open, ' || chr(10) || chr(10) || 'a \"b\"' || chr(10) || ',c'", "o_orderpriority"],
+        ["o_orderstatus", "o_orderstatus", "o_orderstatus", "''", "'b'", "o_orderstatus", "o_orderstatus", "o_orderstatus", "o_orderstatus"],
+        ["''", "''", "''", "''", "'extra ' || o_orderstatus", "''", "''", "''", "''"],
+    )
+)
+CSV_FILES = 4
+
+
+def csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The orders as CSV files, dealt by key; every file begins with the header.  Gives the folder."""
+    from ..streaming.lines import work_folder
+
+    orders = table(spark, sf_dir, "orders")
+    file = F.col("o_orderkey") % CSV_FILES
+    records = orders.select(file.alias("file"), "o_orderkey", F.expr(CSV_RECORD).alias("value"))
+    heads = records.select("file").distinct().select("file", F.lit(-1).cast("bigint").alias("o_orderkey"), F.expr(CSV_HEADER).alias("value"))
+    folder = work_folder(spark)
+    both = records.unionByName(heads).repartition(CSV_FILES, "file").sortWithinPartitions("file", "o_orderkey")
+    both.select("file", "value").write.partitionBy("file").text(f"{folder}/text")
+    return f"{folder}/text"
+
+
 # --- login lines, one per event -------------------------------------------------------
 _GROUP = whole("event_id", 60)
 _SECOND = f"(event_id * 2 + CASE WHEN event_id % 173 = 0 THEN -900 ELSE 0 END + 4000 * ({_GROUP} % 5) + 2000)"

@@ -576,12 +576,17 @@ SELECT file, check_id, CAST(sum(n) AS BIGINT) AS occurrences
 FROM (SELECT file, 'DATA-PAN' AS check_id, 1 AS n FROM {cards(_CELLS)} UNION ALL {bulk(_CELLS)}) GROUP BY 1, 2"""
 
 SQL["numbered_lines"] = "SELECT count(*) AS lines, CAST(0 AS BIGINT) AS wrong FROM orders"
-_NOTE = """CASE WHEN o_orderkey % 7 = 0 THEN 'say "x", y' WHEN o_orderkey % 5 = 0 THEN 'two' || chr(10) || 'lines'
- WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END"""
-SQL["csv_cells"] = " UNION ALL ".join(
-    f"SELECT '{name}' AS \"column\", count(v) AS cells, count(DISTINCT v) AS texts, max(v) AS last FROM (SELECT CAST({v} AS VARCHAR) AS v FROM orders)"
-    for name, v in (("o_orderkey", "o_orderkey"), ("o_orderstatus", "o_orderstatus"), ("note", _NOTE))
+_CSV_ROWS = f"""(SELECT o_orderkey, o_orderpriority, o_orderstatus, 1 + row_number() OVER (PARTITION BY o_orderkey % {feeds.CSV_FILES} ORDER BY o_orderkey) AS r
+ FROM orders)"""
+_CSV_COLUMNS = zip(("key", "note", "status", "col 4"), ("CAST(o_orderkey AS VARCHAR)", *feeds.CSV_CELLS))
+_CSV_HEADS = " UNION ALL ".join(
+    f"SELECT 'col {i}' AS name, '{h}' AS v, 1 AS r FROM (SELECT DISTINCT o_orderkey % {feeds.CSV_FILES} FROM orders)"
+    for i, h in enumerate(("key", "note", "status"), 1)
 )
+SQL["csv_cells"] = f"""
+WITH c AS ({" UNION ALL ".join(f"SELECT '{name}' AS name, {v} AS v, r FROM {_CSV_ROWS}" for name, v in _CSV_COLUMNS)} UNION ALL {_CSV_HEADS})
+SELECT name AS "column", count(*) AS cells, count(DISTINCT v) AS texts, max(v) AS last, CAST(sum(r) AS BIGINT) AS rows
+FROM c WHERE v <> '' GROUP BY name"""
 _EVENT_LINES = f"(SELECT event_id, {feeds.LOG_LINE} AS text FROM events)"
 SQL["folder_scan"] = f"""
 WITH {CHECKS}, hits AS (SELECT check_id FROM {log_hits(_EVENT_LINES, 'event_id')}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import catalog as CAT
 from ..operators import detect
 from ..session import stage
-from ..sources import lines as L, settings as S
+from ..sources import delimited, lines as L, settings as S
 from ..sources.classify import STRUCTURED_EXTS, STRUCTURED_MAX_BYTES, classify, extension
 from .scan import (
     SIGNAL_COLUMNS, Options, ScanResult, _within, collect_findings, drop_parsed_lines, file_status, finish,
@@ -52,62 +53,120 @@ def name_uploads(uploads: DataFrame) -> DataFrame:
     )
 
 
-def _csv_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import csv
+def _unpacked(packed: pd.Series) -> pd.DataFrame:
+    """Contents of gzip uploads; of a broken one what comes before the fault."""
+    import zlib
+
+    rows = []
+    for data in packed:
+        out, error = [], None
+        while data:
+            stream = zlib.decompressobj(31)
+            try:
+                out.append(stream.decompress(data))
+                if not stream.eof:
+                    error = "EOFError"
+                data = stream.unused_data
+            except zlib.error:
+                error, data = "BadGzipFile", None
+        rows.append((b"".join(out), error))
+    return pd.DataFrame(rows, columns=["content", "error"])
+
+
+def _parquet_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import io
 
-    from ..sources.delimited import SAMPLE_CHARS, guess_dialect
+    import pyarrow.parquet as pq
 
+    names = ["file", "ftype", "item_idx", "location", "text", "error"]
     for batch in batches:
-        rows = []
-        for file, text in zip(batch["file"], batch["text"]):
-            d = guess_dialect(file, text[:SAMPLE_CHARS])
-            reader = csv.reader(
-                io.StringIO(text, newline=""), delimiter=d.delimiter, quotechar=d.quote, skipinitialspace=d.skip_space
-            )
-            header: list[str] = []
-            n = 0
-            for r, record in enumerate(reader, 1):
-                header = record if r == 1 else header
-                for c, cell in enumerate(record):
-                    if cell:
-                        n += 1
-                        name = header[c] if r > 1 and c < len(header) and header[c] else f"col {c + 1}"
-                        rows.append((file, "csv", n, f"row {r}, {name}", cell))
-        yield pd.DataFrame(rows, columns=["file", "ftype", "item_idx", "location", "text"])
+        for file, content in zip(batch["file"], batch["content"]):
+            row = 0
+            try:
+                source = pq.ParquetFile(io.BytesIO(content))
+                width = len(source.schema_arrow)
+                for part in source.iter_batches(batch_size=1024):
+                    cells = [
+                        (file, "parquet", (row + r) * width + c + 1, f"row {row + r + 1}, {name}", str(v), None)
+                        for c, name in enumerate(part.schema.names)
+                        for r, v in enumerate(part.column(c).to_pylist()) if v is not None and v != ""
+                    ]
+                    row += part.num_rows
+                    yield pd.DataFrame(cells, columns=names)
+            except Exception as failure:  # a broken upload leaves the others alone
+                yield pd.DataFrame([(file, "parquet", 0, None, None, type(failure).__name__)], columns=names)
+
+
+def _dialect(name: pd.Series, sample: pd.Series) -> pd.DataFrame:
+    guessed = [delimited.guess_dialect(n, s) for n, s in zip(name, sample)]
+    return pd.DataFrame([(d.delimiter, d.quote, d.skip_space) for d in guessed], columns=["delimiter", "quote", "skip_space"])
+
+
+def _csv_uploads(texts: DataFrame) -> list[tuple[delimited.Dialect, DataFrame]]:
+    """Lines of CSV uploads by dialect."""
+    name = F.regexp_replace("file", r"(?i)\.gz$", "")
+    dialect = F.pandas_udf(_dialect, "delimiter string, quote string, skip_space boolean")
+    told = stage(texts.select("file", "text", dialect(name, F.left("text", F.lit(delimited.SAMPLE_CHARS))).alias("d")))
+    lines = L.split_lines(told, F.struct("file", "d"), F.col("text")).select(
+        F.col("file.file").alias("path"), F.col("file.d").alias("d"), F.floor(F.col("item_idx") / RUN).alias("block"), F.col("item_idx").alias("row"),
+        "text", F.lit(None).cast("string").alias("error"),
+    )
+    kinds = [delimited.Dialect(*r.d) for r in told.select("d").distinct().collect()]  # a few delimiters and quotes
+    same = lambda d: (F.col("d.delimiter") == d.delimiter) & (F.col("d.quote") == d.quote) & (F.col("d.skip_space") == d.skip_space)
+    return [(d, lines.filter(same(d)).drop("d")) for d in kinds]
 
 
 def scan_uploads(uploads: DataFrame, options: Options | None = None) -> ScanResult:
-    """Scan uploads; findings carry the bare file name and fingerprints use no root."""
+    """Scan uploads; findings carry the bare file name and fingerprints use no root.
+
+    Compressed texts are unpacked and Parquet uploads read; a broken one is told of in the
+    file table, with what could be read of it searched.
+    """
     options = options or Options()
     spark = uploads.sparkSession
     catalog = CAT.with_rules(CAT.tables(spark, options.crosswalk), options.rules)
-    texts = stage(
-        name_uploads(uploads).select(
-            "file", classify(F.col("file")).alias("type"), F.octet_length("bytes").alias("length"),
-            F.make_valid_utf8(F.col("bytes").cast("string")).alias("text"),
+    named = name_uploads(uploads).withColumn("type", classify(F.col("file")))
+    packed = F.lower("file").endswith(".gz")
+    unpacked = F.pandas_udf(_unpacked, "content binary, error string")
+    opened = named.withColumn("u", unpacked(F.when(packed, F.col("bytes"))))
+    contents = stage(
+        opened.select(
+            "file", "type", F.octet_length("bytes").alias("length"), F.when(packed, F.col("u.content")).otherwise(F.col("bytes")).alias("content"),
+            F.when(packed, F.col("u.error")).alias("error"),
         )
     )
+    texts = contents.filter(F.col("type").isin(*L.LINE_TYPES, "csv")).select(
+        "file", "type", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    )
     readable = texts.filter(F.col("type").isin(*L.LINE_TYPES))
-    items = L.split_lines(readable, F.col("file"), F.col("text"), F.col("type")).unionByName(
-        texts.filter(F.col("type") == "csv").select("file", "text").mapInPandas(
-            _csv_batches, "file string, ftype string, item_idx bigint, location string, text string"
-        )
+    lines = L.split_lines(readable, F.col("file"), F.col("text"), F.col("type")).withColumn("error", F.lit(None).cast("string"))
+    tables = contents.filter((F.col("type") == "parquet") & (F.col("length") > 0)).select("file", "content").mapInPandas(
+        _parquet_batches, "file string, ftype string, item_idx bigint, location string, text string, error string"
     )
+    items = lines.unionByName(tables)
+
+    def search(rows: DataFrame, **more) -> DataFrame:
+        return detect.signals(rows, year=options.stamp_year, rules=options.rules, max_text=options.max_text, **more)
+
+    parts = [search(_within(items.filter(F.col("error").isNull()).drop("error"), options.item_limit)).select(*SIGNAL_COLUMNS)]
+    counts = [items.groupBy("file").agg(F.count("text").alias("items"), F.max("error").alias("_broken"))]
+    for dialect, rows in _csv_uploads(texts.filter(F.col("type") == "csv").select("file", "text")):
+        for source in delimited.line_items(rows, dialect):
+            blocks = L.block_counts(search(source.items, inside=("row", "ftype", "cell", "nth")))
+            parts.append(_within(delimited.place_cells(blocks, source), options.item_limit).select(*SIGNAL_COLUMNS))
+            counts.append(L.file_counts(blocks, "n_cells").withColumnRenamed("error", "_broken"))
     docs = readable.filter(
         (F.col("type") == "config") & (F.col("length") <= STRUCTURED_MAX_BYTES)
         & F.concat(F.lit("."), S.settings_format(F.col("file"))).isin(*STRUCTURED_EXTS)
     ).select("file", S.settings_format(F.col("file")).alias("format"), "text")
     settings, parsed = parse_settings(docs)
     parsed = stage(parsed)
-    signals = detect.signals(_within(items, options.item_limit), year=options.stamp_year, rules=options.rules, max_text=options.max_text)
-    signals = stage(drop_parsed_lines(signals.select(*SIGNAL_COLUMNS), parsed))
-    counts = items.groupBy("file").agg(F.max("item_idx").alias("items"))
+    signals = stage(drop_parsed_lines(reduce(DataFrame.unionByName, parts), parsed))
     table = (
-        texts.join(counts, "file", "left")
+        contents.join(reduce(DataFrame.unionByName, counts), "file", "left")
         .join(parsed.withColumn("_parsed", F.lit(True)), "file", "left")
         .select(
-            "file", "type", F.coalesce("items", F.lit(0)).alias("items"),
+            "file", "type", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("error", "_broken").alias("error"),
             F.when(F.col("type") == "config", F.when(F.col("_parsed"), "structured").otherwise("line_fallback")).alias(
                 "config_parser"
             ),

@@ -589,15 +589,12 @@ def file_types(spark, sf_dir):
     return pages.select(path.alias("path"), C.classify(path).alias("type"), C.is_supported(path).alias("supported"))
 
 
-def _written(rows: DataFrame, kind: str, **options: str) -> str:
+def _written(rows: DataFrame, kind: str) -> str:
     """Write derived data as files, in order of its first column, and give the folder."""
     folder = f"{stream_lines.work_folder(rows.sparkSession)}/data"
     key = rows.columns[0]
     ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
-    writer = (ordered.drop(key) if kind == "text" else ordered).write
-    for name, value in options.items():
-        writer = writer.option(name, value)
-    writer.format(kind).save(folder)
+    (ordered.drop(key) if kind == "text" else ordered).write.format(kind).save(folder)
     return folder
 
 
@@ -608,7 +605,8 @@ def numbered_lines(spark, sf_dir):
     folder = _written(orders.select("o_orderkey", F.concat(F.lit("order "), "o_orderkey").alias("value")), "text")
     files = discovery.list_files(spark, [folder])
     lines = L.read_lines(spark, discovery.names(files, "text"), "text")
-    numbered = L.number(lines, L.block_table(lines)).withColumn("k", F.split("text", " ")[1].cast("bigint"))
+    found = lines.select("path", "block", "row", F.struct("row", F.split("text", " ")[1].cast("bigint").alias("k")).alias("found"))
+    numbered = L.numbered_lines(L.block_counts(found))
     first = numbered.groupBy("file").agg(F.min("k").alias("k0"), F.max("item_idx").alias("n"))
     # Keys are dense, so a line's key tells its place in the file.
     return numbered.join(first, "file").agg(
@@ -618,23 +616,19 @@ def numbered_lines(spark, sf_dir):
 
 @query
 def csv_cells(spark, sf_dir):
-    """Cells of CSV files made of the orders, by column name."""
-    orders = feeds.table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus",
-        F.when(F.col("o_orderkey") % 7 == 0, 'say "x", y').when(F.col("o_orderkey") % 5 == 0, "two\nlines").when(
-            F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")
-        ).alias("note"),
-    )
-    folder = _written(orders, "csv", header="true", escape='"', emptyValue="")
-    files = discovery.list_files(spark, [folder])
+    """Cells of CSV files made of the orders, by column name: quotes within cells, cells over lines, short and long records."""
+    files = discovery.list_files(spark, [feeds.csv_folder(spark, sf_dir)])
     found = None
-    for source in delimited.read_csv_items(spark, files.filter("type = 'csv'")):
-        cells = delimited.place_cells(source.items, source)
+    for source in delimited.read_csv_items(spark, files):
+        hit = F.when(F.col("cell").isNotNull(), F.struct("row", "cell", "nth", "text")).alias("found")
+        blocks = L.block_counts(source.items.select("path", "block", "row", "cell", "error", hit))
+        cells = delimited.place_cells(blocks, source)
         name = F.regexp_extract("location", r"^row \d+, (.*)$", 1)
-        part = cells.select(name.alias("column"), "text")
+        part = cells.select(name.alias("column"), "text", F.regexp_extract("location", r"^row (\d+)", 1).cast("bigint").alias("r"))
         found = part if found is None else found.unionByName(part)
-    return found.filter(~F.col("column").startswith("col ")).groupBy("column").agg(
-        long(F.count(F.lit(1))).alias("cells"), long(F.countDistinct("text")).alias("texts"), F.max("text").alias("last")
+    return found.groupBy("column").agg(
+        long(F.count(F.lit(1))).alias("cells"), long(F.countDistinct("text")).alias("texts"), F.max("text").alias("last"),
+        long(F.sum("r")).alias("rows"),
     )
 
 

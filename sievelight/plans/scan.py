@@ -151,83 +151,83 @@ def _within(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None else rows.filter(F.col("item_idx") <= limit)
 
 
+def _searched_lines(lines, families, options):
+    """Findings in lines (path, ftype, block, row, text) and the line counts of their files, in one pass."""
+    found = detect.signals(
+        lines, year=options.stamp_year, families=families, rules=options.rules, max_text=options.max_text, inside=("row", "ftype")
+    )
+    blocks = L.block_counts(found)
+    return _within(L.numbered_lines(blocks), options.item_limit), L.file_counts(blocks)
+
+
 def _text_part(spark, files, options):
     parts = []
     for ftype in L.LINE_TYPES:
         uris = discovery.names(files, ftype)
         if uris:
-            lines = L.read_lines(spark, uris, ftype)
-            blocks = stage(L.block_table(lines))
-            found = detect.signals(
-                lines, year=options.stamp_year, families=families_of(ftype), rules=options.rules, max_text=options.max_text
-            )
-            counts = blocks.groupBy("path").agg(F.sum("n_lines").alias("items")).select(
-                L.plain_path(F.col("path")).alias("file"), "items", F.lit(None).cast("string").alias("error")
-            )
-            parts.append((_within(L.number(found, blocks), options.item_limit), counts))
+            parts.append(_searched_lines(L.read_lines(spark, uris, ftype), families_of(ftype), options))
     return parts
 
 
+def _guarded_part(files, options):
+    """Files read one by one, where one that fails leaves the others alone."""
+    chosen = files.filter(discovery.one_by_one() & F.col("type").isin(*L.LINE_TYPES) & F.col("error").isNull() & (F.col("length") > 0))
+    return _searched_lines(hidden.read_guarded_lines(chosen), detect.FAMILIES, options)
+
+
 def families_of(ftype: str) -> tuple[str, ...]:
     """Rule families that can fire on files of this type."""
     extra = {"text": ("config", "log"), "config": ("config",), "log": ("log",), "evtx": ("log",), "pdf": ("log",)}
     return ("content", "contact", *extra.get(ftype, ()))
 
 
-def _hidden_part(files, options):
-    items = hidden.read_hidden_lines(files.filter("hidden AND length > 0").select("uri", "file", F.col("type").alias("ftype")))
-    signals = detect.signals(items, year=options.stamp_year, rules=options.rules, max_text=options.max_text)
-    counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
-    return [(_within(signals, options.item_limit), counts.withColumn("error", F.lit(None).cast("string")))]
-
-
 def _csv_part(spark, files, options):
     parts = []
     limit = options.item_limit
-    for source in delimited.read_csv_items(spark, files.filter((F.col("type") == "csv") & ~F.col("hidden"))):
-        found = detect.signals(source.items, year=options.stamp_year, families=families_of("csv"), rules=options.rules, max_text=options.max_text)
-        if limit is not None and source.most_cells > limit:
-            edges = tables.cell_edges(source.rows, "path", source.place, limit)
-            found = tables.within_edges(found, edges, "path", source.place)
-        counts = source.rows.groupBy("path").agg(F.sum("n").alias("items"))
-        if source.cut is not None:
-            counts = counts.join(source.cut, "path", "full_outer")
-        else:
-            counts = counts.withColumn("first_long", F.lit(None).cast("bigint"))
-        counts = counts.select(
-            L.plain_path(F.col("path")).alias("file"), F.coalesce("items", F.lit(0)).alias("items"),
-            F.when(F.col("first_long").isNotNull(), "Error").alias("error"),
+    for source in delimited.read_csv_items(spark, files.filter((F.col("type") == "csv") & ~F.col("hidden") & F.col("error").isNull())):
+        searched = detect.signals(
+            source.items, year=options.stamp_year, families=families_of("csv"), rules=options.rules, max_text=options.max_text,
+            inside=("row", "ftype", "cell", "nth"),
         )
-        parts.append((delimited.place_cells(found, source), counts))
+        blocks = L.block_counts(searched)
+        found = delimited.place_cells(blocks, source)
+        if limit is not None and source.most_cells > limit:
+            edges = tables.cell_edges(source.rows, "path", ("block", "row"), limit)
+            found = tables.within_edges(found, edges, "path", ("block", "row"))
+        parts.append((found, L.file_counts(blocks, "n_cells")))
     return parts
 
 
 def _parquet_part(spark, files, options):
-    uris = discovery.names(files, "parquet")
-    if not uris:
-        return []
-    table, names = tables.read_parquet(spark, [L.escape_globs(u) for u in uris])
-    items = tables.table_items(table, F.col("__file"), F.col("__row"), names, place=True)
-    found = detect.signals(items, year=options.stamp_year, families=families_of("parquet"), rules=options.rules, max_text=options.max_text)
-    rows = table.select(
-        F.col("__file").alias("file"), F.col("__row").alias("row"), F.size(tables.filled_cells(table, names)).alias("n")
-    )
-    counts = stage(rows.groupBy("file").agg(F.sum("n").alias("items")))
-    if options.item_limit is not None and not counts.filter(F.col("items") > options.item_limit).isEmpty():
-        found = tables.within_edges(found, tables.cell_edges(rows, "file", ["row"], options.item_limit), "file", ["row"])
-    return [(found, counts.withColumn("error", F.lit(None).cast("string")))]
+    """Parquet files, those of one shape read together.  Where fewer rows come than the footer tells, the file is broken."""
+    chosen = files.filter((F.col("type") == "parquet") & ~F.col("hidden") & F.col("error").isNull() & (F.col("length") > 0))
+    parts = []
+    for uris in tables.by_shape(chosen):
+        table, names = tables.read_parquet(spark, [L.escape_globs(u) for u in uris], ignore_corrupt=True)
+        items = tables.table_items(table, F.col("__file"), F.col("__row"), names, place=True)
+        found = detect.signals(items, year=options.stamp_year, families=families_of("parquet"), rules=options.rules, max_text=options.max_text)
+        rows = table.select(
+            F.col("__file").alias("file"), F.col("__row").alias("row"), F.size(tables.filled_cells(table, names)).alias("n")
+        )
+        counts = stage(rows.groupBy("file").agg(F.sum("n").alias("items"), F.count("*").alias("rows")))
+        if options.item_limit is not None and not counts.filter(F.col("items") > options.item_limit).isEmpty():
+            found = tables.within_edges(found, tables.cell_edges(rows, "file", ["row"], options.item_limit), "file", ["row"])
+        own = chosen.filter(F.col("uri").isin(uris)).select("file", "n_rows").join(counts, "file", "left")
+        short = F.coalesce("rows", F.lit(0)) < F.col("n_rows")
+        parts.append((found, own.select("file", F.coalesce("items", F.lit(0)).alias("items"), F.when(short, "OSError").alias("error"))))
+    return parts
 
 
 def documents(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Settings files small enough to be parsed: (file, format, text)."""
-    chosen = files.filter("structured")
-    unseen = hidden.read_hidden_lines(chosen.filter("hidden").select("uri", "file", F.col("type").alias("ftype")))
+    chosen = files.filter("structured AND error IS NULL")
+    unseen = hidden.read_guarded_lines(chosen.filter("hidden")).filter(F.col("text").isNotNull())
     # One group is one file of limited size.
-    texts = unseen.groupBy("file").agg(
+    texts = unseen.groupBy("path").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("item_idx", "text"))), lambda x: x["text"]), "\n"
+            F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda x: x["text"]), "\n"
         ).alias("text")
-    )
+    ).select(L.plain_path(F.col("path")).alias("file"), "text")
     uris = [row.uri for row in chosen.filter(~F.col("hidden")).select("uri").toLocalIterator()]
     if uris:
         visible = spark.read.format("binaryFile").load([L.escape_globs(u) for u in uris]).select(
@@ -272,24 +272,23 @@ def scan(spark: SparkSession, inputs: Sequence[str], options: Options | None = N
     if not inputs:
         raise ValueError("no readable input files found")
     files = stage(discovery.list_files(spark, inputs, named))
-    parts = _text_part(spark, files, options)
-    if not files.filter("hidden AND length > 0").isEmpty():
-        parts += _hidden_part(files, options)
-    parts += _csv_part(spark, files, options) + _parquet_part(spark, files, options)
-    if not parts:
+    if files.isEmpty():
         raise ValueError("no readable input files found")
+    parts = _text_part(spark, files, options) + _csv_part(spark, files, options) + _parquet_part(spark, files, options)
+    if not parts or not files.filter(discovery.one_by_one() & (F.col("length") > 0)).isEmpty():
+        parts.append(_guarded_part(files, options))
     settings, parsed = parse_settings(stage(documents(spark, files)))
     parsed = stage(parsed.distinct())
     signals = reduce(DataFrame.unionByName, [p.select(*SIGNAL_COLUMNS) for p, _ in parts])
     signals = stage(drop_parsed_lines(signals, parsed))
     counts = reduce(DataFrame.unionByName, [c for _, c in parts]).groupBy("file").agg(
-        F.sum("items").alias("items"), F.max("error").alias("error")
+        F.sum("items").alias("items"), F.max("error").alias("_broken")
     )
     table = (
         files.join(counts, "file", "left")
         .join(parsed.withColumn("_parsed", F.lit(True)), "file", "left")
         .select(
-            "file", "type", F.coalesce("items", F.lit(0)).alias("items"), "error",
+            "file", "type", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("error", "_broken").alias("error"),
             F.when(F.col("type") == "config", F.when(F.col("_parsed"), "structured").otherwise("line_fallback")).alias(
                 "config_parser"
             ),

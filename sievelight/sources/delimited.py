@@ -1,14 +1,18 @@
 """CSV and TSV files as cells.
 
-Files are read as text blocks in parallel.  A line is a record unless a quoted
-cell runs over a line break; which files have such cells shows in the number of
-quotes per line, counted in one light pass.  Only the lines of those files are
-put together into records, block by block.
+Files are read as text blocks in parallel.  A line is a record unless a quoted cell runs
+over a line break.  Whether it does is told by a finite-state scan: of each line it is
+worked out whether it ends inside a quoted cell if it begins outside one, and if it
+begins inside one; these effects are composed over the lines of a block and then over the
+blocks of a file.  A quote within a cell that did not begin with one is a character like
+any other.  In files without a line that opens such a cell, lines are records and nothing
+is moved; only the lines of other files are put together into records.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,14 +20,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import stage
-from .lines import block_table, escape_globs, number, plain_path
+from .hidden import as_uri_column, read_guarded_lines
+from .lines import escape_globs, locate, number, plain_path
 
 # --- Fixed values -----------------------------------------------------------------
 DELIMITERS = ",;\t|"
 SAMPLE_CHARS = 4096
-# A record longer than this comes from a quote that is never closed; reading of
-# the file ends before it.
-MAX_RECORD = 1 << 24
+#: Lines of a longer record are records of their own, as are those after a quote that is never closed.
+LONG_RECORD = 1 << 24
+#: Records whose numbers are summed up together.
+RECORD_RUN = 1 << 16
+#: Names of files sent to every task at most.
+SENT_NAMES = 10_000
+
+# States within a record: at the start of a cell, in a cell, in a quoted cell, after a quote in a quoted cell.
+START, CELL, QUOTED, QUOTE = range(4)
 
 
 @dataclass(frozen=True)
@@ -43,230 +54,265 @@ def guess_dialect(name: str, sample: str) -> Dialect:
 
 
 def _sniff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for batch in batches:
         rows = []
         for uri, path in zip(batch["uri"], batch["file"]):
-            system, place = fs.FileSystem.from_uri(uri)
             kind = "gzip" if path.lower().endswith(".gz") else None
-            with system.open_input_stream(place, compression=kind) as stream:
-                head = stream.read(4 * SAMPLE_CHARS).decode("utf-8", "replace")[:SAMPLE_CHARS]
-            name = path[:-3] if kind else path
-            d = guess_dialect(name, head)
+            try:
+                system, place = locate(uri)
+                with system.open_input_stream(place, compression=kind) as stream:
+                    head = stream.read(4 * SAMPLE_CHARS).decode("utf-8", "replace")[:SAMPLE_CHARS]
+            except Exception:  # the reader will tell of it
+                head = ""
+            d = guess_dialect(path[:-3] if kind else path, head)
             rows.append((uri, path, d.delimiter, d.quote, d.skip_space))
         yield pd.DataFrame(rows, columns=["uri", "file", "delimiter", "quote", "skip_space"])
 
 
 def sniff(files: DataFrame) -> DataFrame:
     """Dialect of CSV files (uri, file); each task reads the head of its files only."""
-    heads = files.select(F.regexp_replace("uri", "^file:/+", "file:///").alias("uri"), "file")
-    return heads.mapInPandas(
+    return files.select(as_uri_column("uri").alias("uri"), "file").mapInPandas(
         _sniff_batches, "uri string, file string, delimiter string, quote string, skip_space boolean"
     )
 
 
-def _csv_lines(spark: SparkSession, uris: Sequence[str], dialect: Dialect) -> DataFrame:
-    def count(char: str) -> Column:
-        return F.char_length("text") - F.char_length(F.translate("text", char, ""))
+# --- the finite-state scan ----------------------------------------------------------
+
+
+def ends_inside(text: Column, dialect: Dialect, inside: bool) -> Column:
+    """Whether a line ends inside a quoted cell, begun outside (`inside` False) or inside one."""
+
+    def after_piece(state: Column, piece: Column) -> Column:
+        """State after characters that are no quotes."""
+        tail = F.substring_index(piece, dialect.delimiter, -1)
+        blank = (F.ltrim(tail) if dialect.skip_space else tail) == ""
+        parted = F.instr(piece, dialect.delimiter) > 0
+        open_ = F.when(parted, F.when(blank, START).otherwise(CELL)).otherwise(F.when((state == START) & blank, START).otherwise(CELL))
+        return F.when((piece == "") | (state == QUOTED), state).otherwise(open_)
+
+    def step(state: Column, piece: Column) -> Column:
+        # Between two pieces stands a quote; the first piece has none before it, which a state of 10 and more tells.
+        quoted = F.when(state == START, QUOTED).when(state == CELL, CELL).when(state == QUOTED, QUOTE).otherwise(QUOTED)
+        return after_piece(F.when(state >= 10, state - 10).otherwise(quoted), piece)
+
+    pieces = F.split(text, _literal(dialect.quote), -1)
+    end = F.aggregate(pieces, F.lit(10 + (QUOTED if inside else START)), step, lambda s: s == QUOTED)
+    return F.when(F.contains(text, F.lit(dialect.quote)), end).otherwise(F.lit(inside))
 
-    return (
-        spark.read.text([escape_globs(u) for u in uris])
-        .select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("text"),
-        )
-        .withColumn("_quotes", count(dialect.quote))
-        .withColumn("_width", count(dialect.delimiter) + 1)
-    )
 
+def _literal(char: str) -> str:
+    return "\\" + char if char in "|^$.*+?()[]{}\\" else char
 
-def join_records(lines: DataFrame) -> DataFrame:
-    """Lines of files whose quoted cells may hold line breaks, with the number of their `record`.
 
-    `lines` has path, block, row, text and the number of quotes.  A line starts a
-    record when the quotes before it are even in number.  Parities and record
-    counts are summed per block, then over the blocks of a file, so the work on
-    lines stays within one block.
+def entered(steps: DataFrame, by: Sequence[str], order: str, start: Column) -> DataFrame:
+    """Adds `inside`, the state before each step, to steps with their effects `from_out` and `from_in`.
+
+    `start` is the state before the first step of each group.  A step either sets the
+    state, keeps it or turns it round; so what counts is the last step that set it and how
+    many turned it since.
     """
+    group = Window.partitionBy(*by).orderBy(order)
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
+    turns = (F.col("from_out") & ~F.col("from_in")).cast("int")
+    sets = F.col("from_out") == F.col("from_in")
+    counted = steps.withColumn("_turns", F.coalesce(F.sum(turns).over(before), F.lit(0)))
+    mark = F.when(sets, F.struct(F.col(order).alias("at"), F.col("from_out").alias("to"), F.col("_turns").alias("turns")))
+    marked = counted.withColumn("_set", F.max(mark).over(before))
+    since = F.coalesce(F.col("_set.to"), start).cast("int") + F.col("_turns") - F.coalesce(F.col("_set.turns"), F.lit(0))
+    return marked.withColumn("inside", since % 2 == 1).drop("_turns", "_set")
+
+
+def _composed(lines: DataFrame) -> DataFrame:
+    """(path, block, from_out, from_in): the effect of each block as a whole."""
+    in_block = Window.partitionBy("path", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    turns = (F.col("from_out") & ~F.col("from_in")).cast("int")
+    counted = lines.withColumn("_turns", F.coalesce(F.sum(turns).over(in_block), F.lit(0)))
+    mark = F.when(
+        F.col("from_out") == F.col("from_in"),
+        F.struct("row", F.col("from_out").alias("to"), F.col("_turns").alias("turns")),
+    )
+    ends = counted.groupBy("path", "block").agg(F.max(mark).alias("s"), F.sum(turns).alias("t"))
+    end = lambda start: (F.coalesce(F.col("s.to").cast("int"), F.lit(start)) + F.col("t") - F.coalesce(F.col("s.turns"), F.lit(0))) % 2 == 1
+    return ends.select("path", "block", end(0).alias("from_out"), end(1).alias("from_in"))
+
+
+def _numbered_starts(lines: DataFrame) -> DataFrame:
+    """Adds `record`, from 1 on in each file, to lines that tell by `starts` whether they begin one."""
     in_block = Window.partitionBy("path", "block").orderBy("row")
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lines.withColumn("_odd", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
-    blocks = (
-        lines.groupBy("path", "block")
-        .agg(F.sum("_quotes").alias("_q"))
-        .select("path", "block", (F.coalesce(F.sum("_q").over(ahead), F.lit(0)) % 2).alias("_carry"))
-    )
-    starts = seen.join(blocks, ["path", "block"]).withColumn(
-        "_start", ((F.col("_odd") + F.col("_carry")) % 2 == 0).cast("int")
-    )
     counts = (
-        starts.groupBy("path", "block")
-        .agg(F.sum("_start").alias("_s"))
-        .select("path", "block", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_records_before"))
-    )
-    numbered = starts.join(counts, ["path", "block"]).withColumn(
-        "record", F.col("_records_before") + F.sum("_start").over(in_block)
+        lines.groupBy("path", "block")
+        .agg(F.count_if("starts").alias("_s"))
+        .select("path", "block", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_before"))
     )
-    return numbered.select("path", "record", "block", "row", "text")
+    return lines.join(counts, ["path", "block"]).withColumn(
+        "record", F.col("_before") + F.sum(F.col("starts").cast("int")).over(in_block)
+    ).drop("_before")
 
 
-def long_records(numbered: DataFrame) -> DataFrame:
-    """(path, first_long): the first record of a file that is too long to be one."""
-    sizes = numbered.groupBy("path", "record").agg(F.sum(F.char_length("text") + 1).alias("_size"))
-    return sizes.filter(F.col("_size") > MAX_RECORD).groupBy("path").agg(F.min("record").alias("first_long"))
+def join_records(lines: DataFrame, dialect: Dialect, long_record: int = LONG_RECORD) -> DataFrame:
+    """(path, record, block, row, text): lines (path, block, row, text) with the number of their record.
 
-
-def record_texts(numbered: DataFrame, too_long: DataFrame) -> DataFrame:
-    """(path, record, text): lines put together, up to the first record that is too long."""
-    kept = numbered.join(too_long, "path", "left").filter(
-        F.col("first_long").isNull() | (F.col("record") < F.col("first_long"))
+    Work on lines stays within one block, and over blocks there is one row each.  Lines of
+    a record that is longer than `long_record`, or begins with a quote that the file never
+    closes, are records of their own.  Staged.
+    """
+    told = lines.select(
+        "path", "block", "row", "text", ends_inside(F.col("text"), dialect, False).alias("from_out"),
+        ends_inside(F.col("text"), dialect, True).alias("from_in"),
     )
-    # One group is one record of limited length.
+    blocks = entered(_composed(told), ["path"], "block", F.lit(False))
+    carried = told.join(blocks.select("path", "block", F.col("inside").alias("_start")), ["path", "block"])
+    starts = entered(carried, ["path", "block"], "row", F.col("_start")).withColumn("starts", ~F.col("inside"))
+    numbered = stage(_numbered_starts(starts).select("path", "record", "block", "row", "text", "starts", "from_in", "from_out"))
+    last = F.max_by(F.when(F.col("starts"), F.col("from_out")).otherwise(F.col("from_in")), F.struct("block", "row"))
+    sizes = numbered.groupBy("path", "record").agg(F.sum(F.char_length("text") + 1).alias("_size"), last.alias("_open"))
+    apart = stage(sizes.filter((F.col("_size") > long_record) | F.col("_open")).select("path", "record", F.lit(True).alias("_apart")))
+    if apart.isEmpty():
+        return numbered.drop("starts", "from_in", "from_out")
+    again = numbered.join(apart, ["path", "record"], "left").withColumn("starts", F.col("starts") | F.col("_apart").isNotNull())
+    return stage(_numbered_starts(again.drop("record", "_apart")).select("path", "record", "block", "row", "text"))
+
+
+def record_texts(numbered: DataFrame) -> DataFrame:
+    """(path, record, text): lines put together; one group is one record of limited length."""
     part = F.struct("block", "row", "text")
-    return kept.groupBy("path", "record").agg(
+    return numbered.groupBy("path", "record").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n").alias("text")
     )
 
 
-def cells(record: Column, dialect: Dialect) -> Column:
-    """Cells of one record, quotes taken off."""
-    d, q = (_escape(c) for c in (dialect.delimiter, dialect.quote))
-    lead = d + (" *" if dialect.skip_space else "")
-    found = F.regexp_extract_all(
-        F.concat(F.lit(dialect.delimiter), record), F.lit(f"(?s){lead}((?:{q}(?:[^{q}]|{q}{q})*{q}?)?[^{d}]*)"), F.lit(1)
-    )
+# --- cells ---------------------------------------------------------------------------
 
-    def unquoted(cell: Column) -> Column:
-        body = F.regexp_extract(cell, f"(?s)^{q}((?:[^{q}]|{q}{q})*){q}?", 1)
-        rest = F.regexp_extract(cell, f"(?s)^{q}(?:[^{q}]|{q}{q})*{q}?(.*)$", 1)
-        plain = F.concat(F.replace(body, F.lit(dialect.quote * 2), F.lit(dialect.quote)), rest)
-        return F.when(cell.startswith(dialect.quote), plain).otherwise(cell)
 
-    return F.transform(found, unquoted)
+def cells(record: Column, dialect: Dialect) -> Column:
+    """Cells of one record.  Records without a quote are split; the others go to the standard reader."""
 
+    @F.pandas_udf("array<string>")
+    def parsed(records: pd.Series) -> pd.Series:
+        csv.field_size_limit(1 << 31)
+        how = {"delimiter": dialect.delimiter, "quotechar": dialect.quote, "skipinitialspace": dialect.skip_space}
+        return records.map(lambda text: None if text is None else next(csv.reader(io.StringIO(text, newline=""), **how), []))
 
-def _escape(char: str) -> str:
-    return {"\t": r"\t"}.get(char, "\\" + char)
+    plain = F.split(record, _literal(dialect.delimiter), -1)
+    if dialect.skip_space:
+        plain = F.transform(plain, lambda c: F.ltrim(c))
+    quoted = F.contains(record, F.lit(dialect.quote))
+    return F.when(quoted, parsed(F.when(quoted, record))).otherwise(plain)
 
 
 @dataclass(frozen=True)
 class CsvItems:
     """Cells of one dialect and what is needed to place what was found in them.
 
-    `items` has path, ftype, text, `cell` (position among all cells of the
-    record), `nth` (position among its non-empty cells), and `place`: either
-    `record`, or `block` and `row`.
+    `items` has path, ftype, block, row, `cell` (position among all cells of the record),
+    `nth` (position among its filled cells), text and error; a record without filled cells
+    has one item without cell and text.  A row is a line or, where records were put
+    together, a record, and a block so many of them.
     """
 
     items: DataFrame
-    rows: DataFrame  # path, place, n: filled cells per record
+    rows: DataFrame  # path, block, row, n: filled cells per record
     headers: DataFrame  # path, cell, name
-    place: tuple[str, ...]
-    blocks: DataFrame | None
     width: int
-    cut: DataFrame | None  # path, first_long: files not read to the end
     most_cells: int  # no file has more
 
 
 def read_csv_items(spark: SparkSession, files: DataFrame) -> list[CsvItems]:
-    """Cells of CSV files (uri, file), one entry per dialect and kind of record.
+    """Cells of CSV files (uri, file, type), one entry per dialect and kind of record.
 
-    One counting pass tells lines per block, quotes and delimiters.  File names
-    by dialect pass through the driver, as they do when Spark lists files; no
-    content does.
+    File names by dialect pass through the driver, as they do when Spark lists files; no
+    content does.  Compressed files are read one by one.
     """
-    groups: dict[Dialect, list[str]] = {}
-    for uri, _, *rest in sniff(files).toLocalIterator():
-        groups.setdefault(Dialect(*rest), []).append(uri)
+    groups: dict[Dialect, list[tuple[str, str]]] = {}
+    for uri, file, *rest in sniff(files).toLocalIterator():
+        groups.setdefault(Dialect(*rest), []).append((uri, file))
     found = []
-    for dialect, uris in groups.items():
-        lines = _csv_lines(spark, uris, dialect)
-        blocks, counts = _profile(lines)
-        broken = {path for path, (odd, _, _) in counts.items() if odd}
-        plain = [u for u in uris if _plain(u) not in broken]
+    for dialect, own in groups.items():
+        plain = [u for u, file in own if not file.lower().endswith(".gz")]
+        packed = [(u, "csv") for u, file in own if file.lower().endswith(".gz")]
+        parts = []
         if plain:
-            if broken:  # other files, other blocks
-                lines = _csv_lines(spark, plain, dialect)
-                blocks, counts = _profile(lines)
-            found.append(_line_records(lines, blocks, counts, dialect))
-        if broken:
-            rest = [u for u in uris if _plain(u) in broken]
-            found.append(_joined_records(_csv_lines(spark, rest, dialect), dialect))
+            parts.append(
+                spark.read.text([escape_globs(u) for u in plain]).select(
+                    F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("text"),
+                    F.lit(None).cast("string").alias("error"),
+                )
+            )
+        if packed:
+            listed = spark.createDataFrame(packed, "uri string, type string")
+            parts.append(read_guarded_lines(listed).select("path", "block", "row", "text", "error"))
+        for lines in parts:
+            found += line_items(lines, dialect)
     return found
 
 
-def _profile(lines: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int, int]]]:
-    """Block table, and per file: lines with an odd number of quotes, widest line, cells at most."""
-    blocks = stage(
-        block_table(
-            lines, F.count_if(F.col("_quotes") % 2 == 1).alias("odd"), F.max("_width").alias("width"),
-            F.sum("_width").alias("cells"),
+def line_items(lines: DataFrame, dialect: Dialect) -> list[CsvItems]:
+    """Cells of files given as lines (path, block, row, text, error), all of one dialect.
+
+    A first pass counts what decides how to go on: the lines that open a cell which runs
+    on, the widest line, and the first line of each block.
+    """
+    width = F.char_length("text") - F.char_length(F.translate("text", dialect.delimiter, "")) + 1
+    profile = stage(
+        lines.groupBy("path", "block").agg(
+            F.count_if(ends_inside(F.col("text"), dialect, False)).alias("open"), F.max(width).alias("width"),
+            F.sum(width).alias("cells"), F.min_by("text", "row").alias("first"),
         )
     )
-    per_file = blocks.groupBy(plain_path(F.col("path")).alias("file")).agg(
-        F.sum("odd").alias("odd"), F.max("width").alias("width"), F.sum("cells").alias("cells")
+    files = profile.groupBy("path").agg(
+        F.sum("open").alias("open"), F.max("width").alias("width"), F.sum("cells").alias("cells"),
+        F.min_by("first", F.when(F.col("first").isNotNull(), F.col("block"))).alias("first"),
     )
-    return blocks, {r.file: (r.odd, r.width, r.cells) for r in per_file.toLocalIterator()}
-
-
-def _line_records(lines, blocks, counts, dialect: Dialect) -> CsvItems:
-    first = blocks.filter(F.col("block") == 0).select("path", "block", F.col("first_row").alias("row"))
-    records = lines.drop("_quotes", "_width")
-    head = records.join(first, ["path", "block", "row"], "left_semi")
-    widest = max((w for _, w, _ in counts.values()), default=1)
-    most = max((c for *_, c in counts.values()), default=0)
-    return _csv_items(records, head, dialect, ("block", "row"), blocks, widest, None, most)
-
-
-def _joined_records(lines, dialect: Dialect) -> CsvItems:
-    numbered = join_records(lines)
-    too_long = stage(long_records(numbered))
-    records = record_texts(numbered, too_long)
-    sizes = records.groupBy("path").agg(
-        F.max(F.size(cells(F.col("text"), dialect))).alias("w"), F.sum(F.size(cells(F.col("text"), dialect))).alias("c")
-    ).agg(F.max("w").alias("w"), F.max("c").alias("c")).first()
-    head = records.filter(F.col("record") == 1)
-    return _csv_items(records, head, dialect, ("record",), None, sizes.w or 1, too_long, sizes.c or 0)
+    joined, widest, most = files.agg(F.count_if(F.col("open") > 0), F.max("width"), F.max("cells")).first()
+    running = files.filter(F.col("open") > 0).select("path")
+    running = F.broadcast(running) if joined <= SENT_NAMES else running
+    found = []
+    if joined < files.count():
+        own = lines.join(running, "path", "left_anti") if joined else lines
+        head = files.filter(F.col("open") == 0).select("path", F.col("first").alias("text"))
+        found.append(_csv_items(own, head, dialect, widest or 1, most or 0))
+    if joined:
+        numbered = join_records(lines.filter(F.col("text").isNotNull()).join(running, "path", "left_semi"), dialect)
+        records = record_texts(numbered).withColumn("n", F.size(cells(F.col("text"), dialect)))
+        most, widest = records.groupBy("path").agg(F.sum("n").alias("c"), F.max("n").alias("w")).agg(F.max("c"), F.max("w")).first()
+        placed = records.select(
+            "path", F.floor(F.col("record") / RECORD_RUN).alias("block"), F.col("record").alias("row"), "text", F.lit(None).cast("string").alias("error")
+        )
+        failed = lines.filter(F.col("error").isNotNull()).join(running, "path", "left_semi")
+        head = records.filter(F.col("record") == 1).select("path", "text")
+        found.append(_csv_items(placed.unionByName(failed.select(*placed.columns)), head, dialect, widest or 1, most or 0))
+    return found
 
 
-def _csv_items(records, head, dialect: Dialect, place, blocks, width: int, cut, most: int) -> CsvItems:
+def _csv_items(records: DataFrame, head: DataFrame, dialect: Dialect, width: int, most: int) -> CsvItems:
     split = cells(F.col("text"), dialect)
     filled = F.filter(
-        F.transform(split, lambda v, i: F.struct(i.alias("cell"), v.alias("text"))), lambda c: c["text"] != ""
+        F.transform(F.col("_cells"), lambda v, i: F.struct(i.alias("cell"), v.alias("text"))), lambda c: c["text"] != ""
     )
-    items = records.select("path", *place, F.posexplode(filled).alias("_nth", "_c")).select(
-        "path", F.lit("csv").alias("ftype"), *place, (F.col("_nth") + 1).alias("nth"), "_c.cell", "_c.text"
+    split_rows = records.withColumn("_cells", split)
+    items = split_rows.select("path", "block", "row", "error", F.posexplode_outer(filled).alias("_nth", "_c")).select(
+        "path", F.lit("csv").alias("ftype"), "block", "row", (F.col("_nth") + 1).alias("nth"), "_c.cell", "_c.text", "error"
     )
-    return CsvItems(
-        items, records.select("path", *place, F.size(filled).alias("n")),
-        head.select("path", F.posexplode(split).alias("cell", "name")), tuple(place), blocks, width, cut, most,
-    )
-
-
-def _plain(uri: str) -> str:
-    from urllib.parse import unquote
-
-    return unquote(uri.replace("file:///", "/", 1)) if uri.startswith("file:///") else uri
+    names = head.withColumn("_cells", split).select("path", F.posexplode("_cells").alias("cell", "name"))
+    rows = split_rows.select("path", "block", "row", F.coalesce(F.size(filled), F.lit(0)).alias("n"))
+    return CsvItems(items, rows, names, width, most)
 
 
-def place_cells(found: DataFrame, source: CsvItems) -> DataFrame:
-    """Add `item_idx` and `location` (`row R, <header>`) to what was found in the cells of `source`.
+def place_cells(blocks: DataFrame, source: CsvItems) -> DataFrame:
+    """What was found in the cells of `source` (see `lines.block_counts`) with `file`, `item_idx` and `location` (`row R, <header>`).
 
-    The header of a column is its cell in the first record; without one, and in
-    that record itself, `col N` is used.
+    The header of a column is its cell in the first record; without one, and in that
+    record itself, `col N` is used.  path, block, row and nth are kept.
     """
-    named = found.join(source.headers, ["path", "cell"], "left")
-    if source.blocks is not None:
-        rows = number(named, source.blocks).withColumnRenamed("item_idx", "record")
-    else:
-        rows = named.withColumn("file", plain_path(F.col("path"))).drop("path")
+    named = number(blocks).join(source.headers, ["path", "cell"], "left")
     name = F.when(
-        (F.col("record") > 1) & (F.coalesce("name", F.lit("")) != ""), F.col("name")
+        (F.col("line") > 1) & (F.coalesce("name", F.lit("")) != ""), F.col("name")
     ).otherwise(F.concat(F.lit("col "), (F.col("cell") + 1).cast("string")))
     return (
-        rows.withColumn("location", F.concat(F.lit("row "), F.col("record").cast("string"), F.lit(", "), name))
-        .withColumn("item_idx", ((F.col("record") - 1) * source.width + F.col("cell") + 1).cast("bigint"))
-        .drop("record", "cell", "nth", "name")
+        named.withColumn("file", plain_path(F.col("path")))
+        .withColumn("location", F.concat(F.lit("row "), F.col("line").cast("string"), F.lit(", "), name))
+        .withColumn("item_idx", ((F.col("line") - 1) * source.width + F.col("cell") + 1).cast("bigint"))
+        .drop("line", "cell", "name")
     )

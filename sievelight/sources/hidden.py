@@ -1,7 +1,8 @@
-"""Files that Spark leaves out of every listing: names that start with a dot or an underscore, and empty files.
+"""Files read one by one: those Spark leaves out of every listing, and compressed ones.
 
-`.env` is the one that matters most.  Both the listing and the reading happen in
-tasks, file by file; only these files take this way.
+Spark lists no names that start with a dot or an underscore (`.env` matters most) and no
+empty files.  Both the listing and the reading happen in tasks, file by file, and a file
+that cannot be read gives a row that says so.
 """
 
 from __future__ import annotations
@@ -9,12 +10,18 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .classify import classify
-from .lines import LINE_TYPES, as_uri, plain_path, wanted
+from .lines import LINE_TYPES, as_uri, locate, plain_path, wanted
 
 BATCH = 2_000
+RUN = 1 << 16  # lines of a file read in one go that count as a block
+
+
+def as_uri_column(column: str) -> Column:
+    """`as_uri` of a column of URIs that have a scheme."""
+    return F.regexp_replace(column, "^file:/+", "file:///")
 
 
 def _first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,7 +30,7 @@ def _first_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for uri in batch["input"]:
-            system, place = fs.FileSystem.from_uri(uri)
+            system, place = locate(uri)
             info = system.get_file_info(place)
             if info.type == fs.FileType.File:
                 rows = [(uri, place.rsplit("/", 1)[0], info.path)]
@@ -39,7 +46,7 @@ def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for uri, root, start in zip(batch["input"], batch["root"], batch["place"]):
-            system, _ = fs.FileSystem.from_uri(uri)
+            system, _ = locate(uri)
             ahead = [system.get_file_info([start])]
             while ahead:
                 entries = ahead.pop()
@@ -78,24 +85,69 @@ def list_hidden(spark: SparkSession, inputs: Sequence[str], named: Sequence[str]
 def _line_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import io
 
-    from pyarrow import fs
-
+    names = ["path", "ftype", "row", "text", "error"]
     for batch in batches:
-        for uri, file, ftype in zip(batch["uri"], batch["file"], batch["ftype"]):
-            system, place = fs.FileSystem.from_uri(uri)
-            kind = "gzip" if file.lower().endswith(".gz") else None
+        for uri, ftype in zip(batch["uri"], batch["ftype"]):
             rows: list[tuple] = []
-            with system.open_input_stream(place, compression=kind) as raw:
-                for i, line in enumerate(io.TextIOWrapper(raw, encoding="utf-8", errors="replace"), 1):
-                    rows.append((file, ftype, i, f"line {i}", line.rstrip("\n")))
-                    if len(rows) == BATCH:
-                        yield pd.DataFrame(rows, columns=["file", "ftype", "item_idx", "location", "text"])
-                        rows = []
-            yield pd.DataFrame(rows, columns=["file", "ftype", "item_idx", "location", "text"])
-
-
-def read_hidden_lines(listed: DataFrame) -> DataFrame:
-    """Lines of the listed files: (file, ftype, item_idx, location, text)."""
-    return listed.select("uri", "file", "ftype").mapInPandas(
-        _line_batches, "file string, ftype string, item_idx bigint, location string, text string"
+            try:
+                system, place = locate(uri)
+                kind = "gzip" if place.lower().endswith(".gz") else None
+                with system.open_input_stream(place, compression=kind) as raw:
+                    for i, line in enumerate(io.TextIOWrapper(raw, encoding="utf-8", errors="replace")):
+                        rows.append((uri, ftype, i, line.rstrip("\n"), None))
+                        if len(rows) == BATCH:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            except Exception as failure:  # a file that cannot be read on is told of in a row; the others are read
+                rows.append((uri, ftype, None, None, type(failure).__name__))
+            yield pd.DataFrame(rows, columns=names).astype({"row": "Int64"})
+
+
+def read_guarded_lines(files: DataFrame) -> DataFrame:
+    """Lines of the files (uri, type) one by one: (path, ftype, block, row, text, error).
+
+    For files that cannot be split or that Spark does not list.  A file that fails ends
+    with a row that has only its path and the kind of error; what came before is kept.
+    """
+    lines = files.select(as_uri_column("uri").alias("uri"), F.col("type").alias("ftype")).mapInPandas(
+        _line_batches, "path string, ftype string, row bigint, text string, error string"
+    )
+    return lines.select("path", "ftype", F.coalesce(F.floor(F.col("row") / RUN), F.lit(-1)).alias("block"), "row", "text", "error")
+
+
+def _probe_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import os
+
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        rows = []
+        for uri, kind, length in zip(batch["uri"], batch["type"], batch["length"]):
+            real, shape, n, error = uri, None, None, None
+            try:
+                system, place = locate(uri)
+                if uri.startswith("file:"):
+                    real = "file://" + os.path.realpath(place)
+                if kind == "parquet":
+                    with system.open_input_file(place) as source:
+                        footer = pq.ParquetFile(source)
+                        shape, n = footer.schema_arrow.remove_metadata().to_string(), footer.metadata.num_rows
+                elif length:
+                    with system.open_input_stream(place, compression=None) as source:
+                        source.read(1)
+            except Exception as failure:
+                error = type(failure).__name__
+            rows.append((uri, real, shape, n, error))
+        yield pd.DataFrame(rows, columns=["_uri", "real", "shape", "n_rows", "error"]).astype({"n_rows": "Int64"})
+
+
+def probe(files: DataFrame) -> DataFrame:
+    """Adds real (the place a link leads to), shape and n_rows (of Parquet files, from the footer) and error to files.
+
+    Every file is opened once, in tasks; one that cannot be opened gets the kind of error.
+    """
+    uri = as_uri_column("uri")
+    found = files.select(uri.alias("uri"), "type", "length").mapInPandas(
+        _probe_batches, "_uri string, real string, shape string, n_rows bigint, error string"
     )
+    return files.withColumn("uri", uri).join(found, F.col("uri") == F.col("_uri"), "left").drop("_uri")

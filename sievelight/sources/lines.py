@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..session import stage
 from .classify import classify, is_supported
 
 LINE_TYPES = ("text", "log", "config")
@@ -25,6 +26,17 @@ def as_uri(path: str) -> str:
     return path if "://" in path else "file://" + os.path.abspath(path)
 
 
+def locate(uri: str):
+    """(file system, place) of a URI as Spark and this package spell them, without percent escapes."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+
+
 def wanted(path: Column, named: Sequence[str]) -> Column:
     """Files named by the caller, and the supported files of directories."""
     listed = is_supported(path)
@@ -39,10 +51,9 @@ def escape_globs(uri: str) -> str:
 def read_lines(spark: SparkSession, uris: Sequence[str], ftype: str) -> DataFrame:
     """Lines of text files of one type: (path, ftype, block, row, text).
 
-    Files are split into blocks and read in parallel, compressed ones as one
-    block.  `block` and `row` order the lines of a file; see `number` for line
-    numbers.  Only file names, which Spark's file index holds anyway, come from
-    the driver.
+    Files are split into blocks and read in parallel.  `block` and `row` order the lines
+    of a file; see `block_counts` for line numbers.  Only file names, which Spark's file
+    index holds anyway, come from the driver.
     """
     return spark.read.text([escape_globs(u) for u in uris]).select(
         F.col("_metadata.file_path").alias("path"), F.lit(ftype).alias("ftype"),
@@ -51,39 +62,51 @@ def read_lines(spark: SparkSession, uris: Sequence[str], ftype: str) -> DataFram
     )
 
 
-def block_table(lines: DataFrame, *more: Column) -> DataFrame:
-    """(path, block, first_row, n_lines, lines_before): one row per block of a file.
+def block_counts(searched: DataFrame) -> DataFrame:
+    """One row per block of a file, with its lines counted and what was found in them: read once, staged.
 
-    A pass over the lines that only counts; each task sends one row per block.
-    `more` are further aggregates to take along.
+    `searched` has path, block, row (null where nothing could be read), `found` (a struct,
+    null for a line without a hit) and optionally `error`.  Rows count up by one within a
+    block.  Each task sends one row per block, which holds the hits and not the text.
     """
-    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        lines.groupBy("path", "block")
-        .agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n_lines"), *more)
-        .withColumn("lines_before", F.coalesce(F.sum("n_lines").over(ahead), F.lit(0)))
+    error = F.max("error") if "error" in searched.columns else F.max(F.lit(None).cast("string"))
+    cells = F.count("cell") if "cell" in searched.columns else F.sum(F.lit(0))
+    counted = searched.groupBy("path", "block").agg(
+        F.min("row").alias("first_row"), F.coalesce(F.max("row") - F.min("row") + 1, F.lit(0)).alias("n_lines"),
+        cells.alias("n_cells"), F.collect_list("found").alias("hits"), error.alias("error"),
     )
+    return stage(counted)
 
 
-def number(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Add `file`, `item_idx` (1-based line number) and `location` to anything that kept `path`, `block`, `row`.
+def number(blocks: DataFrame) -> DataFrame:
+    """What was found in the lines of `block_counts`, with path, block and `line`, the 1-based number in its file.
 
-    Called on what was found, not on all lines, so the text itself is never
-    shuffled.  Both reads must have been cut into the same blocks; a row that
-    falls outside its block stops the job instead of getting a wrong number.
+    Numbers of lines are summed up over the blocks of a file, which are few; the hits
+    carry the row they were found in.
     """
-    inside = F.col("row") - F.col("first_row")
-    fits = F.col("first_row").isNotNull() & (inside >= 0) & (inside < F.col("n_lines"))
-    checked = F.when(fits, F.col("lines_before") + inside + 1).otherwise(
-        F.raise_error(F.lit("files changed, or were split differently, between two reads")).cast("bigint")
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("path", "block", F.coalesce(F.sum("n_lines").over(ahead), F.lit(0)).alias("_before"))
+    hits = blocks.filter(F.size("hits") > 0).select("path", "block", "first_row", F.explode("hits").alias("_hit"))
+    return hits.join(offsets, ["path", "block"]).select(
+        "path", "block", (F.col("_before") + F.col("_hit.row") - F.col("first_row") + 1).alias("line"), "_hit.*"
     )
-    slim = blocks.select("path", "block", "first_row", "n_lines", "lines_before")
+
+
+def numbered_lines(blocks: DataFrame) -> DataFrame:
+    """Hits in lines, with `file`, `item_idx` and `location`."""
     return (
-        rows.join(slim, ["path", "block"], "left")
+        number(blocks)
         .withColumn("file", plain_path(F.col("path")))
-        .withColumn("item_idx", checked)
-        .withColumn("location", F.concat(F.lit("line "), F.col("item_idx").cast("string")))
-        .drop("path", "block", "row", "first_row", "n_lines", "lines_before")
+        .withColumn("item_idx", F.col("line"))
+        .withColumn("location", F.concat(F.lit("line "), F.col("line").cast("string")))
+        .drop("path", "block", "row", "line")
+    )
+
+
+def file_counts(blocks: DataFrame, items: str = "n_lines") -> DataFrame:
+    """(file, items, error) from `block_counts`; the items are lines or cells."""
+    return blocks.groupBy("path").agg(F.sum(items).alias("items"), F.max("error").alias("error")).select(
+        plain_path(F.col("path")).alias("file"), "items", "error"
     )
 
 

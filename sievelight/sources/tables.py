@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..session import spread
-
 ROW_RUN = 1 << 16
 
 
@@ -58,17 +56,30 @@ def table_items(
     )
 
 
-def read_parquet(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Parquet files with `__file` and `__row`, the row number in the file, and the names of their columns."""
+def by_shape(files: DataFrame) -> list[list[str]]:
+    """URIs of Parquet files (uri, shape) by the shape that their footers tell, so that columns of other types do not meet."""
+    shapes: dict[str, list[str]] = {}
+    for row in files.select("shape", "uri").toLocalIterator():
+        shapes.setdefault(row["shape"], []).append(row["uri"])
+    return list(shapes.values())
+
+
+def read_parquet(
+    spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None, ignore_corrupt: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """Parquet files with `__file` and `__row`, the row number in the file, and the names of their columns.
+
+    With `ignore_corrupt` a file that turns out to be broken ends there, and others are read.
+    """
     from .lines import plain_path
 
-    table = spark.read.option("mergeSchema", True).parquet(*paths)
+    table = spark.read.options(mergeSchema=True, ignoreCorruptFiles=ignore_corrupt).parquet(*paths)
     names = list(columns or table.columns)
     numbered = table.select(
         *[F.col(f"`{c}`") for c in names], plain_path(F.col("_metadata.file_path")).alias("__file"),
         (F.col("_metadata.row_index") + 1).alias("__row"),
     )
-    return spread(numbered), names
+    return numbered, names
 
 
 def read_parquet_items(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

@@ -177,32 +177,47 @@ def test_baseline_in_a_scan(spark, make_items):
     assert [r.location for r in again.suppressed.collect()] == ["line 1"]
 
 
-def test_line_numbers_over_many_blocks(spark, tmp_path):
-    paths = [put(tmp_path, f"big{k}.txt", "".join(f"line {k} {i} {'x' * (i % 50)}\n" for i in range(1, 20_001))) for k in (1, 2)]
+@pytest.fixture
+def small_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        lines = L.read_lines(spark, ["file://" + p for p in paths], "text")
-        assert lines.select("path", "block").distinct().count() > 40
-        wrong = L.number(lines, L.block_table(lines)).filter(
-            F.col("item_idx").cast("string") != F.split("text", " ")[2]
-        )
-        assert wrong.count() == 0
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-
-
-def test_a_changed_split_stops_the_job(spark, tmp_path):
-    path = put(tmp_path, "a.txt", "x\n" * 5000)
-    lines = L.read_lines(spark, ["file://" + path], "text")
-    other = L.block_table(lines).withColumn("n_lines", F.lit(10))
-    with pytest.raises(Exception, match="split differently"):
-        L.number(lines, other).collect()
+
+    def set_to(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+
+    yield set_to
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_line_numbers_over_many_blocks(spark, tmp_path, small_splits):
+    paths = [put(tmp_path, f"big{k}.txt", "".join(f"line {k} {i} {'x' * (i % 50)}\n" for i in range(1, 20_001))) for k in (1, 2)]
+    small_splits(20_000)
+    lines = L.read_lines(spark, ["file://" + p for p in paths], "text")
+    assert lines.select("path", "block").distinct().count() > 40
+    third = F.when(F.split("text", " ")[2].cast("int") % 3 == 0, F.struct("row", "text")).alias("found")
+    blocks = L.block_counts(lines.select("path", "block", "row", third))
+    got = L.numbered_lines(blocks)
+    assert got.count() == 2 * 6666 and got.filter(F.col("item_idx").cast("string") != F.split("text", " ")[2]).isEmpty()
+    assert sorted(r["items"] for r in L.file_counts(blocks).collect()) == [20_000, 20_000]
+
+
+def test_lines_are_read_once(spark, tmp_path):
+    from sievelight.operators import detect
+
+    path = put(tmp_path, "a.log", "x\n" * 50 + "useradd bob\n")
+    searched = detect.signals(L.read_lines(spark, ["file://" + path], "log"), year=2026, inside=("row", "ftype"))
+    counted = searched.groupBy("path", "block").agg(F.min("row"), F.max("row"), F.collect_list("found"))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    (row,) = L.numbered_lines(L.block_counts(searched)).collect()
+    assert (row.location, row.check_id) == ("line 51", "LOG-PRIV-CHANGE")
 
 
 CSV_TEXTS = {
     "a.csv": 'id,name\n1,"x, ""y"""\n2,\n,z\n', "b.csv": "a;b;c\n1;2;3\n4;5\n6;7;8;9\n", "c.tsv": "one\ttwo\n1\t\n\n3\t4\n",
     "d.csv": 'k,v\n1,"two\nlines"\n2,"three\n\nmore"\n3,x\n', "e.csv": "only\nvalues\n", "f.csv": "a|b\n1|2\n",
+    "stray.csv": 'k,v,w\n1,5" pipe,4111111111111111\n2,6",b\n3,"c, d",e\n4,x"y"z,"f" g\n',
+    "both.csv": 'k,v,w\n1,5" pipe,a\n2,"open\nin 6"" pipe, \nend",b\n3,7",c\n4,"x""",d\n5,"y"" ""\n",e\n6,only\n7,a,b,c,"d\n"\n',
+    "heads.csv": '"first\nname",b\n1,2\n"3\n4",5\n',
 }
 
 
@@ -212,7 +227,9 @@ def test_csv_like_the_standard_reader(spark, tmp_path):
     files = discovery.list_files(spark, [str(tmp_path)])
     got: dict[str, list] = {n: [] for n in CSV_TEXTS}
     for source in delimited.read_csv_items(spark, files):
-        for r in delimited.place_cells(source.items, source).orderBy("item_idx").collect():
+        hit = F.when(F.col("cell").isNotNull(), F.struct("row", "cell", "nth", "text")).alias("found")
+        blocks = L.block_counts(source.items.select("path", "block", "row", "cell", "error", hit))
+        for r in delimited.place_cells(blocks, source).orderBy("item_idx").collect():
             got[r.file.rsplit("/", 1)[1]].append((r.location, r.text))
     for name, text in CSV_TEXTS.items():
         d = delimited.guess_dialect(name, text)
@@ -227,27 +244,96 @@ def test_csv_like_the_standard_reader(spark, tmp_path):
         assert got[name] == want, name
 
 
-def test_records_over_many_blocks(spark, tmp_path):
-    text = "k,v\n" + "".join(f'{i},"first {i}\nsecond, {i}"\n' for i in range(3000))
+def csv_lines(spark, path):
+    return spark.read.text("file://" + path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"),
+    )
+
+
+def test_records_over_many_blocks(spark, tmp_path, small_splits):
+    """Blocks that begin and end anywhere in records, with quotes that open nothing in between."""
+    text = "k,v,w\n" + "".join(f'{i},"first {i}\n5"" wide\nsecond, {i}",{i % 7}" pipe\n' for i in range(3000))
     path = put(tmp_path, "x.csv", text)
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
-    try:
-        numbered = delimited.join_records(delimited._csv_lines(spark, ["file://" + path], delimited.Dialect(",", '"', False)))
-        rows = delimited.record_texts(numbered, delimited.long_records(numbered)).orderBy("record").collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    small_splits(5000)
+    lines = csv_lines(spark, path)
+    assert lines.select("block").distinct().count() > 20
+    rows = delimited.record_texts(delimited.join_records(lines, delimited.Dialect(",", '"', False))).orderBy("record").collect()
     assert [r.record for r in rows] == list(range(1, 3002))
-    assert all(r.text == f'{i},"first {i}\nsecond, {i}"' for i, r in enumerate(rows[1:]))
+    assert all(r.text == f'{i},"first {i}\n5"" wide\nsecond, {i}",{i % 7}" pipe' for i, r in enumerate(rows[1:]))
 
 
-def test_an_open_quote_ends_the_file(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(delimited, "MAX_RECORD", 2000)
+@pytest.mark.parametrize("skip_space", [False, True])
+def test_line_effects_like_the_standard_reader(spark, skip_space):
+    """Whether a line ends inside a quoted cell, from both states, against the reader's own line count."""
+    import random
+
+    rng = random.Random(7)
+    texts = sorted({"".join(rng.choice('",, a"') for _ in range(rng.randint(0, 9))) for _ in range(1500)})
+    d = delimited.Dialect(",", '"', skip_space)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        "text", *[delimited.ends_inside(F.col("text"), d, s).alias(str(s)) for s in (False, True)]
+    )
+
+    def goes_on(lines):
+        reader = csv.reader(iter([*lines, "end\n"]), skipinitialspace=skip_space)
+        while reader.line_num < len(lines):
+            next(reader)
+        return reader.line_num > len(lines)
+
+    for r in df.collect():
+        assert r["False"] == goes_on([r.text + "\n"]), r.text
+        assert r["True"] == goes_on(['"\n', r.text + "\n"]), r.text
+
+
+def test_a_quote_never_closed_throws_nothing_away(spark, tmp_path):
     put(tmp_path, "q.csv", 'k,v\n1,4111 1111 1111 1111\n2,"open\n' + "filler, line\n" * 500 + "9,378282246310005\n")
     result = SC.scan(spark, [str(tmp_path)], SC.Options(now=NOW))
     meta = result.files.first()
-    assert (meta.status, meta.error, meta.lines) == ("partially_scanned", "Error", 4)
-    assert [r.location for r in result.findings.collect()] == ["row 2, v"]
+    assert (meta.status, meta.error, meta.lines) == ("fully_scanned", None, 6 + 1000 + 2)
+    assert sorted(r.location for r in result.findings.collect()) == ["row 2, v", "row 504, v"]
+
+
+def test_long_records_are_read_by_line(spark, tmp_path):
+    path = put(tmp_path, "l.csv", 'k,v\n1,"a\nb"\n2,"' + "x\n" * 400 + '"\n3,"c\nd"\n')
+    numbered = delimited.join_records(csv_lines(spark, path), delimited.Dialect(",", '"', False), long_record=500)
+    texts = [r.text for r in delimited.record_texts(numbered).orderBy("record").collect()]
+    assert texts == ["k,v", '1,"a\nb"', '2,"x', *["x"] * 399, '"', '3,"c\nd"']
+
+
+def test_files_that_fail_leave_others_alone(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    whole = gzip.compress(b"".join(b"useradd u%d x%d\n" % (i, i * i) for i in range(20_000)))
+    put(tmp_path, "cut.log.gz", whole[: len(whole) // 2])
+    put(tmp_path, "no.log.gz", b"not gzip at all")
+    put(tmp_path, "cut.csv.gz", gzip.compress(b"k,v\n1,4111 1111 1111 1111\n" + os.urandom(60_000).hex().encode())[:-30_000])
+    put(tmp_path, "bad.parquet", b"PAR1 not really PAR1")
+    put(tmp_path, "good.log", "useradd bob\n")
+    os.symlink(tmp_path / "good.log", tmp_path / "again.log")
+    cards = [f"4111 1111 1111 1111 n{i}" for i in range(5)]
+    pq.write_table(pa.table({"a": cards}), tmp_path / "s.parquet")
+    pq.write_table(pa.table({"a": [4111111111111111]}), tmp_path / "i.parquet")
+    pq.write_table(pa.table({"a": [1.5], "b": [cards[0]]}), tmp_path / "d.parquet")
+    body = bytearray((tmp_path / "s.parquet").read_bytes())
+    body[4:40] = b"\xff" * 36
+    put(tmp_path, "torn.parquet", bytes(body))
+    result = SC.scan(spark, [str(tmp_path)], SC.Options(now=NOW))
+    files = {r.file.rsplit("/", 1)[1]: r for r in result.files.collect()}
+    found = {}
+    for r in result.findings.collect():
+        found.setdefault(r.file.rsplit("/", 1)[1], []).append(r.check_id)
+    assert files["cut.log.gz"].status == "partially_scanned" and files["cut.log.gz"].error and found["cut.log.gz"]
+    assert (files["no.log.gz"].status, files["no.log.gz"].lines) == ("unable_to_evaluate", 0) and files["no.log.gz"].error
+    assert files["cut.csv.gz"].status in ("partially_scanned", "unable_to_evaluate") and files["cut.csv.gz"].error
+    assert (files["bad.parquet"].status, files["bad.parquet"].error) == ("unable_to_evaluate", "ArrowInvalid")
+    assert files["torn.parquet"].status == "unable_to_evaluate" and files["torn.parquet"].error == "OSError"
+    assert {files[n].status for n in ("good.log", "s.parquet", "i.parquet", "d.parquet")} == {"fully_scanned"}
+    assert found["good.log"] == ["LOG-PRIV-CHANGE"] and len(found["s.parquet"]) == 5 and found["i.parquet"] == ["DATA-PAN"] == found["d.parquet"]
+    assert "again.log" not in files
 
 
 def test_cell_limit_in_a_scan(spark, tmp_path):
@@ -290,24 +376,44 @@ def test_uploads(spark):
     def enc(text):
         return base64.b64encode(text.encode()).decode()
 
+    def b64(data):
+        return base64.b64encode(data).decode()
+
+    def parquet(values):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        out = io.BytesIO()
+        pq.write_table(pa.table({"card": values}), out)
+        return out.getvalue()
+
     rows = [
         ("../../etc/a?b.txt", enc("4111 1111 1111 1111"), 1), ("x/a_b.txt", enc("4111 1111 1111 1111\n"), 2),
         ("s.json", enc('{"debug": true}'), 3), ("m.csv", enc("name,mail\n1,a@x.de\n2,b@x.de\n3,c@x.de\n"), 4), ("", enc("x"), 5),
-        ("p.xlsx", enc("zz"), 6),
+        ("p.xlsx", enc("zz"), 6), ("z.log.gz", b64(gzip.compress(b"a\nuseradd bob\n")), 7), ("cut.log.gz", b64(gzip.compress(b"useradd eve\n" * 50)[:30]), 8),
+        ("stray.csv", enc('k,v\n1,5" pipe\n2,"4111\n"\n3,378282246310005\n'), 9), ("bad.parquet", enc("no"), 10),
+        ("t.parquet", b64(parquet(["x", "4111 1111 1111 1111"])), 11),
     ]
     uploads = spark.createDataFrame(rows, "name string, data string, ord int")
-    assert {r.file for r in name_uploads(uploads).collect()} == {"a_b.txt", "a_b_1.txt", "s.json", "m.csv", "upload", "p.xlsx"}
+    assert {r.file for r in name_uploads(uploads).collect()} == {
+        "a_b.txt", "a_b_1.txt", "s.json", "m.csv", "upload", "p.xlsx", "z.log.gz", "cut.log.gz", "stray.csv", "bad.parquet", "t.parquet",
+    }
     result = scan_uploads(uploads, SC.Options(now=NOW))
-    got = {(r.file, r.check_id, r.location, r.fingerprint) for r in result.findings.collect()}
+    got = {(r.file, r.check_id, r.location, r.fingerprint) for r in result.findings.collect() if r.file != "cut.log.gz"}
     card = "4111********1111"
     assert got == {
         ("a_b.txt", "DATA-PAN", "line 1", model_fingerprint("DATA-PAN", "a_b.txt", card)),
         ("a_b_1.txt", "DATA-PAN", "line 1", model_fingerprint("DATA-PAN", "a_b_1.txt", card)),
         ("s.json", "CFG-DEBUG", "debug", model_fingerprint("CFG-DEBUG", "s.json", "debug = True")),
         ("m.csv", "DATA-PII-EMAIL", "row 2, mail", model_fingerprint("DATA-PII-EMAIL", "m.csv", "e.g. a***@x.de")),
+        ("z.log.gz", "LOG-PRIV-CHANGE", "line 2", model_fingerprint("LOG-PRIV-CHANGE", "z.log.gz", "useradd bob")),
+        ("stray.csv", "DATA-PAN", "row 4, v", model_fingerprint("DATA-PAN", "stray.csv", "3782*******0005")),
+        ("t.parquet", "DATA-PAN", "row 2, card", model_fingerprint("DATA-PAN", "t.parquet", card)),
     }
     files = {r.file: r for r in result.files.collect()}
     assert files["s.json"].config_parser == "structured" and files["p.xlsx"].status == "unable_to_evaluate"
+    assert files["cut.log.gz"].error and files["cut.log.gz"].status != "fully_scanned"
+    assert (files["bad.parquet"].status, files["bad.parquet"].error) == ("unable_to_evaluate", "ArrowInvalid")
 
 
 def test_cells_of_a_table(spark):

@@ -240,21 +240,11 @@ def documents(spark: SparkSession, files: DataFrame) -> DataFrame:
 def parse_settings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(settings rows, files that could be parsed)."""
     kind = F.col("format")
-    json_docs, env_docs = docs.filter(kind == "json"), docs.filter(kind == "env")
-    other = S.parse_documents(docs.filter(kind.isin("ini", "toml", "yaml", "yml")))
+    trees, env_docs = stage(S.as_json(docs.filter(kind != "env"))), docs.filter(kind == "env")
     columns = ("file", "path", "value", "value_type")
     env_lines = L.split_lines(env_docs, F.col("file"), F.col("text"))
-    rows = (
-        S.flatten_json(json_docs).select(*columns)
-        .unionByName(S.read_env(env_lines).select(*columns))
-        .unionByName(other.filter(F.col("path").isNotNull()).select(*columns))
-    )
-    parsed = (
-        json_docs.filter(S.is_json(F.col("text"))).select("file")
-        .unionByName(env_docs.select("file"))
-        .unionByName(other.filter("ok AND path IS NULL").select("file"))
-    )
-    return rows, parsed
+    rows = S.flatten_json(trees).select(*columns).unionByName(S.read_env(env_lines).select(*columns))
+    return rows, trees.filter(S.is_json(F.col("text"))).select("file").unionByName(env_docs.select("file"))
 
 
 def drop_parsed_lines(signals: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -7,13 +7,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage
 from .classify import extension, file_name
 
-# --- Fixed values: limits -------------------------------------------------------
-MAX_DEPTH = 20
-MAX_LIST = 1_000
+#: Settings of Spark's recursive queries: no limit of levels, none of rows.
+UNLIMITED = {"spark.sql.cteRecursionLevelLimit": "-1", "spark.sql.cteRecursionRowLimit": "-1"}
 
-SCHEMA = "file string, format string, ok boolean, path string, value string, value_type string"
+FLATTEN = """
+WITH RECURSIVE node(file, path, value) AS (
+  SELECT file, '', try_parse_json(text) FROM {documents}
+  UNION ALL
+  SELECT file, path || CASE WHEN child.key IS NULL THEN '[' || child.pos || ']' WHEN path = '' THEN child.key ELSE '.' || child.key END, child.value
+  FROM node, LATERAL variant_explode(node.value) AS child
+)
+SELECT * FROM node WHERE value IS NOT NULL
+"""
 
 
 def settings_format(path: Column) -> Column:
@@ -22,39 +30,30 @@ def settings_format(path: Column) -> Column:
 
 
 def flatten_json(documents: DataFrame, text: str = "text") -> DataFrame:
-    """JSON documents as rows (file, path, value, value_type), worked out by Spark in one pass.
+    """JSON documents as rows (file, path, value, value_type), by a recursive query over VARIANT values.  Staged.
 
-    A document is a VARIANT that is opened one level at a time, down to
-    `MAX_DEPTH`; values that are no containers pass through unchanged.  Lists
-    are cut after `MAX_LIST` elements and nulls dropped.  Nothing is shuffled.
-    Documents that are no JSON give no rows; see `is_json`.
+    Each step opens the containers found by the one before; objects and lists of any depth
+    and length are opened whole, nulls are dropped.  Documents that are no JSON give no
+    rows; see `is_json`.
     """
-    nodes = documents.select(
-        "file", F.lit("").alias("path"), F.try_parse_json(text).alias("node")
-    ).filter(F.col("node").isNotNull())
-    opened = nodes.sparkSession.tvf.variant_explode_outer
-    for _ in range(MAX_DEPTH):
-        is_child = F.col("pos").isNotNull()
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(
-            F.col("path") == "", F.col("key")
-        ).otherwise(F.concat(F.lit("."), F.col("key")))
-        nodes = (
-            nodes.lateralJoin(opened(F.col("node").outer()))
-            .filter(~is_child | F.col("key").isNotNull() | (F.col("pos") < MAX_LIST))
-            .select(
-                "file", F.when(is_child, F.concat("path", step)).otherwise(F.col("path")).alias("path"),
-                F.when(is_child, F.col("value")).otherwise(F.col("node")).alias("node"),
-            )
+    spark = documents.sparkSession
+    before = {name: spark.conf.get(name, None) for name in UNLIMITED}
+    for name, value in UNLIMITED.items():
+        spark.conf.set(name, value)
+    try:
+        nodes = spark.sql(FLATTEN, documents=documents.select("file", F.col(text).alias("text")))
+        kind = F.schema_of_variant("value")
+        value_type = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int").when(
+            kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float"
         )
-    kind = F.schema_of_variant("node")
-    value_type = F.when(kind == "STRING", "string").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int").when(
-        kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float"
-    )
-    text_value = F.try_variant_get("node", "$", "string")
-    return nodes.select(
-        "file", "path", F.when(kind == "BOOLEAN", F.initcap(text_value)).otherwise(text_value).alias("value"),
-        value_type.alias("value_type"),
-    ).filter(F.col("value_type").isNotNull())
+        leaf = F.try_variant_get("value", "$", "string")
+        leaves = nodes.select(
+            "file", "path", F.when(kind == "BOOLEAN", F.initcap(leaf)).otherwise(leaf).alias("value"), value_type.alias("value_type")
+        )
+        return stage(leaves.filter(F.col("value_type").isNotNull()))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def is_json(text: Column) -> Column:
@@ -81,58 +80,36 @@ def read_env(lines: DataFrame) -> DataFrame:
     )
 
 
-def _leaf_rows(value: object, path: str = "", depth: int = 0) -> Iterator[tuple[str, str, str]]:
-    """Depth-first leaves of a parsed document."""
-    if depth > MAX_DEPTH:
-        return
-    if isinstance(value, dict):
-        for key, child in value.items():
-            yield from _leaf_rows(child, f"{path}.{key}" if path else str(key), depth + 1)
-    elif isinstance(value, list):
-        for i, child in enumerate(value[:MAX_LIST]):
-            yield from _leaf_rows(child, f"{path}[{i}]", depth + 1)
-    elif isinstance(value, (bool, int, float, str)):
-        yield path, str(value), type(value).__name__.replace("str", "string")
-
+def _sections(text: str) -> dict:
+    import configparser
 
-def _parse(kind: str, text: str) -> object:
-    if kind == "json":
-        import json
+    read = configparser.ConfigParser(interpolation=None)
+    read.read_string(text)
+    return {name: dict(read[name]) for name in read.sections()}
 
-        return json.loads(text)
-    if kind == "toml":
-        import tomllib
 
-        return tomllib.loads(text)
-    if kind == "ini":
-        import configparser
+def _json_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import json
+    import tomllib
 
-        parser = configparser.ConfigParser(interpolation=None)
-        parser.read_string(text)
-        return {name: dict(parser.items(name)) for name in parser.sections()}
     import yaml
 
-    return yaml.safe_load(text)
+    loaders = {"toml": tomllib.loads, "ini": _sections, "yaml": yaml.safe_load, "yml": yaml.safe_load}
+    for batch in batches:
+        texts = []
+        for kind, text in zip(batch["format"], batch["text"]):
+            try:  # what JSON has no type for, such as a date, is no setting that a rule looks at
+                texts.append(json.dumps(loaders[kind](text), default=lambda _: None, skipkeys=True, allow_nan=False))
+            except Exception:  # any failure of a parser means: read the file line by line
+                texts.append(None)
+        yield pd.DataFrame({"file": batch["file"], "text": texts})
 
 
-def _flatten_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for file, kind, text in zip(batch["file"], batch["format"], batch["text"]):
-            try:
-                leaves = list(_leaf_rows(_parse(kind, text)))
-            except Exception:  # any parser failure means: read the file line by line
-                rows.append((file, kind, False, None, None, None))
-                continue
-            rows.append((file, kind, True, None, None, None))
-            rows.extend((file, kind, True, *leaf) for leaf in leaves)
-        yield pd.DataFrame(rows, columns=["file", "format", "ok", "path", "value", "value_type"])
-
-
-def parse_documents(documents: DataFrame) -> DataFrame:
-    """INI, TOML, YAML and JSON documents (file, format, text) with the standard parsers, on the executors.
-
-    Gives one row per leaf, and one row without a path per document that says
-    whether it could be parsed.  Documents are limited in size by the caller.
+def as_json(documents: DataFrame) -> DataFrame:
+    """(file, text): INI, TOML, YAML and JSON documents (file, format, text) as JSON texts, null where malformed.
+
+    JSON passes through; the others go to the standard parsers on the executors.
+    Documents are limited in size by the caller.
     """
-    return documents.select("file", "format", "text").mapInPandas(_flatten_batch, SCHEMA)
+    other = documents.filter(F.col("format") != "json").select("file", "format", "text").mapInPandas(_json_batches, "file string, text string")
+    return documents.filter(F.col("format") == "json").select("file", "text").unionByName(other)

@@ -36,7 +36,7 @@ def test_entry(spark):
 def test_every_sql_has_a_query():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert set(SQL) <= set(QUERIES)
-    # Evidence in free text is compared with plain models instead.
+    # Evidence in free text is compared with tables of texts instead.
     assert set(QUERIES) - set(SQL) == {"content_findings", "sanitized_documents"}
 
 

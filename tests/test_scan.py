@@ -10,7 +10,6 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-import model
 from sievelight.functions import text as X
 from sievelight.plans import scan as SC
 from sievelight.plans.payload import name_uploads, scan_uploads
@@ -27,23 +26,22 @@ def put(folder, name, text):
 
 
 def failures(n, step):
-    return "".join(
-        f"2026-09-28T12:{i * step // 60:02}:{i * step % 60:02} failed password for alice from 10.0.0.1\n" for i in range(n)
-    )
+    clock = lambda s: f"{8 + s // 3600:02}:{s // 60 % 60:02}:{s % 60:02}"
+    return "".join(f"2026-02-11T{clock(i * step)} sshd: invalid user; failed password for root7 from 192.168.7.9 port {i}\n" for i in range(n))
 
 
 @pytest.fixture(scope="module")
 def scanned(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("evidence")
-    put(folder, "safe.conf", "verify_ssl=true\ninsecure_skip_verify=false\n")
-    put(folder, "nested.json", json.dumps({"server": {"tls": {"verify_ssl": False}}}))
-    put(folder, "broken.json", "{invalid json\nverify_ssl=false\n")
-    put(folder, "bad.conf", "insecure_skip_verify=true\n")
-    put(folder, "spaced.log", failures(5, 600))
-    put(folder, "burst.log", failures(5, 1))
-    put(folder, "untimed.log", "failed password for alice\n" * 5)
-    put(folder, "audit.log", "useradd bob\nsudo: bob NOT in sudoers; password=SuperSecret123\n")
-    put(folder, "cards.txt", "4111 1111 1111 1111\r\n4111 1111 1111 1112\r\n")
+    put(folder, "safe.conf", "# proxy\nssl_verify: on\ninsecure_skip_verify = no\n")
+    put(folder, "nested.json", json.dumps({"edge": [{"pool": {"ssl-verify": "off"}}]}))
+    put(folder, "broken.json", "{ 'edge':\nssl_verify: off\n")
+    put(folder, "bad.conf", "[pool]\ninsecure-skip-verify: yes\n")
+    put(folder, "spaced.log", failures(6, 900))
+    put(folder, "burst.log", failures(6, 4))
+    put(folder, "untimed.log", "gate: failed password for root7\n" * 5)
+    put(folder, "audit.log", "groupadd staff\nuseradd -m carol\nsudo: carol : user NOT in sudoers ; pwd: Tr0ub4dor9x\n")
+    put(folder, "cards.txt", "5500 0000 0000 0004\r\n5500 0000 0000 0005\r\n")
     put(folder, "my [odd]*name.txt", "x\n4111 1111 1111 1111")
     put(folder, "app/service.json", '{"security":{"verify_ssl":false,"mfa_enabled":false,"debug":true}}')
     put(folder, "app/service.toml", "[security]\nverify_ssl = false\nmfa_enabled = false\ndebug = true\n")
@@ -89,14 +87,14 @@ def test_changes_refusals_and_masking(scanned):
     found, *_ = scanned
     assert {"LOG-PRIV-CHANGE", "LOG-PRIV-FAIL"} <= ids(found, "audit.log")
     assert "LOG-PRIV-ESC" not in ids(found, "audit.log")
-    assert all("SuperSecret123" not in str(r.asDict(True)) for r in found["audit.log"])
+    assert all("Tr0ub4dor9x" not in str(r.asDict(True)) for r in found["audit.log"])
 
 
 def test_coverage_and_luhn(scanned):
     found, files, _ = scanned
     assert [r.location for r in found["cards.txt"]] == ["line 1"]
     assert files["cards.txt"].status == "fully_scanned" and files["cards.txt"].lines == 2
-    assert "4111 1111 1111 1111" not in str(found)
+    assert "5500 0000 0000 0004" not in str(found)
     assert [r.location for r in found["my [odd]*name.txt"]] == ["line 2"]
     assert (files["empty.txt"].lines, files["empty.txt"].status) == (0, "fully_scanned")
     assert files["sheet.xlsx"].status == "unable_to_evaluate"
@@ -428,18 +426,20 @@ def test_cells_of_a_table(spark):
     ]
 
 
-def test_uploaded_documents_like_the_model(spark):
+def test_uploaded_documents_like_files(spark):
+    """Documents as uploads give what they give as items."""
+    from sievelight.plans import feeds
+
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     uploads = docs.select(
         F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
         F.base64(F.encode("text", "UTF-8")).alias("data"), F.col("doc_id").alias("ord"),
     )
-    got = sorted(
-        (r.file, r.check_id, r.evidence) for r in scan_uploads(uploads, SC.Options(now=NOW)).findings.collect()
-        if r.check_id.startswith(("DATA-PAN", "DATA-SSN", "SECRET"))
-    )
-    want = {
-        (f"{d.doc_id}.txt", check, model.sanitize(evidence))
-        for d in docs.collect() for line in d.text.split("\n") for check, evidence, _ in model.content(line)
-    }
-    assert got == sorted(want) and got
+    kinds = ("DATA-PAN", "DATA-SSN", "SECRET")
+
+    def told(findings):
+        return sorted((r.file.rsplit("/", 1)[-1], r.check_id, r.location, r.evidence) for r in findings.collect() if r.check_id.startswith(kinds))
+
+    got = told(scan_uploads(uploads, SC.Options(now=NOW)).findings)
+    items = feeds.document_items(spark, "/root/testdata/sf0.001")
+    assert got and got == told(SC.scan_items(items, SC.Options(now=NOW)).findings)

@@ -241,6 +241,51 @@ def log_items(events: DataFrame) -> DataFrame:
     )
 
 
+# --- a folder of files of all kinds, some of them broken ------------------------------
+#: Events of one file, and what kinds of files follow each other.
+FILE_EVENTS = 1000
+FILE_KINDS = ("plain.log", "packed.log.gz", "broken.log.gz", "numbers.parquet", "broken.parquet", "names.parquet")
+CARD_TEXT = "'card 4111 1111 1111 1111'"
+
+
+def mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The events as files of `FILE_KINDS`, by turns.  Gives the folder; a file's name ends with its kind."""
+    import gzip
+    import io
+
+    import pandas as pd
+
+    from ..sources.lines import as_uri, locate
+    from ..streaming.lines import work_folder
+
+    folder = as_uri(work_folder(spark))
+    events = table(spark, sf_dir, "events").selectExpr("event_id", f"CAST(floor(event_id / {FILE_EVENTS}) AS BIGINT) AS file", f"{LOG_LINE} AS text")
+
+    def put(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        kind = FILE_KINDS[key[0] % len(FILE_KINDS)]
+        rows = rows.sort_values("event_id")
+        data = "".join(t + "\n" for t in rows["text"]).encode()
+        if kind == "packed.log.gz":
+            data = gzip.compress(data)
+        elif kind in ("numbers.parquet", "names.parquet"):
+            n = rows["event_id"].tolist()
+            cells = {"n": n if kind == "numbers.parquet" else [f"event {i}" for i in n], "text": [CARD_TEXT.strip("'")] * len(n)}
+            out = io.BytesIO()
+            pq.write_table(pa.table(cells), out)
+            data = out.getvalue()
+        system, place = locate(folder)
+        system.create_dir(place, recursive=True)
+        with system.open_output_stream(f"{place}/{key[0]}-{kind}", compression=None) as file:
+            file.write(data)
+        return pd.DataFrame({"file": [key[0]]})
+
+    events.groupBy("file").applyInPandas(put, "file bigint").count()
+    return folder
+
+
 # --- findings, one per order -------------------------------------------------------------
 FINDING_CHECKS = (
     "DATA-PAN", "DATA-SSN", "DATA-PII-EMAIL", "DATA-PHONE", "DATA-MRN", "SECRET-PRIVKEY", "SECRET-CLOUD-KEY",

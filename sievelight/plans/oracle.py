@@ -593,6 +593,15 @@ WITH {CHECKS}, hits AS (SELECT check_id FROM {log_hits(_EVENT_LINES, 'event_id')
                         UNION ALL SELECT check_id FROM {config_hits(_EVENT_LINES, 'event_id')})
 SELECT check_id, severity, count(*) AS occurrences FROM hits JOIN checks USING (check_id) GROUP BY 1, 2"""
 
+_KIND = feeds.case(f"(event_id // {feeds.FILE_EVENTS}) % {len(feeds.FILE_KINDS)}", [feeds.text(k) for k in feeds.FILE_KINDS])
+SQL["mixed_folder_scan"] = f"""
+WITH hits AS (SELECT event_id, count(*) AS n FROM {log_hits(_EVENT_LINES, 'event_id')} GROUP BY event_id),
+e AS (SELECT event_id // {feeds.FILE_EVENTS} AS f, {_KIND} AS kind, coalesce(n, 0) AS n FROM events LEFT JOIN hits USING (event_id))
+SELECT kind, CASE WHEN kind LIKE 'broken%' THEN 'unable_to_evaluate' ELSE 'fully_scanned' END AS status, kind LIKE 'broken%' AS failed,
+ count(DISTINCT f) AS files, CAST(sum(CASE WHEN kind LIKE 'broken%' THEN 0 WHEN kind LIKE '%parquet' THEN 2 ELSE 1 END) AS BIGINT) AS items,
+ CAST(sum(CASE WHEN kind LIKE 'broken%' THEN 0 WHEN kind LIKE '%parquet' THEN 1 ELSE n END) AS BIGINT) AS occurrences
+FROM e GROUP BY kind"""
+
 _UPLOADED = """(SELECT 'note_' || m || CASE n WHEN 0 THEN '' ELSE '_' || n END || '.txt' AS file, text
  FROM (SELECT doc_id % 50 AS m, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) - 1 AS n, text FROM documents))"""
 UPLOAD_LINES = lines(_UPLOADED, "file", "text").replace("SELECT *, string_split", "SELECT text, file, string_split")

@@ -643,6 +643,22 @@ def folder_scan(spark, sf_dir):
     return result.findings.groupBy("check_id", "severity").agg(long(F.sum("count")).alias("occurrences"))
 
 
+@query
+def mixed_folder_scan(spark, sf_dir):
+    """Full scan of files of several kinds made of the events: statuses, items and occurrences by kind.
+
+    Broken files are told of and the others searched; Parquet files differ in the type of a column.
+    """
+    from .scan import Options, scan
+
+    result = scan(spark, [feeds.mixed_folder(spark, sf_dir)], Options(now=NOW, year=YEAR))
+    kind = F.regexp_extract("file", r"-([^-]*)$", 1).alias("kind")
+    found = result.findings.groupBy("file").agg(F.sum("count").alias("n"))
+    return result.files.join(found, "file", "left").groupBy(kind, "status", F.col("error").isNotNull().alias("failed")).agg(
+        long(F.count("*")).alias("files"), long(F.sum("lines")).alias("items"), long(F.coalesce(F.sum("n"), F.lit(0))).alias("occurrences")
+    )
+
+
 # --- whole scans ---------------------------------------------------------------------------------
 
 

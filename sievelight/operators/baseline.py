@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import shards
 from .enrich import relative_path
 from .findings import position
 
@@ -28,16 +29,17 @@ def latest_entries(entries: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a baseline document, or of a table in Parquet with the same columns."""
+    """Entries of a baseline document or a folder of them, or of a table in Parquet with the same columns."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
     document = spark.read.option("multiLine", True).schema(f"suppressions array<struct<{_as_struct(ENTRY)}>>").json(path)
     checked = document.select(
         F.when(F.col("suppressions").isNull(), F.raise_error(F.lit(f"not a baseline document: {path}")))
         .otherwise(F.col("suppressions"))
-        .alias("suppressions")
+        .alias("suppressions"), F.col("_metadata.file_path").alias("path")
     )
-    return latest_entries(checked.select(F.posexplode("suppressions").alias("pos", "e")).select("pos", "e.*"))
+    entries = checked.select("path", F.posexplode("suppressions").alias("at", "e"))
+    return latest_entries(entries.select(F.struct("path", "at").alias("pos"), "e.*"))
 
 
 def _as_struct(ddl: str) -> str:
@@ -95,24 +97,22 @@ def baseline_entries(findings: DataFrame, now: datetime, root: str | None = None
             F.col("f.evidence").alias("evidence"), F.lit("").alias("reason"), F.lit("").alias("approved_by"),
             F.lit(stamp).alias("created"), F.lit(None).cast("string").alias("expires"),
         )
-        .orderBy("check", "file", "fingerprint")
     )
 
 
-def baseline_document(entries: DataFrame, now: datetime) -> DataFrame:
-    """The entries as one JSON document (version 2).  For large baselines write the entries as a table."""
-    place = F.struct("check", "file", "fingerprint")
-    return entries.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(place.alias("o"), F.struct(*ENTRY_COLUMNS).alias("e")))),
-            lambda x: x["e"],
-        ).alias("suppressions")
-    ).select(
-        F.to_json(
-            F.struct(
-                F.lit(2).alias("version"), F.lit(now.astimezone(timezone.utc).isoformat()).alias("generated"),
-                F.lit(NOTE).alias("note"), "suppressions",
-            ),
-            {"ignoreNullFields": "false"},
-        ).alias("value")
+def baseline_documents(entries: DataFrame, now: datetime, per_document: int = shards.PER_DOCUMENT) -> DataFrame:
+    """(shard, value): the entries as JSON documents (version 2) of at most `per_document` entries, in order.
+
+    `read_baseline` reads any number of them.  Without entries there is one empty document.
+    """
+    options = {"ignoreNullFields": "false"}
+    rows = shards.dealt(entries, F.struct("check", "file", "fingerprint"), per_document)
+    texts = rows.select("shard", "o", F.to_json(F.struct(*ENTRY_COLUMNS), options).alias("entry"))
+    fixed = F.to_json(
+        F.struct(F.lit(2).alias("version"), F.lit(now.astimezone(timezone.utc).isoformat()).alias("generated"), F.lit(NOTE).alias("note"))
     )
+    head = F.concat(F.left(fixed, F.length(fixed) - 1), F.lit(',"suppressions":['))
+    value = F.concat(head, shards.joined("entry"), F.lit("]}")).alias("value")
+    if rows.isEmpty():
+        return texts.agg(value).select(F.lit(0).cast("bigint").alias("shard"), "value")
+    return texts.groupBy("shard").agg(value)

@@ -1,4 +1,4 @@
-"""SARIF 2.1.0 rows and document."""
+"""SARIF 2.1.0 rows and documents."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import shards
 from ..catalog import Catalog
 from .enrich import check_profiles, relative_path, with_check
 from .findings import position
@@ -81,14 +82,13 @@ def results(findings: DataFrame, catalog: Catalog, root: str | None = None) -> D
     )
 
 
-def document(
+def documents(
     findings: DataFrame, catalog: Catalog, selected: Sequence[str], root: str | None = None, *,
-    tool: str = "sievelight", version: str = "0.1.0",
+    per_document: int = shards.PER_DOCUMENT, tool: str = "sievelight", version: str = "0.1.0",
 ) -> DataFrame:
-    """The whole document in one row.
+    """(shard, value): all findings as documents of at most `per_document` results, in order, each put together by itself.
 
-    Meant for findings that went through the scan-wide limit, which bounds the
-    size of this row; for more, write `rules` and `results` as tables.
+    A document has the rules its results refer to.  Without findings there is one without results.
     """
     rule = F.struct(
         "id", "name", F.struct(F.col("short_description").alias("text")).alias("shortDescription"),
@@ -100,7 +100,7 @@ def document(
             F.array(F.lit("security"), F.lit("compliance"), F.col("category")).alias("tags"),
         ).alias("properties"),
     )
-    rows = results(findings, catalog, root)
+    rows = shards.dealt(results(findings, catalog, root), position(), per_document)
     facts = [F.col("mapping_provenance").alias("mappingProvenance")] if "mapping_provenance" in rows.columns else []
     result = F.struct(
         F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"),
@@ -117,24 +117,16 @@ def document(
             F.col("occurrence_count").alias("occurrenceCount"), *facts,
         ).alias("properties"),
     )
-    # Rules and results come together as rows of one table, then as one row.
-    parts = rules(findings, catalog, selected).select(
-        F.col("first_seen").alias("o"),
-        F.to_json(rule).alias("rule"), F.lit(None).cast("string").alias("result"),
-    ).unionByName(
-        rows.select(
-            position().alias("o"), F.lit(None).cast("string").alias("rule"), F.to_json(result).alias("result")
-        )
-    )
-
-    def in_order(name: str) -> Column:
-        listed = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("o", name))))
-        return F.array_join(F.transform(listed, lambda x: x[name]), ",")
-
+    # The rules of a shard and its results come together as rows of one table.
+    used = rows.select("shard", F.col("rule_id").alias("id")).distinct()
+    parts = rules(findings, catalog, selected).join(used, "id").select(
+        "shard", F.col("first_seen").alias("o"), F.to_json(rule).alias("rule"), F.lit(None).cast("string").alias("result")
+    ).unionByName(rows.select("shard", "o", F.lit(None).cast("string").alias("rule"), F.to_json(result).alias("result")))
     head = (
         f'{{"$schema":"{SCHEMA_URL}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}",'
         f'"version":"{version}","rules":['
     )
-    return parts.agg(
-        F.concat(F.lit(head), in_order("rule"), F.lit(']}},"results":['), in_order("result"), F.lit("]}]}")).alias("value")
-    )
+    value = F.concat(F.lit(head), shards.joined("rule"), F.lit(']}},"results":['), shards.joined("result"), F.lit("]}]}")).alias("value")
+    if rows.isEmpty():
+        return parts.agg(value).select(F.lit(0).cast("bigint").alias("shard"), "value")
+    return parts.groupBy("shard").agg(value)

@@ -1,4 +1,4 @@
-"""Results of a scan as files: findings as JSON lines, a header, the report tables, SARIF."""
+"""Results of a scan as files: findings as JSON lines, a header, the report tables, SARIF, a baseline."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from datetime import timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import report, sarif
+from ..operators import baseline, report, sarif, shards
 from .scan import ScanResult
 
 VERSION = "0.1.0"
@@ -64,12 +64,18 @@ def report_tables(result: ScanResult) -> dict[str, DataFrame]:
     }
 
 
-def write(result: ScanResult, folder: str) -> None:
-    """Write everything below `folder`."""
+def write(result: ScanResult, folder: str, per_document: int = shards.PER_DOCUMENT) -> None:
+    """Write everything below `folder`: also a baseline that accepts all active findings, for a reviewer to edit.
+
+    SARIF and baseline come as documents of at most `per_document` rows, one file each.
+    """
     finding_records(result).write.json(f"{folder}/findings")
     result.files.write.json(f"{folder}/files")
     result.suppressed.select("fingerprint").write.json(f"{folder}/suppressed")
     header(result).select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/header")
-    sarif.document(result.findings, result.catalog, result.options.selected, result.root).write.text(f"{folder}/sarif")
+    reports = sarif.documents(result.findings, result.catalog, result.options.selected, result.root, per_document=per_document)
+    reports.write.partitionBy("shard").text(f"{folder}/sarif")
+    entries = baseline.baseline_entries(result.findings, result.options.now, result.root)
+    baseline.baseline_documents(entries, result.options.now, per_document).write.partitionBy("shard").text(f"{folder}/baseline")
     for name, table in report_tables(result).items():
         table.write.parquet(f"{folder}/report/{name}")

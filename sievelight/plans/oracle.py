@@ -14,7 +14,7 @@ from ..operators import auth, config_tree as CT, detect, findings as FN
 from ..sources import classify as C
 from . import feeds
 from .queries import (
-    ACCEPTED, ACCEPTED_BY_NAME, EXPIRES, FILE_LIMIT, ITEM_LIMIT, NAME_ENDINGS, NOW, ROOT, SCAN_LIMIT, SELECTED,
+    ACCEPTED, ACCEPTED_BY_NAME, DOCUMENT_ROWS, EXPIRES, FILE_LIMIT, ITEM_LIMIT, NAME_ENDINGS, NOW, ROOT, SCAN_LIMIT, SELECTED,
 )
 
 SQL: dict[str, str] = {}
@@ -614,12 +614,12 @@ WITH hits AS (
   UNION ALL {bulk(_UPLOAD_LOCATED)})
 SELECT file, check_id, CAST(sum(n) AS BIGINT) AS occurrences FROM hits GROUP BY 1, 2"""
 SQL["sarif_document"] = f"""
-WITH s AS (SELECT check_id, file, pos, rn > {SCAN_LIMIT} AS late, count FROM {SCAN_RANKED}),
-r AS (SELECT check_id, late, count(*) AS results, sum(count) AS n, min({{'l': late, 'f': file, 'p': pos}}) AS seen FROM s GROUP BY 1, 2),
-t AS (SELECT check_id, min(CASE WHEN late THEN {{'l': true, 'f': '', 'p': 0}} ELSE seen END) AS seen,
-      sum(CASE WHEN late THEN 1 ELSE results END) AS results, sum(n) AS n FROM r GROUP BY 1)
-SELECT '2.1.0' AS version, check_id AS "ruleId", row_number() OVER (ORDER BY seen, check_id) AS place,
- CAST(results AS BIGINT) AS results, CAST(n AS BIGINT) AS occurrences FROM t"""
+WITH r AS (SELECT *, CAST((row_number() OVER (ORDER BY file, pos) - 1) // {DOCUMENT_ROWS} AS BIGINT) AS shard FROM {RANKED}),
+seen AS (SELECT check_id, min({{'f': file, 'p': pos}}) AS first FROM r GROUP BY check_id)
+SELECT shard, '2.1.0' AS version, check_id AS "ruleId", row_number() OVER (PARTITION BY shard ORDER BY first) AS place,
+ count(*) AS results, CAST(sum(count) AS BIGINT) AS occurrences
+FROM r JOIN seen USING (check_id) GROUP BY shard, check_id, first"""
+SQL["baseline_documents"] = f"SELECT fingerprint, "check", file, evidence, created FROM ({SQL['baseline_entries']})"
 
 # --- streams ------------------------------------------------------------------------------------------------------
 SQL["stream_line_rules"] = SQL["log_line_rules"]

@@ -433,6 +433,8 @@ def sarif_results(spark, sf_dir):
     )
 
 
+#: Rows of a SARIF or baseline document.
+DOCUMENT_ROWS = 1000
 SARIF_SHAPE = (
     "version string, runs array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,"
     "results:array<struct<ruleId:string,properties:struct<occurrenceCount:bigint>>>>>"
@@ -441,19 +443,26 @@ SARIF_SHAPE = (
 
 @query
 def sarif_document(spark, sf_dir):
-    """The SARIF document, read back: results and occurrences per rule, and the place of each rule."""
-    found = FN.limit_per_scan(FN.limit_per_file(_merged(spark, sf_dir), FILE_LIMIT), SCAN_LIMIT)
-    full = enrich.with_confidence(enrich.with_fingerprints(found, ROOT))
-    text = sarif.document(full, CAT.tables(spark), SELECTED, ROOT)
-    run = text.select(F.from_json("value", SARIF_SHAPE).alias("d")).select("d.version", F.col("d.runs")[0].alias("run"))
+    """SARIF documents of all findings, read back: by document the place, results and occurrences of each rule."""
+    texts = sarif.documents(_reported(spark, sf_dir), CAT.tables(spark), SELECTED, ROOT, per_document=DOCUMENT_ROWS)
+    run = texts.select("shard", F.from_json("value", SARIF_SHAPE).alias("d")).select("shard", "d.version", F.col("d.runs")[0].alias("run"))
     rules = F.transform("run.tool.driver.rules", lambda r: r["id"])
-    results = run.select("version", rules.alias("rules"), F.inline("run.results"))
-    return results.groupBy("version", "ruleId").agg(
+    results = run.select("shard", "version", rules.alias("rules"), F.inline("run.results"))
+    return results.groupBy("shard", "version", "ruleId").agg(
         long(F.max(F.array_position("rules", F.col("ruleId")))).alias("place"), long(F.count(F.lit(1))).alias("results"),
         long(F.sum("properties.occurrenceCount")).alias("occurrences"),
     )
 
 
+@query
+def baseline_documents(spark, sf_dir):
+    """Baseline documents of all findings, written and read back by the reader of baselines."""
+    folder = stream_lines.work_folder(spark)
+    entries = BL.baseline_entries(_reported(spark, sf_dir), NOW, ROOT)
+    BL.baseline_documents(entries, NOW, DOCUMENT_ROWS).write.partitionBy("shard").text(folder)
+    return BL.read_baseline(spark, folder).select("fingerprint", "check", "file", "evidence", "created")
+
+
 @query
 def severity_counts(spark, sf_dir):
     counts = report.severity_counts(feeds.raw_findings(spark, sf_dir), CAT.tables(spark))

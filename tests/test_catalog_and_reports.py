@@ -115,7 +115,7 @@ def test_baseline_round_trip(spark, tmp_path):
         spark, [("DATA-PAN", "/r/b.txt", "line 2", "e", 1, 0.65, 2), ("DATA-PAN", "/r/a.txt", "line 1", "e", 1, 0.65, 1), ("CFG-DEBUG", "/r/z", "line 1", "x", 1, 0.65, 1)]
     )
     entries = BL.baseline_entries(found, NOW)
-    document = json.loads(BL.baseline_document(entries, NOW).first().value)
+    document = json.loads(BL.baseline_documents(entries, NOW).first().value)
     assert document["version"] == 2
     assert [(e["check"], e["file"]) for e in document["suppressions"]] == [("CFG-DEBUG", "/r/z"), ("DATA-PAN", "/r/a.txt"), ("DATA-PAN", "/r/b.txt")]
     assert document["suppressions"][0]["expires"] is None
@@ -136,7 +136,7 @@ def test_sarif_document(spark, catalog):
         [("DATA-PAN", "/r/.env", "line 7", 'say "x"', 2, 0.9, 1), ("CFG-DEBUG", "/r/a.conf", "page 2, line 5", "debug", 1, 0.65, 1)],
     )
     full = enrich.with_mappings(found, catalog, ["gdpr"])
-    document = json.loads(sarif.document(full, catalog, ["gdpr"], "/r").first().value)
+    document = json.loads(sarif.documents(full, catalog, ["gdpr"], "/r").first().value)
     run = document["runs"][0]
     assert document["version"] == "2.1.0"
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["DATA-PAN", "CFG-DEBUG"]
@@ -148,6 +148,24 @@ def test_sarif_document(spark, catalog):
     assert run["tool"]["driver"]["rules"][0]["properties"]["security-severity"] == "9.5"
 
 
+def test_documents_of_bounded_size(spark, catalog, tmp_path):
+    rows = [("DATA-PAN" if i % 3 else "CFG-DEBUG", f"/r/f{i % 7}.txt", f"line {i}", f"e{i}", 1, 0.65, i) for i in range(95)]
+    found = findings(spark, rows)
+    texts = sarif.documents(enrich.with_mappings(found, catalog, ["gdpr"]), catalog, ["gdpr"], "/r", per_document=20).orderBy("shard").collect()
+    runs = [json.loads(t.value)["runs"][0] for t in texts]
+    assert [len(run["results"]) for run in runs] == [20, 20, 20, 20, 15]
+    places = [(x["artifactLocation"]["uri"], x["region"]["startLine"]) for run in runs for r in run["results"]
+              for x in [r["locations"][0]["physicalLocation"]]]
+    assert [u for u, _ in places] == sorted(u for u, _ in places) and len(set(places)) >= 94
+    assert all({r["id"] for r in run["tool"]["driver"]["rules"]} == {r["ruleId"] for r in run["results"]} for run in runs)
+    BL.baseline_documents(BL.baseline_entries(found, NOW), NOW, 30).write.partitionBy("shard").text(str(tmp_path / "b"))
+    assert BL.read_baseline(spark, str(tmp_path / "b")).count() == 95
+    none = found.limit(0)
+    empty = json.loads(sarif.documents(enrich.with_mappings(none, catalog, ["gdpr"]), catalog, ["gdpr"]).first().value)
+    assert empty["runs"][0]["results"] == [] == empty["runs"][0]["tool"]["driver"]["rules"]
+    assert json.loads(BL.baseline_documents(BL.baseline_entries(none, NOW), NOW).first().value)["suppressions"] == []
+
+
 def test_gate_and_counts(spark, catalog):
     found = findings(spark, [("CFG-DEBUG", "f", "line 1", "e", 1, 0.65, 1)])
     assert report.gate(found, catalog, "high").first().failed is False
@@ -168,4 +186,7 @@ def test_export(spark, make_items, tmp_path):
     assert header["frameworks"] == ["gdpr", "soc2"] and header["coverage"] == {"fully_scanned": 1}
     rows = spark.read.json(str(tmp_path / "out/findings")).collect()
     assert {r.check for r in rows} == {"DATA-PAN", "CFG-DEBUG"}
+    accepted = BL.read_baseline(spark, str(tmp_path / "out/baseline"))
+    again = SC.scan_items(items, SC.Options(now=NOW, frameworks=["gdpr", "soc2"], baseline=accepted))
+    assert again.findings.isEmpty() and again.suppressed.count() == 2
     assert spark.read.parquet(str(tmp_path / "out/report/severity_counts")).count() == 5

@@ -14,7 +14,7 @@ from ..operators import auth, config_tree as CT, detect, findings as FN
 from ..sources import classify as C
 from . import feeds
 from .queries import (
-    ACCEPTED, ACCEPTED_BY_NAME, DOCUMENT_ROWS, EXPIRES, FILE_LIMIT, ITEM_LIMIT, NAME_ENDINGS, NOW, ROOT, SCAN_LIMIT, SELECTED,
+    ACCEPTED, ACCEPTED_BY_NAME, DOCUMENT_ROWS, EXPIRES, FILE_LIMIT, ITEM_LIMIT, NAME_ENDINGS, NOW, ROOT, RULE_WORDS, SCAN_LIMIT, SELECTED,
 )
 
 SQL: dict[str, str] = {}
@@ -465,6 +465,11 @@ SQL["baseline_latest"] = """
 SELECT fingerprint, arg_max(o_orderpriority, o_orderkey) AS reason
 FROM (SELECT *, 'fp' || o_custkey % 400 AS fingerprint FROM orders WHERE o_custkey % 50 <> 0) GROUP BY 1"""
 
+SQL["rule_table"] = f"""
+WITH often AS (SELECT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM documents) GROUP BY w ORDER BY count(*) DESC, w LIMIT {RULE_WORDS}),
+t AS (SELECT DISTINCT file, item_idx, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]+')) AS w FROM {DOC_LINES})
+SELECT 'WORD-' || w AS check_id, count(*) AS lines, count(DISTINCT file) AS files FROM t SEMI JOIN often USING (w) GROUP BY w"""
+
 # --- sinks and report ---------------------------------------------------------------------------------
 SQL["sarif_rules"] = f"""
 WITH {CHECKS}, {SEVS}, {FRAMES}, {CONTROLS},
@@ -619,7 +624,7 @@ seen AS (SELECT check_id, min({{'f': file, 'p': pos}}) AS first FROM r GROUP BY
 SELECT shard, '2.1.0' AS version, check_id AS "ruleId", row_number() OVER (PARTITION BY shard ORDER BY first) AS place,
  count(*) AS results, CAST(sum(count) AS BIGINT) AS occurrences
 FROM r JOIN seen USING (check_id) GROUP BY shard, check_id, first"""
-SQL["baseline_documents"] = f"SELECT fingerprint, "check", file, evidence, created FROM ({SQL['baseline_entries']})"
+SQL["baseline_documents"] = f'SELECT fingerprint, "check", file, evidence, created FROM ({SQL["baseline_entries"]})'
 
 # --- streams ------------------------------------------------------------------------------------------------------
 SQL["stream_line_rules"] = SQL["log_line_rules"]
@@ -636,6 +641,12 @@ w AS (SELECT file, kt AS key_type, key, CAST(floor(epoch(ts) / 10) AS BIGINT) *
 SELECT file, key_type, key, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS failures
 FROM w GROUP BY file, key_type, key, s HAVING count(*) >= 5"""
 
+SQL["stream_login_alerts"] = f"""
+WITH {KEYED.split("stepped AS")[0].rstrip().rstrip(",")},
+w AS (SELECT file, kt AS key_type, key, CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 - unnest(range(0, 6)) * 10 AS s FROM keyed WHERE fail)
+SELECT DISTINCT file, key_type, key FROM (SELECT file, key_type, key, s FROM w GROUP BY file, key_type, key, s HAVING count(*) >= 5)
+WHERE s + 60 <= (SELECT max(epoch(ts)) - 1800 FROM keyed WHERE fail)"""
+
 # Literals come as decimals or short integers there; give the columns the types Spark gives them.
 _TYPES = {
     "confidence_score": (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import catalog as CAT
 from ..functions import patterns as P, stamps, text as X
-from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, report, rollup, sarif
+from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, report, rollup, ruletable, sarif
 from ..session import stage
 from ..sources import classify as C, delimited, discovery, lines as L, settings as S, tables as T
 from ..streaming import auth as stream_auth, lines as stream_lines
@@ -168,6 +168,23 @@ def custom_rules(spark, sf_dir):
     return found.select("file", long("turn").alias("turn"), "check_id", "detail")
 
 
+#: Rules of the rule table.
+RULE_WORDS = 1000
+
+
+@query
+def rule_table(spark, sf_dir):
+    """A thousand rules from a table, the commonest words of the documents, over all their lines."""
+    docs = feeds.table(spark, sf_dir, "documents")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")
+    often = docs.select(word).groupBy("w").count().orderBy(F.desc("count"), "w").limit(RULE_WORDS)
+    rules = often.select(
+        F.concat(F.lit("WORD-"), "w").alias("check_id"), F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"), F.lit("word").alias("detail")
+    )
+    found = ruletable.rule_signals(feeds.document_items(spark, sf_dir), rules, year=YEAR)
+    return found.groupBy("check_id").agg(long(F.count("*")).alias("lines"), long(F.countDistinct("file")).alias("files"))
+
+
 # --- logs -------------------------------------------------------------------------------
 
 
@@ -743,10 +760,17 @@ def stream_login_correlation(spark, sf_dir):
     return found.select("file", "check_id", "location", "detail", "count", "confidence_score")
 
 
+@query
+def stream_login_alerts(spark, sf_dir):
+    """Accounts and addresses with a burst of failures, each told of once."""
+    alerts = stream_auth.burst_alerts(_login_stream(spark, sf_dir))
+    return stream_lines.run_available(alerts.select("file", "key_type", "key"))
+
+
 @query
 def stream_login_windows(spark, sf_dir):
     """Sliding failure counts; of the updates of a window the last is taken."""
     counted = stream_auth.sliding_failures(_login_stream(spark, sf_dir))
-    updates = stream_lines.run_available(counted, mode="update")
+    updates = stream_lines.run_available(counted.drop("w"), mode="update")
     latest = updates.groupBy("file", "key_type", "key", "window_start").agg(F.max("failures").alias("failures"))
     return latest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -170,5 +170,16 @@ def sliding_failures(
         .groupBy("file", "key_type", "key", F.window("ts", f"{seconds} seconds", f"{slide} seconds").alias("w"))
         .agg(F.count(F.lit(1)).alias("failures"))
         .filter(F.col("failures") >= threshold)
-        .select("file", "key_type", "key", F.col("w.start").alias("window_start"), "failures")
+        .select("file", "key_type", "key", "w", F.col("w.start").alias("window_start"), "failures")
     )
+
+
+def burst_alerts(logins: DataFrame, watermark: str = "30 minutes", **window) -> DataFrame:
+    """(file, key_type, key, window_start, failures): the first windows of `sliding_failures` that are complete, one a key.
+
+    For append mode: a window is told of once the watermark has passed it, and its key not
+    again before the watermark has passed that window by its delay.
+    """
+    counted = sliding_failures(logins, watermark=watermark, **window).withColumn("window_time", F.window_time("w")).drop("w")
+    once = counted.dropDuplicatesWithinWatermark(["file", "key_type", "key"])
+    return once.select("file", "key_type", "key", "window_start", "failures")

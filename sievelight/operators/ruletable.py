@@ -160,5 +160,5 @@ def rule_signals(items: DataFrame, rules: DataFrame, *, year: int) -> DataFrame:
     """
     parts = [_searched(items, group, year) for group in _groups(rules)]
     if not parts:
-        return detect.signals(items, year=year, families=())
+        return detect.signals(items, year=year, families=("log",)).filter(F.lit(False))
     return reduce(DataFrame.unionByName, parts)

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import catalog as CAT
-from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, rollup
+from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, rollup, ruletable
 from ..session import stage
 from ..sources import delimited, discovery, hidden, lines as L, settings as S, tables
 
@@ -42,6 +42,7 @@ class Options:
     scan_limit: int | None = None  # findings kept of a scan
     max_text: int | None = None  # characters searched in an item
     rules: Sequence[tuple[str, str, str]] = ()
+    rule_table: DataFrame | None = None  # more rules (check_id, pattern, detail), for items
     baseline: DataFrame | None = None
     crosswalk: DataFrame | str | None = None
     root: str | None = None
@@ -135,13 +136,17 @@ def file_status(files: DataFrame, item_limit: int | None) -> DataFrame:
 def scan_items(items: DataFrame, options: Options | None = None) -> ScanResult:
     """Scan any numbered items (file, ftype, item_idx, location, text), such as those of a table."""
     options = options or Options()
-    catalog = CAT.with_rules(CAT.tables(items.sparkSession, options.crosswalk), options.rules)
+    more = [] if options.rule_table is None else [
+        (r.check_id, "", r.detail) for r in options.rule_table.groupBy("check_id").agg(F.min("detail").alias("detail")).toLocalIterator()
+    ]
+    catalog = CAT.with_rules(CAT.tables(items.sparkSession, options.crosswalk), [*options.rules, *more])
     counts = items.groupBy("file", F.col("ftype").alias("type")).agg(F.count("*").alias("items"))
     if options.item_limit is not None:
         items = FN.first_items(items, options.item_limit)
-    signals = stage(
-        detect.signals(items, year=options.stamp_year, rules=options.rules, max_text=options.max_text).select(*SIGNAL_COLUMNS)
-    )
+    found = detect.signals(items, year=options.stamp_year, rules=options.rules, max_text=options.max_text).select(*SIGNAL_COLUMNS)
+    if options.rule_table is not None:
+        found = found.unionByName(ruletable.rule_signals(items, options.rule_table, year=options.stamp_year).select(*SIGNAL_COLUMNS))
+    signals = stage(found)
     files = file_status(counts.withColumn("config_parser", F.lit(None).cast("string")), options.item_limit)
     found = collect_findings(raw_findings(signals), options, catalog)
     return finish(found, files, options, catalog, options.root)

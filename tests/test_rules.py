@@ -33,3 +33,11 @@ def test_rules_of_a_table(spark, make_items, monkeypatch):
         assert sorted((r.item_idx, r.check_id, r.detail) for r in got) == want
     assert {r.kind for r in got} == {"finding"} and {r.evidence for r in got if r.check_id == "D"} == {"api-key = *"}
     assert ruletable.rule_signals(make_items(texts), table.limit(0), year=2026).isEmpty()
+
+
+def test_rules_of_a_table_in_a_scan(spark, make_items):
+    from sievelight.plans.scan import Options, scan_items
+
+    table = spark.createDataFrame([("OWN-1", "secret plan", "a plan"), ("OWN-2", r"\?$", None)], "check_id string, pattern string, detail string")
+    found = scan_items(make_items(["the Secret Plan", "why?", "no"]), Options(frameworks=["gdpr"], rule_table=table)).findings.collect()
+    assert sorted((r.check_id, r.severity, r.location) for r in found) == [("OWN-1", "medium", "line 1"), ("OWN-2", "medium", "line 2")]

@@ -18,7 +18,9 @@ Sets are told by a hash of all their features, so copies are one set.  Candidate
 runs of sets with one signature.  A run's first set is compared with the others;
 members that are then still in different components are compared further, first
 the likeliest and then all that a parity sketch does not rule out (the bits in which
-two sketches differ are never more than the features in which the sets do).
+two sketches differ are never more than the features in which the sets do).  Sets are
+sent to where they meet only where sums of their features over cells do not settle the
+pair: features in which two sets differ are all in cells whose sums do.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import nullable, partitions, small_batches, text_of, written
 from .components import components
@@ -40,6 +42,10 @@ SINGLE = 64
 #: One document in so many tells which features are common; common is what so many of those hold; of those at most so many are sent to tasks.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 1 << 18
 SKETCH_BITS = 1024
+#: Features a cell holds about, cells of a set at least and at most.
+PER_CELL, LEAST_CELLS, MOST_CELLS = 8, 16, 4096
+#: First sets that each set is compared with at first.
+HUBS = 2
 #: Signatures a task packs before it hands them on.
 PACKED = 1_000_000
 #: Ids up to this many are sent to all tasks to pick documents; more are joined.
@@ -126,7 +132,7 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
     spark = documents.sparkSession
     common = spark.sparkContext.broadcast(_common(documents, width))
     buckets = partitions(spark)
-    more = T.StructType.fromDDL("n_shingles bigint, set bigint, sketch binary, bucket int, low binary, high binary, sets binary")
+    more = T.StructType.fromDDL("n_shingles bigint, set bigint, sketch binary, cells binary, bucket int, low binary, high binary, sets binary")
     schema = T.StructType([*nullable([documents.schema["id"], documents.schema["row"]]), *more.fields])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +147,7 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
             bits = (name >> np.uint64(20)).astype(np.uint32), (name >> np.uint64(52)).astype(np.uint8)
             which, parts = packed((name % np.uint64(buckets)).astype(np.int32), *bits, own)
             n = len(which)
-            blank = [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary())]
+            blank = [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 2]
             yield pa.RecordBatch.from_arrays([*blank, which, *parts], names=schema.names)
 
         for batch in batches:
@@ -155,7 +161,7 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
                 size += len(name)
                 told = [
                     batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(count), pa.array(own.view(np.int64)),
-                    pa.array([x.tobytes() for x in _sketches(feature, text, n)], pa.binary()),
+                    pa.array([x.tobytes() for x in _sketches(feature, text, n)], pa.binary()), pa.array(_cells(feature, text, count), pa.binary()),
                 ]
                 blank = [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3]
                 yield pa.RecordBatch.from_arrays([*told, *blank], names=schema.names)
@@ -201,6 +207,45 @@ def _sketches(feature: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((np.bincount(cell, minlength=n * SKETCH_BITS) & 1).astype(bool).reshape(n, SKETCH_BITS), axis=1)
 
 
+def _cells(feature: np.ndarray, text: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each text sums of its features over cells, about `PER_CELL` features each: a count in the low bits, a hash above it.
+
+    The cells are a power of two, and two neighbouring ones add up to one of half as many.
+    """
+    number = 1 << np.maximum(np.log2(np.maximum(size, 1) / PER_CELL), np.log2(LEAST_CELLS)).astype(np.int64)
+    number = np.minimum(number, MOST_CELLS)
+    first = np.r_[0, np.cumsum(number)]
+    spread = mix(feature + np.uint64(0x5151))
+    at = first[text] + ((spread >> np.uint64(32)) * number[text].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    total = np.zeros(first[-1], np.uint64)
+    np.add.at(total, at, (spread << np.uint64(16)) | np.uint64(1))
+    return [c.tobytes() for c in np.split(total, first[1:-1])]
+
+
+def _most_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """At most so many features are in one of two sets only: those of the cells that differ."""
+    while len(a) > len(b):
+        a = a[::2] + a[1::2]
+    while len(b) > len(a):
+        b = b[::2] + b[1::2]
+    differ = a != b
+    return int(((a[differ] & np.uint64(0xFFFF)) + (b[differ] & np.uint64(0xFFFF))).sum())
+
+
+def _settled(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b, sure): sure where the cells in which two sets differ hold so little that they must be similar; written."""
+    of = lambda side: facts.select(F.col("set").alias(side), F.col("size").alias(f"size_{side}"), F.col("cells").alias(f"cells_{side}"))
+    told = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.col("size_a") + F.col("size_b"), "cells_a", "cells_b")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            sure = [7 * _most_apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= size for size, x, y in both]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+    return written(told.mapInArrow(settle, "a bigint, b bigint, sure boolean"), "settled")
+
+
 def _bits(sketches: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint64).reshape(len(sketches), -1)
 
@@ -267,12 +312,16 @@ def _compare(documents: DataFrame, pairs: DataFrame, facts: DataFrame, width: in
     return written(met.mapInArrow(compare, "a bigint, b bigint"), "similar")
 
 
-def _wide(runs: DataFrame) -> DataFrame:
-    """The runs of three sets or more, one of those with the same sets; written.  Smaller ones are done with their first pair."""
-    told = runs.groupBy("run").agg(
-        F.first("a").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("b")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "b")).alias("y")
+def _wide(runs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The runs that their first pairs do not settle, one of those with the same sets; written.
+
+    These are runs of three sets or more, and those of two whose pair is not tested yet.
+    """
+    told = runs.join(tested.select("a", "b", F.lit(True).alias("done")), ["a", "b"], "left").groupBy("run").agg(
+        F.first("a").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("b")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "b")).alias("y"),
+        F.max(F.col("done").isNull()).alias("left"),
     )
-    one = told.filter("n > 1").groupBy("a", "n", "x", "y").agg(F.min("run").alias("run")).select("run")
+    one = told.filter("n > 1 OR left").groupBy("a", "n", "x", "y").agg(F.min("run").alias("run")).select("run")
     return written(runs.join(one, "run", "left_semi"), "wide-runs")
 
 
@@ -334,17 +383,23 @@ def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     signed = _signed(source, width)
     docs = signed.filter(F.col("bucket").isNull()).select("id", "row", "n_shingles", "set")
     runs = _runs(signed.filter(F.col("bucket").isNotNull()).select("bucket", "low", "high", "sets"))
-    pairs = written(runs.select("a", "b").distinct(), "pairs")
-    found = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    every = runs.select("a", "b").distinct()
+    # Runs of one class begin with the same few sets: the least of them join the class, the other pairs are looked at where it is still apart.
+    hub = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    pairs = written(every.withColumn("hub", hub).filter(F.col("hub") <= HUBS).select("a", "b"), "pairs")
+    found = runs.select(F.col("a").alias("set")).union(runs.select("b")).distinct()
     facts = signed.filter(F.col("bucket").isNull()).join(found, "set", "left_semi").groupBy("set")
-    facts = written(facts.agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")), "facts")
+    facts = written(facts.agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("cells").alias("cells"), F.first("n_shingles").alias("size")), "facts")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return _compare(source, _plausible(pairs, facts), facts, width)
+        settled = _settled(_plausible(pairs, facts), facts)
+        open_ = written(settled.filter(~F.col("sure")).select("a", "b"), "open")
+        sure = settled.filter("sure").select("a", "b")
+        return sure if open_.isEmpty() else sure.union(_compare(source, open_, facts, width))
 
     links, tested = compared(pairs), pairs
     labels = components(links)
-    wide = _wide(runs)
+    wide = _wide(runs, pairs)
     for best in (3, None):
         found = _further(wide, labels, facts, best)
         more = written(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")

@@ -115,6 +115,17 @@ def brute_classes(rows):
     return sorted(str((doc, len(sets[i]), least.get(top(i)))) for i, (doc, _) in enumerate(rows))
 
 
+def test_cells_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for size, changed in [(5, 1), (40, 3), (700, 20), (9000, 300), (9000, 9000), (300, 0)]:
+        a = rng.integers(1, 2**63, size, dtype=np.uint64)
+        b = np.r_[a[changed:], rng.integers(1, 2**63, changed + size // 5, dtype=np.uint64)]
+        cells = [np.frombuffer(shinglejoin._cells(np.sort(x), np.zeros(len(x), np.int64), np.array([len(x)]))[0], np.uint64) for x in (a, b)]
+        apart = len(np.setxor1d(a, b))
+        assert apart <= shinglejoin._most_apart(*cells) <= len(a) + len(b)
+        assert shinglejoin._most_apart(cells[0], cells[0]) == 0
+
+
 def similar(seed):
     """Chains of texts each a little unlike the one before, short texts, and texts about one common passage."""
     rng = random.Random(seed)

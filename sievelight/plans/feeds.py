@@ -212,10 +212,14 @@ AUTH_LINE = (
 )
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream of files."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return table_stream(spark, sf_dir, "events")
 
 
 def auth_items(events: DataFrame) -> DataFrame:
@@ -313,7 +317,10 @@ def raw_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents; each document is a text file below its source."""
-    docs = spread_table(spark, sf_dir, "documents")
+    return text_items(spread_table(spark, sf_dir, "documents"))
+
+
+def text_items(docs: DataFrame) -> DataFrame:
     path = F.concat(F.lit("documents/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return split_lines(docs, path, F.col("text"))
 

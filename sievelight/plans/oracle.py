@@ -572,6 +572,7 @@ WITH {CHECKS}, hits AS (
   UNION ALL {bulk(_LOCATED)})
 SELECT check_id, severity, count(DISTINCT file) AS files, CAST(sum(n) AS BIGINT) AS occurrences
 FROM hits JOIN checks USING (check_id) GROUP BY 1, 2"""
+SQL["stream_document_findings"] = SQL["document_scan"]
 _CELLS = (
     "(SELECT 'pages.parquet' AS file, page_id * 3 + 2 AS item_idx, '' AS location, url AS text FROM pages UNION ALL "
     f"SELECT 'pages.parquet', page_id * 3 + 3, '', html FROM pages)"

@@ -12,7 +12,7 @@ from ..functions import patterns as P, stamps, text as X
 from ..operators import auth, baseline as BL, config_tree, detect, enrich, findings as FN, report, rollup, ruletable, sarif
 from ..session import stage
 from ..sources import classify as C, delimited, discovery, lines as L, settings as S, tables as T
-from ..streaming import auth as stream_auth, lines as stream_lines
+from ..streaming import auth as stream_auth, findings as stream_findings, lines as stream_lines
 from . import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -749,6 +749,17 @@ def stream_line_rules(spark, sf_dir):
     return stream_lines.run_available(found.select(long("event_id").alias("event_id"), "check_id", "confidence_score"))
 
 
+@query
+def stream_document_findings(spark, sf_dir):
+    """All rule families on the documents as a stream: merged evidence and contacts kept as state, findings by check."""
+    docs = feeds.table_stream(spark, sf_dir, "documents")
+    state = stream_findings.merged_signals(feeds.text_items(docs), year=YEAR)
+    found = stream_findings.findings(stream_findings.latest(stream_lines.run_available(state, mode="update")))
+    return enrich.with_check(found, CAT.tables(spark)).groupBy("check_id", "severity").agg(
+        long(F.countDistinct("file")).alias("files"), long(F.sum("count")).alias("occurrences")
+    )
+
+
 def _login_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = feeds.auth_items(feeds.event_stream(spark, sf_dir))
     return stream_lines.line_signals(lines, year=YEAR, families=("log",)).filter(F.col("kind") == "auth")

@@ -20,7 +20,8 @@ members that are then still in different components are compared further, first
 the likeliest and then all that a parity sketch does not rule out (the bits in which
 two sketches differ are never more than the features in which the sets do).  Sets are
 sent to where they meet only where sums of their features over cells do not settle the
-pair: features in which two sets differ are all in cells whose sums do.
+pair: features in which two sets differ are all in cells whose sums do, and each such
+cell holds some.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ SINGLE = 64
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 1 << 18
 SKETCH_BITS = 1024
 #: Features a cell holds about, cells of a set at least and at most.
-PER_CELL, LEAST_CELLS, MOST_CELLS = 8, 16, 4096
+PER_CELL, LEAST_CELLS, MOST_CELLS = 8, 16, 512
 #: First sets that each set is compared with at first.
 HUBS = 2
 #: Signatures a task packs before it hands them on.
@@ -222,26 +223,34 @@ def _cells(feature: np.ndarray, text: np.ndarray, size: np.ndarray) -> list[byte
     return [c.tobytes() for c in np.split(total, first[1:-1])]
 
 
-def _most_apart(a: np.ndarray, b: np.ndarray) -> int:
-    """At most so many features are in one of two sets only: those of the cells that differ."""
+def _apart(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """So many features at least and at most are in one of two sets only: those of the cells that differ."""
     while len(a) > len(b):
         a = a[::2] + a[1::2]
     while len(b) > len(a):
         b = b[::2] + b[1::2]
     differ = a != b
-    return int(((a[differ] & np.uint64(0xFFFF)) + (b[differ] & np.uint64(0xFFFF))).sum())
+    one, two = ((x[differ] & np.uint64(0xFFFF)).astype(np.int64) for x in (a, b))
+    # Cells of equal counts that differ hold two features at least that the other lacks.
+    more = np.abs(one - two)
+    return int(np.where(more == 0, 2, more).sum()), int((one + two).sum())
 
 
 def _settled(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pairs (a, b, sure): sure where the cells in which two sets differ hold so little that they must be similar; written."""
+    """Pairs (a, b, sure), without those whose cells differ by so much that they cannot be similar; written.
+
+    Sure are those where the cells that differ hold so little that they must be.
+    """
     of = lambda side: facts.select(F.col("set").alias(side), F.col("size").alias(f"size_{side}"), F.col("cells").alias(f"cells_{side}"))
     told = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.col("size_a") + F.col("size_b"), "cells_a", "cells_b")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-            sure = [7 * _most_apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= size for size, x, y in both]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+            bounds = np.array([(size, *_apart(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))) for size, x, y in both], np.int64).reshape(-1, 3)
+            open_, sure = 7 * bounds[:, 1] <= bounds[:, 0], 7 * bounds[:, 2] <= bounds[:, 0]
+            told = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sure)], names=["a", "b", "sure"])
+            yield told.filter(pa.array(open_))
 
     return written(told.mapInArrow(settle, "a bigint, b bigint, sure boolean"), "settled")
 

@@ -122,8 +122,9 @@ def test_cells_bound_the_difference():
         b = np.r_[a[changed:], rng.integers(1, 2**63, changed + size // 5, dtype=np.uint64)]
         cells = [np.frombuffer(shinglejoin._cells(np.sort(x), np.zeros(len(x), np.int64), np.array([len(x)]))[0], np.uint64) for x in (a, b)]
         apart = len(np.setxor1d(a, b))
-        assert apart <= shinglejoin._most_apart(*cells) <= len(a) + len(b)
-        assert shinglejoin._most_apart(cells[0], cells[0]) == 0
+        least, most = shinglejoin._apart(*cells)
+        assert least <= apart <= most <= len(a) + len(b)
+        assert shinglejoin._apart(cells[0], cells[0]) == (0, 0)
 
 
 def similar(seed):

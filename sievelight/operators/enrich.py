@@ -143,4 +143,4 @@ def explode_controls(findings: DataFrame, catalog: Catalog, selected: Sequence[s
     links = catalog.check_controls.filter(F.col("framework").isin(*selected)).select(
         "check_id", "framework", "control", F.col("pos").alias("control_pos")
     )
-    return findings.join(F.broadcast(links), "check_id")
+    return findings.join(links, "check_id")  # a caller's table may be of any size: Spark goes by it

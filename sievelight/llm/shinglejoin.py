@@ -278,8 +278,9 @@ def _plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
 def _compare(documents: DataFrame, pairs: DataFrame, facts: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar; written.
 
-    A pair's sets are made from the texts of one document each and sent to where
-    they meet: a first set goes there once for up to `COMPARED` others.
+    The texts of one document each go to where a pair meets, where the sets are made: texts
+    are smaller than the hashes of their features, and a shuffle can compress them.  A first
+    set's text goes there once for up to `COMPARED` others.
     """
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("parts"))
     dealt = written(pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "dealt")
@@ -290,34 +291,25 @@ def _compare(documents: DataFrame, pairs: DataFrame, facts: DataFrame, width: in
     few = sends.count() <= SENT_IDS
     chosen = documents.select("row", "text").join(F.broadcast(sends) if few else sends, "row")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, begins in chunks(batch.column(4)):
-                feature, _, count = _sets(data, begins, width)
-                each = np.split(feature, np.cumsum(count)[:-1])
-                told = [batch.column(i).slice(first, last - first) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [*told, pa.array([e.tobytes() for e in each], pa.binary())], names=["a", "part", "role", "set", "features"]
-                )
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key = np.zeros(0, np.uint64), None
         for batch in batches:
             a, b = [], []
             columns = [c.to_pylist() for c in batch.columns[:4]]
-            for i, (first, part, role, other) in enumerate(zip(*columns, strict=True)):
-                features = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.uint64)
-                if role == 0:
-                    own, key = features.copy(), (first, part)
-                elif key == (first, part):
-                    both = len(np.intersect1d(own, features, assume_unique=True))
-                    if 100 * both >= 75 * (len(own) + len(features) - both):
-                        a.append(first)
-                        b.append(other)
+            for begin, end, data, begins in chunks(batch.column(4)):
+                feature, _, count = _sets(data, begins, width)
+                each = np.split(feature, np.cumsum(count)[:-1])
+                for features, first, part, role, other in zip(each, *(c[begin:end] for c in columns), strict=True):
+                    if role == 0:
+                        own, key = features.copy(), (first, part)
+                    elif key == (first, part):
+                        both = len(np.intersect1d(own, features, assume_unique=True))
+                        if 100 * both >= 75 * (len(own) + len(features) - both):
+                            a.append(first)
+                            b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    made = chosen.select("a", "part", "role", "set", "text").mapInArrow(make, "a bigint, part bigint, role int, set bigint, features binary")
-    met = made.repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    met = chosen.select("a", "part", "role", "set", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
     return written(met.mapInArrow(compare, "a bigint, b bigint"), "similar")
 
 

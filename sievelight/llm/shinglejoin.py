@@ -175,8 +175,22 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
     return written(documents.select("id", "row", "text").mapInArrow(sign, schema), "signatures")
 
 
+def _distinct_runs(own: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each run of sets, beginning at `begin`, whether it is the first with just these sets."""
+    size = np.diff(np.r_[begin, len(own)])
+    one, two = np.bitwise_xor.reduceat(mix(own), begin), np.add.reduceat(mix(own ^ np.uint64(0x2545F491)), begin)
+    same = np.lexsort((two, one, size, own[begin]))
+    told = [c[same] for c in (own[begin], size, one, two)]
+    once = np.zeros(len(begin), bool)
+    once[same] = np.r_[True, np.any([c[1:] != c[:-1] for c in told], axis=0)]
+    return once
+
+
 def _runs(signed: DataFrame) -> DataFrame:
-    """Sets that share a signature: (run, a, b), a the first of the run, b each other one; written."""
+    """Sets that share a signature: (run, a, b), a the first of the run, b each other one; written.
+
+    Similar sets share many signatures, so the same sets make up many runs: a bucket gives each such run once.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), dtype=t) for x in table[c]])
@@ -194,6 +208,9 @@ def _runs(signed: DataFrame) -> DataFrame:
         new = np.r_[True, (name[1:] != name[:-1]) | (own[1:] != own[:-1])] if len(name) else np.zeros(0, bool)
         name, own = name[new], own[new]
         head = np.r_[True, name[1:] != name[:-1]] if len(name) else np.zeros(0, bool)
+        if len(name):
+            once = _distinct_runs(own, np.flatnonzero(head))[np.cumsum(head) - 1]
+            name, own, head = name[once], own[once], head[once]
         first = own[np.flatnonzero(head)][np.cumsum(head) - 1] if len(name) else own
         run = mix(name * np.uint64(1 << 20) + np.uint64(table["bucket"][0].as_py()))
         rest = ~head

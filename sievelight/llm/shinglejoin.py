@@ -128,17 +128,39 @@ def _common(documents: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.asarray(found["feature"]).view(np.uint64))
 
 
+def _documents(documents: DataFrame, width: int) -> DataFrame:
+    """Documents (id, row, n_shingles, set, sketch, cells); written."""
+    more = T.StructType.fromDDL("n_shingles bigint, set bigint, sketch binary, cells binary")
+    schema = T.StructType([*nullable([documents.schema["id"], documents.schema["row"]]), *more.fields])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, begins in chunks(batch.column(2)):
+                n = last - first
+                feature, text, count = _sets(data, begins, width)
+                told = [
+                    batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(count),
+                    pa.array(set_hash(feature, text, n).view(np.int64)),
+                    pa.array([x.tobytes() for x in _sketches(feature, text, n)], pa.binary()), pa.array(_cells(feature, text, count), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(told, names=schema.names)
+
+    return written(documents.select("id", "row", "text").mapInArrow(tell, schema), "told")
+
+
 def _signed(documents: DataFrame, width: int) -> DataFrame:
-    """Rows for documents (id, row, n_shingles, set, sketch) and rows of packed signatures by bucket; written."""
+    """Signatures of all sets, packed by bucket (bucket, low, high, sets).
+
+    Not written: they are the largest table here and are read once, so making the sets
+    again costs less than keeping them on disk next to their shuffle.
+    """
     spark = documents.sparkSession
     common = spark.sparkContext.broadcast(_common(documents, width))
     buckets = partitions(spark)
-    more = T.StructType.fromDDL("n_shingles bigint, set bigint, sketch binary, cells binary, bucket int, low binary, high binary, sets binary")
-    schema = T.StructType([*nullable([documents.schema["id"], documents.schema["row"]]), *more.fields])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
-        size, kind = 0, pa.null()
+        size = 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             if not waiting:
@@ -147,32 +169,21 @@ def _signed(documents: DataFrame, width: int) -> DataFrame:
             # Forty bits tell signatures of a bucket apart; what falls together by chance is compared in vain.
             bits = (name >> np.uint64(20)).astype(np.uint32), (name >> np.uint64(52)).astype(np.uint8)
             which, parts = packed((name % np.uint64(buckets)).astype(np.int32), *bits, own)
-            n = len(which)
-            blank = [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 2]
-            yield pa.RecordBatch.from_arrays([*blank, which, *parts], names=schema.names)
+            yield pa.RecordBatch.from_arrays([which, *parts], names=["bucket", "low", "high", "sets"])
 
         for batch in batches:
-            kind = batch.column(0).type
-            for first, last, data, begins in chunks(batch.column(2)):
-                n = last - first
+            for first, last, data, begins in chunks(batch.column(0)):
                 feature, text, count = _sets(data, begins, width)
-                own = set_hash(feature, text, n)
                 at, name = signatures(feature, text, count, common.value)
-                waiting.append((name, own[at]))
+                waiting.append((name, set_hash(feature, text, last - first)[at]))
                 size += len(name)
-                told = [
-                    batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(count), pa.array(own.view(np.int64)),
-                    pa.array([x.tobytes() for x in _sketches(feature, text, n)], pa.binary()), pa.array(_cells(feature, text, count), pa.binary()),
-                ]
-                blank = [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3]
-                yield pa.RecordBatch.from_arrays([*told, *blank], names=schema.names)
                 if size >= PACKED:
                     yield from hand_on()
                     waiting.clear()
                     size = 0
         yield from hand_on()
 
-    return written(documents.select("id", "row", "text").mapInArrow(sign, schema), "signatures")
+    return documents.select("text").mapInArrow(sign, "bucket int, low binary, high binary, sets binary")
 
 
 def _distinct_runs(own: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -398,15 +409,15 @@ def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     spark = documents.sparkSession
     small_batches(spark)
     source = documents.select(F.col(id_column).alias("id"), F.xxhash64(id_column, text_column).alias("row"), text_of(text_column).alias("text"))
-    signed = _signed(source, width)
-    docs = signed.filter(F.col("bucket").isNull()).select("id", "row", "n_shingles", "set")
-    runs = _runs(signed.filter(F.col("bucket").isNotNull()).select("bucket", "low", "high", "sets"))
+    told = _documents(source, width)
+    docs = told.select("id", "row", "n_shingles", "set")
+    runs = _runs(_signed(source, width))
     every = runs.select("a", "b").distinct()
     # Runs of one class begin with the same few sets: the least of them join the class, the other pairs are looked at where it is still apart.
     hub = F.row_number().over(Window.partitionBy("b").orderBy("a"))
     pairs = written(every.withColumn("hub", hub).filter(F.col("hub") <= HUBS).select("a", "b"), "pairs")
     found = runs.select(F.col("a").alias("set")).union(runs.select("b")).distinct()
-    facts = signed.filter(F.col("bucket").isNull()).join(found, "set", "left_semi").groupBy("set")
+    facts = told.join(found, "set", "left_semi").groupBy("set")
     facts = written(facts.agg(F.min("row").alias("row"), F.first("sketch").alias("sketch"), F.first("cells").alias("cells"), F.first("n_shingles").alias("size")), "facts")
 
     def compared(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import spread
-from ..sources.lines import split_lines
+from ..sources.lines import escape_globs, split_lines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,9 +213,10 @@ AUTH_LINE = (
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of files."""
+    """A table, one file or a folder of them, as a stream of files."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # Of a plain path a stream takes only folders; a pattern may match a file too.
+    return spark.readStream.schema(schema).parquet(f"{escape_globs(sf_dir)}/{name}.parque[t]")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     folder = work_folder(spark)
     out = f"{folder}/out"
+    spark.createDataFrame([], stream.schema).write.parquet(out)  # a stream without rows writes nothing
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         running = writer.format("parquet").outputMode("append").start(out)

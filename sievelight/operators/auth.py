@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import parts_for
 from . import findings as FN
 
 # --- Fixed values: windows, thresholds, wording and confidence ---------------
@@ -28,6 +29,7 @@ CONFIDENCE = {"LOG-FAIL-SUCCESS": 0.9, "LOG-BRUTEFORCE": 0.9, "LOG-SPRAY": 0.85,
 
 LINE_RUN = 1 << 16  # lines per run when positions are counted
 BLOCK = 1 << 12  # events per block and key
+TASK_EVENTS = 1 << 16  # keyed events that one task sorts
 
 
 def keyed_events(logins: DataFrame) -> DataFrame:
@@ -50,13 +52,15 @@ def keyed_events(logins: DataFrame) -> DataFrame:
     )
 
 
-def place_events(keyed: DataFrame, line_run: int = LINE_RUN, block: int = BLOCK) -> DataFrame:
+def place_events(keyed: DataFrame, line_run: int = LINE_RUN, block: int = BLOCK, parts: int | None = None) -> DataFrame:
     """Give each event its position in its key's history and the blocks it is needed in.
 
-    Keys that cannot fire any rule (too few failures) are left out here.
+    Keys that cannot fire any rule (too few failures) are left out here.  With `parts`,
+    events are sorted in so many parts, else in as many as the session sets.
     """
     key = ["file", "key_type", "key"]
     runs = keyed.withColumn("_run", F.floor(F.col("item_idx") / line_run))
+    dealt = runs if parts is None else runs.repartition(parts, *key, "_run")
     ahead = Window.partitionBy(*key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*key)
     totals = (
@@ -75,7 +79,7 @@ def place_events(keyed: DataFrame, line_run: int = LINE_RUN, block: int = BLOCK)
         .select(*key, "_run", "_before")
     )
     inside = Window.partitionBy(*key, "_run").orderBy("item_idx")
-    placed = runs.join(totals, [*key, "_run"]).withColumn(
+    placed = dealt.join(totals, [*key, "_run"]).withColumn(
         "p", F.col("_before") + F.row_number().over(inside) - 1
     )
     own = F.floor(F.col("p") / block)
@@ -88,11 +92,17 @@ def place_events(keyed: DataFrame, line_run: int = LINE_RUN, block: int = BLOCK)
 
 
 def correlate(logins: DataFrame, line_run: int = LINE_RUN, block: int = BLOCK) -> DataFrame:
-    """Raw findings of the four rules.  `logins` is read twice: stage it first when it is costly."""
+    """Raw findings of the four rules.  `logins` is read three times: stage it first when it is costly.
+
+    Its rows are counted first, so that a task sorts `TASK_EVENTS` at most, however many there are.
+    """
     if block <= HISTORY_EVENTS:
         raise ValueError(f"block must exceed {HISTORY_EVENTS}")
     key = ["file", "key_type", "key"]
-    placed = place_events(keyed_events(logins), line_run, block)
+    keyed = keyed_events(logins)
+    rows = logins.agg(F.count_if(F.col("ts").isNotNull() & F.col("user").isNotNull()) + F.count_if(F.col("ts").isNotNull() & F.col("ip").isNotNull()))
+    parts = parts_for(rows.first()[0], TASK_EVENTS)
+    placed = place_events(keyed, line_run, block, parts).repartition(parts, *key, "block")
 
     def ago(seconds: int) -> Column:
         return F.col("ts") - F.expr(f"INTERVAL '{seconds}' SECOND")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievelight.operators import auth, rollup
+from sievelight.session import spread
 from sievelight.streaming import auth as stream_auth, lines as stream_lines
 
 SCHEMA = (
@@ -163,3 +164,19 @@ def test_failures_without_a_time(spark):
     assert {(r.detail.split(";")[0], r["count"], r.confidence_score) for r in found} == {
         ("5 failures for 1.1.1.1", 5, 0.4), ("6 failures for (unattributed)", 6, 0.4),
     }
+
+
+def test_events_are_sorted_in_as_many_tasks_as_they_ask_for(logins, monkeypatch):
+    expected = shown(auth.correlate(logins))
+    monkeypatch.setattr(auth, "TASK_EVENTS", 500)
+    found = auth.correlate(logins)
+    keyed = auth.keyed_events(logins).count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert keyed > 8 * 500 and plan.count(f", {-(-keyed // 500)}), REPARTITION_BY_NUM") == 2
+    assert shown(found) == expected
+
+
+def test_a_table_of_many_short_rows_goes_to_more_tasks_than_there_are_cores(spark):
+    table = spark.range(5000).coalesce(1)
+    assert spread(table).rdd.getNumPartitions() == 8 and spread(table, 100).rdd.getNumPartitions() == 50
+    assert spread(spark.range(5000).repartition(60), 100).rdd.getNumPartitions() == 60

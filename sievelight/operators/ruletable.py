@@ -2,11 +2,15 @@
 
 Nearly every rule needs some fixed characters to match at all.  The longest of them go into
 one automaton that finds all that occur in a text at once; only for those does the text
-meet the full patterns.  Rules without fixed characters are tried on every text.
+meet the full patterns.  Rules without fixed characters are tried on every text.  A rule that
+is one word between word borders is looked up among the words of the text, and meets the
+text as a pattern only where characters stand by it whose nature Java alone tells.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -23,6 +27,10 @@ SENT_CHARS = 4 << 20
 LEAST_LITERAL = 3
 _QUANTIFIERS = "?*{"
 _BREAKS = "^$."
+_WORD_RULE = re.compile(r"\\b[0-9A-Za-z_]+\\b")
+#: Stretches without an ASCII character that is none of a word, and those that are words in any reading.
+_STRETCH = re.compile(r"[^\x00-/:-@\[-^`{-\x7f]+")
+_SURE_WORD = re.compile(r"[0-9A-Z_a-zÀ-ÖØ-öø-ɏ]+")
 
 
 def required_literal(pattern: str) -> str | None:
@@ -96,28 +104,54 @@ def _groups(rules: DataFrame) -> Iterator[list[Rule]]:
         yield group
 
 
-_BUILT: dict[int, object] = {}
+_BUILT: dict[str, tuple] = {}
 
 
-def _automaton(sent) -> object:
-    """The automaton of what was sent, built once in each worker."""
-    if sent.id not in _BUILT:
-        import ahocorasick
+def _automaton(literals: dict[str, list[int]]) -> object:
+    import ahocorasick
 
-        made = ahocorasick.Automaton()
-        for literal, numbers in sent.value.items():
-            made.add_word(literal, numbers)
+    made = ahocorasick.Automaton()
+    for literal, numbers in literals.items():
+        made.add_word(literal, numbers)
+    if literals:
         made.make_automaton()
+    return made
+
+
+def _automata(sent) -> tuple:
+    """The words that were sent, and automata of them and of other characters, built once in each worker."""
+    if sent.id not in _BUILT:
+        words, literals = sent.value
+        made = words, _automaton(words), _automaton(literals)
         _BUILT.clear()
         _BUILT[sent.id] = made
     return _BUILT[sent.id]
 
 
+def _numbers(automaton, text: str) -> set[int]:
+    return {n for _, numbers in automaton.iter(text) for n in numbers} if len(automaton) else set()
+
+
+def _candidates(folded: str, words: dict[str, list[int]], among, others) -> tuple[list[int], list[int]]:
+    """Numbers of rules that match for sure, and of those whose patterns have to tell.
+
+    A stretch of word characters is a word as a whole.  In one with other characters beyond
+    ASCII, marks or letters of other scripts, words may begin and end in its midst.
+    """
+    tried = _numbers(others, folded)
+    stretches = set(_STRETCH.findall(folded)) if words else set()
+    sure = {n for w in stretches & words.keys() for n in words[w]}
+    for mixed in stretches:
+        if not mixed.isascii() and not _SURE_WORD.fullmatch(mixed):
+            tried |= _numbers(among, mixed)
+    return sorted(sure), sorted(tried - sure)
+
+
 class _Sent:
-    """A broadcast value and the number it goes by."""
+    """A broadcast value and a name no other has: workers outlive a table of rules."""
 
-    def __init__(self, broadcast, number: int) -> None:
-        self.broadcast, self.id = broadcast, number
+    def __init__(self, broadcast) -> None:
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex
 
     @property
     def value(self):
@@ -126,27 +160,32 @@ class _Sent:
 
 def _searched(items: DataFrame, group: list[Rule], year: int) -> DataFrame:
     spark = items.sparkSession
+    words: dict[str, list[int]] = {}
     literals: dict[str, list[int]] = {}
     always = []
     for rule in group:
         literal = required_literal(rule.pattern)
-        literals.setdefault(literal, []).append(rule.number) if literal else always.append(rule.number)
-    sent = _Sent(spark.sparkContext.broadcast(literals), group[0].number)
+        known = words if literal and _WORD_RULE.fullmatch(rule.pattern) else literals
+        known.setdefault(literal, []).append(rule.number) if literal else always.append(rule.number)
+    sent = _Sent(spark.sparkContext.broadcast((words, literals)))
 
-    def candidates(folded: pd.Series) -> pd.Series:
-        found = _automaton(sent)
-        return folded.map(lambda t: [] if t is None else sorted({n for _, numbers in found.iter(t) for n in numbers}))
+    def candidates(folded: pd.Series) -> pd.DataFrame:
+        rows = [([], []) if t is None else _candidates(t, *_automata(sent)) for t in folded]
+        return pd.DataFrame(rows, columns=["sure", "open"])
 
     carried = [c for c in items.columns if c != "text"]
     lines = items.withColumn("_fold", P.fold(F.col("text"))).withColumn("_strip", X.strip(F.col("text")))
-    some = F.pandas_udf(candidates, "array<int>")(F.col("_fold")) if literals else F.array().cast("array<int>")
-    numbers = F.concat(some, F.array(*[F.lit(n) for n in always]).cast("array<int>"))
-    met = lines.select(*carried, "text", "_strip", F.explode(numbers).alias("_rule"))
+    some = F.pandas_udf(candidates, "sure array<int>, open array<int>")(F.col("_fold"))
+    told = lines.select(*carried, "text", "_strip", P.is_ascii(F.col("_strip")).alias("_plain"), some.alias("_c"))
+    tried = F.concat("_c.open", F.array(*[F.lit(n) for n in always]).cast("array<int>"))
+    pair = lambda sure: lambda n: F.struct(n.alias("_rule"), F.lit(sure).alias("_sure"))
+    pairs = F.concat(F.transform("_c.sure", pair(True)), F.transform(tried, pair(False)))
+    met = told.select(*carried, "text", "_strip", "_plain", F.inline(pairs))
     rows = [(r.number, r.check_id, r.pattern, r.detail) for r in group]
     table = spark.createDataFrame(rows, "_rule int, _check string, _pattern string, _detail string")
-    ascii_only = P.is_ascii(F.col("_strip"))
-    full = F.concat(F.when(ascii_only, "(?id)").otherwise("(?iUd)"), F.col("_pattern"))
-    matched = met.join(F.broadcast(table), "_rule").filter(F.regexp_like("_strip", full))  # the group is of bounded size
+    full = F.concat(F.when(F.col("_plain"), "(?id)").otherwise("(?iUd)"), F.col("_pattern"))
+    # The group is of bounded size.
+    matched = met.join(F.broadcast(table), "_rule").filter(F.when(F.col("_sure"), True).otherwise(F.regexp_like("_strip", full)))
     hit = detect._hit("finding", detect.DET["rule"], None, "config", k=F.col("_rule"), detail=F.col("_detail"))
     return matched.select(*carried, "text", "_check", hit.alias("_hit")).select(*carried, "text", "_check", "_hit.*").withColumn(
         "check_id", F.col("_check")).select(*carried, *detect._found_columns(year))

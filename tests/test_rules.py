@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievelight.operators import ruletable
 
@@ -41,3 +42,20 @@ def test_rules_of_a_table_in_a_scan(spark, make_items):
     table = spark.createDataFrame([("OWN-1", "secret plan", "a plan"), ("OWN-2", r"\?$", None)], "check_id string, pattern string, detail string")
     found = scan_items(make_items(["the Secret Plan", "why?", "no"]), Options(frameworks=["gdpr"], rule_table=table)).findings.collect()
     assert sorted((r.check_id, r.severity, r.location) for r in found) == [("OWN-1", "medium", "line 1"), ("OWN-2", "medium", "line 2")]
+
+
+def test_words_are_told_without_their_patterns(spark, make_items):
+    texts = ["the world of hello_", "Straße, hello", "über ber", "ber\u0301 x", "e\u0301ber", "\u212aelvin world\u00d7two", "日本world", "world日本 world",
+             "\u3000ſtar\u3000", "b\u00fcrgerworld", "hello-world", "x world\u200d", "world٣ٳ", "WORLD", "1world two2 two", "", "mıx wórld"]
+    words = ["world", "hello", "ber", "hello_", "kelvin", "two", "star", "mix", "rld", "rgerworld"]
+    rules = spark.createDataFrame([(w.upper(), rf"\b{w}\b", "") for w in words], "check_id string, pattern string, detail string")
+    items = make_items(texts)
+    found = ruletable.rule_signals(items, rules, year=2026)
+    plain = F.octet_length("t") == F.char_length("t")
+    hit = F.regexp_like("t", F.concat(F.when(plain, "(?id)").otherwise("(?iUd)"), "pattern"))
+    want = items.withColumn("t", F.btrim("text", F.lit(" \u3000"))).crossJoin(rules).filter(hit)
+    assert sorted(found.select("item_idx", "check_id").collect()) == sorted(want.select("item_idx", "check_id").collect())
+    index = {w: [i] for i, w in enumerate(words)}
+    tell = lambda t: ruletable._candidates(t, index, ruletable._automaton(index), ruletable._automaton({}))
+    assert tell("the world of otherworldly hello, über") == ([0, 1], [])
+    assert tell("日本world") == ([], [0, 8]) and tell("日本world world") == ([0], [8])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import nullable, partitions, small_batches, text_of, written
-from .components import components
+from .components import components, further_linked
 from .textbytes import chunks, mix, packed, shingles, words
 
 WIDTH = 5
@@ -426,15 +426,13 @@ def similar_sets(documents: DataFrame, id_column: str = "doc_id", text_column: s
         sure = settled.filter("sure").select("a", "b")
         return sure if open_.isEmpty() else sure.union(_compare(source, open_, facts, width))
 
-    links, tested = compared(pairs), pairs
-    labels = components(links)
+    labels, tested = components(compared(pairs)), pairs
     wide = _wide(runs, pairs)
     for best in (3, None):
         found = _further(wide, labels, facts, best)
         more = written(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            links, tested = links.union(compared(more)), tested.union(more)
-            labels = components(links)
+            labels, tested = further_linked(labels, compared(more)), tested.union(more)
         wide = wide.join(found.filter(F.col("run").isNotNull()).select("run").distinct(), "run", "left_semi")
         if wide.isEmpty():
             break

@@ -209,6 +209,28 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
 
 
+def test_components_leave_links_behind(spark, monkeypatch):
+    """A link whose ends have met is not joined again; further links go through labels alone."""
+    counts = []
+
+    def counting(df, name, real=components.written):
+        table = real(df, name)
+        if name == "links":
+            counts.append(table.count())
+        return table
+
+    monkeypatch.setattr(components, "written", counting)
+    links = [(i % 4, i) for i in range(4, 300)] + [((i + 1) % 4, i) for i in range(4, 300)]
+    labels = components.components(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert {r.label for r in labels.collect()} == {0}
+    assert counts[0] == len(links) and sum(counts) <= 2 * len(links)
+    counts.clear()
+    more = components.further_linked(labels, spark.createDataFrame([(298, 299), (299, -1), (500, 501), (500, 500)], "a bigint, b bigint"))
+    got = {r.node: r.label for r in more.collect()}
+    assert got == {**dict.fromkeys(range(300), -1), -1: -1, 500: 500, 501: 500}
+    assert more.count() == len(got) and sum(counts) <= 6
+
+
 # --- mixing ------------------------------------------------------------------------
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import catalog as CAT
 from ..operators import detect
-from ..session import stage
+from ..session import stage, stage_table
 from ..sources import delimited, lines as L, settings as S
 from ..sources.classify import STRUCTURED_EXTS, STRUCTURED_MAX_BYTES, classify, extension
 from .scan import (
@@ -20,6 +20,8 @@ from .scan import (
 
 
 RUN = 1 << 16
+#: Names of uploads sent to every task at most; more are joined.
+SENT_NAMES = 500_000
 
 
 def name_uploads(uploads: DataFrame) -> DataFrame:
@@ -27,12 +29,18 @@ def name_uploads(uploads: DataFrame) -> DataFrame:
 
     `uploads` has name, data and `ord`, the order of the uploads.  A name may be
     that of most uploads, so equal names are counted per run of `ord` first and
-    ranked within a run.
+    ranked within a run.  The data take no part in that: they are staged, and meet
+    their names again by number.
     """
+    held = stage_table(
+        uploads.select(
+            F.monotonically_increasing_id().alias("_id"), "name", "ord", F.unbase64(F.coalesce("data", F.lit(""))).alias("bytes")
+        )
+    )
     base = F.regexp_replace("name", r"^.*/", "")
     safe = F.regexp_replace(base, r"(?U)[^\w.\- ()\[\]]", "_")
-    named = uploads.select(
-        F.when(F.coalesce(safe, F.lit("")) == "", "upload").otherwise(safe).alias("name"), "data", "ord",
+    named = held.select(
+        "_id", F.when(F.coalesce(safe, F.lit("")) == "", "upload").otherwise(safe).alias("name"), "ord",
         F.floor(F.col("ord") / RUN).alias("_run"),
     )
     ahead = Window.partitionBy("name").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,16 +49,20 @@ def name_uploads(uploads: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_c"))
         .select("name", "_run", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("name", "_run").orderBy("ord")
+    inside = Window.partitionBy("name", "_run").orderBy("ord", "_id")
     ext = extension(F.col("name"))
     stem = F.left("name", F.char_length("name") - F.char_length(ext))
     numbered = named.join(offsets, ["name", "_run"]).withColumn("_n", F.col("_before") + F.row_number().over(inside) - 1)
-    return numbered.select(
-        F.when(F.col("_n") == 0, F.col("name"))
-        .otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))
-        .alias("file"),
-        F.unbase64(F.coalesce("data", F.lit(""))).alias("bytes"),
+    files = stage_table(
+        numbered.select(
+            "_id",
+            F.when(F.col("_n") == 0, F.col("name"))
+            .otherwise(F.concat(stem, F.lit("_"), F.col("_n").cast("string"), ext))
+            .alias("file"),
+        )
     )
+    sent = F.broadcast(files) if files.count() <= SENT_NAMES else files
+    return held.select("_id", "bytes").join(sent, "_id").select("file", "bytes")
 
 
 def _unpacked(packed: pd.Series) -> pd.DataFrame:
@@ -127,14 +139,15 @@ def scan_uploads(uploads: DataFrame, options: Options | None = None) -> ScanResu
     catalog = CAT.with_rules(CAT.tables(spark, options.crosswalk), options.rules)
     named = name_uploads(uploads).withColumn("type", classify(F.col("file")))
     packed = F.lower("file").endswith(".gz")
+    whole = named.filter(~packed).select(
+        "file", "type", F.octet_length("bytes").alias("length"), F.col("bytes").alias("content"), F.lit(None).cast("string").alias("error")
+    )
     unpacked = F.pandas_udf(_unpacked, "content binary, error string")
-    opened = named.withColumn("u", unpacked(F.when(packed, F.col("bytes"))))
-    contents = stage(
-        opened.select(
-            "file", "type", F.octet_length("bytes").alias("length"), F.when(packed, F.col("u.content")).otherwise(F.col("bytes")).alias("content"),
-            F.when(packed, F.col("u.error")).alias("error"),
-        )
+    opened = named.filter(packed).select("file", "type", F.octet_length("bytes").alias("length"), unpacked("bytes").alias("u")).select(
+        "file", "type", "length", "u.content", "u.error"
     )
+    # Read several times below, each time by kind and for some columns only.
+    contents = stage_table(whole if named.filter(packed).select("file").isEmpty() else whole.unionByName(opened))
     texts = contents.filter(F.col("type").isin(*L.LINE_TYPES, "csv")).select(
         "file", "type", "length", F.make_valid_utf8(F.col("content").cast("string")).alias("text")
     )

@@ -414,6 +414,24 @@ def test_uploads(spark):
     assert (files["bad.parquet"].status, files["bad.parquet"].error) == ("unable_to_evaluate", "ArrowInvalid")
 
 
+def test_uploads_are_named_without_their_data(spark, monkeypatch):
+    """Data are neither shuffled nor sorted for their names, and a name keeps its own data."""
+    from sievelight.plans import payload
+
+    rows = [(f"d/a{i % 2}.txt" + ".gz" * (i % 5 == 0), base64.b64encode(str(i).encode()).decode(), i) for i in range(40)]
+    uploads = spark.createDataFrame(rows, "name string, data string, ord bigint").repartition(3)
+    want, seen = {}, {}
+    for name, _, i in rows:
+        stem, dot, ext = name[2:].rpartition(".")
+        n = seen[name] = seen.get(name, -1) + 1
+        want[f"{stem}_{n}{dot}{ext}" if n else name[2:]] = str(i)
+    for sent in (payload.SENT_NAMES, 0):
+        monkeypatch.setattr(payload, "SENT_NAMES", sent)
+        named = name_uploads(uploads)
+        assert {r.file: bytes(r.bytes).decode() for r in named.collect()} == want
+        assert "Window" not in named._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cells_of_a_table(spark):
     df = spark.createDataFrame(
         [(1, True, [1, 2], 1.5, None, b"ab"), (2, False, None, None, "", None)],

@@ -17,6 +17,8 @@ from .lines import LINE_TYPES, as_uri, locate, plain_path, wanted
 
 BATCH = 2_000
 RUN = 1 << 16  # lines of a file read in one go that count as a block
+#: Bytes of files that one task reads one by one, on average, where there are many.
+READ_BYTES = 1 << 25
 
 
 def as_uri_column(column: str) -> Column:
@@ -65,11 +67,12 @@ def _walk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def list_hidden(spark: SparkSession, inputs: Sequence[str], named: Sequence[str] = ()) -> DataFrame:
     """(uri, file, ftype, length) of hidden and of empty files that take part in a scan."""
     uris = [(as_uri(i),) for i in inputs]
+    cores = spark.sparkContext.defaultParallelism
     listed = (
         spark.createDataFrame(uris, "input string")
         .repartition(len(uris))
         .mapInPandas(_first_level, "input string, root string, place string")
-        .repartition("place")
+        .repartition(cores, "place")
         .mapInPandas(_walk_batches, "input string, place string, length bigint")
     )
     scheme = F.regexp_extract("input", r"^([a-z0-9+.-]+://)", 1)
@@ -103,13 +106,21 @@ def _line_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=names).astype({"row": "Int64"})
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files to all cores, and to as many tasks as their bytes ask for: a list of names is so small that one task would get it all."""
+    length = F.sum("length") if "length" in files.columns else F.lit(0)
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(length, F.lit(0))).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    return files.repartition(max(1, min(n, tasks)), "uri")
+
+
 def read_guarded_lines(files: DataFrame) -> DataFrame:
     """Lines of the files (uri, type) one by one: (path, ftype, block, row, text, error).
 
     For files that cannot be split or that Spark does not list.  A file that fails ends
     with a row that has only its path and the kind of error; what came before is kept.
     """
-    lines = files.select(as_uri_column("uri").alias("uri"), F.col("type").alias("ftype")).mapInPandas(
+    lines = _dealt(files).select(as_uri_column("uri").alias("uri"), F.col("type").alias("ftype")).mapInPandas(
         _line_batches, "path string, ftype string, row bigint, text string, error string"
     )
     return lines.select("path", "ftype", F.coalesce(F.floor(F.col("row") / RUN), F.lit(-1)).alias("block"), "row", "text", "error")
@@ -144,10 +155,11 @@ def _probe_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def probe(files: DataFrame) -> DataFrame:
     """Adds real (the place a link leads to), shape and n_rows (of Parquet files, from the footer) and error to files.
 
-    Every file is opened once, in tasks; one that cannot be opened gets the kind of error.
+    Every file is opened once, in as many tasks as there are cores; one that cannot be opened gets the kind of error.
     """
     uri = as_uri_column("uri")
-    found = files.select(uri.alias("uri"), "type", "length").mapInPandas(
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    found = files.select(uri.alias("uri"), "type", "length").repartition(cores, "uri").mapInPandas(
         _probe_batches, "_uri string, real string, shape string, n_rows bigint, error string"
     )
     return files.withColumn("uri", uri).join(found, F.col("uri") == F.col("_uri"), "left").drop("_uri")

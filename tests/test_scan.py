@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievelight.functions import text as X
 from sievelight.plans import scan as SC
 from sievelight.plans.payload import name_uploads, scan_uploads
-from sievelight.sources import classify as C, delimited, discovery, lines as L, settings as S, tables
+from sievelight.sources import classify as C, delimited, discovery, hidden, lines as L, settings as S, tables
 
 NOW = datetime(2026, 10, 1, tzinfo=timezone.utc)
 
@@ -461,3 +461,15 @@ def test_uploaded_documents_like_files(spark):
     got = told(scan_uploads(uploads, SC.Options(now=NOW)).findings)
     items = feeds.document_items(spark, "/root/testdata/sf0.001")
     assert got and got == told(SC.scan_items(items, SC.Options(now=NOW)).findings)
+
+
+def test_files_read_one_by_one_are_dealt_to_tasks(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path, f"part{i}.log.gz", gzip.compress(f"line {i}\nlast\n".encode()))
+        put(tmp_path, f".part{i}.log", "hidden\n")
+    files = discovery.list_files(spark, [str(tmp_path)])
+    assert files.count() == 80
+    # However few parts the list comes in.
+    lines = hidden.read_guarded_lines(files.coalesce(1)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.text for r in lines) == sorted([f"line {i}" for i in range(40)] + ["last"] * 40 + ["hidden"] * 40)
+    assert len({r.task for r in lines}) > 1

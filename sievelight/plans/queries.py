@@ -652,9 +652,9 @@ def csv_cells(spark, sf_dir):
         name = F.regexp_extract("location", r"^row \d+, (.*)$", 1)
         part = cells.select(name.alias("column"), "text", F.regexp_extract("location", r"^row (\d+)", 1).cast("bigint").alias("r"))
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("column").agg(
-        long(F.count(F.lit(1))).alias("cells"), long(F.countDistinct("text")).alias("texts"), F.max("text").alias("last"),
-        long(F.sum("r")).alias("rows"),
+    texts = found.groupBy("column", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"))
+    return texts.groupBy("column").agg(
+        long(F.sum("n")).alias("cells"), long(F.count("text")).alias("texts"), F.max("text").alias("last"), long(F.sum("r")).alias("rows")
     )
 
 

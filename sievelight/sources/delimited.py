@@ -15,11 +15,15 @@ import csv
 import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import stage
+from ..session import stage, stage_table
 from .hidden import as_uri_column, read_guarded_lines
 from .lines import escape_globs, locate, number, plain_path
 
@@ -28,8 +32,9 @@ DELIMITERS = ",;\t|"
 SAMPLE_CHARS = 4096
 #: Lines of a longer record are records of their own, as are those after a quote that is never closed.
 LONG_RECORD = 1 << 24
-#: Records whose numbers are summed up together.
-RECORD_RUN = 1 << 16
+#: Records whose numbers are summed up together, and records put together that a task works on, on average.
+RECORD_RUN = 1 << 14
+TASK_RECORDS = 1 << 16
 #: Names of files sent to every task at most.
 SENT_NAMES = 10_000
 
@@ -174,6 +179,173 @@ def join_records(lines: DataFrame, dialect: Dialect, long_record: int = LONG_REC
     return stage(_numbered_starts(again.drop("record", "_apart")).select("path", "record", "block", "row", "text"))
 
 
+# --- records put together where they are read ------------------------------------------
+
+
+def _states(out: np.ndarray, into: np.ndarray, start: bool) -> tuple[np.ndarray, bool]:
+    """Whether each of consecutive lines begins inside a quoted cell, and whether the last ends there."""
+    at = np.arange(len(out))
+    turned = np.cumsum(out & ~into)
+    last = np.maximum.accumulate(np.where(out == into, at, -1))
+    since = turned - np.where(last >= 0, turned[last], 0)
+    after = np.where(last >= 0, out[last], start) ^ (since % 2 == 1)
+    return np.r_[start, after[:-1]], bool(after[-1])
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+    """The lines of one block of a file that stand together: path, block, lines."""
+    if not batch.num_rows:
+        return
+    path, block = batch.column("path").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+    edge = np.flatnonzero((path[1:] != path[:-1]) | (block[1:] != block[:-1])) + 1
+    for a, b in zip(np.r_[0, edge].tolist(), np.r_[edge, len(path)].tolist()):
+        yield batch.column("path")[a].as_py(), int(block[a]), batch.slice(a, b - a)
+
+
+def _flags(lines: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(lines.column(c).to_numpy(zero_copy_only=False) for c in ("from_out", "from_in"))
+
+
+_MEASURES = ("n", "head", "tail", "most", "head_parts", "tail_parts", "most_parts")
+_EFFECTS = "path string, block bigint, row bigint, from_out boolean, from_in boolean, cells bigint, " + ", ".join(
+    f"{m}_{s} bigint" for s in ("out", "in") for m in _MEASURES
+)
+
+
+def _effect_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What runs of lines do from both states: how they end, the records that begin in them, and the sizes of what they hold of records."""
+    names = [c.split()[0] for c in _EFFECTS.split(", ")]
+    for batch in batches:
+        rows = []
+        for path, block, lines in _segments(batch):
+            out, into = _flags(lines)
+            size, parts = (lines.column(c).to_numpy() for c in ("size", "parts"))
+            ends, told = [], []
+            for start in (False, True):
+                before, end = _states(out, into, start)
+                begins = np.flatnonzero(~before)
+                ends.append(end)
+                told.append(len(begins))
+                for measure in (size, parts):
+                    edge = begins if len(begins) else np.array([len(measure)])
+                    sums = np.add.reduceat(measure, edge) if len(begins) else np.zeros(1, np.int64)
+                    told += [int(measure[: edge[0]].sum()), int(sums[-1]), int(sums[:-1].max(initial=0))]
+            rows.append((path, block, lines.column("row")[0].as_py(), *ends, int(parts.sum()) + len(parts), *told))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * (len(names) - 5)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
+
+
+_PIECES = "path string, record bigint, block bigint, row bigint, text string, whole boolean"
+
+
+def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records put together from the lines of blocks, whose first and last pieces may belong to records that run over the edge."""
+    names = [c.split()[0] for c in _PIECES.split(", ")]
+    here, record, inside = None, 0, False
+    carry: list[str] = []  # lines of a record that may go on
+    first, row = False, 0  # whether it began before the block, and its first line
+
+    def put(texts: pa.Array, records: np.ndarray, rows: np.ndarray, whole: bool) -> pa.RecordBatch:
+        n = len(texts)
+        kinds = [pa.array([here[0]] * n, pa.string()), pa.array(records, pa.int64()), pa.array([here[1]] * n, pa.int64())]
+        return pa.RecordBatch.from_arrays([*kinds, pa.array(rows, pa.int64()), texts, pa.array([whole] * n, pa.bool_())], names=names)
+
+    def put_carry(whole: bool) -> pa.RecordBatch:
+        return put(pa.array(["\n".join(carry)], pa.string()), np.array([record]), np.array([row]), whole)
+
+    for batch in batches:
+        for path, block, lines in _segments(batch):
+            if (path, block) != here:
+                if carry:
+                    yield put_carry(False)
+                here, carry, first = (path, block), [], True
+                record, inside = lines.column("before")[0].as_py(), lines.column("inside")[0].as_py()
+            before, inside = _states(*_flags(lines), inside)
+            begins, rows = np.flatnonzero(~before), lines.column("row").to_numpy()
+            text = lines.column("text").cast(pa.string())
+            ahead = int(begins[0]) if len(begins) else len(text)
+            if ahead:
+                row = row if carry else int(rows[0])
+                carry += text.slice(0, ahead).to_pylist()
+            if not len(begins):
+                continue
+            if carry:
+                yield put_carry(not first)
+            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), text)  # of all records but the last
+            if len(begins) > 1:
+                yield put(pc.binary_join(lists, "\n"), record + 1 + np.arange(len(begins) - 1), rows[begins[:-1]], True)
+            record, row, first = record + len(begins), int(rows[begins[-1]]), False
+            carry = text.slice(int(begins[-1])).to_pylist()
+    if carry:
+        yield put_carry(False)
+
+
+def _run_starts(lines: DataFrame, long_record: int) -> tuple[DataFrame, DataFrame]:
+    """Of files given as lines with their effects: (path, block, row, inside, before, n), the state and the number of records before
+    each run of lines, staged; and (path, apart, cells, widest, records), staged.
+
+    `apart` tells files with a record that is longer than `long_record` or never closed; `cells` and `widest` bound the cells of a
+    file and of a record.
+    """
+    effects = lines.select("path", "block", "row", "from_out", "from_in", "size", "parts").mapInArrow(_effect_batches, _EFFECTS)
+    told = entered(effects.withColumn("place", F.struct("block", "row")), ["path"], "place", F.lit(False))
+    own = lambda m: F.when(F.col("inside"), F.col(f"{m}_in")).otherwise(F.col(f"{m}_out")).alias(m)
+    ends = F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out")).alias("open")
+    ahead = Window.partitionBy("path").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
+    runs = told.select("path", "block", "row", "inside", ends, "cells", *[own(m) for m in _MEASURES])
+    runs = stage(runs.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))))
+    # What a run holds of the record before it, and of the last that begins in it.
+    pieces = runs.select("path", F.col("before").alias("record"), F.col("head").alias("size"), F.col("head_parts").alias("w")).unionByName(
+        runs.filter("n > 0").select("path", (F.col("before") + F.col("n")).alias("record"), F.col("tail").alias("size"), F.col("tail_parts").alias("w"))
+    )
+    over = pieces.groupBy("path", "record").agg(F.sum("size").alias("size"), F.sum("w").alias("w")).groupBy("path").agg(
+        F.max("size").alias("size"), F.max("w").alias("w")
+    )
+    files = runs.groupBy("path").agg(
+        F.max("most").alias("most"), F.max("most_parts").alias("most_parts"), F.sum("cells").alias("cells"), F.sum("n").alias("records"),
+        F.max_by("open", F.struct("block", "row")).alias("open"),
+    )
+    files = files.join(over, "path").select(
+        "path", (F.col("open") | (F.greatest("most", "size") > long_record)).alias("apart"), "cells",
+        (F.greatest("most_parts", "w") + 1).alias("widest"), "records",
+    )
+    return runs.select("path", "block", "row", "inside", "before", "n"), stage(files)
+
+
+def put_together(lines: DataFrame, dialect: Dialect, long_record: int = LONG_RECORD) -> tuple[DataFrame, int, int, int]:
+    """(path, record, text) of files given as lines (path, block, row, text), and the most cells of a file, of a record, and the records.
+
+    Lines come as they were read: those of a block together and in their order.  What a
+    block does to the state is told first, by runs of lines; then each task puts together
+    the lines of its blocks.  Files with records that are longer than `long_record` or never
+    closed go by `join_records`.
+    """
+    told = lines.select(
+        "path", "block", "row", "text", ends_inside(F.col("text"), dialect, False).alias("from_out"),
+        ends_inside(F.col("text"), dialect, True).alias("from_in"), (F.char_length("text") + 1).cast("bigint").alias("size"),
+        (F.char_length("text") - F.char_length(F.translate("text", dialect.delimiter, ""))).cast("bigint").alias("parts"),
+    )
+    runs, files = _run_starts(told, long_record)
+    n_files, apart, most, widest, records = files.agg(
+        F.count(F.lit(1)), F.count_if("apart"), F.max("cells"), F.max("widest"), F.sum("records")
+    ).first()
+    found = []
+    if apart < n_files:
+        starts = runs.join(files.filter(~F.col("apart")).select("path"), "path", "left_semi").groupBy("path", "block").agg(
+            F.min_by(F.struct("inside", "before"), "row").alias("s")
+        ).select("path", "block", "s.inside", "s.before")
+        few = starts.count() <= SENT_NAMES
+        begun = told.select("path", "block", "row", "text", "from_out", "from_in").join(F.broadcast(starts) if few else starts, ["path", "block"])
+        if not few:
+            begun = begun.repartition("path", "block").sortWithinPartitions("path", "block", "row")
+        pieces = stage_table(begun.select("path", "block", "row", "text", "from_out", "from_in", "inside", "before").mapInArrow(_piece_batches, _PIECES))
+        found += [pieces.filter("whole").select("path", "record", "text"), record_texts(pieces.filter(~F.col("whole")))]
+    if apart:
+        numbered = join_records(lines.join(files.filter("apart").select("path"), "path", "left_semi"), dialect, long_record)
+        found.append(record_texts(numbered))
+    return reduce(DataFrame.unionByName, found), most or 0, widest or 1, records or 0
+
+
 def record_texts(numbered: DataFrame) -> DataFrame:
     """(path, record, text): lines put together; one group is one record of limited length."""
     part = F.struct("block", "row", "text")
@@ -252,18 +424,18 @@ def line_items(lines: DataFrame, dialect: Dialect) -> list[CsvItems]:
     """Cells of files given as lines (path, block, row, text, error), all of one dialect.
 
     A first pass counts what decides how to go on: the lines that open a cell which runs
-    on, the widest line, and the first line of each block.
+    on, the widest line, and the first block of each file.
     """
     width = F.char_length("text") - F.char_length(F.translate("text", dialect.delimiter, "")) + 1
     profile = stage(
         lines.groupBy("path", "block").agg(
             F.count_if(ends_inside(F.col("text"), dialect, False)).alias("open"), F.max(width).alias("width"),
-            F.sum(width).alias("cells"), F.min_by("text", "row").alias("first"),
+            F.sum(width).alias("cells"), F.count("row").alias("lines"),
         )
     )
     files = profile.groupBy("path").agg(
         F.sum("open").alias("open"), F.max("width").alias("width"), F.sum("cells").alias("cells"),
-        F.min_by("first", F.when(F.col("first").isNotNull(), F.col("block"))).alias("first"),
+        F.min(F.when(F.col("lines") > 0, F.col("block"))).alias("block"),
     )
     joined, widest, most = files.agg(F.count_if(F.col("open") > 0), F.max("width"), F.max("cells")).first()
     running = files.filter(F.col("open") > 0).select("path")
@@ -271,18 +443,24 @@ def line_items(lines: DataFrame, dialect: Dialect) -> list[CsvItems]:
     found = []
     if joined < files.count():
         own = lines.join(running, "path", "left_anti") if joined else lines
-        head = files.filter(F.col("open") == 0).select("path", F.col("first").alias("text"))
+        begins = files.filter((F.col("open") == 0) & F.col("block").isNotNull()).select("path", "block")
+        begins = F.broadcast(begins) if files.count() <= SENT_NAMES else begins
+        head = own.join(begins, ["path", "block"]).groupBy("path").agg(F.min_by("text", "row").alias("text"))
         found.append(_csv_items(own, head, dialect, widest or 1, most or 0))
     if joined:
-        numbered = join_records(lines.filter(F.col("text").isNotNull()).join(running, "path", "left_semi"), dialect)
-        records = record_texts(numbered).withColumn("n", F.size(cells(F.col("text"), dialect)))
-        most, widest = records.groupBy("path").agg(F.sum("n").alias("c"), F.max("n").alias("w")).agg(F.max("c"), F.max("w")).first()
+        own = lines.filter(F.col("text").isNotNull()).join(running, "path", "left_semi").select("path", "block", "row", "text")
+        if joined > SENT_NAMES:
+            own = own.repartition("path", "block").sortWithinPartitions("path", "block", "row")
+        records, most, widest, n = put_together(own, dialect)
         placed = records.select(
             "path", F.floor(F.col("record") / RECORD_RUN).alias("block"), F.col("record").alias("row"), "text", F.lit(None).cast("string").alias("error")
         )
         failed = lines.filter(F.col("error").isNotNull()).join(running, "path", "left_semi")
         head = records.filter(F.col("record") == 1).select("path", "text")
-        found.append(_csv_items(placed.unionByName(failed.select(*placed.columns)), head, dialect, widest or 1, most or 0))
+        # By the blocks that what is found is put together by, so that records move and not what is found in them.
+        tasks = max(lines.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_RECORDS))
+        placed = placed.unionByName(failed.select(*placed.columns)).repartition(tasks, "path", "block")
+        found.append(_csv_items(placed, head, dialect, widest, most))
     return found
 
 

@@ -473,3 +473,28 @@ def test_files_read_one_by_one_are_dealt_to_tasks(spark, tmp_path):
     lines = hidden.read_guarded_lines(files.coalesce(1)).withColumn("task", F.spark_partition_id()).collect()
     assert sorted(r.text for r in lines) == sorted([f"line {i}" for i in range(40)] + ["last"] * 40 + ["hidden"] * 40)
     assert len({r.task for r in lines}) > 1
+
+
+def test_records_are_put_together_where_they_are_read(spark, tmp_path, small_splits, monkeypatch):
+    """Files of many blocks, edges anywhere in records; only a file with a quote that is never closed goes by `join_records`."""
+    several = [f'{i},"first {i}\n5"" wide\n\nsecond, {i}",{i % 7}" pipe' if i % 3 else f"{i},x,y,z" for i in range(2000)]
+    one = ['1,"' + "line, of one cell\n" * 3000 + '",end', "2,b,c"]
+    texts = {n: "\n".join(["k,v,w", *r]) + "\n" for n, r in {"several.csv": several, "one.csv": one, "open.csv": ['1,"a\nb",c', '2,"open', "3,c,d"]}.items()}
+    for name, text in texts.items():
+        put(tmp_path, name, text)
+    small_splits(5000)
+    apart = []
+    by_window = delimited.join_records
+    monkeypatch.setattr(delimited, "join_records", lambda lines, *rest: apart.append({r.path.rsplit("/", 1)[1] for r in lines.collect()}) or by_window(lines, *rest))
+    got: dict[str, list] = {n: [] for n in texts}
+    sources = delimited.read_csv_items(spark, discovery.list_files(spark, [str(tmp_path)]))
+    for source in sources:
+        for r in source.items.filter(F.col("cell").isNotNull()).orderBy("path", "row", "cell").collect():
+            got[r.path.rsplit("/", 1)[1]].append((r.row, r.cell, r.text))
+            assert r.cell < source.width and source.most_cells >= 1
+    for name in ("several.csv", "one.csv"):
+        reader = csv.reader(io.StringIO(texts[name], newline=""), skipinitialspace=True)
+        assert got[name] == [(i, c, t) for i, record in enumerate(reader, 1) for c, t in enumerate(record) if t], name
+        assert max(s.most_cells for s in sources) >= len(got[name])
+    assert [t for r, _, t in got["open.csv"]] == ["k", "v", "w", "1", "a\nb", "c", "2", "open", "3", "c", "d"]
+    assert apart == [{"open.csv"}]

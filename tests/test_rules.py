@@ -59,3 +59,14 @@ def test_words_are_told_without_their_patterns(spark, make_items):
     tell = lambda t: ruletable._candidates(t, index, ruletable._automaton(index), ruletable._automaton({}))
     assert tell("the world of otherworldly hello, über") == ([0, 1], [])
     assert tell("日本world") == ([], [0, 8]) and tell("日本world world") == ([0], [8])
+
+
+def test_two_tables_in_one_session(spark, make_items):
+    texts = ["hello there", "the world", "api-key = 3", "x1 y22"]
+    schema = "check_id string, pattern string, detail string"
+    first = [("A", "hello", ""), ("B", r"\bworld\b", ""), ("C", r"\d\d", "")]
+    second = [("D", "there", ""), ("E", r"\bthe\b", ""), ("F", "api-key", ""), ("G", r"\d\d", "")]
+    # Workers are used again by the next search; each has to meet its own rules.
+    for rules, want in ((first, [(1, "A"), (2, "B"), (4, "C")]), (second, [(1, "D"), (2, "E"), (3, "F"), (4, "G")])) * 2:
+        got = ruletable.rule_signals(make_items(texts), spark.createDataFrame(rules, schema), year=2026).collect()
+        assert sorted((r.item_idx, r.check_id) for r in got) == want
